@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: denominators at or below this magnitude are treated as zero.
 TINY = 1e-9
+TIE_OFFSET = 3.7e-10
 # Fixed value: variance floor below which a regression slope is undefined.
 VAR_FLOOR = 1e-12
 TRADING_DAYS = 252
@@ -19,8 +20,12 @@ def c(x: Column | str) -> Column:
 
 
 def rd(x: Column | str, digits: int = 6) -> Column:
-    """Round for reporting; the trailing zero folds a negative zero into a positive one."""
-    return F.round(c(x), digits) + F.lit(0.0)
+    """Round for reporting.
+
+    The small offset keeps exact halves (common among ratios of counts) from tipping either way on the last bit; the trailing
+    zero folds a negative zero into a positive one.
+    """
+    return F.round(c(x) + F.lit(TIE_OFFSET), digits) + F.lit(0.0)
 
 
 def finite(x: Column | str) -> Column:
@@ -29,6 +34,11 @@ def finite(x: Column | str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
 
 
+def div(num, den) -> Column:
+    """Plain quotient; null where the denominator is zero."""
+    return F.try_divide(c(num).cast("double") if isinstance(num, (str, Column)) else F.lit(float(num)), c(den))
+
+
 def safe_div(num, den, positive_only: bool = False, numerator_positive: bool = False) -> Column:
     """A ratio that is null whenever the denominator (or, on request, the numerator) is meaningless."""
     num, den = c(num), c(den)

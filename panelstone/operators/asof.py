@@ -170,8 +170,8 @@ def horizon_returns(
             out.withColumn("_end", F.col("idx") + step)
             .join(priced, ["ticker", "_end"], "left")
             .join(bench.select(F.col("idx").alias("_end"), F.col("_b").alias("_b1")), "_end", "left")
-            .withColumn(f"fwd_{m}m", F.col("_p1") / F.col("_p0") - 1.0)
-            .withColumn(f"excess_{m}m", F.col(f"fwd_{m}m") - (F.col("_b1") / F.col("_b0") - 1.0))
+            .withColumn(f"fwd_{m}m", F.try_divide("_p1", "_p0") - 1.0)
+            .withColumn(f"excess_{m}m", F.col(f"fwd_{m}m") - (F.try_divide("_b1", "_b0") - 1.0))
             .drop("_p1", "_b1", "_end")
         )
     return out.drop("idx", "_p0", "_b0")

@@ -69,7 +69,8 @@ def month_end_sessions(dates: DataFrame, start=None, end=None) -> DataFrame:
 def month_ends(bounds: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """Last calendar day of each month that falls inside [start, end] of a one-row frame."""
     months = F.explode(F.sequence(F.trunc(start, "MM"), F.trunc(end, "MM"), F.expr("interval 1 month")))
-    return bounds.select(start, end, F.last_day(months).alias("date")).where(F.col("date").between(F.col(start), F.col(end))).select("date")
+    each = bounds.select(start, end, months.alias("_m")).select(start, end, F.last_day("_m").alias("date"))
+    return each.where(F.col("date").between(F.col(start), F.col(end))).select("date")
 
 
 def shift_dates(decisions: DataFrame, dates: DataFrame, offset: int) -> DataFrame:

@@ -135,7 +135,7 @@ def post_earnings_drift(events: DataFrame, prices: DataFrame, securities: DataFr
             F.max_by(F.when(after, bar), F.when(after, F.col("date"))).alias("b"),
         )
     )
-    drift = (F.col("b.p") / F.col("a.p") - 1.0) - (F.col("b.m") / F.col("a.m") - 1.0)
+    drift = F.try_divide("b.p", "a.p") - F.try_divide("b.m", "a.m")
     return ends.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(
         "company_id", drift.alias("post_earnings_drift"), "last_earnings_date"
     )

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstone.functions.numeric import finite
+from panelstone.functions.numeric import div, finite
 from panelstone.functions.spec import CATEGORY_WEIGHTS
 from panelstone.operators.calendar import session_index
 from panelstone.operators.ranking import add_rank, bucket_of, group_quantiles
@@ -64,7 +64,7 @@ def ic_summary(ic: DataFrame, horizon: int | str, keys: list[str] | None = None)
         F.collect_list("ic").alias("_values"),  # at most ``horizon`` values
     )
     n, mean = F.sum("_n"), F.sum("_s") / F.sum("_n")
-    var = (F.sum("_ss") - F.sum("_s") * mean) / (n - 1)
+    var = div(F.sum("_ss") - F.sum("_s") * mean, n - 1)
     std = F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
     sorted_values = F.sort_array(F.flatten(F.collect_list("_values")))  # one value per date: bounded by the calendar
     out = blocks.groupBy(*keys).agg(
@@ -200,14 +200,14 @@ def classify_regimes(market: DataFrame, decisions: DataFrame, yields: DataFrame
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     span = lambda n: w.rowsBetween(-(n - 1), 0)
     full = lambda x, n, agg: F.when(F.count(x).over(span(n)) == n, agg(x).over(span(n)))
-    m = market.select("date", "close_adj").withColumn("ret", F.col("close_adj") / F.lag("close_adj", 1).over(w) - 1.0)
+    m = market.select("date", "close_adj").withColumn("ret", div("close_adj", F.lag("close_adj", 1).over(w)) - 1.0)
     m = m.withColumns(
         {
             "ma200": full("close_adj", 200, F.avg),
             "vol63": full("ret", 63, F.stddev_samp),
-            "from_peak": F.col("close_adj") / F.max("close_adj").over(upto) - 1.0,
+            "from_peak": div("close_adj", F.max("close_adj").over(upto)) - 1.0,
         }
-    ).withColumn("slope", F.col("ma200") / F.lag("ma200", 63).over(w) - 1.0)
+    ).withColumn("slope", div("ma200", F.lag("ma200", 63).over(w)) - 1.0)
     at = expanding_bands(m.join(F.broadcast(decisions.select("date")), "date", "left_semi"), "vol63")
     trend = (
         F.when(F.col("from_peak") <= -0.10, "bear")
@@ -264,7 +264,7 @@ def score_persistence(df: DataFrame, entity: str, score: str, min_common: int =
 def ic_decay(df: DataFrame, entity: str, score: str, price: str, horizons: list[int], min_names: int = 20) -> DataFrame:
     """IC against forward returns of several row horizons."""
     w = Window.partitionBy(entity).orderBy("date")
-    ahead = df.withColumns({f"_f{h}": F.lead(price, h).over(w) / F.col(price) - 1.0 for h in horizons})
+    ahead = df.withColumns({f"_f{h}": div(F.lead(price, h).over(w), price) - 1.0 for h in horizons})
     return signal_summary(ahead, [score], {f"_f{h}": h for h in horizons}, min_names)
 
 
@@ -327,19 +327,36 @@ def leaking_folds(folds: DataFrame) -> DataFrame:
     return folds.where(F.col("last_train_date") >= F.col("test_start_date"))
 
 
-def leakage_audit(df: DataFrame, entity: str, score: str, target: str, lag: int, seed: int, min_names: int = 20) -> DataFrame:
-    """Mean IC of the score as is, lagged on its entity, shuffled within the date, and moved to another entity.
+def rotate_within(df: DataFrame, keys: list[str], order: Column, value: str, name: str, slices: int = 1, entity: str = "entity") -> DataFrame:
+    """Hand every row the value of its predecessor in ``order`` (the first gets the last): a permutation inside each group.
 
-    Shuffling pairs rows by rank of a seeded hash, so it is reproducible and needs no single sorted partition per date.
+    With ``slices`` above one a group is first cut by a hash of the entity; each slice is permuted on its own, which is still a
+    permutation of the group but never needs the whole group in one task.
     """
-    keyed = df.where(F.col(score).isNotNull() & F.col(target).isNotNull()).select(entity, "date", F.col(score).alias("x"), F.col(target).alias("y"))
-    old = F.lag("x", lag).over(Window.partitionBy(entity).orderBy("date"))
-    base = keyed.select("date", F.lit("as_is").alias("variant"), "x", "y")
-    shifted = keyed.select("date", F.lit("lagged").alias("variant"), old.alias("x"), "y")
-    noise = keyed.select("date", F.lit("shuffled").alias("variant"), F.xxhash64(F.lit(seed), entity, "date").cast("double").alias("x"), "y")
-    fixed = keyed.select("date", F.lit("entity_permuted").alias("variant"), F.xxhash64(F.lit(seed + 1), entity).cast("double").alias("x"), "y")
-    every = base.unionByName(shifted).unionByName(noise).unionByName(fixed)
-    ic = ic_by_date(every, "x", "y", min_names, ["variant"])
+    cut = F.pmod(F.xxhash64(entity), F.lit(slices))
+    w = Window.partitionBy(*keys, "_slice").orderBy("_order")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = df.withColumns({"_slice": cut, "_order": order})
+    return out.withColumn(name, F.coalesce(F.lag(value, 1).over(w), F.last(value).over(whole))).drop("_slice", "_order")
+
+
+def leakage_audit(df: DataFrame, entity: str, score: str, target: str, lag: int, seed: int, slices: int = 1, min_names: int = 3) -> DataFrame:
+    """Mean IC of the prediction as is, lagged, against an earlier target, and with targets shuffled or moved between entities.
+
+    The shuffle orders rows by a seeded hash, so a recomputed task repeats it.
+    """
+    known = df.where(F.col(score).isNotNull() & F.col(target).isNotNull())
+    base = known.select(F.col(entity).alias("entity"), "date", F.col(score).alias("x"), F.col(target).alias("y"))
+    w = Window.partitionBy("entity").orderBy("date")
+    tag = lambda d, v, x, y: d.select("date", F.lit(v).alias("variant"), F.col(x).alias("x"), F.col(y).alias("y"))
+    earlier = base.withColumns({"_x": F.lag("x", lag).over(w), "_y": F.lag("y", lag).over(w)})
+    noise = rotate_within(base, ["date"], F.xxhash64(F.lit(seed), "entity", "date"), "y", "_y", slices)
+    moved = rotate_within(base, ["date"], F.col("entity"), "y", "_y", slices)
+    every = [
+        tag(base, "as_is", "x", "y"), tag(earlier, "lagged_score", "_x", "y"), tag(earlier, "earlier_target", "x", "_y"),
+        tag(noise, "shuffled", "x", "_y"), tag(moved, "entity_moved", "x", "_y"),
+    ]
+    ic = ic_by_date(reduce(DataFrame.unionByName, every), "x", "y", min_names, ["variant"])
     return ic.groupBy("variant").agg(F.avg("ic").alias("ic_mean"), F.count("ic").alias("n_dates"))
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstone.functions.numeric import TRADING_DAYS, finite
+from panelstone.functions.numeric import TRADING_DAYS, div, finite
 
 EULER_GAMMA = 0.5772156649015329  # fixed value
 RUN = "run_id"
@@ -21,7 +21,7 @@ def _along(run: str = RUN):
 
 
 def add_equity_returns(paths: DataFrame, value: str = "equity", name: str = "ret") -> DataFrame:
-    return paths.withColumn(name, F.col(value) / F.lag(value, 1).over(_along()) - 1.0)
+    return paths.withColumn(name, div(value, F.lag(value, 1).over(_along())) - 1.0)
 
 
 def _per_session_rate(annual: float) -> float:
@@ -31,7 +31,7 @@ def _per_session_rate(annual: float) -> float:
 def basic_statistics(paths: DataFrame, risk_free: float = 0.0) -> DataFrame:
     """Total return, CAGR on the calendar, volatility, Sharpe, Sortino, worst drawdown, Calmar."""
     upto = _along().rowsBetween(Window.unboundedPreceding, 0)
-    df = add_equity_returns(paths).withColumn("_dd", F.col("equity") / F.max("equity").over(upto) - 1.0)
+    df = add_equity_returns(paths).withColumn("_dd", div("equity", F.max("equity").over(upto)) - 1.0)
     excess = finite("ret") - _per_session_rate(risk_free)
     out = df.groupBy(RUN).agg(
         F.min("date").alias("start"),
@@ -48,12 +48,12 @@ def basic_statistics(paths: DataFrame, risk_free: float = 0.0) -> DataFrame:
     years = F.datediff("end", "start") / 365.25
     scale = math.sqrt(TRADING_DAYS)
     ok = (F.col("n_sessions") >= 2) & (F.col("_first") > 0)
-    growth = F.col("final_equity") / F.col("_first")
+    growth = div("final_equity", "_first")
     out = out.withColumns(
         {
             "years": years,
             "total_return": F.when(ok, growth - 1.0),
-            "cagr": F.when(ok & (years > 0), F.pow(growth, 1.0 / years) - 1.0),
+            "cagr": F.when(ok & (years > 0), F.pow(growth, div(1.0, years)) - 1.0),
             "volatility": F.when(F.col("_n") >= 2, F.col("_sd") * scale),
             "sharpe": F.when((F.col("_n") >= 2) & (F.col("_sd") > 0), F.col("_mean") / F.col("_sd") * scale),
             "sortino": F.when((F.col("_n") >= 2) & (F.col("_down") > 0), F.col("_mean") / F.col("_down") * scale),
@@ -117,8 +117,8 @@ def benchmark_statistics(paths: DataFrame, benchmark: str = "benchmark", risk_fr
         (F.pow(1.0 + daily_alpha, TRADING_DAYS) - 1.0).alias("alpha_annual"),
         F.when(F.col("n") >= 2, F.col("_ds") * scale).alias("tracking_error"),
         F.when(enough & (F.col("_ds") > 0), F.col("_d") / F.col("_ds") * scale).alias("information_ratio"),
-        F.when(wide & (F.col("_nu") >= 10), F.col("_ru") / F.col("_bu")).alias("upside_capture"),
-        F.when(wide & (F.col("_nd") >= 10), F.col("_rd") / F.col("_bd")).alias("downside_capture"),
+        F.when(wide & (F.col("_nu") >= 10), div("_ru", "_bu")).alias("upside_capture"),
+        F.when(wide & (F.col("_nd") >= 10), div("_rd", "_bd")).alias("downside_capture"),
     )
 
 
@@ -128,14 +128,14 @@ def periodic_returns(paths: DataFrame, unit: str = "MM", value: str = "equity")
         F.max_by(value, "date").alias("_end"), F.min_by(value, "date").alias("_begin")
     )
     before = F.coalesce(F.lag("_end").over(Window.partitionBy(RUN).orderBy("period")), F.col("_begin"))
-    return ends.select(RUN, "period", (F.col("_end") / before - 1.0).alias("return"))
+    return ends.select(RUN, "period", (div("_end", before) - 1.0).alias("return"))
 
 
 def rolling_outperformance(paths: DataFrame, months: int, benchmark: str = "benchmark") -> DataFrame:
     """Over every window of ``21 x months`` sessions: how often the path beat its benchmark."""
     n = 21 * months
     w = _along()
-    gap = (F.col("equity") / F.lag("equity", n).over(w)) - (F.col(benchmark) / F.lag(benchmark, n).over(w))
+    gap = div("equity", F.lag("equity", n).over(w)) - div(benchmark, F.lag(benchmark, n).over(w))
     gaps = paths.select(RUN, finite(gap).alias("_g")).where("_g is not null")
     return gaps.groupBy(RUN).agg(
         F.count(F.lit(1)).alias("windows"),
@@ -176,7 +176,7 @@ def bootstrap_intervals(paths: DataFrame, samples: int = 1000, block: int = 21,
     sums = draws.join(at("from", "a"), [RUN, "from"]).join(at("to", "z"), [RUN, "to"])
     per = sums.groupBy(RUN, "sample", "n").agg(*[F.sum(F.col(f"{x}_z") - F.col(f"{x}_a")).alias(x) for x in ("s", "ss", "lg")])
     mean = F.col("s") / F.col("n")
-    sd = F.sqrt(F.greatest((F.col("ss") - F.col("s") * mean) / (F.col("n") - 1), F.lit(0.0)))
+    sd = F.sqrt(F.greatest(div(F.col("ss") - F.col("s") * mean, F.col("n") - 1), F.lit(0.0)))
     per = per.select(
         RUN,
         (F.exp(F.col("lg") * TRADING_DAYS / F.col("n")) - 1.0).alias("cagr"),
@@ -205,7 +205,7 @@ def return_moments(paths: DataFrame) -> DataFrame:
     """Observation count, per-session Sharpe ratio, skew and kurtosis (standardised by the sample deviation)."""
     r = add_equity_returns(paths).select(RUN, finite("ret").alias("r")).where("r is not null")
     base = r.groupBy(RUN).agg(F.count("r").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"))
-    z = (F.col("r") - F.col("m")) / F.col("sd")
+    z = div(F.col("r") - F.col("m"), "sd")
     higher = r.join(base, RUN).groupBy(RUN, "n", "m", "sd").agg(F.avg(F.pow(z, 3)).alias("skew"), F.avg(F.pow(z, 4)).alias("kurtosis"))
     return higher.where("sd > 0").select(RUN, "n", (F.col("m") / F.col("sd")).alias("sr"), "skew", "kurtosis")
 
@@ -245,7 +245,7 @@ def overfitting_partitions(returns: DataFrame, splits: int = 8, run: str = RUN,
     placed = periods.select(period, (F.row_number().over(Window.orderBy(period)) - 1).alias("_i"), n.alias("_n"))  # one row per period
     size, extra = F.floor(F.col("_n") / splits), F.col("_n") % splits
     wide = extra * (size + 1)
-    block = F.when(F.col("_i") < wide, F.floor(F.col("_i") / (size + 1))).otherwise(extra + F.floor((F.col("_i") - wide) / size))
+    block = F.when(F.col("_i") < wide, F.floor(F.col("_i") / (size + 1))).otherwise(extra + F.floor(div(F.col("_i") - wide, size)))
     sums = (
         returns.join(F.broadcast(placed.select(period, block.cast("int").alias("block"))), period)
         .groupBy(run, "block")
@@ -266,8 +266,8 @@ def overfitting_partitions(returns: DataFrame, splits: int = 8, run: str = RUN,
 
     def ratio(tag: str) -> Column:
         k, s, ss = F.col(f"k_{tag}"), F.col(f"s_{tag}"), F.col(f"ss_{tag}")
-        sd = F.sqrt(F.greatest((ss - s * s / k) / (k - 1), F.lit(0.0)))
-        return F.when(sd > 0, s / k / sd)
+        sd = F.sqrt(F.greatest(div(ss - div(s * s, k), k - 1), F.lit(0.0)))
+        return F.when(sd > 0, div(div(s, k), sd))
 
     part = part.select("split", run, ratio("in").alias("sin"), F.coalesce(ratio("out"), F.lit(float("-inf"))).alias("sout"))
     best = part.groupBy("split").agg(F.max_by(F.struct(run, "sout"), F.struct("sin", run)).alias("_b"), F.count(F.lit(1)).alias("n_trials"))
@@ -298,13 +298,13 @@ def benchmark_path(prices: DataFrame, dates: DataFrame, benchmark: str) -> DataF
     own = prices.where(F.col("ticker") == benchmark).select("date", "close_adj")
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     filled = dates.select("date").join(own, "date", "left").withColumn("level", F.last("close_adj", ignorenulls=True).over(w))
-    return filled.select("date", (F.col("level") / F.first("close_adj", ignorenulls=True).over(w)).alias("level"))
+    return filled.select("date", div("level", F.first("close_adj", ignorenulls=True).over(w)).alias("level"))
 
 
 def risk_matched(paths: DataFrame, benchmark: str = "benchmark") -> DataFrame:
     """Benchmark compounded after scaling its returns to the path's volatility."""
     df = add_equity_returns(add_equity_returns(paths), benchmark, "bret")
-    vols = df.groupBy(RUN).agg((F.stddev_samp(finite("ret")) / F.stddev_samp(finite("bret"))).alias("ratio"))
+    vols = df.groupBy(RUN).agg(div(F.stddev_samp(finite("ret")), F.stddev_samp(finite("bret"))).alias("ratio"))
     upto = _along().rowsBetween(Window.unboundedPreceding, 0)
     step = 1.0 + F.coalesce(F.col("ratio") * F.col("bret"), F.lit(0.0))
     return df.join(F.broadcast(vols), RUN).select(RUN, "date", "ratio", F.product(step).over(upto).alias("level"))

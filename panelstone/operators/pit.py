@@ -69,7 +69,7 @@ def flag_scale_outliers(facts: DataFrame) -> DataFrame:
     def verdict(lo: int, hi: int) -> Column:
         near = F.sort_array(F.collect_list(F.when(size > 0, size)).over(order.rowsBetween(lo, hi)))
         n = F.size(near)
-        mid = F.element_at(near, F.floor(n / 2).cast("int") + 1)
+        mid = F.get(near, F.floor(n / 2).cast("int"))
         out = (size > mid * SCALE_FACTOR) | (size < mid / SCALE_FACTOR)
         return F.when(n >= SCALE_MIN_SIDE, out)
 

@@ -68,12 +68,12 @@ def period_returns(weights: DataFrame, prices: DataFrame, entity: str = "ticker"
         .join(px, [entity, "date"], "left")
         .join(px.select(entity, F.col("date").alias("next_date"), F.col("_p").alias("_q")), [entity, "next_date"], "left")
     )
-    held = held.withColumn("ret", F.coalesce(F.col("_q") / F.col("_p") - 1.0, F.lit(0.0)))
+    held = held.withColumn("ret", F.coalesce(F.try_divide("_q", "_p") - 1.0, F.lit(0.0)))
     gross = held.groupBy("date", "next_date").agg(F.sum(F.col("weight") * F.col("ret")).alias("gross"), F.count(F.lit(1)).alias("n_names"))
     drifted = (
         held.join(F.broadcast(gross.select("date", "gross")), "date")  # one row per rebalance
         .where(F.col("next_date").isNotNull())
-        .select(entity, F.col("next_date").alias("date"), (F.col("weight") * (1 + F.col("ret")) / (1 + F.col("gross"))).alias("_old"))
+        .select(entity, F.col("next_date").alias("date"), F.try_divide(F.col("weight") * (1 + F.col("ret")), 1 + F.col("gross")).alias("_old"))
     )
     moves = weights.select(entity, "date", "weight").join(drifted, [entity, "date"], "full_outer")
     turnover = moves.groupBy("date").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstone.functions.numeric import ANNUALISE, TRADING_DAYS, finite, mapped
+from panelstone.functions.numeric import ANNUALISE, TRADING_DAYS, div, finite, mapped
 from panelstone.operators.rolling import Roll, along, rolling, rolling_drawdown, rolling_extreme, rolling_median
 
 # Blume shrinkage of a raw beta toward one.
@@ -49,7 +49,7 @@ def recent_median_dollar_volume(prices: DataFrame, days: int) -> DataFrame:
 def benchmark_series(prices: DataFrame, benchmark: str) -> DataFrame:
     """``date, mkt_ret, mkt_close`` of one ticker; one row per session."""
     own = prices.where(F.col("ticker") == benchmark).select("date", F.col("close_adj").alias("mkt_close"))
-    return own.withColumn("mkt_ret", F.col("mkt_close") / F.lag("mkt_close", 1).over(Window.orderBy("date")) - 1.0)
+    return own.withColumn("mkt_ret", div("mkt_close", F.lag("mkt_close", 1).over(Window.orderBy("date"))) - 1.0)
 
 
 def with_market(
@@ -78,12 +78,12 @@ def add_returns(df: DataFrame, price: str = "close_adj") -> DataFrame:
     p = F.col(price)
     return df.withColumns(
         {
-            "ret_1d": p / back(1) - 1.0,
-            "mom_12_1": back(21) / back(252) - 1.0,
-            "mom_6_1": back(21) / back(126) - 1.0,
-            "ret_3m": p / back(63) - 1.0,
-            "ret_6m": p / back(126) - 1.0,
-            "ret_12m": p / back(252) - 1.0,
+            "ret_1d": div(p, back(1)) - 1.0,
+            "mom_12_1": div(back(21), back(252)) - 1.0,
+            "mom_6_1": div(back(21), back(126)) - 1.0,
+            "ret_3m": div(p, back(63)) - 1.0,
+            "ret_6m": div(p, back(126)) - 1.0,
+            "ret_12m": div(p, back(252)) - 1.0,
         }
     )
 
@@ -91,7 +91,7 @@ def add_returns(df: DataFrame, price: str = "close_adj") -> DataFrame:
 def add_relative_strength(df: DataFrame) -> DataFrame:
     """Six-month return over the benchmark's and the sector fund's, lags counted on the security's own rows."""
     w = along(BY, ON)
-    six = lambda x: F.col(x) / F.lag(x, 126).over(w) - 1.0
+    six = lambda x: div(x, F.lag(x, 126).over(w)) - 1.0
     return df.withColumns(
         {
             "rel_strength_spy": F.col("ret_6m") - six("mkt_close"),
@@ -133,7 +133,7 @@ def risk_rolls() -> list[Roll]:
         Roll("downside_deviation", "rms", F.pow(F.least(r, F.lit(0.0)), 2) + r * 0.0, 252, 40, full=True, scale=ANNUALISE),
         Roll("beta_raw", "beta", r, BETA_WINDOW, 120, y=m, full=True),
         Roll("downside_beta", "beta", F.when(falling, r), BETA_WINDOW, 40, y=F.when(falling, m), full=True),
-        Roll("amihud", "mean", F.when(volume > 0, F.abs(r) / volume * 1e6), 63, 40, full=True),
+        Roll("amihud", "mean", F.when(volume > 0, div(F.abs(r), volume) * 1e6), 63, 40, full=True),
     ]
 
 

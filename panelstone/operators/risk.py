@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelstone.functions.numeric import banded, clip, either, mapped
+from panelstone.functions.numeric import banded, clip, div, either, mapped
 from panelstone.functions.spec import (
     CONFIDENCE_LABELS,
     CONFIDENCE_WEIGHTS,
@@ -41,11 +41,11 @@ def altman_z() -> Column:
     owed = either("liabilities", F.col("assets") - either("equity_incl_nci", "equity"))
     owed = F.when(owed > 0, owed)
     z = (
-        1.2 * (F.col("current_assets") - F.col("current_liabilities")) / assets
-        + 1.4 * F.col("retained_earnings") / assets
-        + 3.3 * F.col("ebit") / assets
-        + 0.6 * F.col("market_cap") / owed
-        + F.col("revenue") / assets
+        1.2 * div(F.col("current_assets") - F.col("current_liabilities"), assets)
+        + 1.4 * div("retained_earnings", assets)
+        + 3.3 * div("ebit", assets)
+        + 0.6 * div("market_cap", owed)
+        + div("revenue", assets)
     )
     return F.when(F.col("business_model").isin(list(NON_FINANCIAL)), z)
 
@@ -60,13 +60,13 @@ def piotroski() -> Column:
     tests = [
         col("net_income") > 0,
         col("operating_cash_flow") > 0,
-        col("net_income") / col("assets") > col("net_income__lag1y") / prior_assets,
+        div("net_income", "assets") > div("net_income__lag1y", prior_assets),
         col("operating_cash_flow") > col("net_income"),
-        col("total_debt") / col("assets") < col("total_debt__lag1y") / prior_assets,
+        div("total_debt", "assets") < div("total_debt__lag1y", prior_assets),
         col("current_ratio") > col("current_ratio__lag1y"),
         col("share_count_change") <= 0,
         col("gross_margin") > col("gross_margin__lag1y"),
-        col("revenue") / col("assets") > F.when(col("revenue__lag1y") != 0, col("revenue__lag1y")) / prior_assets,
+        div("revenue", "assets") > div(F.when(col("revenue__lag1y") != 0, col("revenue__lag1y")), prior_assets),
     ]
     total = reduce(add, [F.when(t, 1).otherwise(0) for t in tests])
     known = col("net_income").isNotNull() & col("operating_cash_flow").isNotNull() & (col("assets") > 0)

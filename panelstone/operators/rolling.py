@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstone.functions.numeric import VAR_FLOOR, finite
+from panelstone.functions.numeric import VAR_FLOOR, div, finite
 
 
 def along(by: list[str], order: str):
@@ -101,7 +101,7 @@ def rolling(df: DataFrame, by: list[str], order: str, specs: list[Roll]) -> Data
         gate = n >= need
         if s.full:
             gate = gate & (F.col("_row") >= s.window)
-        mean = p["x"] / n
+        mean = div(p["x"], n)
         if s.kind == "sum":
             value = p["x"]
         elif s.kind == "mean":
@@ -110,15 +110,15 @@ def rolling(df: DataFrame, by: list[str], order: str, specs: list[Roll]) -> Data
             value = F.sqrt(F.greatest(mean, F.lit(0.0)))
         elif s.kind == "std":
             gate = gate & (n >= 2)
-            value = F.sqrt(F.greatest((p["xx"] - p["x"] * mean) / (n - 1), F.lit(0.0)))
+            value = F.sqrt(F.greatest(div(p["xx"] - p["x"] * mean, n - 1), F.lit(0.0)))
         elif s.kind == "var_pop":
-            value = F.greatest(p["xx"] / n - mean * mean, F.lit(0.0))
+            value = F.greatest(div(p["xx"], n) - mean * mean, F.lit(0.0))
         elif s.kind == "beta":
-            mean_y = p["y"] / n
-            cov = p["xy"] / n - mean * mean_y
-            var = p["yy"] / n - mean_y * mean_y
+            mean_y = div(p["y"], n)
+            cov = div(p["xy"], n) - mean * mean_y
+            var = div(p["yy"], n) - mean_y * mean_y
             gate = gate & (var > VAR_FLOOR)
-            value = cov / var
+            value = div(cov, var)
         else:
             raise ValueError(f"unknown rolling kind {s.kind!r}")
         outputs[s.name] = F.when(gate, value * s.scale) if s.scale != 1.0 else F.when(gate, value)
@@ -176,16 +176,16 @@ def rolling_drawdown(df: DataFrame, by: list[str], order: str, x: str, window: i
             "_head_max": F.max("_p").over(head),
             "_head_min": F.min("_p").over(head),
         }
-    ).withColumn("_head_dd", F.min(F.col("_p") / F.col("_head_max")).over(head))
+    ).withColumn("_head_dd", F.min(div("_p", "_head_max")).over(head))
     work = work.withColumns(
         {"_tail_max": F.max("_p").over(tail), "_tail_min": F.min("_p").over(tail)}
-    ).withColumn("_tail_dd", F.min(F.col("_tail_min") / F.col("_p")).over(tail))
+    ).withColumn("_tail_dd", F.min(div("_tail_min", "_p")).over(tail))
     work = work.withColumns(
         {"_from_max": F.lag("_tail_max", window - 1).over(at), "_from_dd": F.lag("_tail_dd", window - 1).over(at)}
     )
     aligned = F.col("_row") % window == 0
     worst = F.when(aligned, F.col("_head_dd")).otherwise(
-        F.least("_from_dd", "_head_dd", F.col("_head_min") / F.col("_from_max"))
+        F.least("_from_dd", "_head_dd", div("_head_min", "_from_max"))
     )
     return work.withColumn(name, F.when(F.col("_row") >= window, worst - 1.0)).drop(
         "_row", "_block", "_p", "_head_max", "_head_min", "_head_dd", "_tail_max", "_tail_min", "_tail_dd", "_from_max", "_from_dd"
@@ -215,7 +215,7 @@ def day_rolling(x: Column | str, stat: str, by: list[str], date: str, days: int,
 def max_drawdown_running(df: DataFrame, by: list[str], order: str, x: str, name: str) -> DataFrame:
     """Decline from the running peak at every row."""
     w = along(by, order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.col(x) / F.max(x).over(w) - 1.0)
+    return df.withColumn(name, div(x, F.max(x).over(w)) - 1.0)
 
 
 def compound(df: DataFrame, by: list[str], order: str, ret: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelstone.functions.numeric import banded, mapped
+from panelstone.functions.numeric import banded, div, mapped
 from panelstone.functions.spec import (
     CATEGORY_WEIGHTS,
     METRICS,
@@ -141,7 +141,7 @@ def score_metrics(panel: DataFrame, metrics: tuple[Metric, ...] = METRICS) -> Da
         .when(v >= F.col("hi"), (F.col("below_hi") + F.col("n") + 1) / 2.0)
         .otherwise(F.col("n_below") + (F.col("n_eq") + 1) / 2.0)
     )
-    pct = (rank - 0.5) / F.col("n")
+    pct = div(rank - 0.5, "n")
     pct = F.when(F.col("direction") < 0, 1.0 - pct).otherwise(pct)
     ranked = ranked.withColumn("percentile", F.when(v.isNotNull() & (F.col("n") >= 2), pct))
     status = (
@@ -185,12 +185,12 @@ def build_category_scores(metric_scores: DataFrame, weights: dict[str, float] =
             F.count(F.lit(1)).cast("int").alias("n_metrics"),
             F.count_if(~seen).cast("int").alias("n_missing"),
         )
-        .withColumn("coverage", F.col("_observed") / F.col("_applicable"))
+        .withColumn("coverage", div("_observed", "_applicable"))
     )
     # Sums of declared weights differ in their last digits with the order of addition: compare with a margin.
     enough = (F.col("coverage") >= floor - 1e-12) & (F.col("_observed") > 0)
     return (
-        out.withColumn("score", F.when(enough, F.col("_sum") / F.col("_observed")))
+        out.withColumn("score", F.when(enough, div("_sum", "_observed")))
         .withColumn("weight", mapped("category", weights, 0.0))
         .withColumn("contribution", F.col("score") * F.col("weight"))
         .drop("_sum", "_observed", "_applicable")
@@ -206,7 +206,7 @@ def build_opportunity_scores(category_scores: DataFrame, floor: float = MIN_TOTA
         *[F.max(F.when(F.col("category") == x, F.col("score"))).alias(x) for x in categories],
     ).where(F.col("coverage").isNotNull())
     enough = (F.col("coverage") > 0) & (F.col("coverage") >= floor - 1e-12)
-    out = out.withColumn("score", F.when(enough, F.col("_c") / F.col("coverage"))).drop("_c")
+    out = out.withColumn("score", F.when(enough, div("_c", "coverage"))).drop("_c")
     return add_score_changes(rank_scores(out))
 
 
@@ -240,7 +240,7 @@ def recompose(scores: DataFrame, weights: dict[str, float] = CATEGORY_WEIGHTS, d
     used = {k: w for k, w in weights.items() if k != drop}
     num = reduce(add, [F.coalesce(F.col(k) * w, F.lit(0.0)) for k, w in used.items()])
     den = reduce(add, [F.when(F.col(k).isNotNull(), w).otherwise(0.0) for k, w in used.items()])
-    return scores.withColumn(name, F.when(den > 0, num / den))
+    return scores.withColumn(name, div(num, den))
 
 
 def top_reasons(metric_scores: DataFrame) -> DataFrame:
