@@ -34,6 +34,11 @@ ROW = ["company_id", "ticker", "date"]
 GROUP = ["metric", "date", "basis", "peer"]
 
 
+def stable(x: Column) -> Column:
+    """Drop the last digits of a distributed sum, so that scores equal on paper tie whatever the order of addition."""
+    return F.round(x, 9)
+
+
 def score_band(score) -> Column:
     return banded(score, SCORE_BANDS, "Very unattractive", NOT_SCORED)
 
@@ -190,7 +195,7 @@ def build_category_scores(metric_scores: DataFrame, weights: dict[str, float] =
     # Sums of declared weights differ in their last digits with the order of addition: compare with a margin.
     enough = (F.col("coverage") >= floor - 1e-12) & (F.col("_observed") > 0)
     return (
-        out.withColumn("score", F.when(enough, div("_sum", "_observed")))
+        out.withColumn("score", stable(F.when(enough, div("_sum", "_observed"))))
         .withColumn("weight", mapped("category", weights, 0.0))
         .withColumn("contribution", F.col("score") * F.col("weight"))
         .drop("_sum", "_observed", "_applicable")
@@ -206,7 +211,7 @@ def build_opportunity_scores(category_scores: DataFrame, floor: float = MIN_TOTA
         *[F.max(F.when(F.col("category") == x, F.col("score"))).alias(x) for x in categories],
     ).where(F.col("coverage").isNotNull())
     enough = (F.col("coverage") > 0) & (F.col("coverage") >= floor - 1e-12)
-    out = out.withColumn("score", F.when(enough, div("_c", "coverage"))).drop("_c")
+    out = out.withColumn("score", stable(F.when(enough, div("_c", "coverage")))).drop("_c")
     return add_score_changes(rank_scores(out))
 
 

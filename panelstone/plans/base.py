@@ -110,8 +110,10 @@ fragment(
 )
 fragment(
     "mraw",
-    """SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, sum(l_extendedprice) AS rev, sum(l_quantity) AS q,
-       count(*) AS n, sum(l_discount) AS d, sum(l_tax) AS t FROM lineitem GROUP BY 1, 2""",
+    """SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
+       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS rev, sum(l_quantity) AS q, count(*) AS n,
+       CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / 100 AS d,
+       CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / 100 AS t FROM lineitem GROUP BY 1, 2""",
 )
 fragment(
     "mend",
@@ -147,6 +149,11 @@ fragment(
 )
 
 
+def cents(column: str):
+    """Sum in whole cents: exact whatever the order of addition, so equal totals stay equal."""
+    return F.sum(F.round(F.col(column) * 100).cast("long")).cast("double") / 100
+
+
 class Tables:
     """The supplied tables and their reading as prices, companies, monthly panel and facts."""
 
@@ -235,8 +242,8 @@ class Tables:
         line = self.raw("lineitem")
         month = F.trunc("l_shipdate", "MM")
         cells = line.groupBy("l_suppkey", month.alias("month")).agg(
-            F.sum("l_extendedprice").alias("rev"), F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"),
-            F.sum("l_discount").alias("d"), F.sum("l_tax").alias("t"),
+            cents("l_extendedprice").alias("rev"), F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"),
+            cents("l_discount").alias("d"), cents("l_tax").alias("t"),
         )
         ends = line.groupBy(month.alias("month")).agg(F.max(F.col("l_shipdate").cast("date")).alias("date"))
         who = self.companies.select("company_id", "ticker", F.col("cik").alias("l_suppkey"), "sector", "industry", "business_model")
