@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import clip, div, safe_div, zero_if_null
 from panelstone.functions.spec import FEATURES
-from panelstone.operators.ranking import add_rank, group_quantiles, ladder, nearest_index, order_statistic
+from panelstone.operators.ranking import add_rank, group_quantiles
 
 MIN_GROUP_COVERAGE = 0.34  # fixed value
 EPS = 1e-9
@@ -35,14 +35,11 @@ def melt(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
 def normalise_long(long: DataFrame, winsor: float, sector: str | None = "sector", directions: dict[str, int] | None = None, date: str = "date") -> DataFrame:
     """Winsorise, demean by sector median, standardise, orient and clip every feature within its date.
 
-    Input is long (…, date, sector, feature, value). Limits come from one ladder, medians from another, moments from plain
+    Input is long (…, date, sector, feature, value). Limits and medians come from exact group quantiles, moments from plain
     aggregates: nothing windows a whole date. Output adds ``z`` (zero where the value is missing) and ``has``.
     """
     keys = [date, "feature"]
-    steps = ladder(long, keys, "value")
-    limits = steps.groupBy(*keys).agg(
-        order_statistic(nearest_index(winsor), "value").alias("_lo"), order_statistic(nearest_index(1.0 - winsor), "value").alias("_hi")
-    )
+    limits = group_quantiles(long, keys, "value", nearest={"_lo": winsor, "_hi": 1.0 - winsor}).drop("n")
     out = long.join(limits, keys, "left").withColumn("_w", clip(F.col("value"), F.col("_lo"), F.col("_hi")))
     if sector is not None:
         medians = group_quantiles(out, [*keys, sector], "_w", linear={"_mid": 0.5}).drop("n")

@@ -1,8 +1,14 @@
 """Exact ranks, percentiles and quantiles inside groups of any size.
 
-A plain ``rank() over (partition by date)`` sends every company of a date to one task. Here a group is first reduced to its
-distinct values (a map-side combine, so a value shared by millions of rows travels once per task), the distinct values are
-split by an order-preserving value bucket, and only bucket totals are ever windowed per group. No task sees a whole group.
+``annotate`` gives every row how many values of its group lie below it, equal it, and exist at all; ranks, percentiles, ties and
+order statistics all follow from these three counts. Two plans compute them:
+
+* plain: one window per group, one shuffle. Right while every group fits a task comfortably.
+* split: a group is reduced to its distinct values (a map-side combine, so a value shared by millions of rows travels once per
+  task), the values are cut by an order-preserving bucket, and only bucket totals are windowed per group. No task sees a whole
+  group, however large or tied it is.
+
+The size decides: small inputs go plain without a look; larger ones have their largest group measured by one cheap count.
 """
 
 from __future__ import annotations
@@ -12,6 +18,20 @@ from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import value_bucket
 
+# Inputs estimated below this many bytes cannot hold a group worth splitting.
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+# Largest group a single task may sort.
+MAX_GROUP_ROWS = 2_000_000
+
+
+def needs_split(df: DataFrame, keys: list[str]) -> bool:
+    """Does any group exceed what one task should sort? Measured, unless the input is estimated to be small."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate <= SMALL_INPUT_BYTES:
+        return False
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) > MAX_GROUP_ROWS
+
 
 def ladder(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct non-null values per group with how many rows hold them, lie below them, and the group size.
@@ -40,47 +60,91 @@ def ladder(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def order_statistic(k: Column, value: str) -> Column:
-    """Aggregate over a ladder: the value at zero-based position ``k`` of the sorted group."""
-    k = k.cast("long")
-    return F.max(F.when((F.col("n_below") <= k) & (k < F.col("n_below") + F.col("n_eq")), F.col(value)))
+def annotate(
+    df: DataFrame, keys: list[str], value: str, stats: dict[str, Column] | None = None, split: bool | None = None
+) -> DataFrame:
+    """Add ``n_below, n_eq, n_group`` (null where the value is null, except the group size) and per-group ``stats``.
 
+    ``stats`` are aggregate expressions over these columns, such as ``order_statistic``.
+    """
+    stats = stats or {}
+    if split is None:
+        split = needs_split(df, keys)
+    if split:
+        steps = ladder(df, keys, value)
+        groups = steps.groupBy(*keys).agg(F.max("n_group").alias("_n"), *[x.alias(n) for n, x in stats.items()])
+        out = df.join(steps.drop("n_group"), [*keys, value], "left").join(groups, keys, "left")
+        return out.select(*df.columns, "n_below", "n_eq", F.coalesce("_n", F.lit(0)).alias("n_group"), *stats)
+    known = F.col(value).isNotNull()
+    group = Window.partitionBy(*keys)
+    ordered = group.orderBy(F.col(value).asc_nulls_last())
+    out = df.withColumns(
+        {
+            "n_below": F.when(known, F.rank().over(ordered) - 1).cast("long"),
+            "n_eq": F.when(known, F.count(F.lit(1)).over(Window.partitionBy(*keys, value))),
+            "n_group": F.count(value).over(group),
+        }
+    )
+    return out.withColumns({n: x.over(group) for n, x in stats.items()}) if stats else out
 
-def nearest_index(q: float, n: Column | None = None) -> Column:
-    """Position of the 'nearest' quantile: the order statistic closest to (n-1)q, halves rounding up."""
-    n = F.col("n_group") if n is None else n
-    return F.round((n - 1) * F.lit(float(q)), 0).cast("long")
+
+def average_rank() -> Column:
+    return F.col("n_below") + (F.col("n_eq") + 1) / 2.0
+
+
+def holds(k: Column) -> Column:
+    """Does this row's value sit at zero-based position ``k`` of the sorted group?"""
+    return (F.col("n_below") <= k) & (k < F.col("n_below") + F.col("n_eq"))
 
 
-def linear_quantile_parts(q: float, value: str, name: str, n: Column | None = None) -> list[Column]:
-    """The two order statistics a linear quantile interpolates between, as ladder aggregates."""
-    n = F.col("n_group") if n is None else n
-    pos = (n - 1) * F.lit(float(q))
-    return [
-        order_statistic(F.floor(pos), value).alias(f"_{name}_a"),
-        order_statistic(F.ceil(pos), value).alias(f"_{name}_b"),
-        F.max(pos - F.floor(pos)).alias(f"_{name}_w"),
-    ]
+def order_statistic(k: Column, value: str) -> Column:
+    """Aggregate: the value at zero-based position ``k`` of the sorted group."""
+    return F.max(F.when(holds(k.cast("long")), F.col(value)))
+
+
+def nearest_index(q: float | Column) -> Column:
+    """Position of the 'nearest' quantile: the order statistic closest to (n-1)q, halves rounding up."""
+    q = q if isinstance(q, Column) else F.lit(float(q))
+    return F.round((F.col("n_group") - 1) * q, 0).cast("long")
 
 
-def linear_quantile_value(name: str) -> Column:
-    a, b, w = F.col(f"_{name}_a"), F.col(f"_{name}_b"), F.col(f"_{name}_w")
-    return a + (b - a) * w
+def linear_quantile(q: float, value: str, name: str) -> tuple[dict[str, Column], Column]:
+    """Aggregates for the two neighbouring order statistics, and the expression that interpolates them afterwards."""
+    pos = (F.col("n_group") - 1) * F.lit(float(q))
+    a, b, w = f"_{name}_a", f"_{name}_b", f"_{name}_w"
+    parts = {a: order_statistic(F.floor(pos), value), b: order_statistic(F.ceil(pos), value), w: F.max(pos - F.floor(pos))}
+    return parts, F.col(a) + (F.col(b) - F.col(a)) * F.col(w)
 
 
 def group_quantiles(
-    df: DataFrame, keys: list[str], value: str, linear: dict[str, float] | None = None, nearest: dict[str, float] | None = None
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    linear: dict[str, float] | None = None,
+    nearest: dict[str, float] | None = None,
+    split: bool | None = None,
 ) -> DataFrame:
-    """Exact quantiles per group from the ladder: ``keys + [n, <names>]``."""
+    """Exact quantiles per group: ``keys + [n, <names>]``; groups without a value yield no row."""
     linear, nearest = linear or {}, nearest or {}
-    steps = ladder(df, keys, value)
-    aggs = [F.max("n_group").alias("n")]
+    known = df.where(F.col(value).isNotNull()).select(*keys, value)
+    if split is None:
+        split = needs_split(known, keys)
+    if not split:
+        # Exact percentile aggregate: distinct values combine map-side.
+        out = known.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.percentile(value, F.lit(float(q))).alias(n) for n, q in linear.items()],
+            *([F.sort_array(F.collect_list(value)).alias("_all")] if nearest else []),
+        )
+        at = lambda q: F.get("_all", F.round((F.col("n") - 1) * F.lit(float(q)), 0).cast("int"))
+        return out.select(*keys, "n", *linear, *[at(q).alias(n) for n, q in nearest.items()])
+    aggs, finals = [F.max("n_group").alias("n")], []
     for name, q in linear.items():
-        aggs += linear_quantile_parts(q, value, name)
-    for name, q in nearest.items():
-        aggs.append(order_statistic(nearest_index(q), value).alias(name))
-    out = steps.groupBy(*keys).agg(*aggs)
-    return out.select(*keys, "n", *[linear_quantile_value(k).alias(k) for k in linear], *nearest)
+        parts, final = linear_quantile(q, value, name)
+        aggs += [x.alias(n) for n, x in parts.items()]
+        finals.append(final.alias(name))
+    aggs += [order_statistic(nearest_index(q), value).alias(name) for name, q in nearest.items()]
+    return ladder(known, keys, value).groupBy(*keys).agg(*aggs).select(*keys, "n", *finals, *nearest)
 
 
 def add_rank(
@@ -91,35 +155,46 @@ def add_rank(
     percentile: str | None = None,
     count: str | None = None,
     descending: bool = False,
+    split: bool | None = None,
 ) -> DataFrame:
     """Average rank (ties share the mean) among non-null values; nulls stay unranked.
 
     ``percentile`` is (rank - 0.5) / n, ``count`` the number of non-null values of the group.
     """
-    steps = ladder(df, keys, value)
-    average = F.col("n_below") + (F.col("n_eq") + 1) / 2.0
-    if descending:
-        average = F.col("n_group") + 1 - average
-    cols = []
+    out = annotate(df, keys, value, split=split)
+    average = F.col("n_group") + 1 - average_rank() if descending else average_rank()
+    cols = {}
     if rank:
-        cols.append(average.alias(rank))
+        cols[rank] = average
     if percentile:
-        cols.append(((average - 0.5) / F.col("n_group")).alias(percentile))
+        cols[percentile] = F.try_divide(average - 0.5, F.col("n_group"))
     if count:
-        cols.append(F.col("n_group").cast("long").alias(count))
-    return df.join(steps.select(*keys, value, *cols), [*keys, value], "left").select(
-        *df.columns, *[x for x in (rank, percentile, count) if x]
-    )
+        cols["_count"] = F.col("n_group")
+    out = out.withColumns(cols).drop("n_below", "n_eq", "n_group")
+    return out.withColumnRenamed("_count", count) if count else out
 
 
 def add_ordinal_rank(
-    df: DataFrame, keys: list[str], value: str, tiebreak: str, rank: str, descending: bool = False, tie_prefix: int = 10
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    tiebreak: str,
+    rank: str,
+    descending: bool = False,
+    tie_prefix: int = 10,
+    split: bool | None = None,
 ) -> DataFrame:
     """Ordinal rank among non-null values, ties broken by the ``tiebreak`` column (unique in the group); nulls stay unranked.
 
-    A group is split by value bucket and one value's ties by the leading ``tie_prefix`` characters of the tie-break, so neither
-    a large group nor a value shared by most of it lands in one task. Ids should be zero-padded to a common length.
+    The split plan cuts a group by value bucket and one value's ties by the leading ``tie_prefix`` characters of the tie-break, so
+    neither a large group nor a value shared by most of it lands in one task. Ids should be zero-padded to a common length.
     """
+    if split is None:
+        split = needs_split(df, keys)
+    if not split:
+        order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(order, tiebreak)).cast("long")
+        return df.withColumn(rank, F.when(F.col(value).isNotNull(), place))
     sign = -1 if descending else 1
     work = df.where(F.col(value).isNotNull()).select(
         *keys,
@@ -147,15 +222,17 @@ def add_ordinal_rank(
     return df.join(ranked, [*keys, tiebreak], "left").select(*df.columns, rank)
 
 
-def rank_long(df: DataFrame, ids: list[str], keys: list[str], columns: list[str], percentile: str = "percentile") -> DataFrame:
+def rank_long(
+    df: DataFrame, ids: list[str], keys: list[str], columns: list[str], percentile: str = "percentile", split: bool | None = None
+) -> DataFrame:
     """Melt several columns and rank each of them inside ``keys``: ``ids + [metric, value, percentile]`` without nulls.
 
-    One ladder serves every column.
+    One pass serves every column.
     """
     cells = F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).cast("double").alias("value")) for x in columns])
     kept = list(dict.fromkeys([*ids, *keys]))
     long = df.select(*kept, F.explode(cells).alias("_c")).select(*kept, "_c.metric", "_c.value")
-    return add_rank(long.where(F.col("value").isNotNull()), [*keys, "metric"], "value", percentile=percentile)
+    return add_rank(long.where(F.col("value").isNotNull()), [*keys, "metric"], "value", percentile=percentile, split=split)
 
 
 def bucket_of(percentile: Column, buckets: int) -> Column:

@@ -24,11 +24,15 @@ from panelstone.operators.asof import lag_asof
 from panelstone.operators.ranking import (
     add_ordinal_rank,
     add_rank,
-    ladder,
-    linear_quantile_parts,
-    linear_quantile_value,
+    annotate,
+    average_rank,
+    holds,
+    linear_quantile,
+    nearest_index,
+    needs_split,
     order_statistic,
 )
+from panelstone.session import cut_lineage
 
 ROW = ["company_id", "ticker", "date"]
 GROUP = ["metric", "date", "basis", "peer"]
@@ -98,75 +102,71 @@ def _with_levels(long: DataFrame) -> DataFrame:
     return long.withColumn("_l", F.explode(chains)).select("*", "_l.*").drop("_l")
 
 
-def peer_groups(levelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per peer group: size, winsor limits with their tie counts and the median; and the value ladder beneath them."""
-    steps = ladder(levelled, [*GROUP, "winsor"], "usable_value")
-    position = lambda q: F.round((F.col("n_group") - 1) * q, 0).cast("long")
-    lo, hi = position(F.col("winsor")), position(1.0 - F.col("winsor"))
-    holds = lambda k: (F.col("n_below") <= k) & (k < F.col("n_below") + F.col("n_eq"))
-    groups = steps.groupBy(*GROUP).agg(
-        F.max("n_group").alias("n"),
-        order_statistic(lo, "usable_value").alias("lo"),
-        order_statistic(hi, "usable_value").alias("hi"),
-        F.max(F.when(holds(lo), F.col("n_below") + F.col("n_eq"))).alias("upto_lo"),
-        F.max(F.when(holds(hi), F.col("n_below"))).alias("below_hi"),
-        *linear_quantile_parts(0.5, "usable_value", "med"),
-    )
-    groups = groups.withColumn("peer_median", linear_quantile_value("med")).drop("_med_a", "_med_b", "_med_w")
-    return groups, steps.drop("winsor")
-
-
-def score_metrics(panel: DataFrame, metrics: tuple[Metric, ...] = METRICS) -> DataFrame:
+def score_metrics(panel: DataFrame, metrics: tuple[Metric, ...] = METRICS, split: bool | None = None) -> DataFrame:
     """Percentile of every metric within the finest peer group that is large enough, per date.
 
-    All metrics and all levels go through one ladder. Ranks of winsorised values follow from the tie counts at the two limits,
+    All metrics and all levels are ranked in one pass. Ranks of winsorised values follow from the tie counts at the two limits,
     so values are never sorted a second time.
     """
-    long = melt_metrics(panel, metrics)
-    levelled = _with_levels(long)
-    groups, steps = peer_groups(levelled)
-    pick = F.struct("level", "basis", "peer", "n", "lo", "hi", "upto_lo", "below_hi", "peer_median")
-    carried = ["category", "weight", "direction", "min_peers", "applies", "raw_value", "usable_value"]
-    sized = levelled.join(groups, GROUP, "left")
-    enough = F.coalesce("n", F.lit(0)) >= F.col("min_peers")
-    chosen = sized.groupBy(*ROW, "metric").agg(
-        *[F.first(x).alias(x) for x in carried],
-        F.min_by(F.when(enough, pick), F.when(enough, F.col("level"))).alias("_g"),
-        F.max_by(F.struct("basis", "peer"), "level").alias("_broadest"),
-    )
-    chosen = chosen.select(
-        *ROW, "metric", *carried, "_g.n", "_g.lo", "_g.hi", "_g.upto_lo", "_g.below_hi", "_g.peer_median",
-        F.coalesce("_g.basis", "_broadest.basis").alias("basis"), F.coalesce("_g.peer", "_broadest.peer").alias("peer"),
-    )
-    ranked = chosen.join(steps, [*GROUP, "usable_value"], "left")
-    v = F.col("usable_value")
+    levelled = _with_levels(melt_metrics(panel, metrics))
+    if split is None:
+        # A (metric, date) holds as many rows as the date has companies, whatever the number of metrics.
+        split = needs_split(panel, ["date"])
+    lo, hi = nearest_index(F.col("winsor")), nearest_index(1.0 - F.col("winsor"))
+    median, middle = linear_quantile(0.5, "usable_value", "med")
+    stats = {
+        "lo": order_statistic(lo, "usable_value"),
+        "hi": order_statistic(hi, "usable_value"),
+        "upto_lo": F.max(F.when(holds(lo), F.col("n_below") + F.col("n_eq"))),
+        "below_hi": F.max(F.when(holds(hi), F.col("n_below"))),
+        **median,
+    }
+    ranked = annotate(levelled, [*GROUP, "winsor"], "usable_value", stats, split=split)
+    v, n = F.col("usable_value"), F.col("n_group")
     rank = (
-        F.when(F.col("lo") == F.col("hi"), (F.col("n") + 1) / 2.0)
+        F.when(F.col("lo") == F.col("hi"), (n + 1) / 2.0)
         .when(v <= F.col("lo"), (F.col("upto_lo") + 1) / 2.0)
-        .when(v >= F.col("hi"), (F.col("below_hi") + F.col("n") + 1) / 2.0)
-        .otherwise(F.col("n_below") + (F.col("n_eq") + 1) / 2.0)
+        .when(v >= F.col("hi"), (F.col("below_hi") + n + 1) / 2.0)
+        .otherwise(average_rank())
     )
-    pct = div(rank - 0.5, "n")
+    pct = F.try_divide(rank - 0.5, n)
     pct = F.when(F.col("direction") < 0, 1.0 - pct).otherwise(pct)
-    ranked = ranked.withColumn("percentile", F.when(v.isNotNull() & (F.col("n") >= 2), pct))
+    ranked = ranked.withColumns(
+        {
+            "_pct": F.when(v.isNotNull() & (n >= 2), pct),
+            "_win": F.when(v.isNotNull(), F.greatest(F.least(v, F.col("hi")), F.col("lo"))),
+            "_mid": middle,
+        }
+    )
+    enough = n >= F.col("min_peers")
+    # The finest level that is large enough; peer_basis and peer_group fall back to the broadest one.
+    level = F.when(enough, F.col("level")).otherwise(F.lit(99))
+    found = F.struct(
+        level.alias("level"), (-F.col("level")).alias("broad"), F.col("basis"), F.col("peer"), n.cast("int").alias("n"),
+        F.col("_pct").alias("pct"), F.col("_win").alias("win"), F.col("_mid").alias("mid"),
+    )
+    carried = ["category", "weight", "applies", "raw_value"]
+    best = ranked.groupBy(*ROW, "metric", *carried).agg(F.min(found).alias("_g"))
+    chosen = F.col("_g.level") < 99
+    pick = lambda x: F.when(chosen, F.col(f"_g.{x}"))
     status = (
         F.when(~F.col("applies"), "not_applicable")
         .when(F.col("raw_value").isNull(), "missing")
-        .when(F.col("percentile").isNull(), "thin_peers")
+        .when(pick("pct").isNull(), "thin_peers")
         .otherwise("scored")
     )
-    return ranked.select(
+    return best.select(
         *ROW,
         "metric",
         "category",
         "raw_value",
-        F.when(v.isNotNull() & F.col("n").isNotNull(), F.greatest(F.least(v, F.col("hi")), F.col("lo"))).alias("winsorized_value"),
-        "percentile",
-        (F.col("percentile") * 100.0).alias("score"),
-        F.col("basis").alias("peer_basis"),
-        F.col("peer").alias("peer_group"),
-        F.col("n").cast("int").alias("peer_count"),
-        "peer_median",
+        pick("win").alias("winsorized_value"),
+        pick("pct").alias("percentile"),
+        (pick("pct") * 100.0).alias("score"),
+        F.col("_g.basis").alias("peer_basis"),
+        F.col("_g.peer").alias("peer_group"),
+        pick("n").alias("peer_count"),
+        pick("mid").alias("peer_median"),
         (status != "scored").alias("is_missing"),
         status.alias("status"),
         "weight",
@@ -212,7 +212,8 @@ def build_opportunity_scores(category_scores: DataFrame, floor: float = MIN_TOTA
     ).where(F.col("coverage").isNotNull())
     enough = (F.col("coverage") > 0) & (F.col("coverage") >= floor - 1e-12)
     out = out.withColumn("score", stable(F.when(enough, div("_c", "coverage")))).drop("_c")
-    return add_score_changes(rank_scores(out))
+    # The composite feeds ranks, sizes and lags: keep it as a table rather than repeating the scoring three times.
+    return add_score_changes(cut_lineage(rank_scores(cut_lineage(out))))
 
 
 def rank_scores(scores: DataFrame, score: str = "score") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import rd
+from panelstone.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -271,7 +272,7 @@ class Tables:
                 "price_to_book": c("close_adj") / (c("t") + 1),
                 "shareholder_yield": c("d") / c("close_adj"),
             }
-        ).drop("l_suppkey", "month")
+        ).drop("l_suppkey", "month").transform(cut_lineage)  # every query over the panel reads it more than once
 
     @cached_property
     def forward(self) -> DataFrame:

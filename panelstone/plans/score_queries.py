@@ -12,6 +12,7 @@ from panelstone.operators import membership as M
 from panelstone.operators import portfolio as PF
 from panelstone.operators import ranking as K
 from panelstone.operators import scoring as S
+from panelstone.session import cut_lineage
 from panelstone.plans.base import PANEL_METRICS, R, Tables, fragment, query, round_sql, rounded
 
 USED = tuple(m for m in METRICS if m.key in PANEL_METRICS)
@@ -95,7 +96,8 @@ fragment(
 
 
 def metric_scores(t: Tables):
-    return S.build_metric_scores(t.panel, USED)
+    """The declared metric_scores table: written once, read by everything downstream."""
+    return cut_lineage(S.build_metric_scores(t.panel, USED))
 
 
 def category_scores(t: Tables):
@@ -111,12 +113,12 @@ def composite(t: Tables):
 
 @query("xs1_average_rank", f"""{{{{with pan}}}} SELECT company_id, date, {R('rank() OVER (PARTITION BY date ORDER BY roic) + (count(*) OVER (PARTITION BY date, roic) - 1) / 2.0')} AS rank FROM pan""")
 def _(t):
-    return rounded(K.add_rank(t.panel, ["date"], "roic", rank="rank").select("company_id", "date", "rank"))
+    return rounded(K.add_rank(t.panel, ["date"], "roic", rank="rank", split=True).select("company_id", "date", "rank"))
 
 
 @query("xs2_ordinal_rank", "{{with pan}} SELECT company_id, date, row_number() OVER (PARTITION BY date ORDER BY roic DESC, company_id) AS rank FROM pan")
 def _(t):
-    return K.add_ordinal_rank(t.panel, ["date"], "roic", "company_id", "rank", descending=True).select("company_id", "date", "rank")
+    return K.add_ordinal_rank(t.panel, ["date"], "roic", "company_id", "rank", descending=True, split=True).select("company_id", "date", "rank")
 
 
 @query("xs3_dense_rank", "{{with pan}} SELECT company_id, date, dense_rank() OVER (PARTITION BY date ORDER BY accrual_ratio) AS dense FROM pan QUALIFY dense <= 5")
@@ -135,8 +137,8 @@ def _(t):
 @query("xs5_percentile", f"""{{{{with pan}}}} SELECT company_id, date, sector, {R('(rank() OVER (PARTITION BY date, sector ORDER BY fcf_margin NULLS LAST) + (count(*) OVER (PARTITION BY date, sector, fcf_margin) - 1) / 2.0 - 0.5) / count(fcf_margin) OVER (PARTITION BY date, sector)')} AS percentile,
    count(fcf_margin) OVER (PARTITION BY date, sector) AS n FROM pan QUALIFY fcf_margin IS NOT NULL""")
 def _(t):
-    out = K.add_rank(t.panel, ["date", "sector"], "fcf_margin", percentile="percentile", count="n")
-    return rounded(out.where("fcf_margin is not null").select("company_id", "date", "sector", "percentile", "n"))
+    out = K.add_rank(t.panel.drop("n"), ["date", "sector"], "fcf_margin", percentile="percentile", count="n_values")
+    return rounded(out.where("fcf_margin is not null").select("company_id", "date", "sector", "percentile", F.col("n_values").alias("n")))
 
 
 @query("xs6_peer_keys", """{{with pan}}, r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY market_cap, company_id) AS k, count(*) OVER (PARTITION BY date) AS m FROM pan)
@@ -153,7 +155,7 @@ _MS_ALL = ["company_id", "date", "metric", "category", *_MS, "peer_basis", "peer
 @query("xs7_score_metric", f"{{{{with ms}}}} {round_sql('SELECT * FROM ms', _MS_ALL, _MS)} WHERE metric IN ('roic', 'ev_ebit', 'mom_12_1')")
 def _(t):
     picked = tuple(m for m in USED if m.key in ("roic", "ev_ebit", "mom_12_1"))
-    return rounded(S.build_metric_scores(t.panel, picked).select(*_MS_ALL))
+    return rounded(S.score_metrics(S.add_peer_keys(t.panel), picked, split=True).select(*_MS_ALL))
 
 
 @query("xs8_metric_scores", f"{{{{with ms}}}} {round_sql('SELECT * FROM ms', _MS_ALL, _MS)}")
@@ -196,13 +198,13 @@ def _(t):
 
 @query("ag10_linear_quantiles", f"{{{{with pan}}}} SELECT sector, date, {R('quantile_cont(accrual_ratio, 0.25)')} AS q25, {R('quantile_cont(accrual_ratio, 0.75)')} AS q75, count(*) AS n FROM pan GROUP BY 1, 2")
 def _(t):
-    return rounded(K.group_quantiles(t.panel, ["sector", "date"], "accrual_ratio", linear={"q25": 0.25, "q75": 0.75}).select("sector", "date", "q25", "q75", F.col("n").cast("long").alias("n")))
+    return rounded(K.group_quantiles(t.panel, ["sector", "date"], "accrual_ratio", linear={"q25": 0.25, "q75": 0.75}, split=True).select("sector", "date", "q25", "q75", F.col("n").cast("long").alias("n")))
 
 
 @query("ag11_nearest_quantiles", f"""{{{{with pan}}}} SELECT date, {R('l[CAST(round((len(l) - 1) * 0.02) AS BIGINT) + 1]')} AS lo, {R('l[CAST(round((len(l) - 1) * 0.98) AS BIGINT) + 1]')} AS hi
    FROM (SELECT date, list_sort(list(ret_3m)) AS l FROM pan WHERE ret_3m IS NOT NULL GROUP BY 1)""")
 def _(t):
-    return rounded(K.group_quantiles(t.panel, ["date"], "ret_3m", nearest={"lo": 0.02, "hi": 0.98}).select("date", "lo", "hi"))
+    return rounded(K.group_quantiles(t.panel, ["date"], "ret_3m", nearest={"lo": 0.02, "hi": 0.98}, split=True).select("date", "lo", "hi"))
 
 
 # ---- factor model
@@ -219,8 +221,8 @@ fragment(
 )
 fragment(
     "fz",
-    """SELECT company_id, date, sector, feature, grp, value, coalesce(greatest(least((s - avg(s) OVER d) / (stddev_samp(s) OVER d + 1e-9) * dir, 4.0), -4.0), 0.0) AS z,
-       CASE WHEN value IS NULL THEN 0.0 ELSE 1.0 END AS has FROM (
+    """SELECT company_id, date, sector, feature, grp, value, CASE WHEN s IS NULL THEN 0::DOUBLE ELSE coalesce(greatest(least((s - avg(s) OVER d) / (stddev_samp(s) OVER d + 1e-9) * dir, 4.0), -4.0), 0) END AS z,
+       CASE WHEN value IS NULL THEN 0::DOUBLE ELSE 1::DOUBLE END AS has FROM (
          SELECT *, w - median(w) OVER (PARTITION BY feature, date, sector) AS s FROM (
            SELECT a.*, CASE WHEN value IS NOT NULL THEN greatest(least(value, hi), lo) END AS w FROM fl a LEFT JOIN (
              SELECT feature, date, l[CAST(round((len(l) - 1) * 0.02) AS BIGINT) + 1] AS lo, l[CAST(round((len(l) - 1) * 0.98) AS BIGINT) + 1] AS hi

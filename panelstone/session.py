@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the shared folder so that losing an executor never replays a long plan."""
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Used where a result feeds several consumers: they read columns of a file instead of repeating a long plan, and losing an
+    executor never replays more than the stage at hand.
+    """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(spark).rstrip('/')}/stages/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
