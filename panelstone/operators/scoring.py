@@ -251,7 +251,7 @@ def recompose(scores: DataFrame, weights: dict[str, float] = CATEGORY_WEIGHTS, d
 
 def top_reasons(metric_scores: DataFrame) -> DataFrame:
     """The metric that lifts and the metric that drags each company most, by (score - 50) x weight."""
-    pull = (F.col("score") - 50.0) * F.col("weight")
+    pull = stable((F.col("score") - 50.0) * F.col("weight"))
     scored = metric_scores.where(F.col("status") == "scored").withColumn("_pull", pull)
     return scored.groupBy(*ROW).agg(
         F.max_by("metric", F.struct("_pull", "metric")).alias("best_metric"),

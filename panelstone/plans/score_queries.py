@@ -386,11 +386,11 @@ def _(t):
 
 
 @query("rq13_list_filters", f"""{{{{with os1, lastd}}}}, o AS (SELECT os1.ticker, score, band, sector FROM os1 JOIN co USING (ticker) WHERE date = (SELECT d FROM lastd))
-   SELECT ticker, {R('score')} AS score, band FROM o WHERE sector IN ('REGION_1', 'REGION_2') AND score >= 45 AND band IN ('Neutral', 'Attractive') AND contains(lower(ticker), '1')""")
+   SELECT ticker, {R('score')} AS score, band FROM o WHERE sector IN ('AFRICA', 'ASIA', 'EUROPE', 'REGION_1') AND score >= 40 AND band IN ('Neutral', 'Attractive') AND contains(lower(ticker), '1')""")
 def _(t):
     from panelstone.operators.reports import filter_list
     rows = latest(t, composite(t)).join(t.companies.select("ticker", "sector"), "ticker")
-    return rounded(filter_list(rows, sectors=["REGION_1", "REGION_2"], bands=["Neutral", "Attractive"], min_score=45.0, text="1").select("ticker", "score", "band"))
+    return rounded(filter_list(rows, sectors=["AFRICA", "ASIA", "EUROPE", "REGION_1"], bands=["Neutral", "Attractive"], min_score=40.0, text="1").select("ticker", "score", "band"))
 
 
 @query("rq14_count_by_band", """{{with os1, lastd}}, b(band, k) AS (VALUES ('Very attractive', 0), ('Attractive', 1), ('Neutral', 2), ('Unattractive', 3), ('Very unattractive', 4), ('Not scored', 5))
@@ -606,7 +606,7 @@ def _(t):
     return rounded(E.leakage_audit(t.forward, "company_id", "roic", "fwd_1m", 2, 7, slices=4))
 
 
-@query("ev39_time_split", "{{with pan}}, i AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM pan)) SELECT company_id, date, CASE WHEN k < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM pan JOIN i USING (date)")
+@query("ev39_time_split", "{{with pan}}, i AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM pan)) SELECT company_id, date, CASE WHEN k < floor(i.n * 0.8) THEN 'train' ELSE 'test' END AS split FROM pan JOIN i USING (date)")
 def _(t):
     return E.time_split(t.panel, 0.8).select("company_id", "date", "split")
 
