@@ -196,3 +196,13 @@ def build_financial_metrics(grid: DataFrame, fundamentals: DataFrame, prices: Da
         .transform(add_growth)
         .transform(add_valuation)
     )
+
+
+def provider_cross_check(panel: DataFrame, provider: str = "provider_shares", factor: float = 5.0) -> DataFrame:
+    """Where filing and provider share counts differ more than five times either way, trust the provider; rebuild market cap."""
+    ratio = safe_div(provider, "shares_current_basis", positive_only=True)
+    apart = F.coalesce((ratio > factor) | (ratio < 1.0 / factor), F.lit(False)) | F.col("shares_current_basis").isNull()
+    trusted = apart & F.col(provider).isNotNull()
+    return panel.withColumns(
+        {"share_source": F.when(trusted, "provider").otherwise("filing"), "shares_current_basis": F.when(trusted, F.col(provider)).otherwise(F.col("shares_current_basis"))}
+    ).withColumn("market_cap", F.col("close_raw") * F.col("shares_current_basis"))
