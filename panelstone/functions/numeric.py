@@ -36,7 +36,8 @@ def finite(x: Column | str) -> Column:
 
 def div(num, den) -> Column:
     """Plain quotient; null where the denominator is zero."""
-    return F.try_divide(c(num).cast("double") if isinstance(num, (str, Column)) else F.lit(float(num)), c(den))
+    as_column = lambda x: c(x) if isinstance(x, (str, Column)) else F.lit(float(x))
+    return F.try_divide(as_column(num).cast("double"), as_column(den))
 
 
 def safe_div(num, den, positive_only: bool = False, numerator_positive: bool = False) -> Column:

@@ -485,7 +485,7 @@ def _(t):
 
 
 _SCN = ", ".join(f"('{a}', {b}, {c}, {d}, {e}, {f})" for a, b, c, d, e, f, _ in V.SCENARIOS)
-fragment("dcf", f"""WITH RECURSIVE s AS (SELECT vi.*, scenario, fs, ms, {_COE.format(x='rs')} AS rate, least(greatest(coalesce(growth_rate, 0) * gm, -0.25), 0.40) AS g0, ts, coalesce(greatest(least(nullif(tax_rate, 0), 0.35), 0.10), 0.21) AS tax
+fragment("dcf", f"""WITH RECURSIVE s AS (SELECT vi.*, scenario, fs, ms, {_COE.format(x='rs')} AS rate, least(greatest(coalesce(growth_rate, 0) * gm, -0.25), 0.40) AS g0, ts, CASE WHEN coalesce(tax_rate, 0) <> 0 THEN greatest(least(tax_rate, 0.35), 0.10) ELSE 0.21 END AS tax
      FROM vi, (VALUES {_SCN}) x(scenario, gm, ms, fs, ts, rs) WHERE revenue > 0 AND shares > 0 AND operating_margin IS NOT NULL),
    e AS (SELECT *, least(0.025 + ts, 0.035, rate - 0.01) AS ge FROM s),
    y AS (SELECT company_id, date, scenario, 0 AS t, revenue AS r, 0.0::DOUBLE AS fcf, 0.0::DOUBLE AS nopat, 0.0::DOUBLE AS pv FROM e UNION ALL
