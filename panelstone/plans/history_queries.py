@@ -90,9 +90,9 @@ def clean_facts(t: Tables):
     return cut_lineage(P.reject_scale_outliers(facts(t)))  # knowledge dates and known values both read it
 
 
-@query("pit1_facts_for_concept", f"{{{{with fc0}}}} SELECT company_id, concept, s AS start, e AS \"end\", filed, accession, CAST(tr AS INTEGER) AS tag_rank, {R('value', 2)} AS value FROM fc0")
+@query("pit1_facts_for_concept", f"{{{{with fc0}}}} SELECT company_id, concept, s AS start, e AS \"end\", filed, accession, CAST(tr AS INTEGER) AS tag_rank, {R('value', 5)} AS value FROM fc0")
 def _(t):
-    return rounded(facts(t).select("company_id", "concept", "start", "end", "filed", "accession", "tag_rank", "value"), 2)
+    return rounded(facts(t).select("company_id", "concept", "start", "end", "filed", "accession", "tag_rank", "value"), 5)
 
 
 @query("pit2_scale_outliers", f"{{{{with fco}}}} SELECT company_id, concept, s AS start, e AS \"end\", filed, accession, bad AS scale_outlier FROM fco")
@@ -100,48 +100,48 @@ def _(t):
     return P.flag_scale_outliers(facts(t)).select("company_id", "concept", "start", "end", "filed", "accession", "scale_outlier")
 
 
-@query("pit3_known_values", f"{{{{with kn}}}} SELECT company_id, concept, d AS as_of, s AS start, e AS \"end\", {R('value', 2)} AS value FROM kn WHERE e >= (SELECT max(e) FROM fc f WHERE f.company_id = kn.company_id AND f.concept = kn.concept AND f.av <= kn.d AND f.s IS NOT NULL) - 1500")
+@query("pit3_known_values", f"{{{{with kn}}}} SELECT company_id, concept, d AS as_of, s AS start, e AS \"end\", {R('value', 5)} AS value FROM kn WHERE e >= (SELECT max(e) FROM fc f WHERE f.company_id = kn.company_id AND f.concept = kn.concept AND f.av <= kn.d AND f.s IS NOT NULL) - 1500")
 def _(t):
     known = P.known_periods(clean_facts(t).where("aggregation = 'sum'"))
-    return rounded(known.select("company_id", "concept", "as_of", "start", "end", "value"), 2)
+    return rounded(known.select("company_id", "concept", "as_of", "start", "end", "value"), 5)
 
 
-@query("pit4_decompose", f"{{{{with sl}}}} SELECT company_id, concept, d AS as_of, s AS start, e AS \"end\", {R('value', 2)} AS value, av AS available_at FROM sl WHERE e >= (SELECT max(e) FROM fc f WHERE f.company_id = sl.company_id AND f.concept = sl.concept AND f.av <= sl.d AND f.s IS NOT NULL) - 800")
+@query("pit4_decompose", f"{{{{with sl}}}} SELECT company_id, concept, d AS as_of, s AS start, e AS \"end\", {R('value', 5)} AS value, av AS available_at FROM sl WHERE e >= (SELECT max(e) FROM fc f WHERE f.company_id = sl.company_id AND f.concept = sl.concept AND f.av <= sl.d AND f.s IS NOT NULL) - 800")
 def _(t):
     known = P.known_periods(clean_facts(t).where("aggregation = 'sum'"))
     newest = known.groupBy("company_id", "concept", "as_of").agg(F.max("end").alias("_n"))
     out = P.decompose(known, ["company_id", "concept", "as_of"]).join(newest, ["company_id", "concept", "as_of"])
-    return rounded(out.where(F.col("end") >= F.date_sub("_n", 800)).select("company_id", "concept", "as_of", "start", "end", "value", "available_at"), 2)
+    return rounded(out.where(F.col("end") >= F.date_sub("_n", 800)).select("company_id", "concept", "as_of", "start", "end", "value", "available_at"), 5)
 
 
-@query("pit7_trailing_year", f"{{{{with tt}}}} SELECT company_id, concept, d AS as_of, t AS period_end, {R('total', 2)} AS value, n AS n_sources FROM tt")
+@query("pit7_trailing_year", f"{{{{with tt}}}} SELECT company_id, concept, d AS as_of, t AS period_end, {R('total', 5)} AS value, n AS n_sources FROM tt")
 def _(t):
     scope = ["company_id", "concept", "as_of"]
     out = P.trailing_year(P.decompose(P.known_periods(clean_facts(t).where("aggregation = 'sum'")), scope), scope)
-    return rounded(out.select(*scope, "period_end", "value", "n_sources"), 2)
+    return rounded(out.select(*scope, "period_end", "value", "n_sources"), 5)
 
 
-_SER = "company_id, concept, basis, {v} AS value, period_end, available_at, n_sources".format(v=R("value", 2))
+_SER = "company_id, concept, basis, {v} AS value, period_end, available_at, n_sources".format(v=R("value", 5))
 
 
 @query("pit8_ttm_series", f"{{{{with ttm}}}} SELECT {_SER} FROM ttm")
 def _(t):
-    return rounded(P.ttm_series(clean_facts(t).where("aggregation = 'sum'")).drop("accessions", "is_derived"), 2)
+    return rounded(P.ttm_series(clean_facts(t).where("aggregation = 'sum'")).drop("accessions", "is_derived"), 5)
 
 
 @query("pit9_latest_level", f"{{{{with lev}}}} SELECT {_SER} FROM lev")
 def _(t):
-    return rounded(P.latest_level_series(clean_facts(t).where("aggregation = 'last' and period_type = 'duration'")).drop("accessions", "is_derived"), 2)
+    return rounded(P.latest_level_series(clean_facts(t).where("aggregation = 'last' and period_type = 'duration'")).drop("accessions", "is_derived"), 5)
 
 
 @query("pit10_instant_series", f"{{{{with ins}}}} SELECT {_SER} FROM ins")
 def _(t):
-    return rounded(P.instant_series(clean_facts(t).where("period_type = 'instant'")).drop("accessions", "is_derived"), 2)
+    return rounded(P.instant_series(clean_facts(t).where("period_type = 'instant'")).drop("accessions", "is_derived"), 5)
 
 
 @query("pit11_build_fundamentals", f"{{{{with ttm, lev, ins}}}} SELECT {_SER} FROM (SELECT * FROM ttm UNION ALL SELECT * FROM lev UNION ALL SELECT * FROM ins)")
 def _(t):
-    return rounded(P.build_fundamentals(cut_lineage(observations(t)), catalogue(t)).drop("accessions", "is_derived"), 2)
+    return rounded(P.build_fundamentals(cut_lineage(observations(t)), catalogue(t)).drop("accessions", "is_derived"), 5)
 
 
 @query("ing3_revisions", """{{with ob}} SELECT company_id, tag, unit, period_start, period_end, filed, accession, CAST(row_number() OVER w - 1 AS INTEGER) AS revision, row_number() OVER w > 1 AND abs(value - first_value(value) OVER w) > abs(first_value(value) OVER w) * 1e-6 + 1e-6 AS is_restatement
@@ -150,9 +150,9 @@ def _(t):
     return P.assign_revisions(observations(t)).select("company_id", "tag", "unit", "period_start", "period_end", "filed", "accession", "revision", "is_restatement")
 
 
-@query("ing4_fact_dedup", f"{{{{with ob}}}} SELECT company_id, tag, period_end, filed, {R('value', 2)} AS value FROM ob QUALIFY row_number() OVER (PARTITION BY company_id, tag, period_start, period_end ORDER BY filed DESC) = 1")
+@query("ing4_fact_dedup", f"{{{{with ob}}}} SELECT company_id, tag, period_end, filed, {R('value', 5)} AS value FROM ob QUALIFY row_number() OVER (PARTITION BY company_id, tag, period_start, period_end ORDER BY filed DESC) = 1")
 def _(t):
-    return rounded(P.dedupe_facts(observations(t), ["company_id", "tag", "period_start", "period_end"], "filed").select("company_id", "tag", "period_end", "filed", "value"), 2)
+    return rounded(P.dedupe_facts(observations(t), ["company_id", "tag", "period_start", "period_end"], "filed").select("company_id", "tag", "period_end", "filed", "value"), 5)
 
 
 @query("ing6_primary_concept", "{{with ob}} SELECT company_id, tag, period_end, filed, CASE tag WHEN 'Assets' THEN 'assets' WHEN 'DilutedShares' THEN 'shares_diluted' ELSE 'revenue' END AS concept FROM ob")
@@ -166,7 +166,7 @@ def _(t):
     return G.inherit_predecessors(observations(t), links).select("company_id", "tag", "period_end", "filed", "source")
 
 
-@query("ing1_flatten_facts", f"{{{{with ob}}}} SELECT company_id, tag, unit, period_start, period_end, filed, {R('value', 2)} AS value, CAST(period_end - period_start AS INTEGER) AS duration_days FROM ob WHERE tag <> 'SalesRevenueNet' AND period_end <= filed AND (period_start IS NULL OR (period_end - period_start > 0 AND period_end - period_start <= 400))")
+@query("ing1_flatten_facts", f"{{{{with ob}}}} SELECT company_id, tag, unit, period_start, period_end, filed, {R('value', 5)} AS value, CAST(period_end - period_start AS INTEGER) AS duration_days FROM ob WHERE tag <> 'SalesRevenueNet' AND period_end <= filed AND (period_start IS NULL OR (period_end - period_start > 0 AND period_end - period_start <= 400))")
 def _(t):
     # Each observation becomes its own nested facts document, then is flattened again.
     s = lambda x: F.col(x).cast("string")
@@ -174,7 +174,7 @@ def _(t):
     body = F.struct(F.create_map(F.col("unit"), F.array(entry)).alias("units"))
     docs = observations(t).select("company_id", F.to_json(F.create_map(F.lit("us-gaap"), F.create_map(F.col("tag"), body))).alias("facts"))
     out = G.flatten_facts(docs, "company_id", "facts", ["Revenues", "Assets", "DilutedShares"], ["USD", "shares"])
-    return rounded(out.select("company_id", "tag", "unit", "period_start", "period_end", "filed", "value", "duration_days"), 2)
+    return rounded(out.select("company_id", "tag", "unit", "period_start", "period_end", "filed", "value", "duration_days"), 5)
 
 
 @query("ing16_coverage_by_concept", "{{with fc0}} SELECT concept, count(DISTINCT company_id) AS companies FROM fc0 GROUP BY 1")
@@ -194,11 +194,11 @@ def _(t):
     return Q.stale_filings(observations(t), t.companies.where("sector = 'ASIA'"), F.lit("2002-06-01").cast("date"), 110)
 
 
-@query("rq6_financial_trend", f"""{{{{with fc}}}} SELECT company_id, concept, e AS period_end, {R('arg_max(value, (av, value))', 2)} AS value FROM fc GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY company_id, concept ORDER BY e DESC) <= 8""")
+@query("rq6_financial_trend", f"""{{{{with fc}}}} SELECT company_id, concept, e AS period_end, {R('arg_max(value, (av, value))', 5)} AS value FROM fc GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY company_id, concept ORDER BY e DESC) <= 8""")
 def _(t):
     from panelstone.operators import reports as Q
     f = clean_facts(t).select("company_id", "concept", F.col("end").alias("period_end"), "available_at", "value")
-    return rounded(Q.financial_trend(f, 8), 2)
+    return rounded(Q.financial_trend(f, 8), 5)
 
 
 @query("rq8_freshness", "{{with fc0}} SELECT company_id, concept, max(av) AS latest, count(*) AS n, CAST(DATE '2003-01-01' - max(av) AS INTEGER) AS age_days FROM fc0 GROUP BY 1, 2")
@@ -451,7 +451,7 @@ def earnings(t: Tables):
     return ES.normalise_events(out)
 
 
-TODAY = F.lit("2024-01-20")
+TODAY = "2024-01-20"  # the day the estimate queries look from
 
 
 @query("ing17_normalise_events", f"{{{{with evn}}}} SELECT company_id, event_date, {R('surprise')} AS surprise, is_future FROM evn")
@@ -459,10 +459,10 @@ def _(t):
     return rounded(earnings(t).select("company_id", "event_date", "surprise", "is_future"))
 
 
-@query("ing17_normalise_estimates", f"""SELECT o_custkey, 'eps' AS metric, {R('max(o_totalprice)', 2)} AS consensus, {R('min(o_totalprice)', 2)} AS low FROM orders GROUP BY 1 UNION ALL SELECT o_custkey, 'revenue', {R('avg(o_totalprice)', 2)}, NULL FROM orders GROUP BY 1""")
+@query("ing17_normalise_estimates", f"""SELECT o_custkey, 'eps' AS metric, {R('max(o_totalprice)', 5)} AS consensus, {R('min(o_totalprice)', 5)} AS low FROM orders GROUP BY 1 UNION ALL SELECT o_custkey, 'revenue', {R('avg(o_totalprice)', 5)}, NULL FROM orders GROUP BY 1""")
 def _(t):
     wide = t.raw("orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("eps_consensus"), F.min("o_totalprice").alias("eps_low"), F.avg("o_totalprice").alias("revenue_consensus"), F.lit(None).cast("double").alias("revenue_low"))
-    return rounded(ES.normalise_estimates(wide, ["eps", "revenue"], ["o_custkey"]).select("o_custkey", "metric", "consensus", "low"), 2)
+    return rounded(ES.normalise_estimates(wide, ["eps", "revenue"], ["o_custkey"]).select("o_custkey", "metric", "consensus", "low"), 5)
 
 
 @query("es1_revision_balance", f"{{{{with esl}}}} SELECT company_id, {R('CASE WHEN up_30d + down_30d > 0 THEN (up_30d - down_30d) / (up_30d + down_30d) END')} AS eps_revision_3m FROM esl WHERE metric = 'eps' AND period = '+1y'")
@@ -501,17 +501,17 @@ fragment("sur", """SELECT company_id, avg(surprise) AS earnings_surprise, avg(CA
 
 @query("es5_earnings_surprise", f"{{{{with sur}}}} SELECT company_id, {R('earnings_surprise')} AS earnings_surprise, {R('surprise_hit_rate')} AS surprise_hit_rate FROM sur")
 def _(t):
-    return rounded(ES.earnings_surprise(earnings(t), TODAY.cast("date")))
+    return rounded(ES.earnings_surprise(earnings(t), F.lit(TODAY).cast("date")))
 
 
 @query("ag5_last_k_mean", f"{{{{with sur}}}} SELECT company_id, {R('earnings_surprise')} AS last_four FROM sur")
 def _(t):
-    return rounded(ES.earnings_surprise(earnings(t), TODAY.cast("date")).select("company_id", F.col("earnings_surprise").alias("last_four")))
+    return rounded(ES.earnings_surprise(earnings(t), F.lit(TODAY).cast("date")).select("company_id", F.col("earnings_surprise").alias("last_four")))
 
 
 @query("es6_next_earnings", "{{with ev}} SELECT company_id, min(event_date) AS next_earnings_date, CAST(min(event_date) - DATE '2024-01-20' AS INTEGER) AS days_to_earnings FROM ev WHERE event_date > DATE '2024-01-20' GROUP BY 1")
 def _(t):
-    return ES.next_earnings(earnings(t), TODAY.cast("date"))
+    return ES.next_earnings(earnings(t), F.lit(TODAY).cast("date"))
 
 
 @query("rq9_next_catalyst", "SELECT 'U' || user_id AS company_id, arg_min(event_type, (CAST(ts AS DATE), event_type)) AS event_type, min(CAST(ts AS DATE)) AS event_date FROM events WHERE CAST(ts AS DATE) > DATE '2024-01-25' GROUP BY 1")
@@ -538,7 +538,7 @@ def _(t):
     companies = t.raw("events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("company_id")).distinct().withColumns({"is_primary": F.lit(True), "ticker": F.col("company_id")})
     px = t.raw("events").groupBy(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.col("ts").cast("date").alias("date")).agg((F.avg("value") + 10).alias("close_adj"))
     market = px.groupBy("date").agg(F.avg("close_adj").alias("close_adj")).select(F.lit(MARKET).alias("ticker"), "date", "close_adj")
-    return rounded(ES.build_estimate_metrics(cut_lineage(estimates(t)), cut_lineage(earnings(t)), px.unionByName(market), companies, TODAY.cast("date"), MARKET))
+    return rounded(ES.build_estimate_metrics(cut_lineage(estimates(t)), cut_lineage(earnings(t)), px.unionByName(market), companies, F.lit(TODAY).cast("date"), MARKET))
 
 
 @query("qc7_snapshot_count", "{{with es}} SELECT count(DISTINCT as_of) AS snapshots, min(as_of) AS first, max(as_of) AS last FROM es")
