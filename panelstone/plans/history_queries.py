@@ -248,14 +248,15 @@ def _(t):
 
 fragment("cv", "SELECT ticker, min(date) AS pf, max(date) AS pl, CAST(count(*) AS INTEGER) AS n_bars FROM px GROUP BY 1", "px")
 fragment("mb", """SELECT 'IDX' AS index_name, company_id AS security_id, company_id, sp.ticker, sector, industry, coalesce(sp.entry_date, entry_observed_by) AS entry_date, exit_observed_by AS exit_date, entry_observed_by, CASE WHEN sp.entry_date IS NOT NULL THEN 'exact' ELSE 'bracketed' END AS entry_precision,
-   CASE WHEN still_member THEN 'still_member' ELSE 'bracketed' END AS exit_precision, still_member, n_snapshots, pf AS price_first, pl AS price_last FROM sp JOIN co USING (ticker) LEFT JOIN (SELECT * FROM cv WHERE CAST(substr(ticker, 2) AS BIGINT) % 9 <> 0) c USING (ticker)""", "sp", "co", "cv")
+   CASE WHEN still_member THEN 'still_member' ELSE 'bracketed' END AS exit_precision, still_member, n_snapshots, pf AS price_first, pl AS price_last FROM sp JOIN co USING (ticker) LEFT JOIN (SELECT cv.* FROM cv JOIN supplier ON ticker = 'T' || s_suppkey WHERE s_acctbal >= 0) c USING (ticker)""", "sp", "co", "cv")
 fragment("mc", """SELECT *, CASE WHEN price_first IS NULL OR greatest(entry_date, (SELECT min(date) FROM px)) > least(coalesce(exit_date, DATE '2001-06-30'), DATE '2001-06-30') THEN 'none'
    WHEN price_first <= greatest(entry_date, (SELECT min(date) FROM px)) AND price_last >= least(coalesce(exit_date, DATE '2001-06-30'), DATE '2001-06-30') THEN 'full' ELSE 'partial' END AS price_coverage FROM mb""", "mb", "px")
 
 
 def membership(t: Tables):
     spans = M.conservative_edges(M.build_spans(snapshots(t)))
-    cover = M.price_coverage(t.prices.where(F.substring("ticker", 2, 12).cast("long") % 9 != 0))
+    sold = t.raw("supplier").where("s_acctbal >= 0").select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("ticker"))
+    cover = M.price_coverage(t.prices).join(sold, "ticker", "left_semi")  # suppliers in debt stand for names without prices
     start = F.broadcast(t.sessions.agg(F.min("date").alias("_start")))
     out = spans.join(t.companies.select("company_id", "ticker", "sector", "industry"), "ticker").join(cover, "ticker", "left").join(start)
     end = F.lit("2001-06-30").cast("date")

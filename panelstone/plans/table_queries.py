@@ -76,7 +76,8 @@ def _(t):
     return S.scan(t.spark, root, "experiments").select("trial_id", "strategy")
 
 
-fragment("sig", """SELECT ticker AS entity, date AS asof, k AS kind, v AS value FROM (SELECT ticker, date, unnest([{'k': 'market.price', 'v': close_raw}, {'k': 'market.volume', 'v': volume}, {'k': 'market.volatility', 'v': (close_raw * 1.02 - close_raw * 0.99) / close_raw}], recursive := true) FROM px)""", "px")
+fragment("sig", """SELECT ticker AS entity, date AS asof, 'market.price' AS kind, close_raw AS value FROM px UNION ALL SELECT ticker, date, 'market.volume', volume FROM px
+   UNION ALL SELECT ticker, date, 'market.volatility', (close_raw * 1.02 - close_raw * 0.99) / close_raw FROM px""", "px")
 
 
 def bars(t: Tables):
@@ -94,12 +95,12 @@ def _(t):
     return G.dedupe_signals(s.unionByName(s)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk4_src3_signals", f"{{{{with sig}}}} SELECT entity, asof, {R('value')} AS value FROM sig WHERE kind = 'market.price' AND asof BETWEEN DATE '1999-01-01' AND DATE '1999-01-20'")
+@query("snk4_src3_signals", f"{{{{with pan}}}} SELECT ticker AS entity, date AS asof, {R('close_adj')} AS value FROM pan WHERE date BETWEEN DATE '1999-01-01' AND DATE '1999-06-30'")
 def _(t):
     root = scratch(t)
-    month = bars(t).where(F.col("date").between("1998-12-20", "1999-01-31"))  # the landed month; partitions are dates
-    S.write_signals(G.bars_to_signals(month, "lines").drop("meta"), root)
-    return rounded(S.load_signals(t.spark, root, "market.price", "1999-01-01", "1999-01-20").select("entity", "asof", "value"))
+    month_bars = t.panel.select("ticker", "date", F.col("close_adj").alias("close"), F.col("close_adj").alias("high"), F.col("close_adj").alias("low"), F.col("q").alias("volume"))
+    S.write_signals(G.bars_to_signals(month_bars, "lines").drop("meta"), root)
+    return rounded(S.load_signals(t.spark, root, "market.price", "1999-01-01", "1999-06-30").select("entity", "asof", "value"))
 
 
 @query("snk5_src4_partition", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey > 5")
@@ -305,11 +306,11 @@ def _(t):
 def postings(t: Tables):
     c = F.col
     return t.raw("events").select(
-        c("event_type").alias("platform"), F.concat(F.lit("Supplier#00000000"), (c("user_id") % 7).cast("string")).alias("domain"), F.when(c("event_id") % 3 != 0, c("event_id") % 500).alias("posting_id"),
+        c("event_type").alias("platform"), F.when(c("user_id") % 7 < 5, F.concat(F.lit("Supplier#00000000"), (c("user_id") % 7).cast("string"))).otherwise("nobody").alias("domain"), F.when(c("event_id") % 3 != 0, c("event_id") % 500).alias("posting_id"),
         F.concat(F.lit("job "), (c("event_id") % 40).cast("string")).alias("title"), F.lit("here").alias("location"))
 
 
-fragment("po", "SELECT event_type AS platform, 'supplier#00000000' || user_id % 7 AS domain, CASE WHEN event_id % 3 <> 0 THEN event_id % 500 END AS posting_id, CASE WHEN event_id % 3 = 0 THEN event_id % 40 END AS title FROM events")
+fragment("po", "SELECT event_type AS platform, CASE WHEN user_id % 7 < 5 THEN 'supplier#00000000' || user_id % 7 ELSE 'nobody' END AS domain, CASE WHEN event_id % 3 <> 0 THEN event_id % 500 END AS posting_id, CASE WHEN event_id % 3 = 0 THEN event_id % 40 END AS title FROM events")
 
 
 @query("ing21_normalise_postings", "{{with po}} SELECT platform, lower(domain) AS domain, CAST(posting_id AS VARCHAR) AS posting_id FROM po GROUP BY platform, domain, posting_id, title")
@@ -318,16 +319,16 @@ def _(t):
 
 
 def dictionary(t: Tables):
-    return t.raw("supplier").where("s_suppkey < 5").select(F.col("s_name").alias("domain"), F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("ticker"))
+    return t.raw("supplier").select(F.col("s_name").alias("domain"), F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("ticker"))
 
 
-@query("ing22_resolve_ticker", f"{{{{with po}}}} SELECT s_suppkey IS NOT NULL AS found, 'T' || s_suppkey AS ticker, {R('CASE WHEN s_suppkey IS NULL THEN 0.0 ELSE 1.0 END')} AS confidence, count(*) AS n FROM po LEFT JOIN supplier ON lower(s_name) = domain AND s_suppkey < 5 GROUP BY ALL")
+@query("ing22_resolve_ticker", f"{{{{with po}}}} SELECT s_suppkey IS NOT NULL AS found, 'T' || s_suppkey AS ticker, {R('CASE WHEN s_suppkey IS NULL THEN 0.0 ELSE 1.0 END')} AS confidence, count(*) AS n FROM po LEFT JOIN supplier ON lower(s_name) = domain GROUP BY ALL")
 def _(t):
     out = G.resolve_ticker(postings(t), dictionary(t))
     return rounded(out.groupBy(F.col("ticker").isNotNull().alias("found"), "ticker", "confidence").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("ing24_posting_counts", "{{with po}} SELECT 'T' || s_suppkey AS ticker, '2024-01-31' AS dt, 'job_postings' AS feature_id, count(*) AS value FROM (SELECT DISTINCT platform, domain, posting_id, title FROM po) JOIN supplier ON lower(s_name) = domain AND s_suppkey < 5 GROUP BY 1")
+@query("ing24_posting_counts", "{{with po}} SELECT 'T' || s_suppkey AS ticker, '2024-01-31' AS dt, 'job_postings' AS feature_id, count(*) AS value FROM (SELECT DISTINCT platform, domain, posting_id, title FROM po) JOIN supplier ON lower(s_name) = domain GROUP BY 1")
 def _(t):
     return G.posting_counts(G.resolve_ticker(G.normalise_postings(postings(t), "2024-01-31"), dictionary(t)))
 
