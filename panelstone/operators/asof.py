@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from panelstone.session import stacked
 
 
 def asof_backward(
@@ -48,7 +49,7 @@ def asof_backward(
     if bucket is not None:
         l, r = l.withColumn("_bk", bucket), r.withColumn("_bk", bucket)
         keys = [*by, "_bk"]
-    both = l.unionByName(r, allowMissingColumns=True)
+    both = l.transform(stacked, r, allowMissingColumns=True)
     order = ["_at", "_side", *[f"_tie_{t}" for t in ties]]
     if keys:
         w = Window.partitionBy(*keys).orderBy(*order)
@@ -90,7 +91,7 @@ def lag_asof(df: DataFrame, by: list[str], date: str, columns: list[str], lags:
             F.lit(0).alias("_side"),
             F.struct(*[F.col(x).alias(f"{x}{suffix}") for x in columns]).alias(f"_hit{suffix}"),
         )
-        both = both.unionByName(shifted, allowMissingColumns=True)
+        both = both.transform(stacked, shifted, allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumns({f"_last{s}": F.last(f"_hit{s}", ignorenulls=True).over(w) for s in lags})
     return both.where(F.col("_row").isNotNull()).select(
@@ -128,7 +129,7 @@ def attach_wide(
     )
     rows = grid.select(by, F.col(date).alias("_at"), F.lit(1).alias("_side"), F.struct(*grid.columns).alias("_row"))
     w = Window.partitionBy(by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(wide, allowMissingColumns=True).withColumns(
+    both = rows.transform(stacked, wide, allowMissingColumns=True).withColumns(
         {f"_f_{x}": F.last(f"_f_{x}", ignorenulls=True).over(w) for x in concepts}
     )
     out = [F.col(f"_row.{x}").alias(x) for x in grid.columns]

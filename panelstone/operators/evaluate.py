@@ -16,6 +16,7 @@ from panelstone.functions.spec import CATEGORY_WEIGHTS
 from panelstone.operators.calendar import session_index
 from panelstone.operators.ranking import add_rank, bucket_of, group_quantiles
 from panelstone.operators.scoring import recompose
+from panelstone.session import stacked
 
 MIN_PAIRS = 10
 
@@ -356,7 +357,7 @@ def leakage_audit(df: DataFrame, entity: str, score: str, target: str, lag: int,
         tag(base, "as_is", "x", "y"), tag(earlier, "lagged_score", "_x", "y"), tag(earlier, "earlier_target", "x", "_y"),
         tag(noise, "shuffled", "x", "_y"), tag(moved, "entity_moved", "x", "_y"),
     ]
-    ic = ic_by_date(reduce(DataFrame.unionByName, every), "x", "y", min_names, ["variant"])
+    ic = ic_by_date(reduce(stacked, every), "x", "y", min_names, ["variant"])
     return ic.groupBy("variant").agg(F.avg("ic").alias("ic_mean"), F.count("ic").alias("n_dates"))
 
 

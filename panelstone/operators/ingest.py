@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import div
+from panelstone.session import stacked
 
 # taxonomy -> tag -> unit -> rows
 FACT_ROWS = "array<struct<start: string, end: string, val: double, accn: string, fy: int, fp: string, form: string, filed: string>>"
@@ -45,7 +46,7 @@ def inherit_predecessors(observations: DataFrame, links: DataFrame) -> DataFrame
         *[F.col("successor_id").alias("company_id") if x == "company_id" else observations[x] for x in observations.columns],
         F.lit("predecessor").alias("source"),
     )
-    return observations.withColumn("source", F.lit("own")).unionByName(inherited)
+    return observations.withColumn("source", F.lit("own")).transform(stacked, inherited)
 
 
 def judge_recovered(prices: DataFrame, exits: DataFrame, min_sessions: int = 20, max_gap: int = 45, lookback_days: int = 365) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from panelstone.session import stacked
 
 # Financial sub-industries by template, and words that mark a cyclical business.
 FINANCIAL_MODELS = {
@@ -244,7 +245,7 @@ def membership_actions(membership: DataFrame) -> DataFrame:
 
 def corporate_actions(prices: DataFrame, membership: DataFrame, ids: DataFrame) -> DataFrame:
     """All events under a stable hash id, each once."""
-    events = price_actions(prices, ids).unionByName(membership_actions(membership))
+    events = price_actions(prices, ids).transform(stacked, membership_actions(membership))
     return events.withColumn("action_id", event_id("security_id", "action_type", "ex_date", "ratio", "cash_amount")).dropDuplicates(["action_id"])
 
 

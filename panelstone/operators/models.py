@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelstone.operators.calendar import session_index
 from panelstone.operators.evaluate import time_split
 from panelstone.operators.factor import sanitise
-from panelstone.session import cut_lineage
+from panelstone.session import cut_lineage, stacked
 
 
 def estimator(kind: str, target: str, seed: int = 42):
@@ -61,7 +61,7 @@ def rolling_validation(df: DataFrame, features: list[str], target: str, folds: i
         model = estimator(kind, target).fit(tagged.where(F.col("idx") < cut))
         judged = model.transform(tagged.where((F.col("idx") >= cut) & (F.col("idx") < cut + max(5, n // 20))))
         out.append(accuracy(judged, target).withColumn("fold", F.lit(fold)))
-    return reduce(DataFrame.unionByName, out)
+    return reduce(stacked, out)
 
 
 def evaluator(target: str, metric: str) -> RegressionEvaluator:

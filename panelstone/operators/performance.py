@@ -9,8 +9,10 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from panelstone.functions.numeric import TRADING_DAYS, div, finite
+from panelstone.session import stacked
 
 EULER_GAMMA = 0.5772156649015329  # fixed value
 RUN = "run_id"
@@ -164,7 +166,7 @@ def bootstrap_intervals(paths: DataFrame, samples: int = 1000, block: int = 21,
         F.sum(F.log1p("ret")).over(upto).alias("lg"),
     )
     zero = totals.select(RUN).distinct().select(RUN, F.lit(0).alias("i"), *[F.lit(0.0).alias(x) for x in ("s", "ss", "lg")])
-    totals = totals.unionByName(zero)
+    totals = totals.transform(stacked, zero)
     sizes = r.groupBy(RUN).agg(F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n") >= 4 * block)
     draws = (
         sizes.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
@@ -189,13 +191,13 @@ def bootstrap_intervals(paths: DataFrame, samples: int = 1000, block: int = 21,
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     nd = NormalDist()
     return x.map(lambda v: nd.cdf(v) if pd.notna(v) else None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     nd = NormalDist()
     return p.map(lambda v: nd.inv_cdf(v) if pd.notna(v) and 0.0 < v < 1.0 else None)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from panelstone.session import stacked
 
 # A year's coverage, slack between chained periods, usable slice lengths, pieces per year, scale guard.
 YEAR_MIN, YEAR_MAX = 350, 385
@@ -245,4 +246,4 @@ def build_fundamentals(observations: DataFrame, catalogue: DataFrame) -> DataFra
     flows = facts.where((F.col("period_type") == "duration") & (F.col("aggregation") == "sum"))
     levels = facts.where((F.col("period_type") == "duration") & (F.col("aggregation") == "last"))
     points = facts.where(F.col("period_type") == "instant")
-    return ttm_series(flows).unionByName(latest_level_series(levels)).unionByName(instant_series(points))
+    return ttm_series(flows).transform(stacked, latest_level_series(levels)).transform(stacked, instant_series(points))

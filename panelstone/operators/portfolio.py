@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelstone.operators.calendar import session_index
 from panelstone.operators.ranking import add_ordinal_rank
+from panelstone.session import stacked
 
 ONE_WAY_BPS = 1.5 + 2.5 + 0.5  # fixed values: commission, half spread, slippage
 
@@ -107,4 +108,4 @@ def contributors(weights: DataFrame, returns: DataFrame, by: str, k: int, entity
     total = parts.groupBy(by).agg(F.sum(F.col("weight") * F.col("ret")).alias("contribution"))
     top = total.orderBy(F.col("contribution").desc(), F.col(by)).limit(k).withColumn("side", F.lit("top"))
     low = total.orderBy(F.col("contribution").asc(), F.col(by)).limit(k).withColumn("side", F.lit("bottom"))
-    return top.unionByName(low)
+    return top.transform(stacked, low)

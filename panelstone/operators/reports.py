@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import div
 from panelstone.functions.spec import NOT_SCORED, SCORE_BANDS
+from panelstone.session import stacked
 
 
 def newest(df: DataFrame, date: str = "date") -> DataFrame:
@@ -41,7 +42,7 @@ def strengths_weaknesses(metric_scores: DataFrame, high: float = 85.0, low: floa
     down = Window.partitionBy("company_id", "date").orderBy(F.col("_s").asc(), "metric")
     strong = s.where(F.col("_s") >= high).withColumn("_r", F.row_number().over(up)).withColumn("side", F.lit("strength"))
     weak = s.where(F.col("_s") <= low).withColumn("_r", F.row_number().over(down)).withColumn("side", F.lit("weakness"))
-    return strong.unionByName(weak).where(F.col("_r") <= k).drop("_r", "_s")
+    return strong.transform(stacked, weak).where(F.col("_r") <= k).drop("_r", "_s")
 
 
 def peers(scored: DataFrame, k: int = 12, min_industry: int = 4) -> DataFrame:
@@ -63,7 +64,7 @@ def peers(scored: DataFrame, k: int = 12, min_industry: int = 4) -> DataFrame:
     narrow = asked.where(F.col("_n") - 1 >= min_industry).join(leaders("industry", ["sector", "industry"]), ["sector", "industry"])
     wide = asked.where(F.col("_n") - 1 < min_industry).join(leaders("sector", ["sector"]), "sector")
     cols = ["ticker", "peer", "peer_score", "basis"]
-    both = narrow.select(*cols).unionByName(wide.select(*cols)).where(F.col("peer") != F.col("ticker"))
+    both = narrow.select(*cols).transform(stacked, wide.select(*cols)).where(F.col("peer") != F.col("ticker"))
     w = Window.partitionBy("ticker").orderBy(F.col("peer_score").desc(), F.col("peer").asc())  # at most k + 1 rows
     return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
@@ -107,7 +108,7 @@ def mean_by_sector(rows: DataFrame) -> DataFrame:
     """Mean score per sector plus the overall mean."""
     known = rows.where(F.col("score").isNotNull())
     agg = [F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("n")]
-    return known.groupBy("sector").agg(*agg).unionByName(known.agg(*agg).select(F.lit("All").alias("sector"), "mean_score", "n"))
+    return known.groupBy("sector").agg(*agg).transform(stacked, known.agg(*agg).select(F.lit("All").alias("sector"), "mean_score", "n"))
 
 
 def price_tail(prices: DataFrame, n: int) -> DataFrame:
@@ -202,6 +203,6 @@ def snapshot_count(estimates: DataFrame) -> DataFrame:
 
 def check_all(issues: list[DataFrame]) -> DataFrame:
     """All issues, worst first."""
-    both = reduce(DataFrame.unionByName, issues)
+    both = reduce(stacked, issues)
     order = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
     return both.orderBy(order, "check", "subject")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import rd
-from panelstone.session import cut_lineage
+from panelstone.session import cut_lineage, stacked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = expand(sql)
+            ORACLES[name] = sql
         return fn
 
     return wrap
@@ -226,7 +226,7 @@ class Tables:
     @cached_property
     def all_prices(self) -> DataFrame:
         """Securities, the market and the sector funds in one price table."""
-        return self.prices.unionByName(self.market).unionByName(self.sector_funds)
+        return self.prices.transform(stacked, self.market).transform(stacked, self.sector_funds)
 
     @cached_property
     def fund_map(self) -> dict[str, str]:

@@ -10,7 +10,7 @@ from panelstone.operators import membership as M
 from panelstone.operators import pit as P
 from panelstone.operators import prices as PR
 from panelstone.plans.base import MARKET, R, Tables, cents, fragment, query, round_sql, rounded
-from panelstone.session import cut_lineage
+from panelstone.session import cut_lineage, stacked
 
 # ---- facts: year-to-date cuts of quarterly sums, instants at quarter ends, averages; some restated, some off by a thousand
 
@@ -283,7 +283,7 @@ def _(t):
 def _(t):
     grouped = membership(t).withColumn("security_id", F.concat(F.lit("G"), F.expr("cast(substring(ticker, 2, 12) as bigint) div 2").cast("string")))
     primary, other = M.collapse_share_classes(cut_lineage(grouped))
-    return primary.withColumn("is_primary", F.lit(True)).unionByName(other.withColumn("is_primary", F.lit(False))).select("security_id", "ticker", "entry_observed_by", "is_primary")
+    return primary.withColumn("is_primary", F.lit(True)).transform(stacked, other.withColumn("is_primary", F.lit(False))).select("security_id", "ticker", "entry_observed_by", "is_primary")
 
 
 fragment("ms0", """SELECT security_id, last(company_id ORDER BY entry_observed_by) AS company_id, last(ticker ORDER BY entry_observed_by) AS current_ticker, last(price_coverage ORDER BY entry_observed_by) AS price_coverage, min(entry_date) AS first_date, max(exit_date) AS lx, bool_or(still_member) AS still, max(price_last) AS price_last FROM mc GROUP BY 1""", "mc")
@@ -530,7 +530,7 @@ fragment("ped", f"""SELECT company_id, d AS last_earnings_date, p1 / p0 - m1 / m
 @query("es7_post_earnings_drift", f"{{{{with ped}}}} SELECT company_id, last_earnings_date, {R('post_earnings_drift')} AS post_earnings_drift FROM ped")
 def _(t):
     ev = t.raw("lineitem").where("l_returnflag = 'R'").select(M.company_id("l_suppkey").alias("company_id"), F.col("l_shipdate").cast("date").alias("event_date"), F.lit(False).alias("is_future"))
-    out = ES.post_earnings_drift(ev, t.prices.unionByName(t.market), t.companies, F.lit("2000-06-01").cast("date"), MARKET)
+    out = ES.post_earnings_drift(ev, t.prices.transform(stacked, t.market), t.companies, F.lit("2000-06-01").cast("date"), MARKET)
     return rounded(out.select("company_id", "last_earnings_date", "post_earnings_drift"))
 
 
@@ -539,7 +539,7 @@ def _(t):
     companies = t.raw("events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("company_id")).distinct().withColumns({"is_primary": F.lit(True), "ticker": F.col("company_id")})
     px = t.raw("events").groupBy(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.col("ts").cast("date").alias("date")).agg((F.avg("value") + 10).alias("close_adj"))
     market = px.groupBy("date").agg(F.avg("close_adj").alias("close_adj")).select(F.lit(MARKET).alias("ticker"), "date", "close_adj")
-    return rounded(ES.build_estimate_metrics(cut_lineage(estimates(t)), cut_lineage(earnings(t)), px.unionByName(market), companies, F.lit(TODAY).cast("date"), MARKET))
+    return rounded(ES.build_estimate_metrics(cut_lineage(estimates(t)), cut_lineage(earnings(t)), px.transform(stacked, market), companies, F.lit(TODAY).cast("date"), MARKET))
 
 
 @query("qc7_snapshot_count", "{{with es}} SELECT count(DISTINCT as_of) AS snapshots, min(as_of) AS first, max(as_of) AS last FROM es")

@@ -10,7 +10,7 @@ from panelstone.operators import portfolio as PF
 from panelstone.operators import reports as Q
 from panelstone.operators import verdicts as VD
 from panelstone.plans.base import MARKET, R, Tables, fragment, query, round_sql, rounded
-from panelstone.session import cut_lineage
+from panelstone.session import cut_lineage, stacked
 
 # Equity paths: one run per region, its daily return a damped change of the region's price; the market is the benchmark.
 fragment("eq", """SELECT 'run_' || sector AS run_id, date, 100 * exp(sum(r) OVER (PARTITION BY sector ORDER BY date)) AS equity, 100 * exp(sum(m) OVER (PARTITION BY sector ORDER BY date)) AS benchmark FROM (
@@ -210,7 +210,7 @@ fragment("rgt", f"SELECT run_id, gate, coalesce(value >= minimum, false) AS pass
 @query("ev35_gates", "{{with dg, rgt}} SELECT run_id, gate, passed FROM dg UNION ALL SELECT run_id, gate, passed FROM rgt")
 def _(t):
     m = measurements(t).withColumn("value", F.round("value", 9))
-    return VD.evaluate_gates(m, VD.DATA_GATES).unionByName(VD.evaluate_gates(m, VD.RESULT_GATES)).select("run_id", "gate", "passed")
+    return VD.evaluate_gates(m, VD.DATA_GATES).transform(stacked, VD.evaluate_gates(m, VD.RESULT_GATES)).select("run_id", "gate", "passed")
 
 
 @query("ev35_decide", """{{with dg, rgt}}, s AS (SELECT run_id, CASE WHEN bool_or(NOT passed AND caps = 'not_testable') THEN 'not_testable' WHEN bool_or(NOT passed AND caps = 'exploratory_only') THEN 'exploratory_only' ELSE 'in_sample' END AS st, count(*) FILTER (NOT passed) AS fd FROM dg GROUP BY 1),

@@ -11,6 +11,7 @@ from panelstone.operators import prices as P
 from panelstone.operators.asof import horizon_returns
 from panelstone.operators.rolling import Roll, max_drawdown_running, rolling, rolling_drawdown, rolling_median
 from panelstone.plans.base import MARKET, R, Tables, fragment, query, rounded
+from panelstone.session import stacked
 
 fragment("pxm", """SELECT px.*, mk.close AS mkt_close, sf.close AS sector_close FROM px LEFT JOIN mk USING (date)
    JOIN co USING (ticker) LEFT JOIN sf ON sf.sector = co.sector AND sf.date = px.date""", "px", "mk", "sf", "co")
@@ -20,7 +21,7 @@ fragment("rets", """SELECT px.*, close_adj / lag(close_adj) OVER w - 1 AS ret_1d
 
 
 def with_returns(t: Tables):
-    df = P.with_market(t.prices.unionByName(t.market), MARKET)
+    df = P.with_market(t.prices.transform(stacked, t.market), MARKET)
     return df.withColumn("ret_1d", F.col("close_adj") / F.lag("close_adj", 1).over(Window.partitionBy("ticker").orderBy("date")) - 1.0)
 
 
@@ -56,7 +57,7 @@ def _(t):
 
 @query("ing10_sessions", "SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem")
 def _(t):
-    return cal.sessions(t.prices.unionByName(t.market), MARKET)
+    return cal.sessions(t.prices.transform(stacked, t.market), MARKET)
 
 
 @query("ing11_median_dollar_volume", f"""{{{{with px}}}} SELECT ticker, {R('median(dollar_volume)')} AS median_dollar_volume FROM px
@@ -260,6 +261,6 @@ def _(t):
    FROM b LEFT JOIN i i1 ON i1.r = b.r + 21 LEFT JOIN px p1 ON p1.ticker = b.ticker AND p1.date = i1.date LEFT JOIN mk m1 ON m1.date = i1.date
    LEFT JOIN i i3 ON i3.r = b.r + 63 LEFT JOIN px p3 ON p3.ticker = b.ticker AND p3.date = i3.date LEFT JOIN mk m3 ON m3.date = i3.date""")
 def _(t):
-    every = t.prices.unionByName(t.market)
+    every = t.prices.transform(stacked, t.market)
     decisions = t.prices.join(F.broadcast(cal.month_end_sessions(t.sessions)), "date", "left_semi").select("ticker", "date")
     return rounded(horizon_returns(decisions, every, t.sessions, [1, 3], MARKET))

@@ -10,6 +10,7 @@ from panelstone.operators import prices as P
 from panelstone.operators import signals as G
 from panelstone.operators.rolling import Roll, compound, forward_fill, rolling
 from panelstone.plans.base import MARKET, R, Tables, fragment, query, round_sql, rounded
+from panelstone.session import stacked
 
 fragment("tb", """SELECT px.ticker, px.date, close_adj AS close, dollar_volume, volume, mkt_ret, close_adj / lag(close_adj) OVER w - 1 AS ret_1d, row_number() OVER w AS rn FROM px LEFT JOIN mkr USING (date) WINDOW w AS (PARTITION BY ticker ORDER BY date)""", "px", "mkr")
 
@@ -32,7 +33,7 @@ fragment("tg", f"""SELECT ticker, date, up_day_ratio, vol_63d, downside_vol_126d
 
 
 def technical(t: Tables):
-    df = P.with_market(t.prices.unionByName(t.market), MARKET).withColumn("close", F.col("close_adj"))
+    df = P.with_market(t.prices.transform(stacked, t.market), MARKET).withColumn("close", F.col("close_adj"))
     return G.technical_features(df)
 
 
@@ -46,76 +47,76 @@ _tech("wn17_older_drawdown", ["near_52w_high", "max_drawdown_252d"])
 _tech("wn18_trend_and_volatility", ["up_day_ratio", "ma_50_200", "vol_63d", "downside_vol_126d"])
 _tech("wn19_beta_moments", ["beta_252d"], 4)
 _tech("wn20_residuals", ["idio_vol_126d", "resid_mom_126d"], 3)
-_tech("wn21_liquidity", ["log_dollar_volume", "amihud_illiq", "volume_trend"], 4)
+_tech("wn21_liquidity", ["log_dollar_volume", "amihud_illiq", "volume_trend"], 2)
 
-fragment("st", "SELECT ticker AS entity, date AS asof, close_adj AS close, volume, 0.03 + volume / 1e4 AS rv_range_close, close_adj / lag(close_adj) OVER w - 1 AS ret_1d FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date)", "px")
+fragment("st", "SELECT ticker AS entity, date AS dt, close_adj AS close, volume, 0.03 + volume / 1e4 AS rv_range_close, close_adj / lag(close_adj) OVER w - 1 AS ret_1d FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date)", "px")
 
 
 def _e(n):
-    return f"(PARTITION BY entity ORDER BY asof ROWS {n - 1} PRECEDING)"
+    return f"(PARTITION BY entity ORDER BY dt ROWS {n - 1} PRECEDING)"
 
 
 fragment("sm", f"""SELECT *, {_full('avg', 'macd', 9, _e(9))} AS macd_signal FROM (SELECT *, ema12 - ema26 AS macd, 100 - 100 / (1 + g / (l + 1e-12)) AS rsi14 FROM (SELECT *, {_full('avg', 'close', 12, _e(12))} AS ema12, {_full('avg', 'close', 26, _e(26))} AS ema26, {_full('avg', 'gain', 14, _e(14))} AS g, {_full('avg', 'loss', 14, _e(14))} AS l,
-   close / lag(close, 20) OVER (PARTITION BY entity ORDER BY asof) - 1 AS ret_20d, close / lag(close, 180) OVER (PARTITION BY entity ORDER BY asof) - 1 AS ret_180d, {_full('avg', 'close', 20, _e(20))} AS ma20, {_full('avg', 'close', 100, _e(100))} AS ma100, {_full('stddev_samp', 'ret_1d', 60, _e(60))} AS vol_cc_60, {_full('avg', 'rv_range_close', 60, _e(60))} AS rv_rc_60,
+   close / lag(close, 20) OVER (PARTITION BY entity ORDER BY dt) - 1 AS ret_20d, close / lag(close, 180) OVER (PARTITION BY entity ORDER BY dt) - 1 AS ret_180d, {_full('avg', 'close', 20, _e(20))} AS ma20, {_full('avg', 'close', 100, _e(100))} AS ma100, {_full('stddev_samp', 'ret_1d', 60, _e(60))} AS vol_cc_60, {_full('avg', 'rv_range_close', 60, _e(60))} AS rv_rc_60,
    volume / ({_full('avg', 'volume', 20, _e(20))} + 1e-12) - 1 AS vol_rel_20 FROM (SELECT *, CASE WHEN ret_1d > 0 THEN ret_1d ELSE 0 END AS gain, CASE WHEN ret_1d < 0 THEN -ret_1d ELSE 0 END AS loss FROM st)))""", "st")
 
 
 def store_rows(t: Tables):
-    return t.prices.select(F.col("ticker").alias("entity"), F.col("date").alias("asof"), F.col("close_adj").alias("close"), "volume", (F.lit(0.03) + F.col("volume") / 1e4).alias("rv_range_close"))
+    return t.prices.select(F.col("ticker").alias("entity"), F.col("date").alias("dt"), F.col("close_adj").alias("close"), "volume", (F.lit(0.03) + F.col("volume") / 1e4).alias("rv_range_close"))
 
 
 def _store(name, cols, sql_cols=None, digits=5):
-    @query(name, "{{with sm}} SELECT entity, asof, " + ", ".join(f"{R(e, digits)} AS {c}" for c, e in zip(cols, sql_cols or cols)) + " FROM sm")
+    @query(name, "{{with sm}} SELECT entity, dt, " + ", ".join(f"{R(e, digits)} AS {c}" for c, e in zip(cols, sql_cols or cols)) + " FROM sm")
     def _(t):
-        return rounded(G.signal_features(store_rows(t)).select("entity", "asof", *cols), digits)
+        return rounded(G.signal_features(store_rows(t), date="dt").select("entity", "dt", *cols), digits)
 
 
 _store("wn22_rsi", ["rsi14"], digits=4)
 _store("wn23_macd", ["ema12", "ema26", "macd", "macd_signal", "macd_hist"], ["ema12", "ema26", "macd", "macd_signal", "macd - macd_signal"])
 _store("wn24_signal_features", ["ret_20d", "ret_180d", "ma20", "ma100", "px_over_ma100", "vol_cc_60", "rv_rc_60", "vol_rel_20"], ["ret_20d", "ret_180d", "ma20", "ma100", "close / (ma100 + 1e-12) - 1", "vol_cc_60", "rv_rc_60", "vol_rel_20"])
 
-fragment("rs", """SELECT st.*, sector, avg(ret_1d) OVER (PARTITION BY asof) AS mkt_ret_1d, avg(ret_1d) OVER (PARTITION BY asof, sector) AS sector_ret_1d FROM st JOIN co ON co.ticker = st.entity""", "st", "co")
+fragment("rs", """SELECT st.*, sector, avg(ret_1d) OVER (PARTITION BY dt) AS mkt_ret_1d, avg(ret_1d) OVER (PARTITION BY dt, sector) AS sector_ret_1d FROM st JOIN co ON co.ticker = st.entity""", "st", "co")
 
 
 def with_sectors(t: Tables):
     base = store_rows(t).join(t.companies.select(F.col("ticker").alias("entity"), "sector"), "entity")
-    ret = F.try_divide("close", F.lag("close", 1).over(Window.partitionBy("entity").orderBy("asof"))) - 1.0
+    ret = F.try_divide("close", F.lag("close", 1).over(Window.partitionBy("entity").orderBy("dt"))) - 1.0
     return base.withColumn("ret_1d", ret)
 
 
-@query("wn25_market_sector_returns", f"{{{{with rs}}}} SELECT entity, asof, {R('mkt_ret_1d')} AS mkt_ret_1d, {R('sector_ret_1d')} AS sector_ret_1d FROM rs")
+@query("wn25_market_sector_returns", f"{{{{with rs}}}} SELECT entity, dt, {R('mkt_ret_1d')} AS mkt_ret_1d, {R('sector_ret_1d')} AS sector_ret_1d FROM rs")
 def _(t):
-    return rounded(G.add_market_sector_returns(with_sectors(t), sector="sector").select("entity", "asof", "mkt_ret_1d", "sector_ret_1d"))
+    return rounded(G.add_market_sector_returns(with_sectors(t), "dt", sector="sector").select("entity", "dt", "mkt_ret_1d", "sector_ret_1d"))
 
 
 fragment("ro", f"""SELECT *, c1 / (v11 + 1e-12) AS b1, (c1 * v22 - v12 * c2) / (v11 * v22 - v12 * v12 + 1e-18) AS b21, (c2 * v11 - v12 * c1) / (v11 * v22 - v12 * v12 + 1e-18) AS b22 FROM (SELECT *, {_full('avg', 'p11', 60, _e(60))} AS v11, {_full('avg', 'p1y', 60, _e(60))} AS c1, {_full('avg', 'p22', 60, _e(60))} AS v22, {_full('avg', 'p12', 60, _e(60))} AS v12, {_full('avg', 'p2y', 60, _e(60))} AS c2
    FROM (SELECT *, x1c * x1c AS p11, x1c * yc AS p1y, x2c * x2c AS p22, x1c * x2c AS p12, x2c * yc AS p2y FROM (SELECT *, ret_1d - yb AS yc, mkt_ret_1d - xb1 AS x1c, sector_ret_1d - xb2 AS x2c FROM (SELECT *, {_full('avg', 'ret_1d', 60, _e(60))} AS yb, {_full('avg', 'mkt_ret_1d', 60, _e(60))} AS xb1, {_full('avg', 'sector_ret_1d', 60, _e(60))} AS xb2 FROM rs))))""", "rs")
 
 
-@query("wn26_rolling_regression_market", f"{{{{with ro}}}} SELECT entity, asof, {R('b1', 4)} AS beta_mkt_60d, {R('yb - b1 * xb1', 4)} AS alpha_60d, {R('ret_1d - (yb - b1 * xb1 + b1 * mkt_ret_1d)', 4)} AS resid_1d FROM ro")
+@query("wn26_rolling_regression_market", f"{{{{with ro}}}} SELECT entity, dt, {R('b1', 4)} AS beta_mkt_60d, {R('yb - b1 * xb1', 4)} AS alpha_60d, {R('ret_1d - (yb - b1 * xb1 + b1 * mkt_ret_1d)', 4)} AS resid_1d FROM ro")
 def _(t):
-    df = G.add_market_sector_returns(with_sectors(t), sector="sector")
-    return rounded(G.rolling_regression(df, "entity", "asof").select("entity", "asof", "beta_mkt_60d", "alpha_60d", "resid_1d"), 4)
+    df = G.add_market_sector_returns(with_sectors(t), "dt", sector="sector")
+    return rounded(G.rolling_regression(df, "entity", "dt").select("entity", "dt", "beta_mkt_60d", "alpha_60d", "resid_1d"), 4)
 
 
-@query("wn26_rolling_regression_two_factor", f"{{{{with ro}}}} SELECT entity, asof, {R('b21', 3)} AS beta_mkt_60d, {R('b22', 3)} AS beta_sec_60d, {R('yb - b21 * xb1 - b22 * xb2', 3)} AS alpha_60d FROM ro")
+@query("wn26_rolling_regression_two_factor", f"{{{{with ro}}}} SELECT entity, dt, {R('b21', 3)} AS beta_mkt_60d, {R('b22', 3)} AS beta_sec_60d, {R('yb - b21 * xb1 - b22 * xb2', 3)} AS alpha_60d FROM ro")
 def _(t):
-    df = G.add_market_sector_returns(with_sectors(t), sector="sector")
-    return rounded(G.rolling_regression(df, "entity", "asof", two_factor=True).select("entity", "asof", "beta_mkt_60d", "beta_sec_60d", "alpha_60d"), 3)
+    df = G.add_market_sector_returns(with_sectors(t), "dt", sector="sector")
+    return rounded(G.rolling_regression(df, "entity", "dt", two_factor=True).select("entity", "dt", "beta_mkt_60d", "beta_sec_60d", "alpha_60d"), 3)
 
 
-@query("wn27_forward_returns", f"""{{{{with st, co, mk}}}}, f AS (SELECT entity, asof, sector, ln(lead(close, 20) OVER w / close) AS r FROM st JOIN co ON co.ticker = entity WINDOW w AS (PARTITION BY entity ORDER BY asof)), m AS (SELECT date AS asof, ln(lead(close, 20) OVER (ORDER BY date) / close) AS mr FROM mk)
-   SELECT entity, asof, {R('r')} AS fwd20_ret, {R('r - mr')} AS fwd20_ret_ex_mkt, {R('r - avg(r) OVER (PARTITION BY asof, sector)')} AS fwd20_ret_ex_sec FROM f LEFT JOIN m USING (asof)""")
+@query("wn27_forward_returns", f"""{{{{with st, co, mk}}}}, f AS (SELECT entity, dt, sector, ln(lead(close, 20) OVER w / close) AS r FROM st JOIN co ON co.ticker = entity WINDOW w AS (PARTITION BY entity ORDER BY dt)), m AS (SELECT date AS dt, ln(lead(close, 20) OVER (ORDER BY date) / close) AS mr FROM mk)
+   SELECT entity, dt, {R('r')} AS fwd20_ret, {R('r - mr')} AS fwd20_ret_ex_mkt, {R('r - avg(r) OVER (PARTITION BY dt, sector)')} AS fwd20_ret_ex_sec FROM f LEFT JOIN m USING (dt)""")
 def _(t):
-    base = with_sectors(t).select("entity", "asof", "close", "sector")
-    market = t.market.select(F.col("ticker").alias("entity"), F.col("date").alias("asof"), F.col("close_adj").alias("close"), F.lit("none").alias("sector"))
-    out = G.forward_return(base.unionByName(market), 20, "entity", "asof", benchmark=MARKET, sector="sector")
-    return rounded(out.where(F.col("entity") != MARKET).select("entity", "asof", "fwd20_ret", "fwd20_ret_ex_mkt", "fwd20_ret_ex_sec"))
+    base = with_sectors(t).select("entity", "dt", "close", "sector")
+    market = t.market.select(F.col("ticker").alias("entity"), F.col("date").alias("dt"), F.col("close_adj").alias("close"), F.lit("none").alias("sector"))
+    out = G.forward_return(base.transform(stacked, market), 20, "entity", "dt", benchmark=MARKET, sector="sector")
+    return rounded(out.where(F.col("entity") != MARKET).select("entity", "dt", "fwd20_ret", "fwd20_ret_ex_mkt", "fwd20_ret_ex_sec"))
 
 
-@query("wn29_compound", f"{{{{with st}}}} SELECT entity, asof, {R('exp(sum(ln(1 + coalesce(ret_1d, 0))) OVER (PARTITION BY entity ORDER BY asof))', 4)} AS growth FROM st")
+@query("wn29_compound", f"{{{{with st}}}} SELECT entity, dt, {R('exp(sum(ln(1 + coalesce(ret_1d, 0))) OVER (PARTITION BY entity ORDER BY dt))', 4)} AS growth FROM st")
 def _(t):
-    return rounded(compound(with_sectors(t), ["entity"], "asof", "ret_1d", "growth").select("entity", "asof", "growth"), 4)
+    return rounded(compound(with_sectors(t), ["entity"], "dt", "ret_1d", "growth").select("entity", "dt", "growth"), 4)
 
 
 @query("wn30_expanding_bands", f"""{{{{with mk}}}}, e AS (SELECT max(date) AS date FROM mk GROUP BY date_trunc('month', date)), m AS (SELECT date, close FROM mk JOIN e USING (date)) SELECT date, {R('CASE WHEN count(close) OVER w >= 10 THEN quantile_cont(close, 0.33) OVER w END')} AS close_low, {R('CASE WHEN count(close) OVER w >= 10 THEN quantile_cont(close, 0.67) OVER w END')} AS close_high FROM m WINDOW w AS (ORDER BY date)""")

@@ -10,7 +10,7 @@ from panelstone.functions import numeric as N
 from panelstone.operators import ingest as G
 from panelstone.operators import membership as M
 from panelstone.plans.base import R, Tables, fragment, query, rounded
-from panelstone.session import shared_folder
+from panelstone.session import shared_folder, stacked
 from panelstone.sources import contracts as C
 from panelstone.sources import tables as S
 
@@ -76,7 +76,7 @@ def _(t):
     return S.scan(t.spark, root, "experiments").select("trial_id", "strategy")
 
 
-fragment("sig", """SELECT ticker AS entity, date AS asof, 'market.price' AS kind, close_raw AS value FROM px UNION ALL SELECT ticker, date, 'market.volume', volume FROM px
+fragment("sig", """SELECT ticker AS entity, date AS dt, 'market.price' AS kind, close_raw AS value FROM px UNION ALL SELECT ticker, date, 'market.volume', volume FROM px
    UNION ALL SELECT ticker, date, 'market.volatility', (close_raw * 1.02 - close_raw * 0.99) / close_raw FROM px""", "px")
 
 
@@ -84,23 +84,23 @@ def bars(t: Tables):
     return t.prices.select("ticker", "date", F.col("close_raw").alias("close"), (F.col("close_raw") * 1.02).alias("high"), (F.col("close_raw") * 0.99).alias("low"), "volume")
 
 
-@query("ing25_bars_to_signals", f"{{{{with sig}}}} SELECT entity, asof, kind, {R('value')} AS value FROM sig")
+@query("ing25_bars_to_signals", f"{{{{with sig}}}} SELECT entity, dt, kind, {R('value')} AS value FROM sig")
 def _(t):
-    return rounded(G.bars_to_signals(bars(t), "lines").select("entity", "asof", "kind", "value"))
+    return rounded(G.bars_to_signals(bars(t), "lines").select("entity", F.col("asof").alias("dt"), "kind", "value"))
 
 
 @query("ing26_dedupe_signals", "{{with sig}} SELECT kind, count(*) AS n FROM sig GROUP BY 1")
 def _(t):
     s = G.bars_to_signals(bars(t), "lines").drop("meta")
-    return G.dedupe_signals(s.unionByName(s)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return G.dedupe_signals(s.transform(stacked, s)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk4_src3_signals", f"{{{{with pan}}}} SELECT ticker AS entity, date AS asof, {R('close_adj')} AS value FROM pan WHERE date BETWEEN DATE '1999-01-01' AND DATE '1999-06-30'")
+@query("snk4_src3_signals", f"{{{{with pan}}}} SELECT ticker AS entity, date AS dt, {R('close_adj')} AS value FROM pan WHERE date BETWEEN DATE '1999-01-01' AND DATE '1999-06-30'")
 def _(t):
     root = scratch(t)
     month_bars = t.panel.select("ticker", "date", F.col("close_adj").alias("close"), F.col("close_adj").alias("high"), F.col("close_adj").alias("low"), F.col("q").alias("volume"))
     S.write_signals(G.bars_to_signals(month_bars, "lines").drop("meta"), root)
-    return rounded(S.load_signals(t.spark, root, "market.price", "1999-01-01", "1999-06-30").select("entity", "asof", "value"))
+    return rounded(S.load_signals(t.spark, root, "market.price", "1999-01-01", "1999-06-30").select("entity", F.col("asof").alias("dt"), "value"))
 
 
 @query("snk5_src4_partition", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey > 5")
@@ -172,7 +172,7 @@ def profiles(t: Tables):
     out = None
     for name, (key, entity, date) in specs.items():
         p = C.profile(t.raw(name), C.TableSpec(name, "raw", "x int", (key,), entity=entity, date=date)).drop("null_counts")
-        out = p if out is None else out.unionByName(p)
+        out = p if out is None else out.transform(stacked, p)
     return out
 
 
@@ -224,13 +224,13 @@ def _(t):
 def _(t):
     s = t.raw("supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))
     c = t.raw("customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
-    return s.unionByName(c, allowMissingColumns=True)
+    return s.transform(stacked, c, allowMissingColumns=True)
 
 
 @query("jn16_concat", "SELECT 'order' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'line', count(*) FROM lineitem UNION ALL SELECT 'event', count(*) FROM events")
 def _(t):
     count = lambda name, table: t.raw(table).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "n")
-    return count("order", "orders").unionByName(count("line", "lineitem")).unionByName(count("event", "events"))
+    return count("order", "orders").transform(stacked, count("line", "lineitem")).transform(stacked, count("event", "events"))
 
 
 # ---- aggregates

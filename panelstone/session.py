@@ -53,3 +53,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/stages/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stacked(top: DataFrame, other: DataFrame, allowMissingColumns: bool = False) -> DataFrame:
+    """Union by name that never claims its inputs' partitioning.
+
+    Spark 4.1 lets a union of equally partitioned inputs skip the following shuffle, but adaptive execution may coalesce each
+    input's partitions differently, and rows of one key then land in several output partitions (groups come out twice). The
+    claim is switched off; the aggregation or window after the union shuffles once, as it always did.
+    """
+    top.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return top.unionByName(other, allowMissingColumns)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from panelstone.session import stacked
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,7 @@ def validate(df: DataFrame, spec: TableSpec) -> DataFrame:
     total = copies.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
     sample = shown.agg(F.concat_ws(", ", F.sort_array(F.collect_list("subject"))).alias("subject"))  # three keys
     dup = total.join(F.broadcast(sample)).select(F.lit("duplicate_key").alias("problem"), "subject", "n")
-    return nulls.unionByName(dup)
+    return nulls.transform(stacked, dup)
 
 
 def coerce(df: DataFrame, spec: TableSpec) -> DataFrame:

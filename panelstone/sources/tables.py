@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from panelstone.session import cut_lineage
+from panelstone.session import cut_lineage, stacked
 from panelstone.sources.contracts import TABLES, TableSpec, check, coerce, migrate
 
 
@@ -51,7 +51,7 @@ def merge_newest(existing: DataFrame | None, incoming: DataFrame, spec: TableSpe
     """
     both = incoming.withColumn("_p", F.lit(1))
     if existing is not None:
-        both = existing.withColumn("_p", F.lit(0)).unionByName(both)
+        both = existing.withColumn("_p", F.lit(0)).transform(stacked, both)
     rest = [f.name for f in spec.schema if f.name not in spec.key]
     order = F.struct("_p", *rest)
     merged = both.groupBy(*spec.key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*spec.key, "_r.*")
