@@ -142,6 +142,16 @@ def shortest_by_end(slices: DataFrame, scope: list[str]) -> DataFrame:
     return slices.groupBy(*scope, "end").agg(F.min_by(body, order).alias("_s")).select(*scope, "end", "_s.*")
 
 
+def preceding(slices: DataFrame, scope: list[str]) -> DataFrame:
+    """For every slice, the end of the nearest slice that finishes at its start or up to four days earlier.
+
+    Each slice is offered under the five days it could precede, so the lookup is an equi-join.
+    """
+    offered = slices.select(*scope, F.col("end").alias("preceding_end"), F.explode(F.sequence("end", F.date_add("end", CHAIN_SLACK))).alias("_day"))
+    found = slices.select(*scope, "end", F.col("start").alias("_day")).join(offered, [*scope, "_day"])
+    return found.groupBy(*scope, "end").agg(F.max("preceding_end").alias("preceding_end"))
+
+
 def trailing_year(slices: DataFrame, scope: list[str]) -> DataFrame:
     """Chain slices back from the newest until a year is covered; a broken chain yields no row.
 

@@ -75,12 +75,13 @@ def annotate(
         groups = steps.groupBy(*keys).agg(F.max("n_group").alias("_n"), *[x.alias(n) for n, x in stats.items()])
         out = df.join(steps.drop("n_group"), [*keys, value], "left").join(groups, keys, "left")
         return out.select(*df.columns, "n_below", "n_eq", F.coalesce("_n", F.lit(0)).alias("n_group"), *stats)
+    # Nulls sort first and are subtracted from the ranks: one sort then serves the rank and the tie count.
     known = F.col(value).isNotNull()
     group = Window.partitionBy(*keys)
-    ordered = group.orderBy(F.col(value).asc_nulls_last())
+    nulls = F.count(F.lit(1)).over(group) - F.count(value).over(group)
     out = df.withColumns(
         {
-            "n_below": F.when(known, F.rank().over(ordered) - 1).cast("long"),
+            "n_below": F.when(known, F.rank().over(group.orderBy(F.col(value).asc_nulls_first())) - 1 - nulls).cast("long"),
             "n_eq": F.when(known, F.count(F.lit(1)).over(Window.partitionBy(*keys, value))),
             "n_group": F.count(value).over(group),
         }

@@ -35,7 +35,6 @@ from panelstone.operators.ranking import (
 from panelstone.session import cut_lineage
 
 ROW = ["company_id", "ticker", "date"]
-GROUP = ["metric", "date", "basis", "peer"]
 
 
 def stable(x: Column) -> Column:
@@ -64,112 +63,143 @@ def add_peer_keys(panel: DataFrame) -> DataFrame:
     ).drop("_size_rank", "_rows")
 
 
-def melt_metrics(panel: DataFrame, metrics: tuple[Metric, ...] = METRICS) -> DataFrame:
-    """Long frame of raw and usable values: one row per company, date and declared metric present in the panel."""
-    used = [m for m in metrics if m.key in panel.columns]
-    if not used:
-        raise ValueError("the panel carries none of the declared metrics")
+def melt_metrics(panel: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
+    """Long frame of raw and usable values, one row per company, date and metric; a metric travels as its number."""
     cells = [
         F.struct(
-            F.lit(m.key).alias("metric"),
-            F.lit(m.category).alias("category"),
-            F.lit(float(m.weight)).alias("weight"),
-            F.lit(m.direction).alias("direction"),
-            F.lit(m.basis).alias("chain"),
-            F.lit(float(m.winsor)).alias("winsor"),
-            F.lit(m.min_peers).alias("min_peers"),
+            F.lit(i).alias("m"),
             F.coalesce(F.col("business_model").isin(list(m.models)), F.lit(False)).alias("applies"),
             F.col(m.key).cast("double").alias("raw_value"),
         )
-        for m in used
+        for i, m in enumerate(metrics)
     ]
     peers = [x for x in ("peer_industry", "peer_sector", "peer_size_decile", "peer_universe") if x in panel.columns]
     long = panel.select(*ROW, *peers, F.explode(F.array(*cells)).alias("_m")).select(*ROW, *peers, "_m.*")
     return long.withColumn("usable_value", F.when(F.col("applies"), F.col("raw_value")))
 
 
-def _with_levels(long: DataFrame) -> DataFrame:
-    """One row per level of the fallback chain, finest level first."""
-    chains = None
-    for basis, chain in PEER_CHAIN.items():
-        if f"peer_{basis}" not in long.columns:
-            continue
-        levels = F.array(
-            *[F.struct(F.lit(i).alias("level"), F.lit(b).alias("basis"), F.col(f"peer_{b}").alias("peer")) for i, b in enumerate(chain)]
-        )
-        cond = F.col("chain") == basis
-        chains = F.when(cond, levels) if chains is None else chains.when(cond, levels)
-    return long.withColumn("_l", F.explode(chains)).select("*", "_l.*").drop("_l")
+def _spec(metrics: tuple[Metric, ...], attribute: str) -> Column:
+    """A declared attribute of the row's metric: a constant when all share it, else a lookup by number."""
+    values = [getattr(m, attribute) for m in metrics]
+    distinct = list(dict.fromkeys(values))
+    if len(distinct) == 1:
+        return F.lit(distinct[0])
+    if len(distinct) <= 3:
+        out = F.lit(distinct[0])
+        for value in distinct[1:]:
+            out = F.when(F.col("m").isin([i for i, v in enumerate(values) if v == value]), F.lit(value)).otherwise(out)
+        return out
+    return F.get(F.array(*[F.lit(v) for v in values]), F.col("m"))
 
 
-def score_metrics(panel: DataFrame, metrics: tuple[Metric, ...] = METRICS, split: bool | None = None) -> DataFrame:
-    """Percentile of every metric within the finest peer group that is large enough, per date.
+def _percentiles(df: DataFrame, keys: list[str], metrics: tuple[Metric, ...], split: bool) -> DataFrame:
+    """Add ``_n, _pct, _win, _mid`` of the peer group given by ``keys``.
 
-    All metrics and all levels are ranked in one pass. Ranks of winsorised values follow from the tie counts at the two limits,
-    so values are never sorted a second time.
+    Ranks of winsorised values follow from the tie counts at the two limits, so values are sorted once.
     """
-    levelled = _with_levels(melt_metrics(panel, metrics))
-    if split is None:
-        # A (metric, date) holds as many rows as the date has companies, whatever the number of metrics.
-        split = needs_split(panel, ["date"])
-    lo, hi = nearest_index(F.col("winsor")), nearest_index(1.0 - F.col("winsor"))
+    winsor = _spec(metrics, "winsor")
+    lo, hi = nearest_index(winsor), nearest_index(1.0 - winsor)
     median, middle = linear_quantile(0.5, "usable_value", "med")
     stats = {
-        "lo": order_statistic(lo, "usable_value"),
-        "hi": order_statistic(hi, "usable_value"),
-        "upto_lo": F.max(F.when(holds(lo), F.col("n_below") + F.col("n_eq"))),
-        "below_hi": F.max(F.when(holds(hi), F.col("n_below"))),
+        "_lo": order_statistic(lo, "usable_value"),
+        "_hi": order_statistic(hi, "usable_value"),
+        "_upto_lo": F.max(F.when(holds(lo), F.col("n_below") + F.col("n_eq"))),
+        "_below_hi": F.max(F.when(holds(hi), F.col("n_below"))),
         **median,
     }
-    ranked = annotate(levelled, [*GROUP, "winsor"], "usable_value", stats, split=split)
+    ranked = annotate(df, keys, "usable_value", stats, split=split)
     v, n = F.col("usable_value"), F.col("n_group")
     rank = (
-        F.when(F.col("lo") == F.col("hi"), (n + 1) / 2.0)
-        .when(v <= F.col("lo"), (F.col("upto_lo") + 1) / 2.0)
-        .when(v >= F.col("hi"), (F.col("below_hi") + n + 1) / 2.0)
+        F.when(F.col("_lo") == F.col("_hi"), (n + 1) / 2.0)
+        .when(v <= F.col("_lo"), (F.col("_upto_lo") + 1) / 2.0)
+        .when(v >= F.col("_hi"), (F.col("_below_hi") + n + 1) / 2.0)
         .otherwise(average_rank())
     )
     pct = F.try_divide(rank - 0.5, n)
-    pct = F.when(F.col("direction") < 0, 1.0 - pct).otherwise(pct)
-    ranked = ranked.withColumns(
+    pct = F.when(_spec(metrics, "direction") < 0, 1.0 - pct).otherwise(pct)
+    return ranked.withColumns(
         {
+            "_n": n.cast("int"),
             "_pct": F.when(v.isNotNull() & (n >= 2), pct),
-            "_win": F.when(v.isNotNull(), F.greatest(F.least(v, F.col("hi")), F.col("lo"))),
+            "_win": F.when(v.isNotNull(), F.greatest(F.least(v, F.col("_hi")), F.col("_lo"))),
             "_mid": middle,
         }
+    ).drop("n_below", "n_eq", "n_group", *stats)
+
+
+def _chosen_in_place(long: DataFrame, metrics: tuple[Metric, ...], levels: list[str]) -> DataFrame:
+    """Every level side by side on one row. All levels contain (metric, date), so one shuffle serves all their windows."""
+    out = long.repartition("m", "date")
+    for level in levels:
+        keys = ["m", "date"] if level == "universe" else ["m", "date", f"peer_{level}"]
+        out = _percentiles(out, keys, metrics, split=False)
+        group = F.struct(F.lit(level).alias("basis"), F.col(f"peer_{level}").alias("peer"), F.col("_n").alias("n"), F.col("_pct").alias("pct"), F.col("_win").alias("win"), F.col("_mid").alias("mid"))
+        out = out.withColumn(f"_at_{level}", group).drop("_n", "_pct", "_win", "_mid")
+    picked, broadest = None, None
+    for basis, chain in PEER_CHAIN.items():
+        steps = [x for x in chain if x in levels]
+        if len(steps) < len(chain):
+            continue
+        here = _spec(metrics, "basis") == basis
+        enough = [F.when(F.col(f"_at_{x}.n") >= _spec(metrics, "min_peers"), F.col(f"_at_{x}")) for x in steps]
+        choice, last = F.coalesce(*enough), F.col(f"_at_{steps[-1]}")
+        picked = F.when(here, choice) if picked is None else picked.when(here, choice)
+        broadest = F.when(here, last) if broadest is None else broadest.when(here, last)
+    return out.withColumns({"_g": picked, "_b": broadest}).drop(*[f"_at_{x}" for x in levels])
+
+
+def _chosen_by_level(long: DataFrame, metrics: tuple[Metric, ...], levels: list[str]) -> DataFrame:
+    """One row per level, ranked with the split plan and brought together again: no task needs a whole date."""
+    basis = _spec(metrics, "basis")
+    chains = None
+    for name, chain in PEER_CHAIN.items():
+        if not set(chain) <= set(levels):
+            continue
+        cells = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(x).alias("basis"), F.col(f"peer_{x}").alias("peer")) for i, x in enumerate(chain)])
+        chains = F.when(basis == name, cells) if chains is None else chains.when(basis == name, cells)
+    levelled = long.withColumn("_l", F.explode(chains)).select("*", "_l.*").drop("_l")
+    ranked = _percentiles(levelled, ["m", "date", "basis", "peer"], metrics, split=True)
+    enough = F.col("_n") >= _spec(metrics, "min_peers")
+    found = F.struct("basis", "peer", F.col("_n").alias("n"), F.col("_pct").alias("pct"), F.col("_win").alias("win"), F.col("_mid").alias("mid"))
+    carried = ["applies", "raw_value"]
+    return ranked.groupBy(*ROW, "m", *carried).agg(
+        F.min_by(F.when(enough, found), F.when(enough, F.col("level"))).alias("_g"), F.max_by(found, "level").alias("_b")
     )
-    enough = n >= F.col("min_peers")
-    # The finest level that is large enough; peer_basis and peer_group fall back to the broadest one.
-    level = F.when(enough, F.col("level")).otherwise(F.lit(99))
-    found = F.struct(
-        level.alias("level"), (-F.col("level")).alias("broad"), F.col("basis"), F.col("peer"), n.cast("int").alias("n"),
-        F.col("_pct").alias("pct"), F.col("_win").alias("win"), F.col("_mid").alias("mid"),
-    )
-    carried = ["category", "weight", "applies", "raw_value"]
-    best = ranked.groupBy(*ROW, "metric", *carried).agg(F.min(found).alias("_g"))
-    chosen = F.col("_g.level") < 99
-    pick = lambda x: F.when(chosen, F.col(f"_g.{x}"))
+
+
+def score_metrics(panel: DataFrame, metrics: tuple[Metric, ...] = METRICS, split: bool | None = None) -> DataFrame:
+    """Percentile of every metric within the finest peer group that is large enough, per date."""
+    used = tuple(m for m in metrics if m.key in panel.columns)
+    if not used:
+        raise ValueError("the panel carries none of the declared metrics")
+    wanted = {x for m in used for x in PEER_CHAIN[m.basis]}
+    levels = [x for x in ("industry", "sector", "size_decile", "universe") if x in wanted]
+    if split is None:
+        # A (metric, date) holds as many rows as the date has companies, whatever the number of metrics.
+        split = needs_split(panel, ["date"])
+    long = melt_metrics(panel, used)
+    best = _chosen_by_level(long, used, levels) if split else _chosen_in_place(long, used, levels)
     status = (
         F.when(~F.col("applies"), "not_applicable")
         .when(F.col("raw_value").isNull(), "missing")
-        .when(pick("pct").isNull(), "thin_peers")
+        .when(F.col("_g.pct").isNull(), "thin_peers")
         .otherwise("scored")
     )
     return best.select(
         *ROW,
-        "metric",
-        "category",
+        _spec(used, "key").alias("metric"),
+        _spec(used, "category").alias("category"),
         "raw_value",
-        pick("win").alias("winsorized_value"),
-        pick("pct").alias("percentile"),
-        (pick("pct") * 100.0).alias("score"),
-        F.col("_g.basis").alias("peer_basis"),
-        F.col("_g.peer").alias("peer_group"),
-        pick("n").alias("peer_count"),
-        pick("mid").alias("peer_median"),
+        F.col("_g.win").alias("winsorized_value"),
+        F.col("_g.pct").alias("percentile"),
+        (F.col("_g.pct") * 100.0).alias("score"),
+        F.coalesce("_g.basis", "_b.basis").alias("peer_basis"),
+        F.coalesce("_g.peer", "_b.peer").alias("peer_group"),
+        F.col("_g.n").alias("peer_count"),
+        F.col("_g.mid").alias("peer_median"),
         (status != "scored").alias("is_missing"),
         status.alias("status"),
-        "weight",
+        _spec(used, "weight").alias("weight"),
     )
 
 

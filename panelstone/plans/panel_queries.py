@@ -640,3 +640,18 @@ def _(t):
 def _(t):
     df = blended(t).withColumn("data_age_days", F.lit(10))
     return df.select("company_id", F.array_join(V.valuation_caveats(), "; ").alias("caveats"))
+
+
+@query("fm5_financial_metrics")
+def _(t):
+    """The composed build: month grid, as-of facts, share basis, every metric."""
+    from panelstone.operators.calendar import month_end_sessions
+    from panelstone.operators.prices import add_split_factor
+    prices = cut_lineage(add_split_factor(t.prices))
+    grid = FM.build_grid(prices, t.companies, month_end_sessions(t.sessions))
+    facts = facts_long(t, list(CONCEPT_SQL))
+    missing = [c for c in FM.CONCEPTS if c not in CONCEPT_SQL]
+    panel = cut_lineage(FM.attach_share_basis(FM.attach_fundamentals(grid, facts, list(CONCEPT_SQL)), prices))
+    panel = panel.withColumns({c: F.lit(None).cast("double") for c in missing})
+    out = FM.add_valuation(FM.add_growth(cut_lineage(FM.add_quality(FM.add_building_blocks(panel)))))
+    return rounded(out.select("company_id", "date", "roic", "gross_margin", "revenue_growth_1y", "ev_ebit", "valuation_vs_history", "market_cap"), 5)

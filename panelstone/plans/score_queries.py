@@ -618,7 +618,7 @@ def _(t):
     return out.select("date", rd("mean_return").alias("mean_return"), "n_names", rd("growth", 4).alias("growth"))
 
 
-@query("risk_blend", "{{with pan}}, l AS (" + " UNION ALL ".join(f"SELECT company_id, date, '{m}' AS m, {x} AS v, {w} AS w, {d} AS d FROM pan" for (m, w, d), x in zip(RISK_COMPONENTS[:4], ["roic", "roe", "fcf_margin", "ret_3m"]))
+@query("xs19_risk_blend", "{{with pan}}, l AS (" + " UNION ALL ".join(f"SELECT company_id, date, '{m}' AS m, {x} AS v, {w} AS w, {d} AS d FROM pan" for (m, w, d), x in zip(RISK_COMPONENTS[:4], ["roic", "roe", "fcf_margin", "ret_3m"]))
        + f"""), p AS (SELECT *, (rank() OVER (PARTITION BY m, date ORDER BY v) + (count(*) OVER (PARTITION BY m, date, v) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY m, date) AS pct FROM l WHERE v IS NOT NULL)
    SELECT company_id, date, {R('sum(CASE WHEN d < 0 THEN 1 - pct ELSE pct END * w) / sum(w) * 100')} AS risk_score FROM p GROUP BY 1, 2""")
 def _(t):
