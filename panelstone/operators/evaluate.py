@@ -21,6 +21,11 @@ from panelstone.session import stacked
 MIN_PAIRS = 10
 
 
+def correlation(x: str, y: str) -> Column:
+    """Correlation of complete pairs; null when either side does not vary (the built-in raises on a zero deviation)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman_by(df: DataFrame, keys: list[str], x: str, y: str, min_pairs: int = MIN_PAIRS, name: str = "ic", drop_thin: bool = True) -> DataFrame:
     """Rank correlation of the finite pairs of each group: ``keys + [name, n]``.
 
@@ -28,14 +33,14 @@ def spearman_by(df: DataFrame, keys: list[str], x: str, y: str, min_pairs: int =
     """
     pairs = df.select(*keys, finite(x).alias("_x"), finite(y).alias("_y")).where("_x is not null and _y is not null")
     ranked = add_rank(add_rank(pairs, keys, "_x", rank="_rx"), keys, "_y", rank="_ry")
-    out = ranked.groupBy(*keys).agg(finite(F.corr("_rx", "_ry")).alias(name), F.count(F.lit(1)).alias("n"))
+    out = ranked.groupBy(*keys).agg(correlation("_rx", "_ry").alias(name), F.count(F.lit(1)).alias("n"))
     thick = F.col("n") >= min_pairs
     return out.where(thick) if drop_thin else out.withColumn(name, F.when(thick, F.col(name)))
 
 
 def pearson_by(df: DataFrame, keys: list[str], x: str, y: str, min_pairs: int = MIN_PAIRS, name: str = "pearson") -> DataFrame:
     pairs = df.select(*keys, finite(x).alias("_x"), finite(y).alias("_y")).where("_x is not null and _y is not null")
-    out = pairs.groupBy(*keys).agg(finite(F.corr("_x", "_y")).alias(name), F.count(F.lit(1)).alias("n"))
+    out = pairs.groupBy(*keys).agg(correlation("_x", "_y").alias(name), F.count(F.lit(1)).alias("n"))
     return out.where(F.col("n") >= min_pairs)
 
 
@@ -273,7 +278,7 @@ def correlation_pairs(df: DataFrame, columns: list[str], min_rows: int = 100) ->
     """Correlation of every pair of columns over complete rows; one aggregate, one output row per pair."""
     whole = df.select(*[finite(x).alias(x) for x in columns]).dropna()
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = whole.agg(F.count(F.lit(1)).alias("n"), *[finite(F.corr(a, b)).alias(f"{a}|{b}") for a, b in pairs])
+    wide = whole.agg(F.count(F.lit(1)).alias("n"), *[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])
     return wide.where(F.col("n") >= min_rows).select("n", F.explode(cells).alias("_c")).select("_c.*", "n")
 
