@@ -69,7 +69,7 @@ def ic_summary(ic: DataFrame, horizon: int | str, keys: list[str] | None = None)
         F.count_if(F.col("ic") > 0).alias("_hits"),
         F.collect_list("ic").alias("_values"),  # at most ``horizon`` values
     )
-    n, mean = F.sum("_n"), F.sum("_s") / F.sum("_n")
+    n, mean = F.sum("_n"), div(F.sum("_s"), F.sum("_n"))
     var = div(F.sum("_ss") - F.sum("_s") * mean, n - 1)
     std = F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
     sorted_values = F.sort_array(F.flatten(F.collect_list("_values")))  # one value per date: bounded by the calendar
@@ -79,12 +79,12 @@ def ic_summary(ic: DataFrame, horizon: int | str, keys: list[str] | None = None)
         std.alias("ic_std"),
         n.alias("n_dates"),
         F.count(F.lit(1)).alias("n_blocks"),
-        (F.sum("_hits") / n).alias("hit_rate"),
+        div(F.sum("_hits"), n).alias("hit_rate"),
         F.avg("_mean").alias("_bm"),
         F.stddev_samp("_mean").alias("_bs"),
     )
     size = F.size("_v")
-    lower, upper = F.element_at("_v", F.floor((size + 1) / 2).cast("int")), F.element_at("_v", F.floor(size / 2).cast("int") + 1)
+    lower, upper = F.get("_v", F.floor((size - 1) / 2).cast("int")), F.get("_v", F.floor(size / 2).cast("int"))
     return out.select(
         *keys,
         "ic_mean",

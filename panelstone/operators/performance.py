@@ -309,7 +309,7 @@ def risk_matched(paths: DataFrame, benchmark: str = "benchmark") -> DataFrame:
     vols = df.groupBy(RUN).agg(div(F.stddev_samp(finite("ret")), F.stddev_samp(finite("bret"))).alias("ratio"))
     upto = _along().rowsBetween(Window.unboundedPreceding, 0)
     step = 1.0 + F.coalesce(F.col("ratio") * F.col("bret"), F.lit(0.0))
-    return df.join(F.broadcast(vols), RUN).select(RUN, "date", "ratio", F.product(step).over(upto).alias("level"))
+    return df.join(vols, RUN).select(RUN, "date", "ratio", F.product(step).over(upto).alias("level"))
 
 
 def summarise(paths: DataFrame, benchmark: str = "benchmark") -> DataFrame:

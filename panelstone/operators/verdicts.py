@@ -110,8 +110,8 @@ def trades(weights: DataFrame, entity: str = "security_id", run: str = "run_id")
     from pyspark.sql import Window
 
     dates = weights.select(run, "date").distinct()
-    nxt = dates.select(run, "date", F.lead("date").over(Window.partitionBy(run).orderBy("date")).alias("_next"))  # one row per rebalance
-    old = weights.join(F.broadcast(nxt), [run, "date"]).where("_next is not null").select(run, entity, F.col("_next").alias("date"), F.col("weight").alias("_old"))
+    nxt = dates.select(run, "date", F.lead("date").over(Window.partitionBy(run).orderBy("date")).alias("_next"))
+    old = weights.join(nxt, [run, "date"]).where("_next is not null").select(run, entity, F.col("_next").alias("date"), F.col("weight").alias("_old"))
     both = weights.select(run, entity, "date", "weight").join(old, [run, entity, "date"], "full_outer")
     delta = F.coalesce("weight", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))
     out = both.withColumn("delta_weight", delta).where(F.abs("delta_weight") > 1e-12)

@@ -348,7 +348,7 @@ def latest(t: Tables, df):
 
 
 @query("rq1_ranked_list", f"""{{{{with os1, lastd}}}} SELECT ticker, sector, industry, {R('score')} AS score, rank, {R('percentile')} AS percentile, band, universe_size
-   FROM os1 JOIN co USING (ticker) WHERE date = (SELECT d FROM lastd) ORDER BY rank NULLS LAST, ticker LIMIT 50""")
+   FROM os1 JOIN co USING (ticker) WHERE date = (SELECT max(date) FROM os1) ORDER BY rank NULLS LAST, ticker LIMIT 50""")
 def _(t):
     from panelstone.operators.reports import ranked_list
     return rounded(ranked_list(composite(t), t.companies, 50).select("ticker", "sector", "industry", "score", "rank", "percentile", "band", "universe_size"))

@@ -10,7 +10,7 @@ DAY = dt.date(2020, 1, 6)
 
 
 def series(spark, values, name="x", ticker="A"):
-    return spark.createDataFrame([(ticker, DAY + dt.timedelta(days=i), v) for i, v in enumerate(values)], f"ticker string, date date, {name} double")
+    return spark.createDataFrame([(ticker, DAY + dt.timedelta(days=i), float(v)) for i, v in enumerate(values)], f"ticker string, date date, {name} double")
 
 
 def column(df, name):
