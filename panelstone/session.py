@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,17 +30,22 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names for intermediate data.
+    """The shared folder the cluster names in ``spark.checkpoint.dir`` for intermediate data.
 
-    Only when the session names none (unit tests, a laptop) is a local folder chosen and set.
+    A session on one machine (``local[...]``, as in tests) that names none gets a folder of its own, removed when Python ends. On a
+    cluster a missing setting is an error: executors could not see each other's files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
+        return configured.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
-        return current.get()
+        return current.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="panelstone-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -47,14 +54,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Used where a result feeds several consumers: they read columns of a file instead of repeating a long plan, and losing an
-    executor never replays more than the stage at hand.
+    executor never replays more than the stage at hand. The table is removed when its session's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stages/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stages/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stage table; nothing to do once the session is gone."""
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the JVM may have ended first; the folder's owner cleans up then
+        return
+
+
 def stacked(top: DataFrame, other: DataFrame, allowMissingColumns: bool = False) -> DataFrame:
     """Union by name that never claims its inputs' partitioning.
 
