@@ -7,10 +7,12 @@ a signature is the minimum over such windows.
 Steps, each over all documents:
 
 1. One pass over the texts: set size, a 128-bit name of the set, one key per band of the signature.
-2. Documents with equal sets become one class. Classes that share a band key meet at the least class there: a star, not all pairs.
+2. Documents with equal sets become one class. Classes that share a band key meet there at one head, the class with most company: a
+   star, not all pairs.
 3. Every candidate link is confirmed by the exact Jaccard similarity of the full sets.
-4. Components of the confirmed links. Where a band key still joins different components, the classes across them, and only those,
-   are confirmed pair by pair, so a link that the stars did not show is found too.
+4. Components of the confirmed links. A star whose members are in several components may hide links between members. Two members can
+   only be linked past their head if they differ from it in the same shingles, and in how many follows from the sizes. So members
+   are matched on those differences with a prefix filter, which loses no link, and what matches is confirmed like any other pair.
 
 Two sets at the threshold of 0.8 share none of 40 bands of 5 coordinates with probability 0.672^40, about 1e-7.
 """
@@ -90,23 +92,71 @@ def could_link(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the candidate ``a, b``, those whose full sets are similar enough. ``texts``: ``c1, text`` of every class named."""
+def beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` with both texts. ``texts``: ``c1, text`` of every class named."""
     right = pairs.join(texts.select(F.col("c1").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("c1").alias("a"), F.col("text").alias("text_a")), "a")
+    return right.join(texts.select(F.col("c1").alias("a"), F.col("text").alias("text_a")), "a").select(*pairs.columns, "text_a", "text_b")
+
+
+class Sets:
+    """Shingle sets of one column of texts; the last one is kept, as a star's rows come together."""
+
+    def __init__(self, width: int):
+        self.width, self.last, self.own = width, None, None
+
+    def of(self, name: int, text: str) -> np.ndarray:
+        if name != self.last:
+            self.last, self.own = name, shingle_set(text, self.width)
+        return self.own
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the candidate ``a, b``, those whose full sets are similar enough."""
 
     def work(cols):
-        a, b, last, own = [], [], None, None
+        a, b, heads = [], [], Sets(width)
         for x, y, text_a, text_b in zip(cols["a"], cols["b"], cols["text_a"], cols["text_b"], strict=True):
-            if x != last:  # a star's rows come together
-                last, own = x, shingle_set(text_a, width)
-            other = shingle_set(text_b, width)
+            own, other = heads.of(x, text_a), shingle_set(text_b, width)
             common = len(np.intersect1d(own, other, assume_unique=True))
             if 100 * common >= percent * (len(own) + len(other) - common):
                 a.append(x), b.append(y)
         return {"a": a, "b": b}
 
-    return arrow_map(both.select("a", "b", "text_a", "text_b"), work, "a long, b long", rows=64)
+    return arrow_map(beside(pairs.select("a", "b"), texts), work, "a long, b long", rows=64)
+
+
+def hidden_pairs(stars: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs of members of one star, in different components, that may still be linked.
+
+    With head A, |X ^ M| = dX + dM - 2 * o, where dX, dM are the members' differences from A and o what these have in common. A link
+    needs |X ^ M| <= k * (|X| + |M|), k = (100 - percent) / (100 + percent). X, in another component than A, has dX > k * (|X| + |A|).
+    Hence o > v = (dM - k * (|M| - |A|)) / 2, and any dM - floor(v) differences of M hold one of X's. Those that M adds to A come first:
+    they are the rare ones.
+    """
+    part = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}"))
+    member = stars.join(part("a"), "a", "left").join(part("b"), "b", "left")
+    member = member.select("a", "b", F.coalesce("in_a", "a").alias("in_a"), F.coalesce("in_b", "b").alias("in_b"))
+    several = member.groupBy("a").agg(F.min("in_b").alias("low"), F.max("in_b").alias("high"))
+    rows = beside(member.join(several.where(F.col("low") < F.col("high")).select("a"), "a"), texts)
+
+    def work(cols):
+        out = {x: [] for x in ("a", "b", "part", "n", "apart", "all", "some")}
+        heads = Sets(width)
+        for a, b, in_a, in_b, text_a, text_b in zip(*[cols[x] for x in ("a", "b", "in_a", "in_b", "text_a", "text_b")], strict=True):
+            own, other = heads.of(a, text_a), shingle_set(text_b, width)
+            added, lost = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
+            differences = np.concatenate([added, lost]).view(np.int64)
+            twice_v = len(differences) * (100 + percent) - (100 - percent) * (len(other) - len(own))
+            some = len(differences) - twice_v // (2 * (100 + percent))
+            for name, value in zip(out, (a, b, in_b, len(other), in_a != in_b, differences if in_a != in_b else [], differences[:some]), strict=True):
+                out[name].append(value)
+        return out
+
+    told = staged(arrow_map(rows, work, "a long, b long, part long, n long, apart boolean, all array<long>, some array<long>", rows=64))
+    x = told.where("apart").select("a", F.explode("all").alias("sign"), F.col("b").alias("x"), F.col("part").alias("part_x"), F.col("n").alias("n_x"))
+    m = told.select("a", F.explode("some").alias("sign"), F.col("b").alias("m"), F.col("part").alias("part_m"), F.col("n").alias("n_m"))
+    met = x.join(m, ["a", "sign"]).where((F.col("part_x") != F.col("part_m")) & could_link(F.col("n_x"), F.col("n_m"), percent))
+    return met.select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -127,32 +177,26 @@ def near_duplicates(
     classes = staged(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("keys").alias("keys")))
 
     cells = classes.select("c1", "n", F.explode("keys").alias("key"))
-    met = cells.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("c1", "n")).alias("head")).where(F.col("size") > 1)
-    meetings = staged(cells.join(met, "key").select("key", "c1", "n", "size", F.col("head.c1").alias("head"), F.col("head.n").alias("head_n")))
-    stars = meetings.where((F.col("c1") != F.col("head")) & could_link(F.col("n"), F.col("head_n"), percent))
-    tried = staged(stars.select(F.col("head").alias("a"), F.col("c1").alias("b")).distinct())
+    met = cells.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    meetings = staged(cells.join(met, "key"))
+    company = meetings.groupBy("c1").agg(F.sum("size").alias("company"))
+    placed = staged(meetings.join(company, "c1"))
+    heads = placed.groupBy("key").agg(F.max(F.struct("company", "c1", "n")).alias("head"))
+    stars = placed.join(heads, "key").where(F.col("c1") != F.col("head.c1")).groupBy(F.col("head.c1").alias("a"), F.col("c1").alias("b"))
+    stars = staged(stars.agg(F.max("size").alias("size"), F.max("head.n").alias("n_a"), F.max("n").alias("n_b")))
+    tried = stars.where(could_link(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
     named = classes.select("c1", "doc_id")
     wanted = staged(meetings.select("c1").distinct().join(named, "c1"))
-    # One row per class: a repeated id or text adds none.
-    texts = staged(
-        rows.join(small_side(wanted), "doc_id").groupBy("c1").agg(F.first("text").alias("text"))
-        if rows_repeat(full)
-        else rows.join(small_side(wanted), "doc_id").select("c1", "text")
-    )
+    if ids_name_rows(full):
+        texts = staged(rows.join(small_side(wanted), "doc_id").select("c1", "text"))
+    else:
+        texts = staged(class_texts(rows, width).join(small_side(wanted), "c1").groupBy("c1").agg(F.first("text").alias("text")))
     links = staged(confirm(tried, texts, width, percent))
     found = staged(components(links))
 
-    # What the stars could not show: classes that met at a key but are in different components so far.
-    known = meetings.where(F.col("size") > 2).join(found.withColumnRenamed("node", "c1"), "c1", "left").withColumn("component", F.coalesce("component", "c1"))
-    split = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("key")
-    open_rows = staged(known.join(split, "key").select("key", "c1", "n", "component"))
-    left, right = (open_rows.select("key", *[F.col(x).alias(f"{x}_{side}") for x in ("c1", "n", "component")]) for side in "ab")
-    across = left.join(right, "key").where(
-        (F.col("component_a") != F.col("component_b")) & (F.col("c1_a") < F.col("c1_b")) & could_link(F.col("n_a"), F.col("n_b"), percent)
-    )
-    across = across.select(F.col("c1_a").alias("a"), F.col("c1_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = staged(confirm(across, texts, width, percent))
+    hidden = hidden_pairs(stars.where(F.col("size") > 2).select("a", "b"), found, texts, width, percent)
+    more = staged(confirm(hidden.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts, width, percent))
     if not more.isEmpty():
         found = staged(components(links.unionAll(more)))
 
@@ -167,9 +211,18 @@ def near_duplicates(
     )
 
 
-def rows_repeat(full: DataFrame) -> bool:
-    """Does any id stand on several rows?"""
-    return not full.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty()
+def ids_name_rows(full: DataFrame) -> bool:
+    """Does every row have an id of its own? Then an id finds the text of a class; otherwise the text must be named again."""
+    return full.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty()
+
+
+def class_texts(rows: DataFrame, width: int) -> DataFrame:
+    def work(cols):
+        sets = [shingle_set(t, width) for t in cols["text"]]
+        names = [int(np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), dtype=np.int64)[0]) if len(x) else None for x in sets]
+        return {"c1": names, "text": cols["text"]}
+
+    return arrow_map(rows.select("text"), work, "c1 long, text string").where(F.col("c1").isNotNull())
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
