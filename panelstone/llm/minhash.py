@@ -126,37 +126,77 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
 
 def hidden_pairs(stars: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of members of one star, in different components, that may still be linked.
+    """Pairs of members of one star (its head included), in different components, that may still be linked.
 
-    With head A, |X ^ M| = dX + dM - 2 * o, where dX, dM are the members' differences from A and o what these have in common. A link
-    needs |X ^ M| <= k * (|X| + |M|), k = (100 - percent) / (100 + percent). X, in another component than A, has dX > k * (|X| + |A|).
-    Hence o > v = (dM - k * (|M| - |A|)) / 2, and any dM - floor(v) differences of M hold one of X's. Those that M adds to A come first:
-    they are the rare ones.
+    Measured from any set C, |X ^ M| = dX + dM - 2 * o, where dX, dM count the members' differences from C and o those they have in
+    common. A link means |X ^ M| <= k * (|X| + |M|), k = (100 - percent) / (100 + percent), so with sX = dX - k * |X| it means
+    o >= (sX + sM) / 2. C is what most of a few dozen members contain; H is the member of least s.
+
+    * Every member is compared with H. That covers all pairs with sX + sM <= 0.
+    * Otherwise one of a pair, X, is not linked to H, so sX > -sH and o > (sM - sH) / 2: any dM - floor((sM - sH) / 2) differences of M
+      hold one of X's. What M has beyond C comes first, being rare. Where a pair shares none of that, all of o was lost by both, and
+      o is at most the losses of either; such a match counts only if that leaves room for o >= (sX + sM) / 2.
     """
     part = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}"))
-    member = stars.join(part("a"), "a", "left").join(part("b"), "b", "left")
-    member = member.select("a", "b", F.coalesce("in_a", "a").alias("in_a"), F.coalesce("in_b", "b").alias("in_b"))
-    several = member.groupBy("a").agg(F.min("in_b").alias("low"), F.max("in_b").alias("high"))
-    rows = beside(member.join(several.where(F.col("low") < F.col("high")).select("a"), "a"), texts)
-
-    def work(cols):
-        out = {x: [] for x in ("a", "b", "part", "n", "apart", "all", "some")}
-        heads = Sets(width)
-        for a, b, in_a, in_b, text_a, text_b in zip(*[cols[x] for x in ("a", "b", "in_a", "in_b", "text_a", "text_b")], strict=True):
-            own, other = heads.of(a, text_a), shingle_set(text_b, width)
+    member = stars.join(part("b"), "b", "left").select("a", "b", F.coalesce("in_b", "b").alias("part"))
+    heads = stars.select("a").distinct().join(part("a"), "a", "left").select("a", F.col("a").alias("b"), F.coalesce("in_a", "a").alias("part"))
+    member = staged(member.unionAll(heads))
+    several = member.groupBy("a").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size"))
+    rows = beside(member.join(several.where((F.col("low") < F.col("high")) & (F.col("size") > 2)).select("a", "size"), "a"), texts)
+
+    def differences(cols):
+        out = {x: [] for x in ("a", "b", "part", "size", "n", "added", "lost")}
+        sets = Sets(width)
+        for a, b, group, size, text_a, text_b in zip(*[cols[x] for x in ("a", "b", "part", "size", "text_a", "text_b")], strict=True):
+            own, other = sets.of(a, text_a), shingle_set(text_b, width)
             added, lost = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
-            differences = np.concatenate([added, lost]).view(np.int64)
-            twice_v = len(differences) * (100 + percent) - (100 - percent) * (len(other) - len(own))
-            some = len(differences) - twice_v // (2 * (100 + percent))
-            for name, value in zip(out, (a, b, in_b, len(other), in_a != in_b, differences if in_a != in_b else [], differences[:some]), strict=True):
+            for name, value in zip(out, (a, b, group, size, len(other), added.view(np.int64), lost.view(np.int64)), strict=True):
                 out[name].append(value)
         return out
 
-    told = staged(arrow_map(rows, work, "a long, b long, part long, n long, apart boolean, all array<long>, some array<long>", rows=64))
-    x = told.where("apart").select("a", F.explode("all").alias("sign"), F.col("b").alias("x"), F.col("part").alias("part_x"), F.col("n").alias("n_x"))
-    m = told.select("a", F.explode("some").alias("sign"), F.col("b").alias("m"), F.col("part").alias("part_m"), F.col("n").alias("n_m"))
-    met = x.join(m, ["a", "sign"]).where((F.col("part_x") != F.col("part_m")) & could_link(F.col("n_x"), F.col("n_m"), percent))
-    return met.select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct()
+    told = staged(arrow_map(rows, differences, "a long, b long, part long, size long, n long, added array<long>, lost array<long>", rows=64))
+    # Any C is right; a good one keeps the next step small. A star's sample is bounded, whatever its size.
+    few = told.where(F.pmod(F.xxhash64("b"), F.col("size")) < 48)
+    votes = few.groupBy("a").agg(F.count(F.lit(1)).alias("votes"))
+    turned = votes
+    for column in ("added", "lost"):
+        counts = few.select("a", F.explode(column).alias("sign")).groupBy("a", "sign").count().join(votes, "a").where(F.col("count") * 2 > F.col("votes"))
+        turned = turned.join(counts.groupBy("a").agg(F.collect_list("sign").alias(f"turned_{column}")), "a", "left")
+
+    def recentred(cols):
+        out = {x: [] for x in ("a", "id", "part", "n", "s", "plus", "gone")}
+        ints = lambda x: np.array(x if x is not None else [], dtype=np.int64)
+        for a, b, group, n, added, lost, now_in, now_out in zip(
+            *[cols[x] for x in ("a", "b", "part", "n", "added", "lost", "turned_added", "turned_lost")], strict=True
+        ):
+            added, lost, now_in, now_out = ints(added), ints(lost), ints(now_in), ints(now_out)
+            plus = np.concatenate([np.setdiff1d(added, now_in), np.setdiff1d(now_out, lost)])
+            gone = np.concatenate([np.setdiff1d(lost, now_out), np.setdiff1d(now_in, added)])
+            s = (len(plus) + len(gone)) * (100 + percent) - (100 - percent) * n
+            for name, value in zip(out, (a, b, group, n, s, plus, gone), strict=True):
+                out[name].append(value)
+        return out
+
+    schema = "a long, id long, part long, n long, s long, plus array<long>, gone array<long>"
+    drawn = staged(arrow_map(told.join(turned, "a", "left"), recentred, schema))
+    heads = drawn.groupBy("a").agg(F.min(F.struct("s", "id", "part", "n")).alias("h"))
+    drawn = drawn.join(heads, "a")
+    apart = F.col("part") != F.col("h.part")
+    near_head = drawn.where(apart & could_link(F.col("n"), F.col("h.n"), percent)).select(F.col("h.id").alias("x"), F.col("id").alias("m"))
+
+    every = F.concat("plus", "gone")
+    some = F.size(every) - F.floor((F.col("s") - F.col("h.s")) / (2 * (100 + percent))).cast("int")
+    named = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "part", "n", "s")] + [F.size("gone").alias(f"gone_{x}"), F.size("plus").alias(f"plus_{x}")]
+    x = drawn.where(apart).select("a", F.explode(every).alias("sign"), *named("x"))
+    m = drawn.select(F.col("a").alias("a_m"), F.posexplode(F.slice(every, F.lit(1), some)).alias("place", "sign_m"), *named("m"))
+    room = F.col("s_x") + F.col("s_m") <= F.least("gone_x", "gone_m") * (2 * (100 + percent))
+    met = x.join(
+        m,
+        (F.col("a") == F.col("a_m")) & (F.col("sign") == F.col("sign_m")) & (F.col("part_x") != F.col("part_m"))
+        & could_link(F.col("n_x"), F.col("n_m"), percent) & ((F.col("place") < F.col("plus_m")) | room),
+    )
+    pairs = met.select(F.col("id_x").alias("x"), F.col("id_m").alias("m")).unionAll(near_head)
+    return pairs.select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct()
 
 
 def near_duplicates(
