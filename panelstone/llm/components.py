@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelstone.llm.common import staged
+from panelstone.session import stacked
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -14,7 +15,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     Neighbours of a hot node combine map-side into one minimum; the list of neighbours is never collected.
     """
     if large:
-        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).transform(stacked, links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         both = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -23,7 +24,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = met.where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-        out = out.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        out = out.transform(stacked, least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
@@ -46,6 +47,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).transform(stacked, 
         links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from panelstone.llm.common import arrow_map, mix, pick, shingle_hashes, small_side, staged
 from panelstone.llm.components import components
+from panelstone.session import stacked
 
 CIRCLE_BITS = 20
 BANDS, BAND_ROWS = 40, 5
@@ -140,7 +141,7 @@ def hidden_pairs(stars: DataFrame, found: DataFrame, texts: DataFrame, width: in
     part = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}"))
     member = stars.join(part("b"), "b", "left").select("a", "b", F.coalesce("in_b", "b").alias("part"))
     heads = stars.select("a").distinct().join(part("a"), "a", "left").select("a", F.col("a").alias("b"), F.coalesce("in_a", "a").alias("part"))
-    member = staged(member.unionAll(heads))
+    member = staged(member.transform(stacked, heads))
     several = member.groupBy("a").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size"))
     rows = beside(member.join(several.where((F.col("low") < F.col("high")) & (F.col("size") > 2)).select("a", "size"), "a"), texts)
 
@@ -195,7 +196,7 @@ def hidden_pairs(stars: DataFrame, found: DataFrame, texts: DataFrame, width: in
         (F.col("a") == F.col("a_m")) & (F.col("sign") == F.col("sign_m")) & (F.col("part_x") != F.col("part_m"))
         & could_link(F.col("n_x"), F.col("n_m"), percent) & ((F.col("place") < F.col("plus_m")) | room),
     )
-    pairs = met.select(F.col("id_x").alias("x"), F.col("id_m").alias("m")).unionAll(near_head)
+    pairs = met.select(F.col("id_x").alias("x"), F.col("id_m").alias("m")).transform(stacked, near_head)
     return pairs.select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct()
 
 
@@ -238,7 +239,7 @@ def near_duplicates(
     hidden = hidden_pairs(stars.where(F.col("size") > 2).select("a", "b"), found, texts, width, percent)
     more = staged(confirm(hidden.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts, width, percent))
     if not more.isEmpty():
-        found = staged(components(links.unionAll(more)))
+        found = staged(components(links.transform(stacked, more)))
 
     grouped = named.join(found.withColumnRenamed("node", "c1"), "c1", "left").withColumn("component", F.coalesce("component", "c1"))
     ids = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -277,4 +278,4 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     if twice.isEmpty():
         return out
     same = F.col(f"`{id_col}`") == F.col("_twice")
-    return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return out.join(twice, same, "left_anti").transform(stacked, out.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelstone.llm.common import table
 from panelstone.llm.minhash import near_duplicates
+from panelstone.llm.packing import pack
+from panelstone.llm.pii import find_pii
+from panelstone.llm.recompression import remove_repeats
 from panelstone.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +52,31 @@ m AS (SELECT node, min(seen) AS low FROM k GROUP BY node)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(low, doc_id) AS component_id, coalesce(low, doc_id) = doc_id AS kept
 FROM s LEFT JOIN m ON node = doc_id
 """
+
+
+@query
+def op4_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"), window=35).drop("kept_text")
+
+
+ORACLES["op4_repeated_passages"] = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+s AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN array_to_string(ws[i:i + 34], ' ') END AS win FROM p),
+r AS (SELECT win FROM s WHERE win IS NOT NULL GROUP BY win HAVING count(*) > 1),
+f AS (SELECT doc_id, i, word, max(CASE WHEN r.win IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS 34 PRECEDING) AS gone
+      FROM s LEFT JOIN r ON s.win = r.win),
+g AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM f GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
+@query
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return find_pii(table(spark, folder, "documents"))
+
+
+@query
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"))
