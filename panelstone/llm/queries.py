@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelstone.llm.common import table
+from panelstone.llm.decontamination import contamination
 from panelstone.llm.minhash import near_duplicates
 from panelstone.llm.packing import pack
 from panelstone.llm.pii import find_pii
 from panelstone.llm.recompression import remove_repeats
 from panelstone.llm.token_counts import token_counts
+from panelstone.llm.toxicity import score, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +82,31 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
+
+
+@query
+def op7_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op7_benchmark_passages"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark),
+dg AS (SELECT doc_id, len(ws) AS n, unnest(range(0, len(ws) - 4)) AS p, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM d WHERE len(ws) >= 5),
+bg AS (SELECT item_id, len(ws) AS size, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM b WHERE len(ws) >= 5),
+bt AS (SELECT item_id, size, g, count(*) AS here FROM bg GROUP BY ALL),
+h AS (SELECT DISTINCT doc_id, n, p, item_id, size FROM dg JOIN bt USING (g)),
+w AS (SELECT DISTINCT doc_id, n, item_id, size, unnest(range(greatest(0, least(p - size + 5, n - size)), greatest(0, least(p, n - size)) + 1)) AS s FROM h),
+c AS (SELECT w.doc_id, item_id, size, s, least(n, size) - 4 AS grams, size - 4 AS item_grams, sum(least(there, here)) AS shared
+      FROM (SELECT w.doc_id, w.n, w.item_id, w.size, s, g, count(*) AS there FROM w JOIN dg ON dg.doc_id = w.doc_id AND p BETWEEN s AND s + size - 5 GROUP BY ALL) w
+      JOIN bt USING (item_id, size, g) GROUP BY ALL),
+k AS (SELECT doc_id, item_id, size, s, shared / (grams + item_grams - shared) AS sim FROM c WHERE shared * 100 >= 80 * (grams + item_grams - shared))
+SELECT doc_id, item_id, CAST(max(sim) AS DOUBLE) AS similarity, CAST(arg_min(s, struct_pack(a := -sim, b := s)) AS BIGINT) AS start,
+       CAST(size AS BIGINT) AS size, count(*) AS n_windows FROM k GROUP BY doc_id, item_id, size
+"""
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return score(docs, train(docs, table(spark, folder, "labels")))
