@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelstone.llm.common import table
 from panelstone.llm.decontamination import contamination
+from panelstone.llm.language import identify
+from panelstone.llm.language import train as train_language
+from panelstone.llm.licenses import scan_licenses
 from panelstone.llm.minhash import near_duplicates
 from panelstone.llm.packing import pack
+from panelstone.llm.permutation_index import nearest
 from panelstone.llm.pii import find_pii
 from panelstone.llm.recompression import remove_repeats
 from panelstone.llm.token_counts import token_counts
@@ -110,3 +114,19 @@ SELECT doc_id, item_id, CAST(max(sim) AS DOUBLE) AS similarity, CAST(arg_min(s,
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return score(docs, train(docs, table(spark, folder, "labels")))
+
+
+@query
+def op3_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
+
+
+@query
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents"))
+
+
+@query
+def op9_page_language(spark: SparkSession, folder: str) -> DataFrame:
+    model = train_language(table(spark, folder, "documents"))
+    return identify(table(spark, folder, "pages"), model)
