@@ -63,15 +63,15 @@ def block_bounds(blocks: int) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:], strict=False))
 
 
-def block_values(print_: Column, blocks: int, flips: int) -> Column:
-    """Array of ``block, value``: each block of a fingerprint, with every choice of up to ``flips`` bits turned."""
-    cells = []
-    for k, (low, high) in enumerate(block_bounds(blocks)):
-        value = F.shiftrightunsigned(print_, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
-        for n in range(flips + 1):
-            for bits in combinations(range(high - low), n):
-                cells.append(F.struct(F.lit(k).alias("block"), value.bitwiseXOR(F.lit(sum(1 << b for b in bits)).cast("long")).alias("value")))
-    return F.array(*cells)
+def block_values(rows: DataFrame, blocks: int, flips: int) -> DataFrame:
+    """Add ``block, value``: each block of ``print``, with every choice of up to ``flips`` bits turned. The choices are one literal."""
+    cells = [
+        F.struct(F.lit(k).alias("block"), F.lit(low).alias("low"), F.lit((1 << (high - low)) - 1).cast("long").alias("ones"), F.lit(sum(1 << b for b in bits)).cast("long").alias("turn"))
+        for k, (low, high) in enumerate(block_bounds(blocks)) for n in range(flips + 1) for bits in combinations(range(high - low), n)
+    ]
+    every = rows.withColumn("b", F.explode(F.array(*cells)))
+    value = F.expr("shiftrightunsigned(print, b.low)").bitwiseAND(F.col("b.ones")).bitwiseXOR(F.col("b.turn"))
+    return every.select(*rows.columns, F.col("b.block").alias("block"), value.alias("value"))
 
 
 def contamination(
@@ -133,9 +133,8 @@ def _contained(rows: DataFrame, bench: DataFrame, width: int, percent: int, radi
     windows = staged(fingerprint(spread, "key", "size", "start"))
 
     asked = fingerprint(grams, "item", "size")
-    index = asked.select("item", "size", F.col("print").alias("item_print"), F.col("grams").alias("item_grams"), F.explode(block_values(F.col("print"), blocks, radius // blocks)).alias("b"))
-    index = index.select("item", "size", "item_print", "item_grams", "b.block", "b.value")
-    probes = windows.select("key", "size", "start", "print", "grams", F.explode(block_values(F.col("print"), blocks, 0)).alias("b")).select("*", "b.block", "b.value").drop("b")
+    index = block_values(asked.select("item", "size", "print", F.col("grams").alias("item_grams")), blocks, radius // blocks).withColumnRenamed("print", "item_print")
+    probes = block_values(windows, blocks, 0)
     near = probes.join(
         index,
         (probes["size"] == index["size"]) & (probes["block"] == index["block"]) & (probes["value"] == index["value"])

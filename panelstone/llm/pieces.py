@@ -13,7 +13,7 @@ from functools import lru_cache
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Longest chunk that is remembered, and how many are.
-REMEMBER_CHARS, REMEMBER = 48, 500_000
+REMEMBER_CHARS, REMEMBER = 48, 800_000
 
 _TWO_SPACES = re.compile(r"\s\s")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -28,11 +28,14 @@ class Memory(dict):
     def __missing__(self, chunk: str):
         out = self.work(chunk)
         if len(chunk) <= REMEMBER_CHARS:
-            if len(self) >= self.size:
-                self.clear()
-            self[chunk] = out
+            self.keep(chunk, out)
         return out
 
+    def keep(self, chunk: str, out) -> None:
+        if len(self) >= self.size:
+            self.clear()
+        self[chunk] = out
+
 
 @lru_cache(maxsize=1)
 def piece_pattern():

@@ -3,7 +3,7 @@
 Plain spans are found on the text itself. Then transducers rewrite the text: look-alike letters and digits become the plain ones,
 invisible characters vanish, spelled digits become digits, and spelled or bracketed "at" and "dot" become ``@`` and ``.``. Each keeps,
 for every character it writes, where that character came from. What is found in the rewritten text is mapped back through these
-offsets and added where it touches no plain span of its kind. All searches are linear in the text.
+offsets and added unless a plain span of its kind already holds it. All searches are linear in the text.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -42,6 +43,8 @@ _SPELLED = re.compile(rf"\b(?:plus[ -])?(?:{_SPELLED_WORD})(?:[ ,-]{{1,2}}(?:{_S
 _SPELLED_PART = re.compile(rf"plus|{_SPELLED_WORD}|[ ,-]+", re.IGNORECASE)
 _MARK_AT = r"(?: ?[\[({<] ?(?:at|@) ?[\])}>] ?| at | AT )"
 _MARK_DOT = r"(?: ?[\[({<] ?(?:dot|\.) ?[\])}>] ?| dot | DOT )"
+_BRACKET_AT = re.compile(r"[\[({<] ?(?:at|@) ?[\])}>]")
+_BARE_DOT = re.compile(r"[ \[({<](?:dot|DOT)[ \])}>]")
 # An address whose marks are spelled or bracketed; the bare word "at" counts only where a "dot" follows the next word.
 _ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_MARK_AT}[A-Za-z0-9-]{{1,63}}(?:(?:{_MARK_DOT}|\.)[A-Za-z0-9-]{{1,63}})+")
 _MARK = re.compile(rf"({_MARK_AT})|({_MARK_DOT})", re.IGNORECASE)
@@ -62,8 +65,8 @@ def single_forms() -> dict[int, str]:
 
 
 @lru_cache(maxsize=1)
-def odd_characters() -> re.Pattern:
-    return re.compile("[" + "".join(map(re.escape, map(chr, sorted(single_forms())))) + "]")
+def odd_characters() -> frozenset[str]:
+    return frozenset(map(chr, single_forms()))
 
 
 def luhn(digits: str) -> bool:
@@ -143,15 +146,18 @@ class Rewritten:
 def look_alikes(r: Rewritten) -> bool:
     if r.text.isascii():
         return False
-    forms = single_forms()
-    edits = [(m.start(), m.end(), forms[ord(m.group())]) for m in odd_characters().finditer(r.text)]
-    if edits:
-        r.replace(edits)
-    return bool(edits)
+    if odd_characters().isdisjoint(r.text):
+        return False
+    odd, forms = odd_characters(), single_forms()
+    r.replace([(i, i + 1, forms[ord(x)]) for i, x in enumerate(r.text) if x in odd])
+    return True
 
 
 def spelled_digits(r: Rewritten) -> bool:
     edits = []
+    # The inner words of a run of four stand between separators, so splitting at these shows one of them.
+    if DIGIT_WORDS.keys().isdisjoint(r.text.lower().replace("-", " ").replace(",", " ").split()):
+        return False
     for m in _SPELLED.finditer(r.text):
         for part in _SPELLED_PART.finditer(r.text, m.start(), m.end()):
             word = part.group().lower()
@@ -163,7 +169,7 @@ def spelled_digits(r: Rewritten) -> bool:
 
 def spelled_marks(r: Rewritten) -> bool:
     edits = []
-    if re.search(r"(?i)at|@", r.text) and re.search(r"(?i)dot|\.", r.text):
+    if _BRACKET_AT.search(r.text) or (("dot" in r.text or "DOT" in r.text) and _BARE_DOT.search(r.text)):
         for m in _ADDRESS.finditer(r.text):
             marks = list(_MARK.finditer(r.text, m.start(), m.end()))
             bare = marks and marks[0].group().strip().isalpha()
@@ -185,16 +191,15 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
     found = [(start, KINDS.index(kind), end, kind) for start, end, kind in base]
     for start, stop, kind in plain_spans(r.text):
         a, b = r.source(start, stop)
-        if not _touches(held[kind], a, b):
+        if not _holds(held[kind], a, b):
             found.append((a, KINDS.index(kind), b, kind))
     return base, [(start, end, kind) for start, _, end, kind in sorted(found)]
 
 
-def _touches(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    from bisect import bisect_left
-
-    i = bisect_left(spans, (b, -1))
-    return i > 0 and spans[i - 1][1] > a
+def _holds(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Does one of the disjoint, ordered spans hold ``a:b``?"""
+    i = bisect_right(spans, (a, float("inf")))
+    return i > 0 and spans[i - 1][1] >= b
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:
