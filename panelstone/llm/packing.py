@@ -13,9 +13,8 @@ The plan is a bounded table of slots: of the pieces of one length, those ranked
 
 from __future__ import annotations
 
-import sys
+import json
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,85 +22,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstone.llm.common import arrow_map, pick, staged
-from panelstone.llm.pieces import REMEMBER, REMEMBER_CHARS, Memory, chunks_of, segments_of
-from panelstone.llm.token_counts import TOKENIZER, tokenizer_path
+from panelstone.llm.pieces import PATTERN
+from panelstone.llm.token_counts import TOKENIZER, byte_alphabet, tokenizer_path
 
 SEQUENCE, END_ID, SALTS = 2048, 1, 64
 # Combinations offered to the solver for each length, and its rounds.
 PARTNERS, ROUNDS = 6, 200
 
 
-MARKS = frozenset(",.;:!?")
-
+class Encoder:
+    """Token ids of texts as little-endian 32-bit bytes.
 
-def id_bytes(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+    The vocabulary and its special string are read from the tokenizer's own file; ``tiktoken`` applies them, with the same ids (tested)
+    in a quarter of the time.
+    """
 
+    def __init__(self, path: str):
+        import tiktoken
 
-class Encoder:
-    """Token ids of a text as little-endian 32-bit bytes; frequent chunks are remembered."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte = {c: b for b, c in byte_alphabet().items()}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
-    def __init__(self, path: str):
-        import os
-
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark decides how many cores a task has
-        self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        if len(added) > 1:
-            raise ValueError("one special string at most is supported")
-        self.special_id, token = next(iter(added.items()), (None, None))
-        self.special = token.content if token else None
-        self.chunks = Memory(lambda rest: self.chunk(rest, True))
-        self.openings = Memory(lambda chunk: self.chunk(chunk, False), REMEMBER // 5)
-
-    def ids(self, chunk: str) -> bytes:
-        return id_bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-
-    def chunk(self, chunk: str, space: bool) -> bytes:
-        """A chunk, after a space or not. Letters, a mark after them and a line end between two chunks are pieces of their own."""
-        first, line, rest = chunk.partition("\n")
-        if line and first and rest and not first[-1].isspace() and not rest[0].isspace():
-            return (self.chunks if space else self.openings)[first] + self.openings["\n"] + self.openings[rest]
-        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
-            return (self.chunks if space else self.openings)[chunk[:-1]] + self.openings[chunk[-1]]
-        return self.ids(" " + chunk if space else chunk)
-
-    def learn(self, chunks: list[str]) -> None:
-        """Put plain new words into memory by batch calls, far cheaper than a call for each."""
-        spaced, bare = set(), set()
-        for chunk in chunks:
-            first, *rest = chunk.split("\n")
-            spaced.add(first[:-1] if first[-1:] in MARKS else first)
-            bare.update(x[:-1] if x[-1:] in MARKS else x for x in rest)
-        for words, memory, before in ((spaced, self.chunks, " "), (bare, self.openings, "")):
-            new = [w for w in words if w.isalpha() and len(w) <= REMEMBER_CHARS and w not in memory]
-            for w, found in zip(new, self.tokenizer.encode_batch_fast([before + w for w in new], add_special_tokens=False), strict=True):
-                memory.keep(w, id_bytes(found.ids))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, cut, missing = self.chunks.get, [], []
-        for text in texts:
-            parts = []
-            for segment in segments_of(text, self.special):
-                first, rest = chunks_of(segment)
-                found = list(map(known, rest))  # one look for each chunk
-                gaps = [i for i, x in enumerate(found) if x is None] if None in found else ()
-                missing += [rest[i] for i in gaps]
-                parts.append((first, rest, found, gaps))
-            cut.append(parts)
-        if missing:
-            self.learn(missing)
-        between = id_bytes([self.special_id or 0])
-        for parts in cut:
-            for _, rest, found, gaps in parts:
-                for i in gaps:
-                    found[i] = self.chunks[rest[i]]
-        return [between.join(self.openings[first] + b"".join(found) for first, _, found, _ in parts) for parts in cut]
+    def encode(self, text: str) -> bytes:
+        return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -112,13 +59,13 @@ def encoder(path: str) -> Encoder:
 def cut_pieces(rows: DataFrame, sequence: int, path: str | None) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` for every piece, in one pass."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    end = id_bytes([END_ID])
+    end = np.array([END_ID], dtype="<u4").tobytes()
 
     def work(cols):
         own = encoder(path or tokenizer_path(TOKENIZER))
         out = {x: [] for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-        for doc_id, ids in zip(cols["doc_id"], own.encode([t or "" for t in cols["text"]]), strict=True):
-            ids = ids + end
+        for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
+            ids = (own.encode(text) if text else b"") + end
             n = len(ids) // 4
             for start in range(0, n, sequence):
                 length = min(sequence, n - start)
