@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from panelstone.session import cut_lineage
 
-# A side of a join is broadcast up to this many (narrow) rows, counted beforehand; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+# A side of a join is broadcast up to this many rows of a few numbers each, counted beforehand; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 # Rows turned into Python objects at a time.
 SLICE_ROWS = 256
 

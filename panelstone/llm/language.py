@@ -141,7 +141,7 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
     rates = F.array(*[F.log((F.col(c) + 1.0) / (F.col(f"all_{c}") + kinds)) for c in cells])
     marks = marks.crossJoin(F.broadcast(sums)).select("declared", rates.alias("mark"))  # languages + 1 rows against one
 
-    joined = told.join(small_side(staged(hosts)), "host", "left").join(F.broadcast(marks), "declared", "left").crossJoin(F.broadcast(everywhere))
+    joined = told.join(small_side(staged(hosts), 100_000), "host", "left").join(F.broadcast(marks), "declared", "left").crossJoin(F.broadcast(everywhere))
     own = lambda i: F.when(F.col("triples") > 0, F.col("soft")[i]).otherwise(0.0)
     left = [F.greatest(F.coalesce(F.col("seen")[i], F.lit(0.0)) - own(i), F.lit(0.0)) for i in range(len(langs))]
     base = [F.coalesce(F.col("p_domain")[i], F.col("p_all")[i]) for i in range(len(langs))]

@@ -37,6 +37,8 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
     "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
+# Address suffixes that make a bare "at ... dot ..." an address rather than prose.
+SUFFIXES = frozenset("com org net edu gov info biz io dev app example test de fr es uk it nl at ch eu us ca".split())
 # A run of at least four number words: shorter ones are ordinary prose.
 _SPELLED_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"\b(?:plus[ -])?(?:{_SPELLED_WORD})(?:[ ,-]{{1,2}}(?:{_SPELLED_WORD})){{3,}}\b", re.IGNORECASE)
@@ -173,7 +175,7 @@ def spelled_marks(r: Rewritten) -> bool:
         for m in _ADDRESS.finditer(r.text):
             marks = list(_MARK.finditer(r.text, m.start(), m.end()))
             bare = marks and marks[0].group().strip().isalpha()
-            if bare and not any(x.group(2) for x in marks):
+            if bare and (not any(x.group(2) for x in marks) or m.group().rpartition(marks[-1].group())[2].lower() not in SUFFIXES):
                 continue
             edits += [(*x.span(), "@" if x.group(1) else ".") for x in marks]
     if edits:

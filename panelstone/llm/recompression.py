@@ -229,7 +229,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return {"key": [sequence_key(words_of(t)) for t in cols["text"]], "text": cols["text"]}
 
     texts = arrow_map(rows.select("text"), keyed, "key long, text string")
-    touched = staged(texts.join(small_side(spans), "key"))
+    # Texts without a span stay behind before the shuffle while the keys alone are few.
+    touched = staged(texts.join(small_side(spans.select("key")), "key", "left_semi").join(spans, "key"))
 
     def windows(cols):
         out = {x: [] for x in ("w1", "w2", "key", "at", "ask")}
