@@ -1,8 +1,8 @@
 """Point-in-time assembly of reported facts.
 
 A fact is (company, concept, start, end, filed, available_at, value, accession, tag_rank); an instant has no start. What was known
-on a date is rebuilt for every date on which something became available, but each such date only meets the facts of its own
-trailing years, through an equi-join on calendar year. The work is therefore linear in the facts.
+on a date is rebuilt for every date on which something became available, from everything that its company had reported on that
+concept by then: no period is too old to be restated or to be subtracted from a later one.
 """
 
 from __future__ import annotations
@@ -17,9 +17,6 @@ CHAIN_SLACK = 4
 SLICE_MIN, SLICE_MAX = 20, 400
 MAX_PIECES = 8
 SCALE_FACTOR, SCALE_MIN_FACTS, SCALE_SIDE, SCALE_MIN_SIDE = 50.0, 6, 4, 3
-# How far back from the newest known period end a trailing year and the cuts it is differenced from can reach.
-TRAILING_DAYS = 1500
-
 KEY = ["company_id", "concept"]
 
 
@@ -106,16 +103,14 @@ def _best() -> Column:
     return F.struct(F.col("filed"), (-F.col("tag_rank")).alias("preference"), F.col("accession"))
 
 
-def known_periods(facts: DataFrame, trailing_days: int = TRAILING_DAYS) -> DataFrame:
-    """For every knowledge date: the value then known for each trailing duration period."""
+def known_periods(facts: DataFrame) -> DataFrame:
+    """For every knowledge date: the value then known for each duration period, however old.
+
+    A concept of a company has a few periods a year, so the dates and facts that meet here are bounded by its reporting calendar.
+    """
     spans = facts.where(F.col("start").isNotNull())
-    dates = knowledge_dates(spans)
-    years = F.sequence(F.year(F.date_sub("newest_end", trailing_days)), F.year("newest_end"))
-    asked = dates.withColumn("_year", F.explode(years))
-    placed = spans.withColumn("_year", F.year("end"))
-    met = asked.join(placed, [*KEY, "_year"]).where(
-        (F.col("available_at") <= F.col("as_of")) & (F.col("end") >= F.date_sub("newest_end", trailing_days))
-    )
+    asked = knowledge_dates(spans).select(*KEY, "as_of")
+    met = asked.join(spans, KEY).where(F.col("available_at") <= F.col("as_of"))
     values = F.struct("value", "available_at", "accession", "tag_rank")
     return met.groupBy(*KEY, "as_of", "start", "end").agg(F.max_by(values, _best()).alias("_v")).select(*KEY, "as_of", "start", "end", "_v.*")
 

@@ -100,36 +100,33 @@ def _(t):
     return P.flag_scale_outliers(facts(t)).select("company_id", "concept", "start", "end", "filed", "accession", "scale_outlier")
 
 
-@query("pit3_known_values", f"{{{{with kn}}}} SELECT company_id, concept, d AS as_of, s AS start, e AS \"end\", {R('value', 5)} AS value FROM kn WHERE e >= (SELECT max(e) FROM fc f WHERE f.company_id = kn.company_id AND f.concept = kn.concept AND f.av <= kn.d AND f.s IS NOT NULL) - 1500")
+@query("pit3_known_values", f"{{{{with kn}}}} SELECT company_id, concept, d AS as_of, s AS start, e AS \"end\", {R('value', 5)} AS value FROM kn")
 def _(t):
     known = P.known_periods(clean_facts(t).where("aggregation = 'sum'"))
     return rounded(known.select("company_id", "concept", "as_of", "start", "end", "value"), 5)
 
 
-@query("pit4_decompose", f"{{{{with sl}}}} SELECT company_id, concept, d AS as_of, s AS start, e AS \"end\", {R('value', 5)} AS value, av AS available_at FROM sl WHERE e >= (SELECT max(e) FROM fc f WHERE f.company_id = sl.company_id AND f.concept = sl.concept AND f.av <= sl.d AND f.s IS NOT NULL) - 800")
+@query("pit4_decompose", f"{{{{with sl}}}} SELECT company_id, concept, d AS as_of, s AS start, e AS \"end\", {R('value', 5)} AS value, av AS available_at FROM sl")
 def _(t):
     known = P.known_periods(clean_facts(t).where("aggregation = 'sum'"))
-    newest = known.groupBy("company_id", "concept", "as_of").agg(F.max("end").alias("_n"))
-    out = P.decompose(known, ["company_id", "concept", "as_of"]).join(newest, ["company_id", "concept", "as_of"])
-    return rounded(out.where(F.col("end") >= F.date_sub("_n", 800)).select("company_id", "concept", "as_of", "start", "end", "value", "available_at"), 5)
+    out = P.decompose(known, ["company_id", "concept", "as_of"])
+    return rounded(out.select("company_id", "concept", "as_of", "start", "end", "value", "available_at"), 5)
 
 
-@query("pit5_shortest_by_end", f"{{{{with se}}}} SELECT company_id, concept, d AS as_of, e AS \"end\", p.s AS start, {R('p.v', 5)} AS value FROM se WHERE e >= (SELECT max(e) FROM fc f WHERE f.company_id = se.company_id AND f.concept = se.concept AND f.av <= se.d AND f.s IS NOT NULL) - 800")
+@query("pit5_shortest_by_end", f"{{{{with se}}}} SELECT company_id, concept, d AS as_of, e AS \"end\", p.s AS start, {R('p.v', 5)} AS value FROM se")
 def _(t):
     scope = ["company_id", "concept", "as_of"]
     known = P.known_periods(clean_facts(t).where("aggregation = 'sum'"))
-    newest = known.groupBy(*scope).agg(F.max("end").alias("_n"))
-    out = P.shortest_by_end(P.decompose(known, scope), scope).join(newest, scope).where(F.col("end") >= F.date_sub("_n", 800))
+    out = P.shortest_by_end(P.decompose(known, scope), scope)
     return rounded(out.select(*scope, "end", "start", "value"), 5)
 
 
-@query("pit6_find_preceding", "{{with se}} SELECT a.company_id, a.concept, a.d AS as_of, a.e AS \"end\", max(b.e) AS preceding_end FROM se a JOIN se b ON a.company_id = b.company_id AND a.concept = b.concept AND a.d = b.d AND b.e BETWEEN a.p.s - 4 AND a.p.s WHERE a.e >= (SELECT max(e) FROM fc f WHERE f.company_id = a.company_id AND f.concept = a.concept AND f.av <= a.d AND f.s IS NOT NULL) - 300 GROUP BY 1, 2, 3, 4")
+@query("pit6_find_preceding", "{{with se}} SELECT a.company_id, a.concept, a.d AS as_of, a.e AS \"end\", max(b.e) AS preceding_end FROM se a JOIN se b ON a.company_id = b.company_id AND a.concept = b.concept AND a.d = b.d AND b.e BETWEEN a.p.s - 4 AND a.p.s GROUP BY 1, 2, 3, 4")
 def _(t):
     scope = ["company_id", "concept", "as_of"]
     known = P.known_periods(clean_facts(t).where("aggregation = 'sum'"))
-    newest = known.groupBy(*scope).agg(F.max("end").alias("_n"))
-    out = P.preceding(cut_lineage(P.shortest_by_end(P.decompose(known, scope), scope)), scope).join(newest, scope)
-    return out.where(F.col("end") >= F.date_sub("_n", 300)).select(*scope, "end", "preceding_end")
+    out = P.preceding(cut_lineage(P.shortest_by_end(P.decompose(known, scope), scope)), scope)
+    return out.select(*scope, "end", "preceding_end")
 
 
 @query("pit12_catalogue", "{{with ob}} SELECT concept, tag, CAST(tr AS INTEGER) AS tag_rank, count(*) AS facts FROM ob JOIN (VALUES ('revenue', 'Revenues', 2), ('revenue', 'SalesRevenueNet', 3), ('assets', 'Assets', 0)) c(concept, tag, tr) USING (tag) GROUP BY 1, 2, 3")

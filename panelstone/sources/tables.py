@@ -28,8 +28,9 @@ def read(spark: SparkSession, root: str, name: str | TableSpec, required: bool =
     spec = _spec(name)
     try:
         df = scan(spark, root, spec)
-    except AnalysisException:
-        if required:
+    except AnalysisException as exc:
+        # Only a missing path means "no table"; anything else (permissions, a broken file) must not pass for one.
+        if required or exc.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
     return coerce(migrate(df, spec), spec)

@@ -66,3 +66,30 @@ def test_instants_use_the_newest_period_and_levels_are_not_summed(spark):
     levels = [fact(*Q[0], 1000), fact(*Q[1], 1010), fact(Q[0][0], Q[1][1], 1005)]
     out = sorted((r.available_at, r.value) for r in P.latest_level_series(spark.createDataFrame(levels, SCHEMA)).collect())
     assert [v for _, v in out] == [1000.0, 1010.0]
+
+
+def test_a_long_history_keeps_every_slice(spark):
+    """Seven years of year-to-date quarters: every slice is a quarter, and a restatement older than five years still counts."""
+    rows, ends = [], [(3, 31), (6, 30), (9, 30), (12, 31)]
+    for year in range(2012, 2019):
+        rows += [fact(dt.date(year, 1, 1), dt.date(year, *e), 100 * (i + 1)) for i, e in enumerate(ends)]
+    rows.append(fact(dt.date(2012, 1, 1), dt.date(2012, 3, 31), 90, lag=2600))
+    known = P.known_periods(spark.createDataFrame(rows, SCHEMA))
+    newest = known.agg({"as_of": "max"}).first()[0]
+    slices = {(r.start, r.end): r.value for r in P.decompose(known.where(known["as_of"] == newest), ["company_id", "concept", "as_of"]).collect()}
+    assert len(slices) == 28 and max((e - s).days for s, e in slices) < 100
+    assert slices[dt.date(2012, 1, 1), dt.date(2012, 3, 31)] == 90 and slices[dt.date(2012, 9, 30), dt.date(2012, 12, 31)] == 100
+
+
+def test_a_broken_table_is_not_an_absent_one(spark, tmp_path):
+    import pytest
+
+    from panelstone.sources import contracts, tables
+
+    spec = next(iter(contracts.TABLES.values()))
+    assert tables.read(spark, str(tmp_path), spec) is None
+    folder = tmp_path / spec.layer / spec.name
+    folder.mkdir(parents=True)
+    (folder / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        tables.read(spark, str(tmp_path), spec).count()
