@@ -238,11 +238,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             open_spans = [s for s in own if not s["sure"]]
             if open_spans:
                 h = word_hashes(words_of(text))
-                for s in open_spans:
-                    at = np.arange(s["first"], s["last"] + 1)
-                    for which, name in enumerate(("w1", "w2")):
-                        out[name].append(stretch_hashes(h, at, at + window, which).view(np.int64))
-                    out["at"].append(at), out["key"].append(np.full(len(at), key)), out["ask"].append(np.full(len(at), s["ask"]))
+                spread = [np.arange(x["first"], x["last"] + 1) for x in open_spans]
+                at = np.concatenate(spread)
+                for which, name in enumerate(("w1", "w2")):  # one set of running sums for all spans of a text
+                    out[name].append(stretch_hashes(h, at, at + window, which).view(np.int64))
+                out["at"].append(at), out["key"].append(np.full(len(at), key))
+                out["ask"].append(np.repeat([x["ask"] for x in open_spans], [len(x) for x in spread]))
         return {x: np.concatenate(v) for x, v in out.items()} if out["at"] else None
 
     shown = staged(arrow_map(touched, windows, "w1 long, w2 long, key long, at long, ask boolean"))
