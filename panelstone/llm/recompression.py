@@ -5,8 +5,10 @@ symbol's name is a hash of what it stands for, so all tasks agree on names witho
 name in that round, so pairs never overlap. Equal stretches get equal symbols except near their ends, where the surroundings may
 reach in. How far is known exactly for every window: its certain part starts and ends at symbols that nothing outside can change.
 
-1. Every window takes the longest certain symbol of the highest round that has one (ties: largest hash, then leftmost) as its sign.
-   Equal windows therefore have equal signs. Neighbouring windows with one sign symbol form one row: sign, range, hash of its words.
+1. Every window takes the longest certain symbol of the highest round that has one (ties: largest hash, then leftmost). Symbols are
+   short and some recur by chance, so the sign is the symbol with as many words before it as half of what the window has besides, or
+   after it where the window does not reach that far back: a window always holds one of the two. Equal windows therefore have equal
+   signs. Neighbouring windows with one sign at one place form one row: sign, range, hash of its words.
 2. A sign that occurs once rules its windows out. Where all ranges of a sign have the same words, all their windows repeat.
 3. Where they differ, each distinct range is written out by windows, and equal windows are counted by 128-bit hashes.
 4. Words covered by a repeated window go.
@@ -55,16 +57,16 @@ def stretch_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray, which: in
 
 
 def window_signs(h: np.ndarray, fixed: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sign name and sign place for each window start ``0 .. len(h) - window``; ``fixed`` marks separators between texts.
+    """Place, length and round of the symbol of each window start ``0 .. len(h) - window``; ``fixed`` marks separators between texts.
 
-    Windows that hold a separator get some sign too; the caller leaves them out.
+    Windows that hold a separator get some symbol too; the caller leaves them out.
     """
     n = len(h)
     starts = np.arange(n + 1, dtype=np.int64)  # of symbols, with the end
     names, firm = h.copy(), fixed.copy()
     at = starts.copy()  # symbol that starts at a word
     lo, hi = starts[: n - window + 1].copy(), starts[window:].copy()
-    sign, place = np.empty(len(lo), dtype=np.uint64), np.empty(len(lo), dtype=np.int64)
+    place, length = np.empty(len(lo), dtype=np.int64), np.empty(len(lo), dtype=np.int64)
     levels = []
     for step, kind in enumerate(("word", *STEPS)):
         if kind != "word":
@@ -114,8 +116,8 @@ def window_signs(h: np.ndarray, fixed: np.ndarray, window: int) -> tuple[np.ndar
             continue
         weight = (np.diff(bounds).astype(np.uint64) << np.uint64(56)) | (mix(own) >> np.uint64(8))
         best = _range_argmax(weight, index[a[these]], index[b[these]])
-        sign[these], place[these] = own[best], bounds[best]
-    return sign, place, level
+        place[these], length[these] = bounds[best], bounds[best + 1] - bounds[best]
+    return place, length, level
 
 
 def _range_argmax(weight: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -142,17 +144,23 @@ def parse_texts(texts: list[np.ndarray], window: int) -> tuple[np.ndarray, ...]:
     for x, at in zip(texts, bounds, strict=False):
         h[at : at + len(x)] = x
     fixed[bounds[1:] - 1] = True
-    sign, place, level = window_signs(h, fixed, window)
-    stop = np.repeat(bounds[1:] - 1, np.diff(bounds))[: len(sign)]
-    good = np.arange(len(sign)) + window <= stop
-    new = np.ones(len(sign), dtype=bool)
-    new[1:] = (place[1:] != place[:-1]) | (level[1:] != level[:-1]) | ~good[:-1]
+    place, length, level = window_signs(h, fixed, window)
+    n = len(place)
+    stop = np.repeat(bounds[1:] - 1, np.diff(bounds))[:n]
+    good = np.arange(n) + window <= stop
+    # Either side has this many words in the window, as both together have ``window - length``.
+    beside = (window - length + 1) // 2
+    before = place - beside >= np.arange(n)
+    new = np.ones(n, dtype=bool)
+    new[1:] = (place[1:] != place[:-1]) | (level[1:] != level[:-1]) | (before[1:] != before[:-1]) | ~good[:-1]
     first = np.flatnonzero(new & good)
     # A range ends where the next one starts, or where windows end.
-    last = np.append(np.flatnonzero(new)[1:], len(sign))[np.searchsorted(np.flatnonzero(new), first)]
+    last = np.append(np.flatnonzero(new)[1:], n)[np.searchsorted(np.flatnonzero(new), first)]
     last = np.minimum(last, stop[first] - window + 1) - 1
     text = np.searchsorted(bounds, first, side="right") - 1
-    return text, sign[first], stretch_hashes(h, first, last + window), first - bounds[text], last - bounds[text]
+    left, at, beside = before[first], place[first], beside[first]
+    sign = stretch_hashes(h, np.where(left, at - beside, at), at + length[first] + np.where(left, 0, beside), 1) ^ left.astype(np.uint64)
+    return text, sign, stretch_hashes(h, first, last + window), first - bounds[text], last - bounds[text]
 
 
 def sequence_key(words: list[bytes]) -> int:
