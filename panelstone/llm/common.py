@@ -14,6 +14,8 @@ from panelstone.session import cut_lineage
 
 # A side of a join is broadcast up to this many rows of a few numbers each, counted beforehand; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+# Hashes of words a Python worker remembers, between two texts.
+REMEMBERED_WORDS = 200_000
 # Rows turned into Python objects at a time.
 SLICE_ROWS = 256
 
@@ -51,8 +53,23 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+class _Hashes(dict):
+    """Hashes of words already met; long words are not kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = value
+        return value
+
+
+_HASHES = _Hashes()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    if len(_HASHES) > REMEMBERED_WORDS:
+        _HASHES.clear()
+    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
