@@ -134,9 +134,10 @@ def hidden_pairs(stars: DataFrame, found: DataFrame, texts: DataFrame, width: in
     o >= (sX + sM) / 2. C is what most of a few dozen members contain; H is the member of least s.
 
     * Every member is compared with H. That covers all pairs with sX + sM <= 0.
-    * Otherwise one of a pair, X, is not linked to H, so sX > -sH and o > (sM - sH) / 2: any dM - floor((sM - sH) / 2) differences of M
-      hold one of X's. What M has beyond C comes first, being rare. Where a pair shares none of that, all of o was lost by both, and
-      o is at most the losses of either; such a match counts only if that leaves room for o >= (sX + sM) / 2.
+    * Otherwise one of a pair, X, is not linked to H, so sX > -sH and o > (sM - sH) / 2; and o >= (sX + sH) / 2, as H has the least s.
+      In one order of all signs (what C lacks first, being rare), the first common one has o - 1 more behind it on either side. So it
+      is among the first dM - floor((sM - sH) / 2) of M and the first dX - ceil((sX + sH) / 2) + 1 of X, and a match counts only if
+      what is left from there on, on both sides, leaves room for o >= (sX + sM) / 2.
     """
     part = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}"))
     member = stars.join(part("b"), "b", "left").select("a", "b", F.coalesce("in_b", "b").alias("part"))
@@ -185,16 +186,21 @@ def hidden_pairs(stars: DataFrame, found: DataFrame, texts: DataFrame, width: in
     apart = F.col("part") != F.col("h.part")
     near_head = drawn.where(apart & could_link(F.col("n"), F.col("h.n"), percent)).select(F.col("h.id").alias("x"), F.col("id").alias("m"))
 
-    every = F.concat("plus", "gone")
-    some = F.size(every) - F.floor((F.col("s") - F.col("h.s")) / (2 * (100 + percent))).cast("int")
-    named = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "part", "n", "s")] + [F.size("gone").alias(f"gone_{x}"), F.size("plus").alias(f"plus_{x}")]
-    x = drawn.where(apart).select("a", F.explode(every).alias("sign"), *named("x"))
-    m = drawn.select(F.col("a").alias("a_m"), F.posexplode(F.slice(every, F.lit(1), some)).alias("place", "sign_m"), *named("m"))
-    room = F.col("s_x") + F.col("s_m") <= F.least("gone_x", "gone_m") * (2 * (100 + percent))
-    met = x.join(
-        m,
-        (F.col("a") == F.col("a_m")) & (F.col("sign") == F.col("sign_m")) & (F.col("part_x") != F.col("part_m"))
-        & could_link(F.col("n_x"), F.col("n_m"), percent) & ((F.col("place") < F.col("plus_m")) | room),
+    every = F.concat(F.array_sort("plus"), F.array_sort("gone"))
+    unit = 2 * (100 + percent)
+    some_m = F.size(every) - F.floor((F.col("s") - F.col("h.s")) / unit).cast("int")
+    some_x = F.size(every) - F.ceil((F.col("s") + F.col("h.s")) / unit).cast("int") + 1
+
+    def prefix(rows, some, x):
+        signs = F.posexplode(F.slice(every, F.lit(1), F.greatest(some, F.lit(0)))).alias(f"place_{x}", f"sign_{x}")
+        return rows.select(F.col("a").alias(f"a_{x}"), signs, *[F.col(c).alias(f"{c}_{x}") for c in ("id", "part", "n", "s")], F.size(every).alias(f"d_{x}"))
+
+    # What a pair can have in common from its first common sign on.
+    left = F.least(F.col("d_x") - F.col("place_x"), F.col("d_m") - F.col("place_m"))
+    met = prefix(drawn.where(apart), some_x, "x").join(
+        prefix(drawn, some_m, "m"),
+        (F.col("a_x") == F.col("a_m")) & (F.col("sign_x") == F.col("sign_m")) & (F.col("part_x") != F.col("part_m"))
+        & could_link(F.col("n_x"), F.col("n_m"), percent) & (F.col("s_x") + F.col("s_m") <= left * unit),
     )
     pairs = met.select(F.col("id_x").alias("x"), F.col("id_m").alias("m")).transform(stacked, near_head)
     return pairs.select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct()
