@@ -86,11 +86,13 @@ def zero_if_null(x) -> Column:
 def value_bucket(x) -> Column:
     """A data-independent, order-preserving bucket for doubles.
 
-    Buckets are about 0.05 % wide in relative terms on either side of zero, so the number of buckets is fixed by
-    the range of a double and any group splits into many of them whatever its values. Equal values share a bucket.
+    Buckets are about 0.05 % wide in relative terms on either side of zero, so their number is fixed by the range of a double.
+    Equal values share a bucket; infinities share the outermost ones, and NaN, the greatest value, that of positive infinity.
+    Values of a narrow range share few buckets: whoever needs them apart cuts a bucket further by what it holds.
     """
     x = c(x).cast("double")
-    magnitude = F.floor(F.log(F.greatest(F.abs(x), F.lit(1e-30)) * 1e30) * 2000.0).cast("long")
+    size = F.least(F.greatest(F.abs(x), F.lit(1e-300)), F.lit(1.7e308))
+    magnitude = F.floor((F.log(size) + 700.0) * 2000.0).cast("long")
     return F.when(x > 0, magnitude + 1).when(x < 0, -magnitude - 1).otherwise(F.lit(0).cast("long"))
 
 

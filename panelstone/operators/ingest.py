@@ -41,8 +41,8 @@ def flatten_facts(documents: DataFrame, entity: str, payload: str, tags: list[st
 
 
 def inherit_predecessors(observations: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of a predecessor re-keyed to its successor and added; ``links`` is a small declared table."""
-    inherited = observations.join(F.broadcast(links), observations["company_id"] == links["predecessor_id"]).select(
+    """Rows of a predecessor re-keyed to its successor and added."""
+    inherited = observations.join(links, observations["company_id"] == links["predecessor_id"]).select(
         *[F.col("successor_id").alias("company_id") if x == "company_id" else observations[x] for x in observations.columns],
         F.lit("predecessor").alias("source"),
     )
@@ -106,8 +106,8 @@ def normalise_postings(postings: DataFrame, dt: str) -> DataFrame:
 
 
 def resolve_ticker(df: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Ticker by lower-case domain from a small declared dictionary; confidence 1 when found, else 0."""
-    known = F.broadcast(dictionary.select(F.lower("domain").alias("domain"), F.upper("ticker").alias("ticker")))
+    """Ticker by lower-case domain from a dictionary; confidence 1 when found, else 0."""
+    known = dictionary.select(F.lower("domain").alias("domain"), F.upper("ticker").alias("ticker"))
     out = df.withColumn("domain", F.lower("domain")).join(known, "domain", "left")
     return out.withColumn("confidence", F.when(F.col("ticker").isNotNull(), 1.0).otherwise(0.0))
 

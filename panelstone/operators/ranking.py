@@ -22,6 +22,8 @@ from panelstone.functions.numeric import value_bucket
 SMALL_INPUT_BYTES = 256 * 1024 * 1024
 # Largest group a single task may sort.
 MAX_GROUP_ROWS = 2_000_000
+# Distinct values for which a bucket gets one more part.
+CELL_VALUES = 1000
 
 
 def needs_split(df: DataFrame, keys: list[str]) -> bool:
@@ -44,18 +46,28 @@ def ladder(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_eq"))
         .withColumn("_bucket", value_bucket(value))
     )
-    totals = rungs.groupBy(*keys, "_bucket").agg(F.sum("n_eq").alias("_total"))
+    # A crowded bucket (a narrow range of values) is cut into equal parts of the range it holds.
+    v = F.col(value).cast("double")
+    ends = rungs.groupBy(*keys, "_bucket").agg(
+        F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.ceil(F.count(F.lit(1)) / CELL_VALUES).alias("_parts")
+    )
+    splits = (F.col("_parts") > 1) & (F.col("_lo") > -float("inf")) & (F.col("_hi") < float("inf"))
+    part = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts")).cast("long")
+    rungs = rungs.join(ends, [*keys, "_bucket"]).withColumn("_cell", F.when(splits, part).otherwise(F.lit(0).cast("long")))
+    rungs = rungs.drop("_lo", "_hi", "_parts")
+    totals = rungs.groupBy(*keys, "_bucket", "_cell").agg(F.sum("n_eq").alias("_total"))
     by_group = Window.partitionBy(*keys)
-    # Bounded by the number of value buckets, not by the size of the group.
+    # Bounded by the number of value buckets plus one row for every CELL_VALUES values, not by the size of the group.
     totals = totals.select(
         *keys,
         "_bucket",
-        (F.sum("_total").over(by_group.orderBy("_bucket")) - F.col("_total")).alias("_offset"),
+        "_cell",
+        (F.sum("_total").over(by_group.orderBy("_bucket", "_cell")) - F.col("_total")).alias("_offset"),
         F.sum("_total").over(by_group).alias("n_group"),
     )
-    local = Window.partitionBy(*keys, "_bucket").orderBy(value)
+    local = Window.partitionBy(*keys, "_bucket", "_cell").orderBy(value)
     rungs = rungs.withColumn("_local", F.sum("n_eq").over(local) - F.col("n_eq"))
-    return rungs.join(totals, [*keys, "_bucket"]).select(
+    return rungs.join(totals, [*keys, "_bucket", "_cell"]).select(
         *keys, value, "n_eq", (F.col("_offset") + F.col("_local")).alias("n_below"), "n_group"
     )
 
@@ -196,28 +208,21 @@ def add_ordinal_rank(
         order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(order, tiebreak)).cast("long")
         return df.withColumn(rank, F.when(F.col(value).isNotNull(), place))
-    sign = -1 if descending else 1
-    work = df.where(F.col(value).isNotNull()).select(
-        *keys,
-        (F.col(value) * sign).alias("_v"),
-        (value_bucket(value) * sign).alias("_b"),
-        F.col(tiebreak),
-        F.substring(F.col(tiebreak).cast("string"), 1, tie_prefix).alias("_p"),
-    )
-    cells = work.groupBy(*keys, "_b", "_v", "_p").agg(F.count(F.lit(1)).alias("_n"))
-    buckets = cells.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-    before = F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_bn")
-    buckets = buckets.select(*keys, "_b", before.alias("_before"))
-    inside = F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v", "_p")) - F.col("_n")
+    prefix = F.substring(F.col(tiebreak).cast("string"), 1, tie_prefix).alias("_p")
+    work = df.where(F.col(value).isNotNull()).select(*keys, value, tiebreak, prefix)
+    before = F.col("n_group") - F.col("n_below") - F.col("n_eq") if descending else F.col("n_below")
+    steps = ladder(work, keys, value).select(*keys, value, before.alias("_before"))
+    cells = work.groupBy(*keys, value, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    inside = F.sum("_n").over(Window.partitionBy(*keys, value).orderBy("_p")) - F.col("_n")
     offsets = (
         cells.withColumn("_inside", inside)
-        .join(buckets, [*keys, "_b"])
-        .select(*keys, "_v", "_p", (F.col("_before") + F.col("_inside")).alias("_off"))
+        .join(steps, [*keys, value])
+        .select(*keys, value, "_p", (F.col("_before") + F.col("_inside")).alias("_off"))
     )
-    at = Window.partitionBy(*keys, "_v", "_p").orderBy(tiebreak)
+    at = Window.partitionBy(*keys, value, "_p").orderBy(tiebreak)
     ranked = (
         work.withColumn("_i", F.row_number().over(at))
-        .join(offsets, [*keys, "_v", "_p"])
+        .join(offsets, [*keys, value, "_p"])
         .select(*keys, tiebreak, (F.col("_off") + F.col("_i")).cast("long").alias(rank))
     )
     return df.join(ranked, [*keys, tiebreak], "left").select(*df.columns, rank)

@@ -1,12 +1,13 @@
 """Rolling statistics over an entity's own rows, in time linear in the number of rows.
 
-A sliding frame re-evaluates its aggregate for every row (n x w work). Sums, means, deviations and regressions come from
-running totals and a lag instead; extremes and drawdowns from block-wise prefix and suffix states. An entity holds at most
+A sliding frame re-evaluates its aggregate for every row (n x w work). Sums, means, deviations, regressions, extremes and drawdowns
+come from block-wise prefix and suffix states instead. An entity holds at most
 one row per session, so a partition is bounded by the calendar (a century of daily sessions is about 25,000 rows).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,20 +43,11 @@ class Roll:
 
 
 def rolling(df: DataFrame, by: list[str], order: str, specs: list[Roll]) -> DataFrame:
-    """Add every statistic in ``specs``; one sort by (by, order), no sliding frames."""
-    running = along(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = along(by, order)
-    totals: dict[str, Column] = {}
-    slots: dict[tuple, str] = {}
+    """Add every statistic in ``specs``.
 
-    def total(x: Column) -> str:
-        key = str(x)
-        if key not in slots:
-            slots[key] = f"_t{len(slots)}"
-            totals[slots[key]] = F.sum(x).over(running)
-        return slots[key]
-
-    plan = []
+    A window is the tail of one block of its length and the head of the next. Both have running sums and central moments of their
+    own, which are merged; so a window's value rests on its own rows only, whatever came before, and no digits cancel.
+    """
     inputs: dict[str, Column] = {}
     names: dict[str, str] = {}
 
@@ -66,63 +58,84 @@ def rolling(df: DataFrame, by: list[str], order: str, specs: list[Roll]) -> Data
             inputs[names[key]] = finite(x)
         return F.col(names[key])
 
-    for s in specs:
-        x = column(s.x)
-        if s.y is not None:
-            y = column(s.y)
-            both = x.isNotNull() & y.isNotNull()
-            pair = lambda e: F.when(both, e).otherwise(0.0)
-            parts = {
-                "n": total(F.when(both, 1.0).otherwise(0.0)),
-                "x": total(pair(x)),
-                "y": total(pair(y)),
-                "xy": total(pair(x * y)),
-                "yy": total(pair(y * y)),
-            }
-        else:
-            parts = {"n": total(F.when(x.isNotNull(), 1.0).otherwise(0.0)), "x": total(F.coalesce(x, F.lit(0.0)))}
-            if s.kind in ("std", "var_pop"):
-                parts["xx"] = total(F.coalesce(x * x, F.lit(0.0)))
-        plan.append((s, parts))
+    slots: dict[tuple, str] = {}
+    aggregates: dict[str, tuple[int, Callable]] = {}
 
-    work = df.withColumns(inputs).withColumns({**totals, "_row": F.row_number().over(at)})
-    spans: dict[str, Column] = {}
+    def slot(window: int, what: str, aggregate: Callable) -> str:
+        key = (window, what)
+        if key not in slots:
+            slots[key] = f"_s{len(slots)}"
+            aggregates[slots[key]] = (window, aggregate)
+        return slots[key]
 
-    def span(slot: str, window: int) -> Column:
-        name = f"{slot}_{window}"
-        spans[name] = F.col(slot) - F.coalesce(F.lag(slot, window).over(at), F.lit(0.0))
-        return F.col(name)
+    def moments(s: Roll) -> dict[str, str]:
+        """Slots of the count, the sum and the central moments that a statistic needs."""
+        x, y = column(s.x), column(s.y) if s.y is not None else None
+        tag = f"{x}, {y}"
+        if y is not None:
+            both = x.isNotNull() & y.isNotNull()
+            x, y = F.when(both, x), F.when(both, y)
+        out = {"n": lambda w: F.count(x).over(w), "x": lambda w: F.sum(x).over(w)}
+        if y is not None:
+            out["y"] = lambda w: F.sum(y).over(w)
+            out["xy"] = lambda w: F.covar_pop(x, y).over(w) * F.count(x).over(w)
+            out["yy"] = lambda w: F.var_pop(y).over(w) * F.count(x).over(w)
+        elif s.kind in ("std", "var_pop"):
+            out["xx"] = lambda w: F.var_pop(x).over(w) * F.count(x).over(w)
+        return {k: slot(s.window, f"{k} of {tag}", f) for k, f in out.items()}
+
+    plan = [(s, moments(s)) for s in specs]
+
+    def running(window: int, backward: bool):
+        row = F.col("_row")
+        cell = Window.partitionBy(*by, F.floor((row - 1) / window)).orderBy(row.desc() if backward else row)
+        return cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def over(aggregate: Callable, window: int, backward: bool) -> Column:
+        return F.coalesce(aggregate(running(window, backward)).cast("double"), F.lit(0.0))
+
+    at = along(by, "_row")
+    work = df.withColumns(inputs).withColumn("_row", F.row_number().over(along(by, order)))
+    heads = {f"{name}h": over(a, w, False) for name, (w, a) in aggregates.items()}
+    tails = {f"{name}t": over(a, w, True) for name, (w, a) in aggregates.items()}
+    # The last row of a block needs no tail: its head is the whole window.
+    befores = {
+        f"{name}b": F.when(F.col("_row") % w == 0, 0.0).otherwise(F.coalesce(F.lag(f"{name}t", w - 1).over(at), F.lit(0.0)))
+        for name, (w, _) in aggregates.items()
+    }
+    work = work.withColumns(heads).withColumns(tails).withColumns(befores)
 
     outputs = {}
     for s, parts in plan:
-        p = {k: span(slot, s.window) for k, slot in parts.items()}
-        n = F.round(p["n"], 0)
+        h = {k: F.col(f"{name}h") for k, name in parts.items()}
+        b = {k: F.col(f"{name}b") for k, name in parts.items()}
+        n = h["n"] + b["n"]
+        apart = lambda k: F.coalesce(div(h[k], h["n"]) - div(b[k], b["n"]), F.lit(0.0))  # noqa: B023, E731
+        weight = div(h["n"] * b["n"], n)
+        merged = lambda k, left, right: h[k] + b[k] + apart(left) * apart(right) * weight  # noqa: B023, E731
         need = s.window if s.min_n is None else s.min_n
         gate = n >= need
         if s.full:
             gate = gate & (F.col("_row") >= s.window)
-        mean = div(p["x"], n)
+        mean = div(h["x"] + b["x"], n)
         if s.kind == "sum":
-            value = p["x"]
+            value = h["x"] + b["x"]
         elif s.kind == "mean":
             value = mean
         elif s.kind == "rms":
             value = F.sqrt(F.greatest(mean, F.lit(0.0)))
         elif s.kind == "std":
             gate = gate & (n >= 2)
-            value = F.sqrt(F.greatest(div(p["xx"] - p["x"] * mean, n - 1), F.lit(0.0)))
+            value = F.sqrt(div(merged("xx", "x", "x"), n - 1))
         elif s.kind == "var_pop":
-            value = F.greatest(div(p["xx"], n) - mean * mean, F.lit(0.0))
+            value = div(merged("xx", "x", "x"), n)
         elif s.kind == "beta":
-            mean_y = div(p["y"], n)
-            cov = div(p["xy"], n) - mean * mean_y
-            var = div(p["yy"], n) - mean_y * mean_y
-            gate = gate & (var > VAR_FLOOR)
-            value = div(cov, var)
+            gate = gate & (div(merged("yy", "y", "y"), n) > VAR_FLOOR)
+            value = div(merged("xy", "x", "y"), merged("yy", "y", "y"))
         else:
             raise ValueError(f"unknown rolling kind {s.kind!r}")
         outputs[s.name] = F.when(gate, value * s.scale) if s.scale != 1.0 else F.when(gate, value)
-    return work.withColumns(spans).withColumns(outputs).drop(*inputs, *totals, *spans, "_row")
+    return work.withColumns(outputs).drop(*inputs, *heads, *tails, *befores, "_row")
 
 
 def _blocks(df: DataFrame, by: list[str], order: str, window: int) -> DataFrame:

@@ -231,7 +231,7 @@ class Tables:
     @cached_property
     def fund_map(self) -> dict[str, str]:
         """Sector to fund ticker; the region table is a fixed five-row dimension."""
-        return {r["r_name"]: f"F_{r['r_name']}" for r in self.raw("region").select("r_name").limit(64).collect()}
+        return {r["r_name"]: f"F_{r['r_name']}" for r in self.raw("region").select("r_name").collect()}
 
     @cached_property
     def sessions(self) -> DataFrame:

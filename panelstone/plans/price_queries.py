@@ -178,11 +178,11 @@ def _(t):
 
 
 @query("wn12_amihud", f"""{{{{with rets}}}}, d AS (SELECT ticker, date, rn, CASE WHEN dollar_volume > 0 THEN abs(ret_1d) / dollar_volume * 1e6 END AS x FROM rets)
-   SELECT ticker, date, {R("CASE WHEN rn >= 63 AND count(x) OVER w >= 40 THEN avg(x) OVER w END", 3)} AS amihud
+   SELECT ticker, date, {R("CASE WHEN rn >= 63 AND count(x) OVER w >= 40 THEN avg(x) OVER w END")} AS amihud
    FROM d WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 62 PRECEDING)""")
 def _(t):
     specs = [s for s in P.risk_rolls() if s.name == "amihud"]
-    return rounded(rolling(with_returns(t), ["ticker"], "date", specs).select("ticker", "date", "amihud"), 3)
+    return rounded(rolling(with_returns(t), ["ticker"], "date", specs).select("ticker", "date", "amihud"))
 
 
 @query("wn13_beta", f"""{{{{with rets}}}}, d AS (SELECT ticker, date, rn, CASE WHEN mkt_ret IS NOT NULL THEN ret_1d END AS r, CASE WHEN ret_1d IS NOT NULL THEN mkt_ret END AS m FROM rets),

@@ -67,6 +67,20 @@ def test_moments_match_numpy_with_gaps(spark):
     assert got[58].beta is None and got[59].beta is not None
 
 
+@pytest.mark.parametrize("first", [1e12, 1e200, -5e15])
+def test_a_large_early_value_leaves_later_windows_exact(spark, first):
+    x = [first] + [1 + i / 1000 for i in range(8)]
+    df = series(spark, x).withColumn("y", F.col("x") * 2 + F.pmod(F.dayofmonth("date"), F.lit(3)))
+    y = column(df, "y")
+    v = F.col("x")
+    out = rolling(df, ["ticker"], "date", [Roll("sd", "std", v, 4), Roll("m", "mean", v, 4), Roll("b", "beta", F.col("y"), 4, y=v)])
+    sd, m, b = column(out, "sd"), column(out, "m"), column(out, "b")
+    for i in range(4, 9):
+        w, u = np.array(x[i - 3 : i + 1]), np.array(y[i - 3 : i + 1])
+        assert sd[i] == pytest.approx(w.std(ddof=1), rel=1e-9) and m[i] == pytest.approx(w.mean(), rel=1e-14)
+        assert b[i] == pytest.approx(np.cov(u, w, ddof=0)[0, 1] / w.var(), rel=1e-6)
+
+
 def test_truncating_the_future_changes_nothing(spark):
     df, _, _ = two(spark)
     whole = {r.date: (r.sd, r["mean"], r.beta) for r in rolling(df, ["ticker"], "date", specs()).collect()}
