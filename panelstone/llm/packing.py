@@ -14,7 +14,9 @@ The plan is a bounded table of slots: of the pieces of one length, those ranked
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +30,10 @@ from panelstone.llm.token_counts import TOKENIZER, byte_alphabet, tokenizer_path
 SEQUENCE, END_ID, SALTS = 2048, 1, 64
 # Combinations offered to the solver for each length, and its rounds.
 PARTNERS, ROUNDS = 6, 200
+# ``tiktoken`` fails on a million white characters in a row: from this many on, a run is cut out before it sees the text.
+LONG_SPACE = 10_000
+# What the pattern's ``\s`` stands for: Unicode's White_Space, which Python's own ``\s`` goes beyond.
+_LONG_RUN = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_SPACE},}}")
 
 
 class Encoder:
@@ -46,10 +52,32 @@ class Encoder:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = special
+        self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def encode(self, text: str) -> bytes:
+        if len(text) >= LONG_SPACE and _LONG_RUN.search(text):
+            return b"".join(self.pieces(text))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4").tobytes()
 
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """Ids of a text with overlong white runs. The pattern makes one piece of such a run without its last character, which may begin
+        the next piece; at the end of a stretch between special strings the whole run is the piece."""
+        for part in self.cut_special.split(text) if self.cut_special else [text]:
+            if part in self.special:
+                yield np.array([self.special[part]], dtype="<u4").tobytes()
+                continue
+            at = 0
+            for m in _LONG_RUN.finditer(part):
+                stop = m.end() - (m.end() < len(part))
+                yield self.plain(part[at : m.start()])
+                yield np.array(self.encoding._encode_single_piece(part[m.start() : stop]), dtype="<u4").tobytes()
+                at = stop
+            yield self.plain(part[at:])
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

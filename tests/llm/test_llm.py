@@ -119,6 +119,24 @@ def test_tokens_equal_the_library():
         assert encoder.encode(text) == np.array(ids, dtype="<u4").tobytes()
 
 
+def test_overlong_white_runs_have_the_same_ids():
+    from tokenizers import Tokenizer
+
+    from panelstone.llm.packing import LONG_SPACE, Encoder
+    from panelstone.llm.token_counts import TOKENIZER, tokenizer_path
+
+    path = tokenizer_path(TOKENIZER)
+    own, encoder = Tokenizer.from_file(path), Encoder(path)
+    k, rng = LONG_SPACE, random.Random(6)
+    texts = [" " * 2_000_000, " " * 1_100_000 + "a", "a" + "\n" * 1_100_000 + "b"]
+    for run in (" " * k, " " * (k - 1), "\n" * k, "\n \t" * k, "\u2003\u3000\xa0" * k, "\x1c" * k, " " * k + "\x1f", "\t" * k + " "):
+        texts += [run, f"a{run}", f"{run}b", f"x's{run}'s y", f"1{run}<|endoftext|>{run}2", f"<|endoftext|>{run}", f".{run}.{run}é {run}"]
+    for _ in range(40):
+        texts.append("".join(rng.choice(["a", "1", ".", "'s", " ", "\n", "<|endoftext|>", " " * k, "\n" * k, " \n" * k]) for _ in range(6)))
+    for text in texts:
+        assert encoder.encode(text) == np.array(own.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), (text[:20], len(text))
+
+
 def test_packing_is_gapless_and_whole(spark, corpus):
     from panelstone.llm.packing import encoder, pack
     from panelstone.llm.token_counts import TOKENIZER, tokenizer_path
