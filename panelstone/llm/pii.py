@@ -1,8 +1,9 @@
 """Personal data, plain and disguised, with offsets into the text as it stands.
 
 Plain spans are found on the text itself. Then transducers rewrite the text: look-alike letters and digits become the plain ones,
-invisible characters vanish, spelled digits become digits, and spelled or bracketed "at" and "dot" become ``@`` and ``.``. Each keeps,
-for every character it writes, where that character came from. What is found in the rewritten text is mapped back through these
+invisible characters vanish, spelled digits become digits, and spelled or bracketed "at" and "dot", in any case, become ``@`` and ``.``:
+either of them in addresses, "dot" also between the numbers of an ip. Each keeps, for every character it writes, where that character
+came from. What is found in the rewritten text is mapped back through these
 offsets and added unless a plain span of its kind already holds it. All searches are linear in the text.
 """
 
@@ -33,23 +34,28 @@ LOOKALIKES = dict(
 INVISIBLE = "​‌‍⁠﻿­"
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
-    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
-    "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
+DIGIT_WORDS |= {unicodedata.normalize("NFD", word): digit for word, digit in DIGIT_WORDS.items()}
 # Address suffixes that make a bare "at ... dot ..." an address rather than prose.
 SUFFIXES = frozenset("com org net edu gov info biz io dev app example test de fr es uk it nl at ch eu us ca".split())
 # A run of at least four number words: shorter ones are ordinary prose.
 _SPELLED_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"\b(?:plus[ -])?(?:{_SPELLED_WORD})(?:[ ,-]{{1,2}}(?:{_SPELLED_WORD})){{3,}}\b", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"plus|{_SPELLED_WORD}|[ ,-]+", re.IGNORECASE)
-_MARK_AT = r"(?: ?[\[({<] ?(?:at|@) ?[\])}>] ?| at | AT )"
-_MARK_DOT = r"(?: ?[\[({<] ?(?:dot|\.) ?[\])}>] ?| dot | DOT )"
-_BRACKET_AT = re.compile(r"[\[({<] ?(?:at|@) ?[\])}>]")
-_BARE_DOT = re.compile(r"[ \[({<](?:dot|DOT)[ \])}>]")
-# An address whose marks are spelled or bracketed; the bare word "at" counts only where a "dot" follows the next word.
-_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_MARK_AT}[A-Za-z0-9-]{{1,63}}(?:(?:{_MARK_DOT}|\.)[A-Za-z0-9-]{{1,63}})+")
-_MARK = re.compile(rf"({_MARK_AT})|({_MARK_DOT})", re.IGNORECASE)
+_AT, _DOT = "[Aa][Tt]", "[Dd][Oo][Tt]"
+_MARK_AT = rf"(?: ?[\[({{<] ?(?:{_AT}|@) ?[\])}}>] ?| {_AT} )"
+_MARK_DOT = rf"(?: ?[\[({{<] ?(?:{_DOT}|\.) ?[\])}}>] ?| {_DOT} )"
+_BRACKETED = re.compile(rf"[\[({{<] ?(?:{_AT}|@|{_DOT}|\.) ?[\])}}>]")
+_BARE_DOT = re.compile(rf" {_DOT} ")
+# An address with any of its marks spelled or bracketed; the bare word "at" counts only where a "dot" follows the next word.
+_ADDRESS = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_MARK_AT}|@)(?P<domain>[A-Za-z0-9-]{{1,63}}(?:(?:{_MARK_DOT}|\.)[A-Za-z0-9-]{{1,63}})+)"
+)
+_NUMBERS = re.compile(rf"(?<![0-9])[0-9]+(?:(?:{_MARK_DOT}|\.)[0-9]+){{3}}")
+_MARK = re.compile(rf"({_MARK_AT})|({_MARK_DOT})")
 
 
 @lru_cache(maxsize=1)
@@ -169,18 +175,39 @@ def spelled_digits(r: Rewritten) -> bool:
     return bool(edits)
 
 
-def spelled_marks(r: Rewritten) -> bool:
+def address_marks(text: str) -> list[tuple[int, int, str]]:
     edits = []
-    if _BRACKET_AT.search(r.text) or (("dot" in r.text or "DOT" in r.text) and _BARE_DOT.search(r.text)):
-        for m in _ADDRESS.finditer(r.text):
-            marks = list(_MARK.finditer(r.text, m.start(), m.end()))
-            bare = marks and marks[0].group().strip().isalpha()
-            if bare and (not any(x.group(2) for x in marks) or m.group().rpartition(marks[-1].group())[2].lower() not in SUFFIXES):
+    for m in _ADDRESS.finditer(text):
+        marks = list(_MARK.finditer(text, m.start(), m.end()))
+        at = marks[0] if marks and marks[0].group(1) else None
+        if at and at.group().strip().isalpha():
+            if len(marks) == 1 or text[marks[-1].end() : m.end()].lower() not in SUFFIXES:
                 continue
-            edits += [(*x.span(), "@" if x.group(1) else ".") for x in marks]
-    if edits:
-        r.replace(edits)
-    return bool(edits)
+        elif not at:
+            # After a plain address the bare word "dot" may go on with the sentence.
+            end = m.end()
+            while marks and marks[-1].group().strip().isalpha():
+                whole = len(marks) > 1 or "." in text[m.start("domain") : marks[-1].start()]
+                if not whole or text[marks[-1].end() : end].rpartition(".")[2].lower() in SUFFIXES:
+                    break
+                end = marks.pop().start()
+        edits += [(*x.span(), "@" if x.group(1) else ".") for x in marks]
+    return edits
+
+
+def ip_marks(text: str) -> list[tuple[int, int, str]]:
+    return [(*x.span(), ".") for m in _NUMBERS.finditer(text) for x in _MARK.finditer(text, m.start(), m.end())]
+
+
+def spelled_marks(r: Rewritten) -> bool:
+    if not _BRACKETED.search(r.text) and not ("dot" in r.text.lower() and _BARE_DOT.search(r.text)):
+        return False
+    changed = False
+    for marks in (address_marks, ip_marks):
+        if edits := marks(r.text):
+            r.replace(edits)
+            changed = True
+    return changed
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

@@ -190,6 +190,29 @@ def test_personal_data_spans():
     assert base == [(22, 39, "phone")] and (2, 21, "email") in every and set(base) <= set(every)
 
 
+def test_personal_data_with_one_mark_spelled_any_case_and_all_digits():
+    from panelstone.llm.pii import all_spans, mask
+
+    whole = [
+        "jo@mail [dot] com", "jo@mail[.]com", "jo@mail dot com", "jo@mail.co dot uk", "jo@mail dot co dot uk", "jo [AT] mail [DOT] com", "jo(At)mail(Dot)com", "jo At mail Dot Com",
+        "jo[@]mail.com", "jo AT mail(dot)com", "jo@mail {.} com",
+    ]
+    assert {t: mask(f"to {t}, ok") for t in whole} == {t: "to [email], ok" for t in whole}
+    numbers = ["10[.]0[.]0[.]1", "10 dot 0 dot 0 dot 1", "10.0[.]0(DOT)1", "10 [.] 0 Dot 0.1"]
+    assert {t: mask(f"at {t} now") for t in numbers} == {t: "at [ip] now" for t in numbers}
+    spelled = [
+        "plus vier neun eins sieben null eins zwei drei vier fünf sechs", "plus trois trois un zéro deux quatre cinq six sept huit neuf", "PLUS VIER NEUN EINS SIEBEN NULL EINS ZWEI DREI VIER FÜNF SECHS",
+        "plus tres cuatro nueve uno cero dos cinco seis siete ocho nueve", "plus trois trois un ze\u0301ro deux quatre cinq six sept huit neuf",
+    ]
+    assert {t: mask(f"x {t} y") for t in spelled} == {t: "x [phone] y" for t in spelled}
+    same = ["look at the Dot there", "300[.]1[.]1[.]1", "1 dot 2 dot 3", "un deux trois", "we met @ noon dot done", "a (.) b", "jo[.]com"]
+    assert {t: mask(t) for t in same} == {t: t for t in same}
+    # A plain address ends where it ends.
+    assert mask("jo@mail.com dot the end") == "[email] dot the end" and mask("jo@mail dot com dot the end") == "[email] dot the end"
+    base, every = all_spans("a jo@mail[.]com 10[.]0[.]0[.]1")
+    assert base == [] and every == [(2, 15, "email"), (16, 30, "ip")]
+
+
 def test_nearest_recall_and_ties(spark):
     from panelstone.llm.permutation_index import nearest
 
