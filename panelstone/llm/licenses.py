@@ -3,8 +3,9 @@
 Features of a paragraph are the word pairs and triples that occur in a licence template and are not made of common words alone. A
 multinomial logistic regression is fitted on templates, on parts of them, and on paragraphs of the corpus as the class ``unknown``.
 The least probability at which a family is believed is calibrated on a held-out part, and a family is confirmed only if a template of
-it is largely contained in the paragraph. A paragraph without any feature is ``unknown`` whatever the weights; such paragraphs, nearly
-all, are passed over before any feature is made.
+it is largely contained in the paragraph. Paragraphs are single lines, and blocks of neighbouring lines, as notices are often wrapped.
+A paragraph without any feature is ``unknown`` whatever the weights; such paragraphs, nearly all, are passed over before any feature is
+made.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelstone.llm.common import pick, staged
+from panelstone.session import stacked
 
 UNKNOWN = "unknown"
 # Corpus paragraphs taken as examples of the unknown class; a bounded sample chosen by hash.
@@ -71,14 +73,30 @@ def vocabulary(templates: tuple[tuple[str, str], ...]) -> tuple[list[str], list[
     return runs, sorted({w for r in runs for w in r.split()} - COMMON)
 
 
-def paragraphs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, paragraph, text`` for every non-empty line; ``paragraph`` counts lines from 0."""
-    rows = pick(df, doc_id=id_col, text=text_col)
-    return rows.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("paragraph", "text")).where(F.length(F.trim("text")) > 0)
+def paragraphs(df: DataFrame, id_col: str, text_col: str, markers: list[str]) -> DataFrame:
+    """``doc_id, uid, block, alone, at, ws``: every line with a marker word, and every block of several lines.
+
+    A block is as many neighbouring lines as have a marker or common words only. ``uid`` and ``block`` (its first line, from 0) name it
+    among the rows; ``alone`` tells a line from a block, ``at`` gives the line of each word.
+    """
+    marked = lambda ws: F.exists(ws, lambda w: w.isin(markers))
+    joins = lambda ws: marked(ws) | ((F.size(ws) > 0) & F.forall(ws, lambda w: w.isin(sorted(COMMON))))
+    rows = pick(df, doc_id=id_col, text=text_col).where(F.col("text").isNotNull())
+    rows = rows.select("doc_id", F.transform(F.split("text", "\n"), words).alias("lines"))
+    rows = rows.select("doc_id", "lines", F.transform("lines", joins).alias("joins"), F.monotonically_increasing_id().alias("uid")).where(F.array_contains("joins", True))
+    edge = lambda step: F.filter(F.transform("joins", lambda x, i: F.when(x & ~F.coalesce(F.get("joins", i + step), F.lit(False)), i)), lambda i: i.isNotNull())
+    spans = F.arrays_zip(edge(-1).alias("first"), edge(1).alias("last"))
+    cut = F.transform(spans, lambda x: F.struct(x["first"].alias("block"), F.slice("lines", x["first"] + 1, x["last"] - x["first"] + 1).alias("own")))
+    blocks = rows.select("doc_id", "uid", F.explode(cut).alias("b")).select("doc_id", "uid", "b.*")
+    at = lambda ws, line: F.array_repeat(line, F.size(ws))
+    whole = F.struct(F.lit(False).alias("alone"), F.flatten(F.transform("own", lambda ws, i: at(ws, F.col("block") + i))).alias("at"), F.flatten("own").alias("ws"))
+    each = F.transform("own", lambda ws, i: F.struct(F.lit(True).alias("alone"), at(ws, F.col("block") + i).alias("at"), ws.alias("ws")))
+    made = blocks.select("doc_id", "uid", "block", F.explode(F.when(F.size("own") > 1, F.concat(each, F.array(whole))).otherwise(each)).alias("p"))
+    return made.select("doc_id", "uid", "block", "p.*").where(marked(F.col("ws")))
 
 
 def vectors(df: DataFrame, runs: list[str]) -> DataFrame:
-    known = F.array_intersect(features(F.col("ws")), F.array(*map(F.lit, runs)))
+    known = F.array_distinct(F.filter(features(F.col("ws")), lambda x: x.isin(runs)))
     counts = CountVectorizerModel.from_vocabulary(runs, inputCol="runs", outputCol="features")
     return counts.transform(df.withColumn("runs", known))
 
@@ -120,31 +138,46 @@ class Classifier:
         names = [x for x in df.columns if x not in ("rawPrediction", "probability", "prediction")]
         p = vector_to_array("probability")
         out = self.model.transform(df).select(*names, p.alias("p"))
-        return out.select(*names, F.array_max("p").alias("probability"), (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("best"))
+        return out.select(*names, "p", F.array_max("p").alias("probability"), (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("best"))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """``doc_id, paragraph, family, probability, similarity, confirmed`` for every paragraph with a believed licence family.
+    """``doc_id, paragraph, family, probability, similarity, confirmed`` for every paragraph with a believed or confirmed licence family.
 
-    ``similarity`` is the largest part of a template of the family that the paragraph holds. A paragraph is a line; null or empty texts
-    have none. Repeated rows repeat their results, null ids are carried, an empty table gives an empty result. A line in which several
-    licences stand gets the likeliest.
+    ``similarity`` is the largest part of a template of the family that the paragraph holds. ``paragraph`` is a line, from 0: the notice,
+    or where one wrapped over several lines begins. A line gets every family that it confirms, or else the likeliest if that is believed;
+    a block of lines adds the families that none of its lines confirms. What is held of a family counts for nothing where another family
+    holds that and more. Null or empty texts have no paragraphs. Repeated rows repeat their results, null ids are carried, an empty
+    table gives an empty result.
     """
     spark = df.sparkSession
-    lines = paragraphs(df, id_col, text_col)
     runs, markers = vocabulary(templates)
     # Exact: without one of these words there is no feature, and the answer is ``unknown``.
-    wanted = lines.withColumn("ws", words(F.col("text"))).where(F.arrays_overlap("ws", F.array(*map(F.lit, markers)))).select("doc_id", "paragraph", "ws")
-    wanted = staged(wanted)
-    model = Classifier(wanted.select("ws"), templates)
-    judged = model.judge(vectors(wanted, runs).where(F.size("runs") > 0)).where((F.col("best") > 0) & (F.col("probability") >= model.least))
+    wanted = staged(paragraphs(df, id_col, text_col, markers))
+    model = Classifier(wanted.where("alone").select("ws"), templates)
+    judged = staged(model.judge(vectors(wanted, runs).where(F.size("runs") > 0)))
     # The template table is fixed and small.
     rows = [(model.families.index(f), text) for f, text in templates]
-    known = spark.createDataFrame(rows, "best int, text string").select("best", F.array_distinct(features(F.split("text", " "))).alias("whole"))
-    known = known.select("best", F.array_intersect("whole", F.array(*map(F.lit, runs))).alias("whole"))
-    part = F.size(F.array_intersect("whole", "runs")) / F.size("whole")
-    met = judged.join(F.broadcast(known), "best").groupBy("doc_id", "paragraph", "best", "probability", "ws").agg(F.max(part).alias("similarity"), F.count(F.lit(1)).alias("n"))
-    per_family = F.element_at(F.array(*[F.lit(sum(f == x for x, _ in templates) or 1) for f in model.families]), F.col("best") + 1)
-    family = F.element_at(F.array(*map(F.lit, model.families)), F.col("best") + 1)
-    out = met.withColumn("copies", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / per_family).cast("int"))))  # repeated rows stay
-    return out.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), family.alias("family"), "probability", "similarity", (F.col("similarity") >= CONTAINED).alias("confirmed"))
+    known = spark.createDataFrame(rows, "family int, text string")
+    known = known.select("family", F.array_distinct(F.filter(features(F.split("text", " ")), lambda x: x.isin(runs))).alias("whole"))
+    place, key = ["uid", "block", "alone", "at"], ["uid", "block"]
+    met = judged.join(F.broadcast(known), F.size("runs") >= F.size("whole") * CONTAINED).withColumn("held", F.array_sort(F.array_intersect("whole", "runs")))
+    met = met.withColumn("similarity", F.size("held") / F.size("whole")).where(F.col("similarity") >= CONTAINED)
+    met = met.groupBy("doc_id", *place, "ws", "p", "family").agg(F.max_by(F.struct("similarity", "held"), F.struct("similarity", F.size("held"), "held")).alias("m")).select("*", "m.*")
+    met = staged(met)
+    # Distinct families and what is held of them: a few for each block.
+    others = met.groupBy(*key).agg(F.collect_set(F.struct("family", "held")).alias("others"), F.collect_set(F.when(F.col("alone"), F.col("family"))).alias("by_line"))
+    more = lambda x: (x["family"] != F.col("family")) & (F.size(x["held"]) > F.size("held")) & (F.size(F.array_except("held", x["held"])) == 0)
+    sure = met.join(others, key).where(~F.exists("others", more) & (F.col("alone") | ~F.array_contains("by_line", F.col("family"))))
+    # A block begins where the first held triple does.
+    begins = F.array_min(F.transform(word_runs(F.col("ws"), 3), lambda x, i: F.when(F.array_contains("held", x), F.get("at", i))))
+    sure = sure.select("doc_id", *key, F.coalesce(begins, F.col("at")[0]).alias("paragraph"), "family", F.get("p", F.col("family")).alias("probability"), "similarity", F.lit(True).alias("confirmed"))
+    # Believed only: lines that confirm nothing.
+    weak = judged.where(F.col("alone") & (F.col("best") > 0) & (F.col("probability") >= model.least)).withColumn("paragraph", F.col("at")[0])
+    weak = weak.join(met.where("alone").select(*key, F.col("at")[0].alias("paragraph")).distinct(), [*key, "paragraph"], "left_anti")
+    weak = weak.join(F.broadcast(known), weak["best"] == known["family"]).groupBy("doc_id", *key, "paragraph", "family", "probability")
+    weak = weak.agg(F.max(F.size(F.array_intersect("whole", "runs")) / F.size("whole")).alias("similarity")).withColumn("confirmed", F.lit(False))
+    names = ["doc_id", "paragraph", "family", "probability", "similarity", "confirmed"]
+    out = sure.select(*names).transform(stacked, weak.select(*names))
+    family = F.element_at(F.array(*map(F.lit, model.families)), F.col("family") + 1)
+    return out.withColumn("family", family).withColumn("paragraph", F.col("paragraph").cast("long"))

@@ -260,6 +260,19 @@ def test_licenses(spark):
     assert {k: v for k, v in got.items() if v[1]} == {(100, 1): ("apache", True), (101, 0): ("mit", True)}
 
 
+def test_wrapped_licenses_and_two_in_a_line(spark):
+    from panelstone.llm.licenses import scan_licenses
+
+    gpl = "you may know\n# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License\n\nend"
+    apache = "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"
+    two = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    rows = [(1, gpl), (2, apache), (3, bsd), (4, two), (5, two), (5, two), (6, "Licensed under CC BY-NC 4.0."), (7, f"{two}\n{apache}\n{two}"), (None, bsd), (8, "a b"), (9, None)]
+    got = sorted((r.doc_id or 0, r.paragraph, r.family) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.confirmed)
+    both = lambda i, k: [(i, k, "apache"), (i, k, "mit")]
+    assert got == sorted([(0, 0, "bsd"), (1, 1, "gpl"), (2, 0, "apache"), (3, 0, "bsd"), (6, 0, "cc-by-nc"), *both(4, 0), *both(5, 0) * 2, *both(7, 0), *both(7, 3)])
+
+
 def test_language_fusion(spark):
     from panelstone.llm.language import identify, train
 
