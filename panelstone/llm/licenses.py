@@ -25,29 +25,69 @@ NEGATIVES = 2000
 # Part of a template's features that a confirmed paragraph must hold.
 CONTAINED = 0.6
 
-# Short notices as licences and their users word them.
-TEMPLATES = (
-    ("apache", "licensed under the apache license version 2 0"),
+# Fixed values. Names as notices give them, put into the usual forms of a notice.
+NAMES = {
+    "apache": ("the apache license version 2 0", "the apache license", "apache 2 0"),
+    "mit": ("the mit license", "mit license"),
+    "isc": ("the isc license", "isc license"),
+    "zlib": ("the zlib license", "the zlib libpng license"),
+    "unlicense": ("the unlicense",),
+    "gpl": ("the gnu general public license", "the gnu general public license version 2", "the gnu general public license version 3", "the gnu gpl", "the gpl", "gplv2", "gplv3"),
+    "lgpl": ("the gnu lesser general public license", "the gnu lesser general public license version 2 1", "the gnu lesser general public license version 3", "the gnu lgpl", "the lgpl", "lgplv3"),
+    "agpl": ("the gnu affero general public license", "the gnu affero general public license version 3", "the gnu agpl", "the agpl", "agplv3"),
+    "bsd": ("the bsd license", "the bsd 2 clause license", "the bsd 3 clause license", "a bsd style license"),
+    "mpl": ("the mozilla public license", "the mozilla public license version 2 0", "mpl 2 0"),
+    "epl": ("the eclipse public license", "the eclipse public license version 2 0", "the eclipse public license v1 0", "epl 2 0"),
+    "cc-by": ("cc by 4 0", "a creative commons attribution 4 0 international license", "the creative commons attribution license"),
+    "cc-by-sa": ("cc by sa 4 0", "a creative commons attribution sharealike 4 0 international license", "the creative commons attribution sharealike license"),
+    "cc-by-nc": ("cc by nc 4 0", "a creative commons attribution noncommercial 4 0 international license", "the creative commons attribution noncommercial license"),
+}
+FORMS = ("licensed under {}", "released under {}", "this work is licensed under {}", "distributed under the terms of {}")
+# Standard headers, and the short licences whole, a template for each paragraph that no other family has.
+PASSAGES = (
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache", "see the license for the specific language governing permissions and limitations under the license"),
     ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "this notice may not be removed or altered from any source distribution"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("unlicense", "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "licensed under the gnu lesser general public license version 2 1"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("agpl", "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd", "licensed under the bsd 3 clause license"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at"),
+    ("epl", "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution"),
     ("public-domain", "this work is dedicated to the public domain"),
     ("public-domain", "to the extent possible under law the author has waived all copyright and related rights"),
+    ("proprietary", "all rights reserved"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced without prior written permission"),
+    ("proprietary", "no part of this publication may be reproduced stored in a retrieval system or transmitted in any form or by any means without the prior written permission of the publisher"),
+    ("proprietary", "this software is proprietary and confidential unauthorized copying of this file via any medium is strictly prohibited"),
 )
+TEMPLATES = tuple((family, form.format(name)) for family, names in NAMES.items() for name in names for form in FORMS) + PASSAGES
 COMMON = frozenset("a an and any are as at by for from has have in is it may of on or that the this to under was with you your 0 1 2 3 4".split())
 
 
@@ -146,7 +186,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``similarity`` is the largest part of a template of the family that the paragraph holds. ``paragraph`` is a line, from 0: the notice,
     or where one wrapped over several lines begins. A line gets every family that it confirms, or else the likeliest if that is believed;
-    a block of lines adds the families that none of its lines confirms. What is held of a family counts for nothing where another family
+    a block of lines adds the families that none of its lines confirms, and takes the place of the only line that does if it holds more. What is held of a family counts for nothing where another family
     holds that and more. Null or empty texts have no paragraphs. Repeated rows repeat their results, null ids are carried, an empty
     table gives an empty result.
     """
@@ -163,12 +203,16 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place, key = ["uid", "block", "alone", "at"], ["uid", "block"]
     met = judged.join(F.broadcast(known), F.size("runs") >= F.size("whole") * CONTAINED).withColumn("held", F.array_sort(F.array_intersect("whole", "runs")))
     met = met.withColumn("similarity", F.size("held") / F.size("whole")).where(F.col("similarity") >= CONTAINED)
-    met = met.groupBy("doc_id", *place, "ws", "p", "family").agg(F.max_by(F.struct("similarity", "held"), F.struct("similarity", F.size("held"), "held")).alias("m")).select("*", "m.*")
+    held = F.array_sort(F.array_distinct(F.flatten(F.collect_set("held"))))  # of all templates of the family, which are few
+    met = met.groupBy("doc_id", *place, "ws", "p", "family").agg(F.max("similarity").alias("similarity"), held.alias("held"))
     met = staged(met)
     # Distinct families and what is held of them: a few for each block.
-    others = met.groupBy(*key).agg(F.collect_set(F.struct("family", "held")).alias("others"), F.collect_set(F.when(F.col("alone"), F.col("family"))).alias("by_line"))
+    others = met.groupBy(*key).agg(F.collect_set(F.struct("family", "held")).alias("others"), F.collect_list(F.struct("family", "alone", F.size("held").alias("n"))).alias("every"))
     more = lambda x: (x["family"] != F.col("family")) & (F.size(x["held"]) > F.size("held")) & (F.size(F.array_except("held", x["held"])) == 0)
-    sure = met.join(others, key).where(~F.exists("others", more) & (F.col("alone") | ~F.array_contains("by_line", F.col("family"))))
+    same = lambda alone: F.filter("every", lambda x: (x["family"] == F.col("family")) & (x["alone"] == alone))
+    # One line that confirms a family of which its block holds more is a part of a wrapped notice.
+    wrapped = (F.size(same(True)) == 1) & F.exists(same(False), lambda x: x["n"] > F.get(same(True), F.lit(0))["n"])
+    sure = met.join(others, key).where(~F.exists("others", more) & F.when(F.col("alone"), ~wrapped).otherwise(wrapped | (F.size(same(True)) == 0)))
     # A block begins where the first held triple does.
     begins = F.array_min(F.transform(word_runs(F.col("ws"), 3), lambda x, i: F.when(F.array_contains("held", x), F.get("at", i))))
     sure = sure.select("doc_id", *key, F.coalesce(begins, F.col("at")[0]).alias("paragraph"), "family", F.get("p", F.col("family")).alias("probability"), "similarity", F.lit(True).alias("confirmed"))

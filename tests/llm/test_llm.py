@@ -273,6 +273,26 @@ def test_wrapped_licenses_and_two_in_a_line(spark):
     assert got == sorted([(0, 0, "bsd"), (1, 1, "gpl"), (2, 0, "apache"), (3, 0, "bsd"), (6, 0, "cc-by-nc"), *both(4, 0), *both(5, 0) * 2, *both(7, 0), *both(7, 3)])
 
 
+HELD_OUT = {
+    "Copyright 2021 Ann Smith. All Rights Reserved.": "proprietary", "This project is available under the MIT license": "mit", "Licensed under the GNU Affero General Public License v3.0": "agpl",
+    "This file is distributed under the terms of the GNU Lesser General Public License": "lgpl", "The code is published under the ISC License.": "isc", "Source released under the zlib license": "zlib",
+    "It is licensed under the Eclipse Public License 2.0": "epl", "This tool is free and unencumbered software released into the public domain.": "unlicense", "Everything here is licensed under Apache 2.0": "apache",
+    "Text is licensed under CC BY-SA 4.0": "cc-by-sa", "This library is free software; you can redistribute it under the terms of the GNU General Public License version 2": "gpl",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appears in all copies": "isc",
+}
+
+
+def test_reworded_notices_of_all_families(spark):
+    from panelstone.llm.licenses import scan_licenses
+
+    rows = list(enumerate(HELD_OUT)) + [(100, "the rights of all reserved seats"), (101, "unlike a license of the house")]
+    got = {}
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.confirmed:
+            got.setdefault(r.doc_id, set()).add(r.family)
+    assert got == {i: {family} for i, family in enumerate(HELD_OUT.values())}
+
+
 def test_language_fusion(spark):
     from panelstone.llm.language import identify, train
 
