@@ -131,9 +131,9 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
         return counts.withColumn(name, F.array(*[(F.col(c) + SMOOTH * p) / (n + SMOOTH) for c, p in zip(cells, prior, strict=True)]))
 
     everywhere = staged(smoothed(total(), None, "p_all").select("p_all")) if not seen.isEmpty() else told.sparkSession.createDataFrame([([1.0 / len(langs)] * len(langs),)], "p_all array<double>")
-    suffixes = smoothed(total("suffix").crossJoin(F.broadcast(everywhere)), "p_all", "p_suffix").select("suffix", "p_suffix")  # one row
-    domains = smoothed(total("suffix", "domain").join(suffixes, "suffix"), "p_suffix", "p_domain").select("domain", "p_domain")
-    hosts = total("domain", "host").join(domains, "domain").select("host", F.array(*cells).alias("seen"), "p_domain")
+    suffixes = staged(smoothed(total("suffix").crossJoin(F.broadcast(everywhere)), "p_all", "p_suffix").select("suffix", "p_suffix"))  # one row
+    domains = staged(smoothed(total("suffix", "domain").join(suffixes, "suffix"), "p_suffix", "p_domain").select("domain", "p_domain"))
+    hosts = total("host").select("host", F.array(*cells).alias("seen"))
     # How often each declaration stands on pages of each language.
     marks = staged(total("declared"))
     sums = marks.agg(*[F.sum(c).alias(f"all_{c}") for c in cells])
@@ -141,10 +141,12 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
     rates = F.array(*[F.log((F.col(c) + 1.0) / (F.col(f"all_{c}") + kinds)) for c in cells])
     marks = marks.crossJoin(F.broadcast(sums)).select("declared", rates.alias("mark"))  # languages + 1 rows against one
 
-    joined = told.join(small_side(staged(hosts), 100_000), "host", "left").join(F.broadcast(marks), "declared", "left").crossJoin(F.broadcast(everywhere))
+    # Domain and suffix are those of the page itself: a host without any text still has them.
+    joined = told.join(small_side(staged(hosts), 100_000), "host", "left").join(small_side(domains, 100_000), "domain", "left").join(small_side(suffixes, 100_000), "suffix", "left")
+    joined = joined.join(F.broadcast(marks), "declared", "left").crossJoin(F.broadcast(everywhere))
     own = lambda i: F.when(F.col("triples") > 0, F.col("soft")[i]).otherwise(0.0)
     left = [F.greatest(F.coalesce(F.col("seen")[i], F.lit(0.0)) - own(i), F.lit(0.0)) for i in range(len(langs))]
-    base = [F.coalesce(F.col("p_domain")[i], F.col("p_all")[i]) for i in range(len(langs))]
+    base = [F.coalesce(F.col("p_domain")[i], F.col("p_suffix")[i], F.col("p_all")[i]) for i in range(len(langs))]
     n = sum(left, F.lit(0.0))
     prior = [F.log((x + SMOOTH * p) / (n + SMOOTH)) for x, p in zip(left, base, strict=True)]
     post = F.array(*[F.round(F.col("like")[i] + F.coalesce(F.col("mark")[i], F.lit(0.0)) + prior[i], 9) for i in range(len(langs))])

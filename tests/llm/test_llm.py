@@ -303,6 +303,17 @@ def test_language_fusion(spark):
     assert [got[i].lang for i in (0, 10, 11, 13)] == ["de", "en", "de", "en"] and got[11].text_lang is None and len(got) == len(pages)
 
 
+def test_empty_page_takes_the_language_of_its_domain_and_suffix(spark):
+    from panelstone.llm.language import identify, train
+
+    docs = spark.createDataFrame([("the house and the garden of the king " * 5, "en"), ("das haus und der garten des königs " * 5, "de")], "text string, lang string")
+    pages = [(i, f"http://a{i}.example.de/", "<p>das haus und der garten des königs</p>") for i in range(5)]
+    pages += [(10 + i, f"http://a{i}.example.com/", "<p>the house and the garden of the king</p>") for i in range(20)]
+    pages += [(50, "http://new.example.de/", ""), (51, "http://new.other.de/", None), (52, "http://new.example.com/", ""), (53, None, None)]
+    got = {r.page_id: r.lang for r in identify(spark.createDataFrame(pages, "page_id long, url string, html string"), train(docs)).collect()}
+    assert [got[i] for i in (50, 51, 52, 53)] == ["de", "de", "en", "en"]
+
+
 def test_toxicity_grammar():
     from panelstone.llm.toxicity import DEFAULT, SEED_INSULTS, Model, text_score
 
