@@ -42,7 +42,8 @@ def _read_turn(part: Column) -> Column:
     body = F.substring(part, F.locate("\n", part) + 1, F.char_length(part))
     body = F.substring(body, F.lit(1), F.char_length(body) - len(_CLOSE))
     name = F.substring_index(part, "\n", 1)
-    fine = part.contains("\n") & part.endswith(_CLOSE) & (F.locate(END, part) == F.char_length(part) - len(_CLOSE) + 1)
+    end = F.locate(END, part)
+    fine = F.locate("\n", part).between(F.lit(1), end - 1) & part.endswith(_CLOSE) & (end == F.char_length(part) - len(_CLOSE) + 1)
     return F.when(
         fine,
         F.struct(unescaped(F.replace(name, F.lit(LINE), F.lit("\n"))).alias("name"), body.alias("raw"), unescaped(body).alias("body")),
