@@ -17,6 +17,7 @@ from panelstone.llm.licenses import scan_licenses
 from panelstone.llm.minhash import near_duplicates
 from panelstone.llm.packing import pack
 from panelstone.llm.permutation_index import nearest
+from panelstone.llm.phrases import collocations
 from panelstone.llm.pii import find_pii
 from panelstone.llm.recompression import remove_repeats
 from panelstone.llm.token_counts import token_counts
@@ -136,6 +137,34 @@ def op9_page_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "pages"), model)
 
 
+@query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+      FROM p, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m),
+c AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE m = 1 GROUP BY lang),
+k AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM c WHERE m > 1 AND f >= 30),
+h AS (SELECT lang, a AS longer, unnest(list_transform(range(1, m - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) AS phrase
+      FROM k, (SELECT unnest([2, 3]) AS s) WHERE s < m),
+d AS (SELECT lang, m, phrase, a, w FROM k WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.lang = k.lang AND h.phrase = k.phrase
+      AND 100 * CAST(longer AS HUGEINT) >= 80 * CAST(a AS HUGEINT))),
+x AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:m], ' ') AS tail
+      FROM d, (SELECT unnest([1, 2, 3]) AS j) WHERE j < m),
+y AS (SELECT x.*, c1.f AS l, c2.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (CAST(c1.f AS HUGEINT) + c2.f) AS BIGINT) AS score
+      FROM x JOIN c c1 ON c1.lang = x.lang AND c1.phrase = head JOIN c c2 ON c2.lang = x.lang AND c2.phrase = tail),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS pick FROM y),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z WHERE pick = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 @query
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
