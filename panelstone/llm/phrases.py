@@ -3,9 +3,9 @@
 1. Vertical partitioning. Prefixes (of one word at first) are counted over all texts. A prefix that occurs more often than the memory
    budget of a subtree is replaced by its extensions by one word, counted in the next round; the others are stems. Prefixes over the
    budget are few whatever the input: the budget is at least ``1 / HEAVY`` of all words.
-2. Subtrees. Every suffix, cut after four words, goes to the group of its stem. A group's suffixes are sorted; nodes of the subtree are
-   runs of equal beginnings, and a node's count is the total of the leaves below it. Groups share nothing; a task reads its own in sorted
-   order and holds the open path only.
+2. Subtrees. Every suffix, cut after four words, goes to the group of its stem; groups hold half a budget on average. A group's suffixes,
+   its leaves, are sorted; nodes of the subtree are runs of equal beginnings, and a node's count is the total of the leaves below it.
+   Groups share nothing and a task holds one at a time.
 3. Counts of at least 30 are all that scores need: parts of a frequent phrase are as frequent.
 """
 
@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +26,9 @@ from panelstone.session import stacked
 # Words of the longest phrase: the depth of the subtrees.
 DEPTH = 4
 # Suffixes of one stem at least allowed, and the most prefixes of one length that can be over the budget.
-BUDGET, HEAVY = 1 << 17, 1 << 16
-# Bytes of text whose equal suffixes are combined before they leave the task.
-SLICE_BYTES = 4_000_000
+BUDGET, HEAVY = 1 << 19, 1 << 20
+# Characters of text whose equal suffixes are combined before they leave the task, and those that wait in all languages.
+SLICE_CHARS, WAITING_CHARS = 2_000_000, 5_000_000
 # Score of a cut, in decimals as the product may pass 64 bits.
 SCORE = "cast(2000000 as decimal(8,0)) * cast(a as decimal(24,0)) div (cast(l as decimal(24,0)) + cast(r as decimal(24,0)))"
 
@@ -38,52 +37,67 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else _CUT if c in b".,;:!?" or 10 <= c <=
 _EDGE = bytes([_CUT])
 
 
+def packed(columns: list[np.ndarray], base: int) -> np.ndarray:
+    """One number for each row of columns of numbers below ``base``, equal for equal rows and in their order."""
+    code, span = columns[0], base
+    for c in columns[1:]:
+        if span * base >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            span = len(code) + 1
+        code, span = code * base + c, span * base
+    return code
+
+
+def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct number, and how many there are of it."""
+    order = np.argsort(code)
+    ranked = code[order]
+    heads = np.flatnonzero(np.diff(ranked, prepend=ranked[:1] - 1))
+    return order[heads], np.diff(heads, append=len(code))
+
+
 class Suffixes:
     """Words of some texts of one language as numbers, and for each word the numbers of the words after it in its piece.
 
-    ``after[k]`` holds the k-th word from each place, 0 beyond the end of the piece.
+    ``after[k]`` holds the k-th word from each place, 0 beyond the end of the piece; ``words[i]`` is the word of number i.
     """
 
     def __init__(self, texts: list[str]):
-        blob = _EDGE.join(t.encode().translate(_FOLD) for t in texts)
-        flat = blob.replace(_EDGE, b" \xff ").split()
-        numbers: dict[bytes, int] = {_EDGE: 0}
-        codes = np.fromiter((numbers.setdefault(w, len(numbers)) for w in flat), dtype=np.int64, count=len(flat))
-        self.flat, self.numbers, self.size = flat, numbers, len(numbers)
+        blob = _EDGE.join(t.encode().translate(_FOLD) for t in texts).replace(_EDGE, b" \xff ")
+        numbers = _Numbers()
+        numbers[_EDGE]  # number 0
+        codes = np.array([numbers[w] for w in blob.split()], dtype=np.int64)
+        self.numbers, self.words, self.size = numbers, list(numbers), len(numbers)
         after = [codes]
         for k in range(1, DEPTH):
             moved = np.zeros_like(codes)
-            moved[:-k or None] = codes[k:]
+            moved[:-k] = codes[k:]
             after.append(np.where(after[-1] > 0, moved, 0))
-        self.places = np.flatnonzero(codes > 0)
-        self.after = [a[self.places] for a in after]
-
-    def prefixes(self, length: int, among: np.ndarray) -> tuple[list[list[bytes]], np.ndarray]:
-        """Distinct prefixes of that many words at the places ``among`` (all must have them), as words, and their counts."""
-        code, base = self.after[0][among], self.size
-        for k in range(1, length):
-            # Renumbered at each word, so that a pair of numbers fits 64 bits.
-            code = np.unique(code, return_inverse=True)[1] * base + self.after[k][among]
-        _, first, counts = np.unique(code, return_index=True, return_counts=True)
-        at = self.places[among[first]]
-        return [self.flat[i : i + length] for i in at], counts
+        places = np.flatnonzero(codes)
+        self.after = [a[places] for a in after]
+
+    def prefixes(self, length: int, among: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Distinct prefixes of that many words at the places ``among`` (all must have them), joined by a space, and their counts."""
+        columns = [self.after[k][among] for k in range(length)]
+        first, counts = distinct(packed(columns, self.size))
+        return [b" ".join([self.words[i] for i in row]) for row in zip(*(c[first].tolist() for c in columns))], counts
 
     def heavy(self, prefixes: set[bytes], length: int, among: np.ndarray) -> np.ndarray:
-        """Which of the places ``among`` begin with one of ``prefixes`` (words joined by a space) of that length."""
-        if not prefixes or not len(among):
-            return np.zeros(len(among), dtype=bool)
+        """Which of the places ``among`` begin with one of ``prefixes`` of that length."""
         wanted = [p for p in (tuple(self.numbers.get(w, 0) for w in x.split(b" ")) for x in prefixes) if min(p) > 0]
-        hit = np.zeros(len(among), dtype=bool)
-        if wanted:
-            code = np.zeros(len(among), dtype=np.int64)
-            goal = np.zeros(len(wanted), dtype=np.int64)
-            for k in range(length):
-                # One numbering for both, again so that pairs fit.
-                both = np.concatenate([code, goal]) * self.size + np.concatenate([self.after[k][among], np.array([p[k] for p in wanted])])
-                both = np.unique(both, return_inverse=True)[1]
-                code, goal = both[: len(among)], both[len(among) :]
-            hit = np.isin(code, goal)
-        return hit
+        if not wanted or not len(among):
+            return np.zeros(len(among), dtype=bool)
+        # One numbering for both.
+        code = packed([np.concatenate([self.after[k][among], np.array([p[k] for p in wanted])]) for k in range(length)], self.size)
+        return np.isin(code[: len(among)], code[len(among) :])
+
+
+class _Numbers(dict):
+    """Numbers of words in the order they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = len(self)
+        return out
 
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Suffixes]]:
@@ -96,10 +110,10 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Suffi
             if text:
                 waiting.setdefault(lang, []).append(text)
                 sizes[lang] = sizes.get(lang, 0) + len(text)
-                if sizes[lang] > SLICE_BYTES:
+                if sizes[lang] > SLICE_CHARS:
                     yield lang, Suffixes(waiting.pop(lang))
                     sizes[lang] = 0
-        if sum(sizes.values()) > 4 * SLICE_BYTES:  # many languages
+        if sum(sizes.values()) > WAITING_CHARS:
             for lang in list(waiting):
                 yield lang, Suffixes(waiting.pop(lang))
             sizes.clear()
@@ -128,7 +142,7 @@ Heavy = list[dict[str, set[bytes]]]
 
 def _under_heavy(lang: str, suffixes: Suffixes, heavy: Heavy, length: int) -> np.ndarray:
     """Places whose first ``length`` words, and all beginnings of them, are over the budget."""
-    among = np.arange(len(suffixes.places))
+    among = np.arange(len(suffixes.after[0]))
     for k in range(length):
         among = among[suffixes.heavy(heavy[k].get(lang, set()), k + 1, among)]
     return among
@@ -139,100 +153,101 @@ def prefix_counts(rows: DataFrame, heavy: Heavy) -> DataFrame:
     length = len(heavy)
 
     def work(lang: str, suffixes: Suffixes) -> tuple:
+        if not length:
+            return suffixes.words[1:], np.bincount(suffixes.after[0], minlength=suffixes.size)[1:]
         among = _under_heavy(lang, suffixes, heavy, length)
         among = among[suffixes.after[length][among] > 0]
-        found, counts = suffixes.prefixes(length + 1, among)
-        return [b" ".join(x) for x in found], counts
+        return suffixes.prefixes(length + 1, among) if len(among) else ([], [])
 
     return _map(rows, work, "lang string, phrase binary, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def suffix_rows(rows: DataFrame, heavy: Heavy, groups: int) -> DataFrame:
-    """``lang, grp, stem, suffix, n``: equal suffixes longer than their stem, combined.
+def suffix_blocks(rows: DataFrame, heavy: Heavy, groups: int) -> DataFrame:
+    """``lang, grp, words, codes, stems, counts``: the suffixes of some megabytes of text that belong to one group, equal ones combined.
 
-    Each word is ended by a line feed, which no word holds, so suffixes of equal beginnings are neighbours in the order of bytes.
+    ``codes`` are four numbers for each suffix, positions from 1 in ``words`` (parted by line feeds, which no word holds) or 0; ``stems``
+    are the words of its stem. A suffix that is no longer than its stem is counted with the prefixes already.
     """
 
     def work(lang: str, suffixes: Suffixes) -> tuple:
-        names, stems, keys, texts, counts = suffixes, [], [], [], []
-        among = np.arange(len(names.places))
-        word_key = np.fromiter(map(xxhash.xxh3_64_intdigest, names.numbers), dtype=np.uint64, count=names.size)
+        after, among, made = suffixes.after, np.arange(len(suffixes.after[0])), []
+        names = np.fromiter(map(xxhash.xxh3_64_intdigest, suffixes.words), dtype=np.uint64, count=suffixes.size)
         key = np.zeros(len(among), dtype=np.uint64)
         for k in range(DEPTH - 1):
             # Places whose first k words are over the budget; the stem has one word more unless that is over it too.
-            among = among[names.after[k][among] > 0]
-            key[among] = mix(key[among] * np.uint64(0x9E3779B97F4A7C15) + word_key[names.after[k][among]])
-            over = names.heavy(heavy[k].get(lang, set()) if k < len(heavy) else set(), k + 1, among)
-            own = among[~over]
-            own = own[names.after[k + 1][own] > 0]  # a suffix that is its stem is counted already
+            among = among[after[k][among] > 0]
+            key[among] = mix(key[among] * np.uint64(0x9E3779B97F4A7C15) + names[after[k][among]])
+            over = suffixes.heavy(heavy[k].get(lang, set()) if k < len(heavy) else set(), k + 1, among)
+            own, among = among[~over], among[over]
+            own = own[after[k + 1][own] > 0]
             if len(own):
-                code = names.after[0][own]
-                for j in range(1, DEPTH):
-                    code = np.unique(code, return_inverse=True)[1] * names.size + names.after[j][own]
-                _, first, n = np.unique(code, return_index=True, return_counts=True)
+                first, counts = distinct(packed([a[own] for a in after], suffixes.size))
                 at = own[first]
-                lengths = 1 + sum((names.after[j][at] > 0).astype(int) for j in range(1, DEPTH))
-                texts += [b"\n".join([*names.flat[i : i + m], b""]) for i, m in zip(names.places[at].tolist(), lengths.tolist())]
-                stems.append(np.full(len(at), k + 1, dtype=np.int32))
-                keys.append((key[at] % np.uint64(groups)).astype(np.int64))
-                counts.append(n)
-            among = among[over]
-        if not counts:
-            return [], [], [], []
-        return np.concatenate(keys), np.concatenate(stems), texts, np.concatenate(counts)
-
-    return _map(rows, work, "lang string, grp long, stem int, suffix binary, n long")
-
-
-def subtree_counts(suffixes: DataFrame, least: int) -> DataFrame:
-    """``lang, phrase, f`` of the nodes below the stems that hold at least ``least``: totals of runs in sorted order.
-
-    For each depth the run that reaches the end of a batch stays open; nothing else is held.
-    """
+                made.append((key[at] % np.uint64(groups), np.full(len(at), k + 1), np.stack([a[at] for a in after], axis=1), counts))
+        if not made:
+            return [], [], [], [], []
+        group, stem, codes, counts = (np.concatenate(x) for x in zip(*made))
+        order = np.argsort(group)
+        group, stem, codes, counts = group[order], stem[order].astype("u1"), codes[order], counts[order].astype("<u4")
+        heads = np.flatnonzero(np.diff(group, prepend=group[:1] + np.uint64(1)))
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(group)]):
+            used, local = np.unique(np.append(codes[a:b], 0), return_inverse=True)  # 0 is always among them, and first
+            words = b"\n".join([suffixes.words[i] for i in used[1:].tolist()])
+            for column, value in zip(out, (int(group[a]), words, local[:-1].astype("<u4").tobytes(), stem[a:b].tobytes(), counts[a:b].tobytes())):
+                column.append(value)
+        return out
+
+    return _map(rows, work, "lang string, grp long, words binary, codes binary, stems binary, counts binary")
+
+
+def subtree(blocks: list[tuple[bytes, bytes, bytes, bytes]], least: int) -> tuple[list[bytes], list[int]]:
+    """Nodes below the stems that hold at least ``least``, from the sorted leaves of one group: phrases and counts."""
+    numbers = _Numbers()
+    numbers[b"\n"]  # number 0: no word
+    parts = []
+    for words, codes, _, _ in blocks:
+        local = np.array([0, *(numbers[w] for w in words.split(b"\n"))], dtype=np.int64)
+        parts.append(local[np.frombuffer(codes, "<u4")].reshape(-1, DEPTH))
+    leaves = np.concatenate(parts)
+    stems = np.concatenate([np.frombuffer(x[2], "u1") for x in blocks])
+    counts = np.concatenate([np.frombuffer(x[3], "<u4") for x in blocks]).astype(np.int64)
+    order = np.argsort(packed(list(leaves.T), len(numbers)))
+    leaves, stems, counts = leaves[order], stems[order], counts[order]
+    words, phrases, totals = list(numbers), [], []
+    new = np.ones(len(leaves), dtype=bool)
+    new[1:] = leaves[1:, 0] != leaves[:-1, 0]
+    for depth in range(2, DEPTH + 1):
+        new[1:] |= leaves[1:, depth - 1] != leaves[:-1, depth - 1]
+        heads = np.flatnonzero(new)
+        sums = np.add.reduceat(counts, heads)
+        kept = np.flatnonzero((sums >= least) & (leaves[heads, depth - 1] > 0) & (stems[heads] < depth))
+        phrases += [b" ".join([words[i] for i in row]) for row in leaves[heads[kept], :depth].tolist()]
+        totals += sums[kept].tolist()
+    return phrases, totals
+
+
+def subtree_counts(blocks: DataFrame, least: int) -> DataFrame:
+    """``lang, phrase, f`` of all groups. A task holds one group at a time, which the budget bounds."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("f", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_runs: list[tuple | None] = [None] * (DEPTH + 1)
+        now, held = None, []
 
-        def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-            kept = [(lang, b" ".join(words), f) for (lang, *words), f in found if f >= least]
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*kept), schema)], schema=schema)
+        def build() -> Iterator[pa.RecordBatch]:
+            phrases, totals = subtree(held, least) if held else ([], [])
+            if phrases:
+                yield pa.RecordBatch.from_arrays([pa.array([now[1]] * len(totals)), pa.array(phrases, pa.binary()), pa.array(totals, pa.int64())], schema=schema)
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lang = batch.column("lang")
-            stem = batch.column("stem").to_numpy()
-            n = batch.column("n").to_numpy()
-            parts = pc.split_pattern(batch.column("suffix"), pattern=b"\n")
-            offsets, words = parts.offsets.to_numpy(), parts.flatten()
-            offsets = offsets - offsets[0]
-            size = np.diff(offsets) - 1  # the last line feed ends a word
-            for depth in range(2, DEPTH + 1):
-                own = np.flatnonzero((size >= depth) & (stem < depth))
-                if not len(own):
-                    continue
-                columns = [lang.take(own), *(words.take(offsets[own] + j) for j in range(depth))]
-                new = np.zeros(len(own), dtype=bool)
-                new[0] = True
-                for c in columns:
-                    new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
-                heads = np.flatnonzero(new)
-                totals = np.add.reduceat(n[own], heads)
-                key_of = lambda i: tuple(c[int(i)].as_py() for c in columns)
-                found, carried = [], open_runs[depth]
-                if carried is not None:
-                    if carried[0] == key_of(heads[0]):
-                        totals[0] += carried[1]
-                    else:
-                        found.append(carried)
-                found += [(key_of(heads[i]), int(totals[i])) for i in np.flatnonzero(totals[:-1] >= least)]
-                open_runs[depth] = (key_of(heads[-1]), int(totals[-1]))
-                yield from rows(found)
-        yield from rows([x for x in open_runs if x is not None])
-
-    dealt = suffixes.repartition("grp").sortWithinPartitions("grp", "lang", "suffix").select("lang", "stem", "suffix", "n")
+            for row in zip(*(c.to_pylist() if i < 2 else c for i, c in enumerate(batch.columns))):
+                if row[:2] != now:
+                    yield from build()
+                    now, held = row[:2], []
+                held.append(tuple(x.as_py() for x in row[2:]))
+        yield from build()
+
+    dealt = blocks.repartition("grp").sortWithinPartitions("grp", "lang").select("grp", "lang", "words", "codes", "stems", "counts")
     return dealt.mapInArrow(run, "lang string, phrase binary, f long")
 
 
@@ -256,7 +271,7 @@ def phrase_counts(docs: DataFrame, *, least: int = 30, lang_col: str = "lang", t
         level = staged(prefix_counts(rows, heavy))
         counts = stacked(counts, level.where(F.col("f") >= least))
     groups = max(1, -(-2 * total // budget))
-    nodes = subtree_counts(suffix_rows(rows, heavy, groups), least)
+    nodes = subtree_counts(suffix_blocks(rows, heavy, groups), least)
     return staged(stacked(counts, nodes).select("lang", F.col("phrase").cast("string").alias("phrase"), "f")), totals
 
 
