@@ -162,6 +162,17 @@ def prefix_counts(rows: DataFrame, heavy: Heavy) -> DataFrame:
     return _map(rows, work, "lang string, phrase binary, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
+def narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as all of them need."""
+    top = int(numbers.max())
+    return numbers.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+
+
+def wide(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``narrow``."""
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64)
+
+
 def suffix_blocks(rows: DataFrame, heavy: Heavy, groups: int) -> DataFrame:
     """``lang, grp, words, codes, stems, counts``: the suffixes of some megabytes of text that belong to one group, equal ones combined.
 
@@ -188,13 +199,13 @@ def suffix_blocks(rows: DataFrame, heavy: Heavy, groups: int) -> DataFrame:
             return [], [], [], [], []
         group, stem, codes, counts = (np.concatenate(x) for x in zip(*made))
         order = np.argsort(group)
-        group, stem, codes, counts = group[order], stem[order].astype("u1"), codes[order], counts[order].astype("<u4")
+        group, stem, codes, counts = group[order], stem[order].astype("u1"), codes[order], counts[order]
         heads = np.flatnonzero(np.diff(group, prepend=group[:1] + np.uint64(1)))
         out: tuple[list, ...] = ([], [], [], [], [])
         for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(group)]):
             used, local = np.unique(np.append(codes[a:b], 0), return_inverse=True)  # 0 is always among them, and first
             words = b"\n".join([suffixes.words[i] for i in used[1:].tolist()])
-            for column, value in zip(out, (int(group[a]), words, local[:-1].astype("<u4").tobytes(), stem[a:b].tobytes(), counts[a:b].tobytes())):
+            for column, value in zip(out, (int(group[a]), words, narrow(local[:-1]), stem[a:b].tobytes(), narrow(counts[a:b]))):
                 column.append(value)
         return out
 
@@ -206,12 +217,12 @@ def subtree(blocks: list[tuple[bytes, bytes, bytes, bytes]], least: int) -> tupl
     numbers = _Numbers()
     numbers[b"\n"]  # number 0: no word
     parts = []
-    for words, codes, _, _ in blocks:
-        local = np.array([0, *(numbers[w] for w in words.split(b"\n"))], dtype=np.int64)
-        parts.append(local[np.frombuffer(codes, "<u4")].reshape(-1, DEPTH))
+    for words, codes, stem, _ in blocks:
+        local = np.array([0, *[numbers[w] for w in words.split(b"\n")]], dtype=np.int64)
+        parts.append(local[wide(codes, DEPTH * len(stem))].reshape(-1, DEPTH))
     leaves = np.concatenate(parts)
     stems = np.concatenate([np.frombuffer(x[2], "u1") for x in blocks])
-    counts = np.concatenate([np.frombuffer(x[3], "<u4") for x in blocks]).astype(np.int64)
+    counts = np.concatenate([wide(x[3], len(x[2])) for x in blocks])
     order = np.argsort(packed(list(leaves.T), len(numbers)))
     leaves, stems, counts = leaves[order], stems[order], counts[order]
     words, phrases, totals = list(numbers), [], []
@@ -231,24 +242,11 @@ def subtree_counts(blocks: DataFrame, least: int) -> DataFrame:
     """``lang, phrase, f`` of all groups. A task holds one group at a time, which the budget bounds."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("f", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def build() -> Iterator[pa.RecordBatch]:
-            phrases, totals = subtree(held, least) if held else ([], [])
-            if phrases:
-                yield pa.RecordBatch.from_arrays([pa.array([now[1]] * len(totals)), pa.array(phrases, pa.binary()), pa.array(totals, pa.int64())], schema=schema)
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() if i < 2 else c for i, c in enumerate(batch.columns))):
-                if row[:2] != now:
-                    yield from build()
-                    now, held = row[:2], []
-                held.append(tuple(x.as_py() for x in row[2:]))
-        yield from build()
-
-    dealt = blocks.repartition("grp").sortWithinPartitions("grp", "lang").select("grp", "lang", "words", "codes", "stems", "counts")
-    return dealt.mapInArrow(run, "lang string, phrase binary, f long")
+    def build(key: tuple, group: pa.Table) -> pa.Table:
+        phrases, totals = subtree(list(zip(*(group.column(x).to_pylist() for x in ("words", "codes", "stems", "counts")))), least)
+        return pa.table([pa.array([key[1].as_py()] * len(totals), pa.string()), pa.array(phrases, pa.binary()), pa.array(totals, pa.int64())], schema=schema)
+
+    return blocks.groupBy("grp", "lang").applyInArrow(build, "lang string, phrase binary, f long")
 
 
 def phrase_counts(docs: DataFrame, *, least: int = 30, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
