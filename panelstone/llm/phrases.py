@@ -302,5 +302,5 @@ def collocations(
     worst = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     scored = worst.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
-    return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
