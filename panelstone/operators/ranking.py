@@ -1,14 +1,11 @@
 """Exact ranks, percentiles and quantiles inside groups of any size.
 
 ``annotate`` gives every row how many values of its group lie below it, equal it, and exist at all; ranks, percentiles, ties and
-order statistics all follow from these three counts. Two plans compute them:
+order statistics all follow from these three counts. One plan computes them at every size: a group is reduced to its distinct values (a
+map-side combine, so a value shared by millions of rows travels once per task), the values are cut by an order-preserving bucket, and
+only bucket totals are windowed per group. No task sees a whole group, however large or tied it is, and nothing runs while planning.
 
-* plain: one window per group, one shuffle. Right while every group fits a task comfortably.
-* split: a group is reduced to its distinct values (a map-side combine, so a value shared by millions of rows travels once per
-  task), the values are cut by an order-preserving bucket, and only bucket totals are windowed per group. No task sees a whole
-  group, however large or tied it is.
-
-The size decides: small inputs go plain without a look; larger ones have their largest group measured by one cheap count.
+A caller that knows its groups to be small (``split=False``) gets one window per group instead, with the same results.
 """
 
 from __future__ import annotations
@@ -18,32 +15,22 @@ from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import value_bucket
 
-# Inputs estimated below this many bytes cannot hold a group worth splitting.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-# Largest group a single task may sort.
-MAX_GROUP_ROWS = 2_000_000
-# Distinct values for which a bucket gets one more part.
+# Distinct values for which a bucket gets one more part; rows of one value from which its ties are cut.
 CELL_VALUES = 1000
+# Characters after the common beginning of tied ids that cut them.
+TIE_CHARACTERS = 4
 
 
-def needs_split(df: DataFrame, keys: list[str]) -> bool:
-    """Does any group exceed what one task should sort? Measured, unless the input is estimated to be small."""
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate <= SMALL_INPUT_BYTES:
-        return False
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (largest or 0) > MAX_GROUP_ROWS
-
-
-def ladder(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def ladder(df: DataFrame, keys: list[str], value: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """Distinct non-null values per group with how many rows hold them, lie below them, and the group size.
 
-    Output: ``keys + [value, n_eq, n_below, n_group]``.
+    Output: ``keys + [value, n_eq, n_below, n_group]`` and the ``extra`` aggregates of the rows of each value.
     """
+    extra = extra or {}
     rungs = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n_eq"))
+        .agg(F.count(F.lit(1)).alias("n_eq"), *[x.alias(n) for n, x in extra.items()])
         .withColumn("_bucket", value_bucket(value))
     )
     # A crowded bucket (a narrow range of values) is cut into equal parts of the range it holds.
@@ -68,20 +55,18 @@ def ladder(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     local = Window.partitionBy(*keys, "_bucket", "_cell").orderBy(value)
     rungs = rungs.withColumn("_local", F.sum("n_eq").over(local) - F.col("n_eq"))
     return rungs.join(totals, [*keys, "_bucket", "_cell"]).select(
-        *keys, value, "n_eq", (F.col("_offset") + F.col("_local")).alias("n_below"), "n_group"
+        *keys, value, "n_eq", (F.col("_offset") + F.col("_local")).alias("n_below"), "n_group", *extra
     )
 
 
 def annotate(
-    df: DataFrame, keys: list[str], value: str, stats: dict[str, Column] | None = None, split: bool | None = None
+    df: DataFrame, keys: list[str], value: str, stats: dict[str, Column] | None = None, split: bool = True
 ) -> DataFrame:
     """Add ``n_below, n_eq, n_group`` (null where the value is null, except the group size) and per-group ``stats``.
 
     ``stats`` are aggregate expressions over these columns, such as ``order_statistic``.
     """
     stats = stats or {}
-    if split is None:
-        split = needs_split(df, keys)
     if split:
         steps = ladder(df, keys, value)
         groups = steps.groupBy(*keys).agg(F.max("n_group").alias("_n"), *[x.alias(n) for n, x in stats.items()])
@@ -135,13 +120,11 @@ def group_quantiles(
     value: str,
     linear: dict[str, float] | None = None,
     nearest: dict[str, float] | None = None,
-    split: bool | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Exact quantiles per group: ``keys + [n, <names>]``; groups without a value yield no row."""
     linear, nearest = linear or {}, nearest or {}
     known = df.where(F.col(value).isNotNull()).select(*keys, value)
-    if split is None:
-        split = needs_split(known, keys)
     if not split:
         # Exact percentile aggregate: distinct values combine map-side.
         out = known.groupBy(*keys).agg(
@@ -168,7 +151,7 @@ def add_rank(
     percentile: str | None = None,
     count: str | None = None,
     descending: bool = False,
-    split: bool | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Average rank (ties share the mean) among non-null values; nulls stay unranked.
 
@@ -187,49 +170,56 @@ def add_rank(
     return out.withColumnRenamed("_count", count) if count else out
 
 
+def common_beginning(a: Column, b: Column) -> Column:
+    """Number of leading characters that two strings share."""
+    shorter = F.least(F.char_length(a), F.char_length(b))
+    places = F.when(shorter > 0, F.sequence(F.lit(1), shorter)).otherwise(F.array().cast("array<int>"))
+    differs = F.array_position(F.transform(places, lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))), True)
+    return F.when(differs > 0, differs - 1).otherwise(shorter).cast("int")
+
+
 def add_ordinal_rank(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    tiebreak: str,
-    rank: str,
-    descending: bool = False,
-    tie_prefix: int = 10,
-    split: bool | None = None,
+    df: DataFrame, keys: list[str], value: str, tiebreak: str, rank: str, descending: bool = False, split: bool = True
 ) -> DataFrame:
     """Ordinal rank among non-null values, ties broken by the ``tiebreak`` column (unique in the group); nulls stay unranked.
 
-    The split plan cuts a group by value bucket and one value's ties by the leading ``tie_prefix`` characters of the tie-break, so
-    neither a large group nor a value shared by most of it lands in one task. Ids should be zero-padded to a common length.
+    Values are cut as in ``ladder``. The ties of one value, if many, are cut where their ids begin to differ: what the least and the
+    greatest id have in common all have, and the characters after it part them in their order. So neither a large group nor a value
+    shared by most of it lands in one task, and ids may share a beginning of any length.
     """
-    if split is None:
-        split = needs_split(df, keys)
     if not split:
         order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(order, tiebreak)).cast("long")
         return df.withColumn(rank, F.when(F.col(value).isNotNull(), place))
-    prefix = F.substring(F.col(tiebreak).cast("string"), 1, tie_prefix).alias("_p")
-    work = df.where(F.col(value).isNotNull()).select(*keys, value, tiebreak, prefix)
+    work = df.where(F.col(value).isNotNull()).select(*keys, value, tiebreak)
+    text = dict(df.dtypes)[tiebreak] == "string"
+    ends = {"_first": F.min(tiebreak), "_last": F.max(tiebreak)}
     before = F.col("n_group") - F.col("n_below") - F.col("n_eq") if descending else F.col("n_below")
-    steps = ladder(work, keys, value).select(*keys, value, before.alias("_before"))
-    cells = work.groupBy(*keys, value, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    inside = F.sum("_n").over(Window.partitionBy(*keys, value).orderBy("_p")) - F.col("_n")
-    offsets = (
-        cells.withColumn("_inside", inside)
-        .join(steps, [*keys, value])
-        .select(*keys, value, "_p", (F.col("_before") + F.col("_inside")).alias("_off"))
+    shared = common_beginning(F.col("_first"), F.col("_last"))
+    # Ids in order are text, or numbers cut into equal ranges.
+    width = (F.col("_last").cast("double") - F.col("_first").cast("double")) / F.greatest(F.col("n_eq") / CELL_VALUES, F.lit(1.0)) if not text else None
+    cut = (
+        F.substring(F.col(tiebreak), F.col("_shared") + 1, F.lit(TIE_CHARACTERS))
+        if text
+        else F.floor((F.col(tiebreak).cast("double") - F.col("_first").cast("double")) / F.col("_shared")).cast("long")
     )
+    steps = ladder(work, keys, value, ends).select(*keys, value, "n_eq", "_first", before.alias("_before"), (shared if text else width).alias("_shared"))
+    met = work.join(steps, [*keys, value]).withColumn("_p", F.when(F.col("n_eq") > CELL_VALUES, cut))
+    cells = met.groupBy(*keys, value, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each cut of the ties of a value: bounded by the characters that part them, not by the ties.
+    inside = F.sum("_n").over(Window.partitionBy(*keys, value).orderBy("_p")) - F.col("_n")
+    offsets = cells.select(*keys, value, "_p", inside.alias("_inside"))
     at = Window.partitionBy(*keys, value, "_p").orderBy(tiebreak)
-    ranked = (
-        work.withColumn("_i", F.row_number().over(at))
-        .join(offsets, [*keys, value, "_p"])
-        .select(*keys, tiebreak, (F.col("_off") + F.col("_i")).cast("long").alias(rank))
+    placed = met.withColumn("_i", F.row_number().over(at)).alias("m")
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, value, "_p"]]
+    ranked = placed.join(offsets.alias("o"), same).select(
+        *[F.col(f"m.{k}").alias(k) for k in keys], F.col(f"m.{tiebreak}").alias(tiebreak), (F.col("m._before") + F.col("o._inside") + F.col("m._i")).cast("long").alias(rank)
     )
     return df.join(ranked, [*keys, tiebreak], "left").select(*df.columns, rank)
 
 
 def rank_long(
-    df: DataFrame, ids: list[str], keys: list[str], columns: list[str], percentile: str = "percentile", split: bool | None = None
+    df: DataFrame, ids: list[str], keys: list[str], columns: list[str], percentile: str = "percentile", split: bool = True
 ) -> DataFrame:
     """Melt several columns and rank each of them inside ``keys``: ``ids + [metric, value, percentile]`` without nulls.
 

@@ -29,7 +29,6 @@ from panelstone.operators.ranking import (
     holds,
     linear_quantile,
     nearest_index,
-    needs_split,
     order_statistic,
 )
 from panelstone.session import cut_lineage
@@ -167,16 +166,17 @@ def _chosen_by_level(long: DataFrame, metrics: tuple[Metric, ...], levels: list[
     )
 
 
-def score_metrics(panel: DataFrame, metrics: tuple[Metric, ...] = METRICS, split: bool | None = None) -> DataFrame:
-    """Percentile of every metric within the finest peer group that is large enough, per date."""
+def score_metrics(panel: DataFrame, metrics: tuple[Metric, ...] = METRICS, split: bool = False) -> DataFrame:
+    """Percentile of every metric within the finest peer group that is large enough, per date.
+
+    All peer groups of a metric on a date meet in one task: as many rows as the date has companies, whatever the length of the history.
+    ``split`` ranks by cut groups instead, for dates with more companies than a task should sort.
+    """
     used = tuple(m for m in metrics if m.key in panel.columns)
     if not used:
         raise ValueError("the panel carries none of the declared metrics")
     wanted = {x for m in used for x in PEER_CHAIN[m.basis]}
     levels = [x for x in ("industry", "sector", "size_decile", "universe") if x in wanted]
-    if split is None:
-        # A (metric, date) holds as many rows as the date has companies, whatever the number of metrics.
-        split = needs_split(panel, ["date"])
     long = melt_metrics(panel, used)
     best = _chosen_by_level(long, used, levels) if split else _chosen_in_place(long, used, levels)
     status = (

@@ -293,7 +293,7 @@ def _lookup(df: DataFrame, steps: DataFrame, keys: list[str], positions: dict[st
     return out.drop("_map", *[f"_k_{n}" for n in positions])
 
 
-def leave_one_out(df: DataFrame, keys: list[str], value: str, trim: float, quantiles: dict[str, float] | None = None, split: bool | None = None) -> DataFrame:
+def leave_one_out(df: DataFrame, keys: list[str], value: str, trim: float, quantiles: dict[str, float] | None = None, split: bool = True) -> DataFrame:
     """Trimmed median, linear quantiles and size of each row's group without the row itself.
 
     With at least five values, those outside the linear ``trim`` and ``1 - trim`` quantiles are dropped before the median. A row
