@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from panelstone.functions.numeric import div, finite
 from panelstone.functions.spec import CATEGORY_WEIGHTS
 from panelstone.operators.calendar import session_index
-from panelstone.operators.ranking import add_rank, bucket_of, group_quantiles
+from panelstone.operators.ranking import add_rank, average_rank, bucket_of, group_quantiles, key_ladder, keyed
 from panelstone.operators.scoring import recompose
 from panelstone.session import stacked
 
@@ -26,13 +26,19 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def spearman_by(df: DataFrame, keys: list[str], x: str, y: str, min_pairs: int = MIN_PAIRS, name: str = "ic", drop_thin: bool = True) -> DataFrame:
+def spearman_by(df: DataFrame, keys: list[str], x: str, y: str, min_pairs: int = MIN_PAIRS, name: str = "ic", drop_thin: bool = True, split: bool = True) -> DataFrame:
     """Rank correlation of the finite pairs of each group: ``keys + [name, n]``.
 
-    Groups under ``min_pairs`` are dropped, or kept with a null correlation when ``drop_thin`` is off.
+    Groups under ``min_pairs`` are dropped, or kept with a null correlation when ``drop_thin`` is off. Both sides are ranked beside each
+    other, so the input is not read again for the ranks of ranks; ``split=False`` is for groups known to be small.
     """
     pairs = df.select(*keys, finite(x).alias("_x"), finite(y).alias("_y")).where("_x is not null and _y is not null")
-    ranked = add_rank(add_rank(pairs, keys, "_x", rank="_rx"), keys, "_y", rank="_ry")
+    if split:
+        pairs = keyed(pairs, keys)
+        ranks = lambda v, r: key_ladder(pairs, v).select("_key", v, average_rank().alias(r))
+        ranked = pairs.join(ranks("_x", "_rx"), ["_key", "_x"]).join(ranks("_y", "_ry"), ["_key", "_y"])
+    else:
+        ranked = add_rank(add_rank(pairs, keys, "_x", rank="_rx", split=False), keys, "_y", rank="_ry", split=False)
     out = ranked.groupBy(*keys).agg(correlation("_rx", "_ry").alias(name), F.count(F.lit(1)).alias("n"))
     thick = F.col("n") >= min_pairs
     return out.where(thick) if drop_thin else out.withColumn(name, F.when(thick, F.col(name)))
@@ -141,7 +147,7 @@ def bucket_returns(df: DataFrame, score: str, target: str, buckets: int, raw_tar
 def monotonicity(buckets: DataFrame) -> DataFrame:
     """Rank correlation of bucket number and mean return; null below three buckets or ten points."""
     keyed = buckets.withColumn("_k", F.lit(0))
-    out = spearman_by(keyed, ["_k"], "bucket", "mean_excess", MIN_PAIRS, "monotonicity", drop_thin=False)
+    out = spearman_by(keyed, ["_k"], "bucket", "mean_excess", MIN_PAIRS, "monotonicity", drop_thin=False, split=False)
     return out.select(F.when(F.col("n") >= 3, F.col("monotonicity")).alias("monotonicity"), F.col("n").alias("n_buckets"))
 
 

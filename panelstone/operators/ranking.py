@@ -21,44 +21,55 @@ CELL_VALUES = 1000
 TIE_CHARACTERS = 4
 
 
-def ladder(df: DataFrame, keys: list[str], value: str, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Distinct non-null values per group with how many rows hold them, lie below them, and the group size.
+def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_key``, one struct of the keys: it joins null keys with null keys, as grouping does."""
+    return df.withColumn("_key", F.struct(*keys))
 
-    Output: ``keys + [value, n_eq, n_below, n_group]`` and the ``extra`` aggregates of the rows of each value.
-    """
+
+def key_ladder(df: DataFrame, value: str, extra: dict[str, Column] | None = None) -> DataFrame:
+    """``ladder`` of a frame that is ``keyed``: ``_key, value, n_eq, n_below, n_group`` and the ``extra`` aggregates."""
     extra = extra or {}
     rungs = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
+        .groupBy("_key", value)
         .agg(F.count(F.lit(1)).alias("n_eq"), *[x.alias(n) for n, x in extra.items()])
         .withColumn("_bucket", value_bucket(value))
     )
     # A crowded bucket (a narrow range of values) is cut into equal parts of the range it holds.
     v = F.col(value).cast("double")
-    ends = rungs.groupBy(*keys, "_bucket").agg(
+    ends = rungs.groupBy("_key", "_bucket").agg(
         F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.ceil(F.count(F.lit(1)) / CELL_VALUES).alias("_parts")
     )
     splits = (F.col("_parts") > 1) & (F.col("_lo") > -float("inf")) & (F.col("_hi") < float("inf"))
     part = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts")).cast("long")
-    rungs = rungs.join(ends, [*keys, "_bucket"]).withColumn("_cell", F.when(splits, part).otherwise(F.lit(0).cast("long")))
+    rungs = rungs.join(ends, ["_key", "_bucket"]).withColumn("_cell", F.when(splits, part).otherwise(F.lit(0).cast("long")))
     rungs = rungs.drop("_lo", "_hi", "_parts")
-    totals = rungs.groupBy(*keys, "_bucket", "_cell").agg(F.sum("n_eq").alias("_total"))
-    by_group = Window.partitionBy(*keys)
+    totals = rungs.groupBy("_key", "_bucket", "_cell").agg(F.sum("n_eq").alias("_total"))
+    by_group = Window.partitionBy("_key")
     # Bounded by the number of value buckets plus one row for every CELL_VALUES values, not by the size of the group.
     totals = totals.select(
-        *keys,
+        "_key",
         "_bucket",
         "_cell",
         (F.sum("_total").over(by_group.orderBy("_bucket", "_cell")) - F.col("_total")).alias("_offset"),
         F.sum("_total").over(by_group).alias("n_group"),
     )
-    local = Window.partitionBy(*keys, "_bucket", "_cell").orderBy(value)
+    local = Window.partitionBy("_key", "_bucket", "_cell").orderBy(value)
     rungs = rungs.withColumn("_local", F.sum("n_eq").over(local) - F.col("n_eq"))
-    return rungs.join(totals, [*keys, "_bucket", "_cell"]).select(
-        *keys, value, "n_eq", (F.col("_offset") + F.col("_local")).alias("n_below"), "n_group", *extra
+    return rungs.join(totals, ["_key", "_bucket", "_cell"]).select(
+        "_key", value, "n_eq", (F.col("_offset") + F.col("_local")).alias("n_below"), "n_group", *extra
     )
 
 
+def ladder(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct non-null values per group with how many rows hold them, lie below them, and the group size.
+
+    Output: ``keys + [value, n_eq, n_below, n_group]``.
+    """
+    out = key_ladder(keyed(df, keys), value)
+    return out.select(*[F.col(f"_key.{k}").alias(k) for k in keys], value, "n_eq", "n_below", "n_group")
+
+
 def annotate(
     df: DataFrame, keys: list[str], value: str, stats: dict[str, Column] | None = None, split: bool = True
 ) -> DataFrame:
@@ -68,9 +79,10 @@ def annotate(
     """
     stats = stats or {}
     if split:
-        steps = ladder(df, keys, value)
-        groups = steps.groupBy(*keys).agg(F.max("n_group").alias("_n"), *[x.alias(n) for n, x in stats.items()])
-        out = df.join(steps.drop("n_group"), [*keys, value], "left").join(groups, keys, "left")
+        whole = keyed(df, keys)
+        steps = key_ladder(whole, value)
+        groups = steps.groupBy("_key").agg(F.max("n_group").alias("_n"), *[x.alias(n) for n, x in stats.items()])
+        out = whole.join(steps.drop("n_group"), ["_key", value], "left").join(groups, "_key", "left")
         return out.select(*df.columns, "n_below", "n_eq", F.coalesce("_n", F.lit(0)).alias("n_group"), *stats)
     # Nulls sort first and are subtracted from the ranks: one sort then serves the rank and the tie count.
     known = F.col(value).isNotNull()
@@ -191,31 +203,26 @@ def add_ordinal_rank(
         order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(order, tiebreak)).cast("long")
         return df.withColumn(rank, F.when(F.col(value).isNotNull(), place))
-    work = df.where(F.col(value).isNotNull()).select(*keys, value, tiebreak)
+    whole = keyed(df, keys)
+    work = whole.where(F.col(value).isNotNull()).select("_key", value, tiebreak)
     text = dict(df.dtypes)[tiebreak] == "string"
     ends = {"_first": F.min(tiebreak), "_last": F.max(tiebreak)}
     before = F.col("n_group") - F.col("n_below") - F.col("n_eq") if descending else F.col("n_below")
-    shared = common_beginning(F.col("_first"), F.col("_last"))
     # Ids in order are text, or numbers cut into equal ranges.
-    width = (F.col("_last").cast("double") - F.col("_first").cast("double")) / F.greatest(F.col("n_eq") / CELL_VALUES, F.lit(1.0)) if not text else None
-    cut = (
-        F.substring(F.col(tiebreak), F.col("_shared") + 1, F.lit(TIE_CHARACTERS))
-        if text
-        else F.floor((F.col(tiebreak).cast("double") - F.col("_first").cast("double")) / F.col("_shared")).cast("long")
-    )
-    steps = ladder(work, keys, value, ends).select(*keys, value, "n_eq", "_first", before.alias("_before"), (shared if text else width).alias("_shared"))
-    met = work.join(steps, [*keys, value]).withColumn("_p", F.when(F.col("n_eq") > CELL_VALUES, cut))
-    cells = met.groupBy(*keys, value, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    number = lambda x: F.col(x).cast("double")
+    shared = common_beginning(F.col("_first"), F.col("_last")) if text else (number("_last") - number("_first")) / (F.col("n_eq") / CELL_VALUES)
+    cut = F.substring(F.col(tiebreak), F.col("_shared") + 1, F.lit(TIE_CHARACTERS)) if text else F.floor((number(tiebreak) - number("_first")) / F.col("_shared"))
+    steps = key_ladder(work, value, ends).select("_key", value, "n_eq", "_first", before.alias("_before"), shared.alias("_shared"))
+    # Few ties stay together: the empty text, or the number 0.
+    met = work.join(steps, ["_key", value]).withColumn("_p", F.when(F.col("n_eq") > CELL_VALUES, cut).otherwise(F.lit("" if text else 0)))
+    cells = met.groupBy("_key", value, "_p").agg(F.count(F.lit(1)).alias("_n"))
     # One row for each cut of the ties of a value: bounded by the characters that part them, not by the ties.
-    inside = F.sum("_n").over(Window.partitionBy(*keys, value).orderBy("_p")) - F.col("_n")
-    offsets = cells.select(*keys, value, "_p", inside.alias("_inside"))
-    at = Window.partitionBy(*keys, value, "_p").orderBy(tiebreak)
-    placed = met.withColumn("_i", F.row_number().over(at)).alias("m")
-    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, value, "_p"]]
-    ranked = placed.join(offsets.alias("o"), same).select(
-        *[F.col(f"m.{k}").alias(k) for k in keys], F.col(f"m.{tiebreak}").alias(tiebreak), (F.col("m._before") + F.col("o._inside") + F.col("m._i")).cast("long").alias(rank)
-    )
-    return df.join(ranked, [*keys, tiebreak], "left").select(*df.columns, rank)
+    inside = F.sum("_n").over(Window.partitionBy("_key", value).orderBy("_p")) - F.col("_n")
+    offsets = cells.select("_key", value, "_p", inside.alias("_inside"))
+    at = Window.partitionBy("_key", value, "_p").orderBy(tiebreak)
+    placed = met.withColumn("_i", F.row_number().over(at)).join(offsets, ["_key", value, "_p"])
+    ranked = placed.select("_key", tiebreak, (F.col("_before") + F.col("_inside") + F.col("_i")).cast("long").alias(rank))
+    return whole.join(ranked, ["_key", tiebreak], "left").select(*df.columns, rank)
 
 
 def rank_long(
