@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstone.operators.calendar import session_index
+from panelstone.operators.calendar import session_index, sessions
+from panelstone.operators.holdings import outcomes, run_periods, schedule
 from panelstone.operators.ranking import add_ordinal_rank
-from panelstone.session import stacked
+from panelstone.session import cut_lineage, stacked
 
 ONE_WAY_BPS = 1.5 + 2.5 + 0.5  # fixed values: commission, half spread, slippage
 
@@ -55,33 +56,31 @@ def add_weights(chosen: DataFrame, weighting: str = "equal", max_position_weight
     return out.withColumn("weight", raw).drop("_k", "_floor", "_sum")
 
 
-def period_returns(weights: DataFrame, prices: DataFrame, entity: str = "ticker", bps: float = ONE_WAY_BPS) -> DataFrame:
-    """Per rebalance: gross return until the next one, turnover against drifted weights, cost and net return.
+def holding_returns(
+    weights: DataFrame, prices: DataFrame, dates: DataFrame | None = None, entity: str = "ticker", delay: int = 1, offset: int = 0, tolerance: int = 0
+) -> DataFrame:
+    """Fate and return of every weight of one portfolio (see ``holdings.outcomes``), with its decision ``date``."""
+    days = sessions(prices) if dates is None else dates
+    plan = cut_lineage(schedule(weights, days, [("only", offset, delay)], tolerance))
+    when = plan.select("plan", "period", "date")
+    target = weights.select(entity, "date", "weight").join(F.broadcast(when), "date")  # one row per rebalance
+    held = outcomes(target.withColumn("run", F.lit("only")), prices, days, plan, tolerance, entity)
+    return held.join(F.broadcast(when), ["plan", "period"])
+
+
+def period_returns(
+    weights: DataFrame, prices: DataFrame, dates: DataFrame | None = None, entity: str = "ticker", bps: float = ONE_WAY_BPS,
+    delay: int = 1, offset: int = 0, tolerance: int = 0,
+) -> DataFrame:
+    """Per rebalance: gross return until the next execution, turnover against drifted weights, cost, net return, and the fates of its names.
 
-    A name without a price at the next rebalance earns nothing in that period.
+    Bought ``delay`` sessions after the decision. A name that stops trading is sold at its last price or written off, never carried at
+    zero return; a name without a price on the execution is not bought. The last period is open and has no return.
     """
-    dates = weights.select("date").distinct()
-    nxt = dates.select("date", F.lead("date").over(Window.orderBy("date")).alias("next_date"))  # one row per rebalance
-    px = prices.select(entity, "date", F.col("close_adj").alias("_p"))
-    held = (
-        weights.select(entity, "date", "weight")
-        .join(F.broadcast(nxt), "date")
-        .join(px, [entity, "date"], "left")
-        .join(px.select(entity, F.col("date").alias("next_date"), F.col("_p").alias("_q")), [entity, "next_date"], "left")
-    )
-    held = held.withColumn("ret", F.coalesce(F.try_divide("_q", "_p") - 1.0, F.lit(0.0)))
-    gross = held.groupBy("date", "next_date").agg(F.sum(F.col("weight") * F.col("ret")).alias("gross"), F.count(F.lit(1)).alias("n_names"))
-    drifted = (
-        held.join(F.broadcast(gross.select("date", "gross")), "date")  # one row per rebalance
-        .where(F.col("next_date").isNotNull())
-        .select(entity, F.col("next_date").alias("date"), F.try_divide(F.col("weight") * (1 + F.col("ret")), 1 + F.col("gross")).alias("_old"))
-    )
-    moves = weights.select(entity, "date", "weight").join(drifted, [entity, "date"], "full_outer")
-    turnover = moves.groupBy("date").agg(
-        F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0)))).alias("turnover")
-    )
-    out = gross.join(turnover, "date")
-    return out.withColumn("cost", F.col("turnover") * (bps / 1e4)).withColumn("net", F.col("gross") - F.col("cost"))
+    held = cut_lineage(holding_returns(weights, prices, dates, entity, delay, offset, tolerance))
+    costs = weights.sparkSession.createDataFrame([("only", float(bps))], "run string, bps double")
+    when = held.select("period", "date").distinct()  # one row per rebalance
+    return run_periods(held, costs, entity).join(F.broadcast(when), "period").drop("run", "period")
 
 
 def tranche_weights(weights: DataFrame, tranches: int, entity: str = "ticker") -> DataFrame:

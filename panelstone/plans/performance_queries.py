@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelstone.operators import holdings as HD
 from panelstone.operators import performance as PM
 from panelstone.operators import portfolio as PF
 from panelstone.operators import reports as Q
+from panelstone.operators import variants as VR
 from panelstone.operators import verdicts as VD
 from panelstone.plans.base import MARKET, R, Tables, fragment, query, round_sql, rounded
 from panelstone.session import cut_lineage, stacked
@@ -139,19 +141,44 @@ def _(t):
 # ---- portfolios over the month panel
 
 fragment("wt", "SELECT company_id, ticker, sector, date, 0.05::DOUBLE AS weight FROM pan QUALIFY row_number() OVER (PARTITION BY date ORDER BY roic DESC, company_id) <= 20", "pan")
-fragment("hp", """SELECT w.*, nd, coalesce(q.close_adj / p.close_adj - 1, 0) AS ret FROM wt w JOIN (SELECT date, lead(date) OVER (ORDER BY date) AS nd FROM (SELECT DISTINCT date FROM wt)) USING (date) LEFT JOIN pan p ON p.ticker = w.ticker AND p.date = w.date LEFT JOIN pan q ON q.ticker = w.ticker AND q.date = nd""", "wt")
-fragment("gr", "SELECT date, any_value(nd) AS nd, sum(weight * ret) AS gross, count(*) AS n_names FROM hp GROUP BY 1", "hp")
-fragment("tv", """SELECT coalesce(n.date, o.date) AS date, sum(abs(coalesce(n.weight, 0) - coalesce(o.w, 0))) AS turnover FROM wt n FULL JOIN (SELECT ticker, hp.nd AS date, weight * (1 + ret) / (1 + gross) AS w FROM hp JOIN gr ON gr.date = hp.date WHERE hp.nd IS NOT NULL) o ON o.ticker = n.ticker AND o.date = n.date GROUP BY 1""", "wt", "hp", "gr")
+TOLERANCE = 5  # sessions a price may lie behind an execution: a supplier trades on about every fifth
+fragment("ses", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM sd)", "sd")
+fragment("dec", "SELECT date, idx FROM ses WHERE date IN (SELECT date FROM pan)", "ses", "pan")
+fragment("pln", "SELECT 'offset ' || o || ' delay ' || dl AS plan, o, dl FROM (VALUES (0, 1), (0, 2), (0, 3), (0, 5), (-5, 1), (-1, 1), (1, 1), (5, 1)) v(o, dl)")
+fragment("sch", """SELECT *, row_number() OVER w AS period, lead(idx) OVER w AS nidx, lead(exec_date) OVER w AS next_date FROM (
+   SELECT plan, e.idx, e.date AS exec_date, (SELECT max(k.date) FROM dec k WHERE k.idx <= d.idx + o) AS date FROM dec d JOIN pln ON true JOIN ses e ON e.idx = d.idx + o + dl WHERE d.idx + o >= 0) WHERE date IS NOT NULL WINDOW w AS (PARTITION BY plan ORDER BY idx)""", "ses", "dec", "pln")
+fragment("pw", f"""SELECT plan, ticker, period, min(px.date) FILTER (x.idx - s.idx <= {TOLERANCE}) AS fd, arg_min(close_adj, px.date) FILTER (x.idx - s.idx <= {TOLERANCE}) AS fp, max(px.date) AS ld, arg_max(close_adj, px.date) AS lp
+   FROM sch s JOIN ses x ON x.idx BETWEEN s.idx AND coalesce(nidx - 1, s.idx + {TOLERANCE}) JOIN px ON px.date = x.date GROUP BY ALL""", "px", "sch", "ses")
+FATES = """SELECT *, CASE state WHEN 'not_bought' THEN 0 WHEN 'held' THEN xp / fp - 1 WHEN 'liquidated' THEN lp / fp - 1 WHEN 'written_off' THEN -1.0 END AS ret, CASE WHEN state <> 'not_bought' THEN weight ELSE 0 END AS w FROM (
+   SELECT t.*, exec_date, next_date, a.fd, a.fp, a.ld, a.lp, b.fd AS xd, b.fp AS xp, CASE WHEN a.fp IS NULL THEN 'not_bought' WHEN next_date IS NULL THEN 'open' WHEN b.fp IS NOT NULL THEN 'held' WHEN a.ld > a.fd THEN 'liquidated' ELSE 'written_off' END AS state
+   FROM {0} t JOIN sch USING (plan, period) LEFT JOIN pw a ON (a.plan, a.ticker, a.period) = (t.plan, t.ticker, t.period) LEFT JOIN pw b ON (b.plan, b.ticker, b.period) = (t.plan, t.ticker, t.period + 1))"""
+PERIODS = """SELECT run, period, any_value(exec_date) AS exec_date, any_value(next_date) AS next_date, CASE WHEN any_value(next_date) IS NOT NULL THEN coalesce(sum(w * ret) FILTER (state <> 'not_bought'), 0) END AS gross,
+   count(*) FILTER (state = 'held') AS n_held, count(*) FILTER (state = 'liquidated') AS n_liquidated, count(*) FILTER (state = 'written_off') AS n_written_off, count(*) FILTER (state = 'not_bought') AS n_not_bought, count(*) FILTER (state = 'open') AS n_open FROM {0} GROUP BY 1, 2"""
+TURNOVER = """SELECT run, period, sum(abs(x)) AS turnover FROM (SELECT run, period, ticker, sum(x) AS x FROM (SELECT run, period, ticker, w AS x FROM {0} UNION ALL
+   SELECT h.run, h.period + 1, ticker, -coalesce(w * (1 + ret) / nullif(1 + gross, 0), 0) FROM {0} h JOIN {1} g ON (g.run, g.period) = (h.run, h.period) WHERE state IN ('held', 'liquidated', 'written_off')) GROUP BY ALL) GROUP BY ALL"""
+fragment("wt1", "SELECT 'only' AS run, plan, period, wt.* FROM wt JOIN sch USING (date) WHERE plan = 'offset 0 delay 1'", "wt", "sch")
+fragment("hp", FATES.format("wt1"), "wt1", "sch", "pw")
+fragment("gr", PERIODS.format("hp"), "hp")
+fragment("tv", TURNOVER.format("hp", "gr"), "hp", "gr")
 
 
 def weights(t: Tables):
     return PF.add_weights(PF.select_names(t.panel, 20, score="roic", entity="company_id"), score="roic").select("company_id", "ticker", "sector", "date", "weight")
 
 
-@query("ev19_period_returns", f"{{{{with gr, tv}}}} SELECT gr.date, {R('gross')} AS gross, {R('turnover')} AS turnover, {R('gross - turnover * 0.00045')} AS net, n_names FROM gr JOIN tv ON gr.date = tv.date")
+_FATE = ["n_held", "n_liquidated", "n_written_off", "n_not_bought", "n_open"]
+
+
+@query("ev19_period_returns", f"{{{{with gr, tv, sch}}}} SELECT s.date, g.exec_date, g.next_date, {R('gross')} AS gross, {R('turnover')} AS turnover, {R('gross - turnover * 0.00045')} AS net, {', '.join(_FATE)} FROM gr g JOIN tv USING (run, period) JOIN sch s ON s.plan = 'offset 0 delay 1' AND s.period = g.period")
 def _(t):
-    out = PF.period_returns(cut_lineage(weights(t)), t.panel.select("ticker", "date", "close_adj"))
-    return rounded(out.select("date", "gross", "turnover", "net", "n_names"))
+    out = PF.period_returns(cut_lineage(weights(t)), t.prices.select("ticker", "date", "close_adj"), t.sessions, tolerance=TOLERANCE)
+    return rounded(out.select("date", "exec_date", "next_date", "gross", "turnover", "net", *_FATE))
+
+
+@query("ev19_exits", f"{{{{with hp}}}} SELECT ticker, exec_date, state, fd AS entry_date, CASE state WHEN 'held' THEN xd WHEN 'liquidated' THEN ld END AS exit_date, {R('ret')} AS ret FROM hp WHERE state <> 'held'")
+def _(t):
+    held = PF.holding_returns(cut_lineage(weights(t)), t.prices.select("ticker", "date", "close_adj"), t.sessions, tolerance=TOLERANCE)
+    return rounded(held.where("state <> 'held'").select("ticker", "exec_date", "state", "entry_date", "exit_date", "ret"))
 
 
 @query("ev21_tranches", f"""{{{{with wt}}}}, i AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM wt)), s AS (SELECT ticker, i.k + x AS k, weight FROM wt JOIN i USING (date), (SELECT unnest(range(3)) AS x)) SELECT ticker, i.date, {R('sum(weight) / 3')} AS weight FROM s JOIN i ON i.k = s.k GROUP BY 1, 2""")
@@ -166,24 +193,23 @@ def _(t):
     return rounded(VD.trades(w, entity="ticker").select("ticker", "date", "side", "delta_weight"))
 
 
-@query("ev37_contributors", f"""{{{{with hp}}}}, c AS (SELECT ticker, round(sum(weight * ret), 9) AS x FROM hp GROUP BY 1) SELECT * FROM (SELECT ticker, {R('x')} AS contribution, 'top' AS side FROM c ORDER BY x DESC, ticker LIMIT 10) UNION ALL SELECT * FROM (SELECT ticker, {R('x')}, 'bottom' FROM c ORDER BY x, ticker LIMIT 10)""")
-def _(t):
+fragment("hc", "SELECT * FROM hp WHERE state IN ('held', 'liquidated', 'written_off')", "hp")
+
+
+def closed_holdings(t: Tables):
     w = cut_lineage(weights(t))
-    px = t.panel.select("ticker", "date", "close_adj")
-    nxt = w.select("date").distinct().select("date", F.lead("date").over(Window.orderBy("date")).alias("nd"))  # one row per rebalance
-    later = px.select("ticker", F.col("date").alias("nd"), F.col("close_adj").alias("q"))
-    ret = px.join(F.broadcast(nxt), "date").join(later, ["ticker", "nd"], "left").select("ticker", "date", F.coalesce(F.try_divide("q", "close_adj") - 1, F.lit(0.0)).alias("ret"))
-    return rounded(PF.contributors(w, ret, "ticker", 10))
+    held = PF.holding_returns(w, t.prices.select("ticker", "date", "close_adj"), t.sessions, tolerance=TOLERANCE)
+    return w, held.where(F.col("state").isin(*HD.BOUGHT)).select("ticker", "date", "ret")
 
 
-@query("ev37_contributors_by_sector", f"{{{{with hp}}}} SELECT sector, {R('sum(weight * ret)')} AS contribution FROM hp GROUP BY 1 ORDER BY 2 DESC LIMIT 3")
+@query("ev37_contributors", f"""{{{{with hc}}}}, c AS (SELECT ticker, round(sum(weight * ret), 9) AS x FROM hc GROUP BY 1) SELECT * FROM (SELECT ticker, {R('x')} AS contribution, 'top' AS side FROM c ORDER BY x DESC, ticker LIMIT 10) UNION ALL SELECT * FROM (SELECT ticker, {R('x')}, 'bottom' FROM c ORDER BY x, ticker LIMIT 10)""")
 def _(t):
-    w = cut_lineage(weights(t))
-    px = t.panel.select("ticker", "date", "close_adj")
-    nxt = w.select("date").distinct().select("date", F.lead("date").over(Window.orderBy("date")).alias("nd"))  # one row per rebalance
-    later = px.select("ticker", F.col("date").alias("nd"), F.col("close_adj").alias("q"))
-    ret = px.join(F.broadcast(nxt), "date").join(later, ["ticker", "nd"], "left").select("ticker", "date", F.coalesce(F.try_divide("q", "close_adj") - 1, F.lit(0.0)).alias("ret"))
-    return rounded(PF.contributors(w, ret, "sector", 3).where("side = 'top'").drop("side"))
+    return rounded(PF.contributors(*closed_holdings(t), "ticker", 10))
+
+
+@query("ev37_contributors_by_sector", f"""{{{{with hc}}}}, c AS (SELECT sector, round(sum(weight * ret), 9) AS x FROM hc GROUP BY 1) SELECT * FROM (SELECT sector, {R('x')} AS contribution, 'top' AS side FROM c ORDER BY x DESC, sector LIMIT 3) UNION ALL SELECT * FROM (SELECT sector, {R('x')}, 'bottom' FROM c ORDER BY x, sector LIMIT 3)""")
+def _(t):
+    return rounded(PF.contributors(*closed_holdings(t), "sector", 3))
 
 
 # ---- registry, gates, robustness
@@ -224,24 +250,48 @@ def _(t):
     return VD.decide(VD.evaluate_gates(m, VD.DATA_GATES), VD.evaluate_gates(m, VD.RESULT_GATES), periods).select("run_id", "status", "conclusion")
 
 
-fragment("rb", """SELECT o_custkey AS run_id, o_orderkey AS variant, CASE WHEN o_custkey % 5 = 0 THEN -1.0 WHEN o_custkey % 11 = 0 THEN NULL ELSE 200000.0 END AS base, o_totalprice - 100000 AS value, o_orderstatus = 'F' AS sh FROM orders""")
-fragment("rv", "SELECT *, CASE WHEN base IS NULL OR value IS NULL THEN 'not_measurable' WHEN base <= 0 THEN 'not_applicable' WHEN value <= 0 THEN 'failed' WHEN value / base < CASE WHEN sh THEN 0.7 ELSE 0.5 END THEN 'weakened' ELSE 'survived' END AS verdict FROM rb", "rb")
+STRATEGIES = ("roic", "ret_3m", "earnings_yield", "price_to_book", "market_cap")
+fragment("var", "SELECT *, 'offset ' || o || ' delay ' || dl AS plan FROM (VALUES ('base', 'base', 20, 20, false, 1, 0, 1, 0), ('double_costs', '2x', 20, 20, false, 1, 0, 2, 0), ('double_costs', '4x', 20, 20, false, 1, 0, 4, 0),"
+    " ('execution_delay', '2 days', 20, 20, false, 2, 0, 1, 0), ('execution_delay', '3 days', 20, 20, false, 3, 0, 1, 0), ('execution_delay', '5 days', 20, 20, false, 5, 0, 1, 0), ('rebalance_shift', '-5 days', 20, 20, false, 1, -5, 1, 0),"
+    " ('rebalance_shift', '-1 day', 20, 20, false, 1, -1, 1, 0), ('rebalance_shift', '+1 day', 20, 20, false, 1, 1, 1, 0), ('rebalance_shift', '+5 days', 20, 20, false, 1, 5, 1, 0), ('drop_winners', 'drop top 1', 20, 20, false, 1, 0, 1, 1),"
+    " ('drop_winners', 'drop top 3', 20, 20, false, 1, 0, 1, 3), ('drop_winners', 'drop top 5', 20, 20, false, 1, 0, 1, 5), ('sector_cap', '30%', 20, 6, false, 1, 0, 1, 0), ('sector_cap', '20%', 20, 4, false, 1, 0, 1, 0),"
+    " ('weighting', 'score-proportional', 20, 20, true, 1, 0, 1, 0), ('threshold', '15 names', 15, 15, false, 1, 0, 1, 0), ('threshold', '25 names', 25, 25, false, 1, 0, 1, 0), ('threshold', '30 names', 30, 30, false, 1, 0, 1, 0)) v(test, variant, n, ps, prop, dl, o, cf, dk)")
+fragment("rkd", " UNION ALL ".join(f"SELECT '{x}' AS strategy, ticker, sector, date, {x} AS score FROM pan WHERE {x} IS NOT NULL" for x in STRATEGIES), "pan")
+WEIGHTS = """SELECT strategy, test, variant, strategy || '|' || test || '|' || variant AS run, plan, period, ticker, cf, CASE WHEN prop AND sum(score) OVER r - count(*) OVER r * min(score) OVER r > 1e-12 THEN (score - min(score) OVER r) / (sum(score) OVER r - count(*) OVER r * min(score) OVER r) ELSE 1.0 / count(*) OVER r END AS weight FROM (
+   SELECT * FROM (SELECT k.*, v.*, period FROM rkd k JOIN sch USING (date) JOIN var v ON v.plan = sch.plan WHERE {0} QUALIFY row_number() OVER (PARTITION BY strategy, test, variant, period, sector ORDER BY score DESC, ticker) <= ps)
+   QUALIFY row_number() OVER (PARTITION BY strategy, test, variant, period ORDER BY score DESC, ticker) <= n) WINDOW r AS (PARTITION BY strategy, test, variant, period)"""
+fragment("wb", WEIGHTS.format("test = 'base'"), "rkd", "sch", "var")
+fragment("hb", FATES.format("wb"), "wb", "sch", "pw")
+fragment("win", "SELECT strategy, ticker, row_number() OVER (PARTITION BY strategy ORDER BY round(sum(weight * ret), 9) DESC, ticker) AS place FROM hb WHERE state IN ('held', 'liquidated', 'written_off') GROUP BY 1, 2", "hb")
+fragment("wv", WEIGHTS.format("NOT EXISTS (SELECT 1 FROM win x WHERE x.strategy = k.strategy AND x.ticker = k.ticker AND x.place <= v.dk)"), "rkd", "sch", "var", "win")
+fragment("hv", FATES.format("wv"), "wv", "sch", "pw")
+fragment("gv", PERIODS.format("hv"), "hv")
+fragment("tvv", TURNOVER.format("hv", "gv"), "hv", "gv")
+fragment("rgw", """SELECT strategy, test, variant, pow(g, 365.25 / d) - 1 AS cagr, pow(g, 365.25 / d) - pow(z.close / a.close, 365.25 / d) AS excess FROM (
+   SELECT split_part(run, '|', 1) AS strategy, split_part(run, '|', 2) AS test, v.variant, product(greatest(1 + gross - turnover * 0.00045 * cf, 0)) AS g, min(exec_date) AS s, max(next_date) AS e, max(next_date) - min(exec_date) AS d
+   FROM gv JOIN tvv USING (run, period) JOIN var v ON v.test = split_part(run, '|', 2) AND v.variant = split_part(run, '|', 3) WHERE next_date IS NOT NULL GROUP BY ALL) JOIN mk a ON a.date = s JOIN mk z ON z.date = e""", "gv", "tvv", "var", "mk")
+fragment("rv", """SELECT g.*, b.excess AS base, CASE WHEN b.excess IS NULL OR g.excess IS NULL THEN 'not_measurable' WHEN b.excess <= 0 THEN 'not_applicable' WHEN g.excess <= 0 THEN 'failed' WHEN g.excess / b.excess < CASE WHEN g.test = 'rebalance_shift' THEN 0.7 ELSE 0.5 END THEN 'weakened' ELSE 'survived' END AS verdict
+   FROM rgw g LEFT JOIN rgw b ON b.strategy = g.strategy AND b.test = 'base' WHERE g.test <> 'base'""", "rgw")
 
 
 def robustness(t: Tables):
-    k = F.col("o_custkey")
-    df = t.raw("orders").select(k.alias("run_id"), F.col("o_orderkey").alias("variant"), F.when(k % 5 == 0, -1.0).when(k % 11 == 0, None).otherwise(200000.0).alias("base"), (F.col("o_totalprice") - 100000).alias("value"), (F.col("o_orderstatus") == "F").alias("sh"))
-    return df.withColumn("verdict", VD.robustness_verdict(is_shift="sh"))
+    """Five strategies, each ranked by one column of the panel, through all declared variants."""
+    cells = F.array(*[F.struct(F.lit(x).alias("strategy"), F.col(x).alias("score")) for x in STRATEGIES])
+    ranked = t.panel.select("ticker", "sector", "date", F.explode(cells).alias("_c")).select("ticker", "sector", "date", "_c.*")
+    return VR.robustness(ranked, cut_lineage(t.prices.select("ticker", "date", "close_adj")), t.sessions, cut_lineage(t.market), tolerance=TOLERANCE)
 
 
-@query("ev36_robustness", "{{with rv}} SELECT run_id, variant, verdict FROM rv")
+@query("ev36_robustness", f"{{{{with rv}}}} SELECT strategy, test, variant, {R('cagr')} AS cagr, {R('excess')} AS excess, {R('base')} AS base_excess, verdict FROM rv")
 def _(t):
-    return robustness(t).select("run_id", "variant", "verdict")
+    return rounded(robustness(t).select("strategy", "test", "variant", "cagr", "excess", "base_excess", "verdict"))
+
+
+_SHARE = "count(*) FILTER (verdict = 'survived') / nullif(count(*) FILTER (verdict NOT LIKE 'not%'), 0)"
 
 
-@query("ev36_robustness_summary", f"{{{{with rv}}}} SELECT run_id, count(*) AS n_tests, count(*) FILTER (verdict = 'survived') AS survived, count(*) FILTER (verdict = 'failed') AS failed, {R('''count(*) FILTER (verdict = 'survived') / nullif(count(*) FILTER (verdict NOT LIKE 'not%'), 0)''')} AS survived_share FROM rv GROUP BY 1")
+@query("ev36_robustness_summary", f"{{{{with rv}}}} SELECT strategy, count(*) AS n_tests, count(*) FILTER (verdict = 'survived') AS survived, count(*) FILTER (verdict = 'failed') AS failed, {R(_SHARE)} AS survived_share FROM rv GROUP BY 1")
 def _(t):
-    return rounded(VD.robustness_summary(robustness(t)).select("run_id", "n_tests", "survived", "failed", "survived_share"))
+    return rounded(VD.robustness_summary(robustness(t), "strategy").select("strategy", "n_tests", "survived", "failed", "survived_share"))
 
 
 @query("ev33_trial_count", "SELECT count(*) AS n_trials FROM orders WHERE o_orderpriority = '1-URGENT'")
