@@ -150,9 +150,9 @@ def bars_to_signals(bars: DataFrame, source: str) -> DataFrame:
     return out.select("_s.uid", "entity", "asof", "_s.kind", "_s.value", "source", "_s.meta").where(F.col("value").isNotNull())
 
 
-def dedupe_signals(signals: DataFrame) -> DataFrame:
-    """One row per uid; copies are reduced map-side."""
-    rest = [x for x in signals.columns if x not in ("uid", "meta")]
-    extra = [F.first("meta").alias("meta")] if "meta" in signals.columns else []
-    out = signals.groupBy("uid").agg(F.max(F.struct(*rest)).alias("_r"), *extra)
-    return out.select("uid", "_r.*", *([] if not extra else ["meta"])).select(*signals.columns)
+def dedupe_signals(signals: DataFrame, sequence: tuple[str, ...] = ()) -> DataFrame:
+    """One row per uid, the last by the columns of ``sequence``; what they leave equal is settled by all values. Copies are reduced map-side."""
+    rest = [x for x in signals.columns if x != "uid"]
+    order = [F.to_json(x) if x == "meta" else F.col(x) for x in (*sequence, *[x for x in rest if x not in sequence])]
+    out = signals.groupBy("uid").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return out.select("uid", "_r.*").select(*signals.columns)

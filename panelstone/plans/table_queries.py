@@ -61,6 +61,19 @@ def _(t):
     return rounded(S.scan(t.spark, root, "prices").select(*_PC))
 
 
+@query("snk2_upsert_sequence", f"""{{{{with pr}}}}, i AS (SELECT 'T' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, arg_max(l_quantity, (l_orderkey, l_linenumber)) AS close_raw FROM lineitem WHERE l_shipdate >= DATE '1999-06-01' GROUP BY ALL)
+   SELECT ticker, date, {R('close_raw')} AS close_raw FROM (SELECT * FROM i UNION ALL SELECT ticker, date, close_raw FROM pr WHERE date < DATE '2000-01-01' AND (ticker, date) NOT IN (SELECT (ticker, date) FROM i))""")
+def _(t):
+    """Several rows of a load for one key: the last recorded wins, though it may hold a lower value."""
+    root = scratch(t)
+    S.write(t.prices.where("date < '2000-01-01'"), root, "prices")
+    lines = t.raw("lineitem").where("l_shipdate >= '1999-06-01'")
+    ticker, day = F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("ticker"), F.col("l_shipdate").cast("date").alias("date")
+    load = lines.select(ticker, day, F.col("l_quantity").alias("close_raw"), F.col("l_quantity").alias("close_adj"), "l_orderkey", "l_linenumber")
+    S.upsert(load, root, "prices", sequence=("l_orderkey", "l_linenumber"))
+    return rounded(S.scan(t.spark, root, "prices").select("ticker", "date", "close_raw"))
+
+
 @query("snk3_append", "SELECT 'O' || o_orderkey AS trial_id, o_orderpriority AS strategy FROM orders")
 def _(t):
     root = scratch(t)

@@ -51,3 +51,46 @@ def test_unions_do_not_split_groups(spark):
     big = spark.range(20000).select((F.col("id") % 7).cast("string").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     small = spark.range(10).select((F.col("id") % 7).cast("string").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     assert stacked(big, small).groupBy("k").agg(F.sum("n").alias("n")).count() == 7
+
+
+def test_the_last_of_a_load_wins_though_its_value_is_lower(spark, tmp_path):
+    root = str(tmp_path)
+    T.write(frame(spark, [("a", D, 1.0), ("z", D, 5.0)]), root, SPEC)
+    load = spark.createDataFrame([("a", D, 9.0, 1), ("a", D, 2.0, 3), ("a", D, 7.0, 2), ("b", D, 4.0, 5), ("b", D, 6.0, None)], "k string, d date, v double, n int")
+    T.upsert(load, root, SPEC, sequence=("n",))
+    assert {r.k: r.v for r in T.read(spark, root, SPEC).collect()} == {"a": 2.0, "b": 4.0, "z": 5.0}
+    T.upsert(frame(spark, [("a", D, 0.5)]), root, SPEC)  # a later load, a lower value
+    assert {r.k: r.v for r in T.read(spark, root, SPEC).collect()} == {"a": 0.5, "b": 4.0, "z": 5.0}
+
+
+def test_a_failed_write_leaves_the_table_and_its_readers_alone(spark, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(ValueError):
+        T.write(frame(spark, [("a", D, None)]), root, SPEC)
+    assert T.read(spark, root, SPEC) is None
+    T.write(frame(spark, [("a", D, 1.0)]), root, SPEC)
+    before = T.read(spark, root, SPEC)
+    dies = frame(spark, [("a", D, 3.0), ("b", D, 4.0)]).withColumn("v", F.when(F.col("k") == "b", F.raise_error("lost").cast("double")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        T.write(dies, root, SPEC)
+    with pytest.raises(ValueError):
+        T.write(frame(spark, [("a", D, 3.0), ("a", D, 4.0)]), root, SPEC)
+    assert T.versions(spark, root, SPEC) == [1] and [r.v for r in T.read(spark, root, SPEC).collect()] == [1.0]
+    assert not list((tmp_path / "raw" / ".staging").glob("t-*"))
+    T.upsert(frame(spark, [("a", D, 2.0)]), root, SPEC)
+    assert [r.v for r in before.collect()] == [1.0] and [r.v for r in T.read(spark, root, SPEC).collect()] == [2.0]
+    T.write(frame(spark, [("c", D, 3.0)]), root, SPEC)
+    assert T.versions(spark, root, SPEC) == [2, 3]
+    T._folder(spark, f"{root}/raw/t/v00000004")[1].mkdirs(T._folder(spark, f"{root}/raw/t/v00000004")[0])
+    with pytest.raises(Exception, match="v00000004"):  # another writer took the number in between
+        T._move(spark, f"{root}/raw/t/v00000003", f"{root}/raw/t", "v00000004")
+
+
+def test_copies_of_a_signal_are_settled_alike(spark):
+    from panelstone.operators.ingest import dedupe_signals
+
+    rows = [("u", 5.0, 1, {"s": "a"}), ("u", 3.0, 2, {"s": "c"}), ("u", 3.0, 2, {"s": "b"}), ("w", None, 1, None)]
+    df = spark.createDataFrame(rows, "uid string, value double, n int, meta map<string,string>")
+    for parts in (1, 4):
+        got = {r.uid: (r.value, r.meta) for r in dedupe_signals(df.repartition(parts), ("n",)).collect()}
+        assert got == {"u": (3.0, {"s": "c"}), "w": (None, None)}
