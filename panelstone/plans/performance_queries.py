@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +15,9 @@ from panelstone.operators import reports as Q
 from panelstone.operators import variants as VR
 from panelstone.operators import verdicts as VD
 from panelstone.plans.base import MARKET, R, Tables, fragment, query, round_sql, rounded
-from panelstone.session import cut_lineage, stacked
+from panelstone.session import cut_lineage, shared_folder, stacked
+from panelstone.sources import registry as RG
+from panelstone.sources import tables as S
 
 # Equity paths: one run per region, its daily return a damped change of the region's price; the market is the benchmark.
 fragment("eq", """SELECT 'run_' || sector AS run_id, date, 100 * exp(sum(r) OVER (PARTITION BY sector ORDER BY date)) AS equity, 100 * exp(sum(m) OVER (PARTITION BY sector ORDER BY date)) AS benchmark FROM (
@@ -294,6 +299,50 @@ def _(t):
     return rounded(VD.robustness_summary(robustness(t), "strategy").select("strategy", "n_tests", "survived", "failed", "survived_share"))
 
 
+fragment("reg_daily", "SELECT exec_date AS date, product(CASE WHEN next_date IS NULL THEN 1 ELSE 1 + gross - turnover * 0.00045 END) OVER (ORDER BY exec_date) AS equity FROM gr JOIN tv USING (run, period)", "gr", "tv")
+fragment("reg_pos", "SELECT exec_date AS date, period, ticker, weight FROM hp WHERE state <> 'not_bought'", "hp")
+fragment("reg_trades", """SELECT coalesce(n.weight, 0) - coalesce(o.weight, 0) AS delta FROM reg_pos n FULL JOIN (SELECT * REPLACE (period + 1 AS period) FROM reg_pos WHERE period < (SELECT max(period) FROM reg_pos)) o USING (period, ticker)""", "reg_pos")
+fragment("reg_perf", """SELECT pow(g, p) - 1 AS cagr, pow(z.close / a.close, p) - 1 AS bench FROM (SELECT product(1 + gross - turnover * 0.00045) AS g, min(exec_date) AS s, max(next_date) AS e, 365.25 / (max(next_date) - min(exec_date)) AS p FROM gr JOIN tv USING (run, period) WHERE next_date IS NOT NULL) JOIN mk a ON a.date = s JOIN mk z ON z.date = e""", "gr", "tv", "mk")
+
+
+@query("ev32_registry", f"""{{{{with reg_daily, reg_pos, reg_trades, reg_perf, rv}}}} SELECT 'backtest_runs' AS name, 1 AS n, NULL::DOUBLE AS total UNION ALL SELECT 'backtest_daily', count(*), {R('sum(equity)')} FROM reg_daily UNION ALL SELECT 'backtest_positions', count(*), {R('sum(weight)')} FROM reg_pos
+   UNION ALL SELECT 'backtest_trades', count(*), {R('sum(abs(delta))')} FROM reg_trades WHERE abs(delta) > 1e-12 UNION ALL SELECT 'performance_metrics', 3, {R('cagr + bench + (cagr - bench)')} FROM reg_perf UNION ALL SELECT 'robustness_tests', count(*), {R('sum(excess)')} FROM rv""")
+def _(t):
+    """A portfolio run and the robustness battery, saved twice: one row of each."""
+    held = cut_lineage(PF.holding_returns(cut_lineage(weights(t)), t.prices.select("ticker", "date", "close_adj"), t.sessions, tolerance=TOLERANCE))
+    periods = HD.run_periods(held, t.spark.createDataFrame([("only", PF.ONE_WAY_BPS)], "run string, bps double"))
+    run = RG.content_id("run", F.lit("roic"), F.lit("top 20, delay 1")).alias("run_id")
+    step = F.when(F.col("next_date").isNotNull(), 1 + F.col("net")).otherwise(1.0)
+    upto = Window.orderBy("exec_date").rowsBetween(Window.unboundedPreceding, 0)  # one row per rebalance
+    daily = periods.select(run, F.col("exec_date").alias("date"), F.product(step).over(upto).alias("equity"), "turnover", "cost")
+    positions = cut_lineage(held.where("state <> 'not_bought'").select(run, F.col("exec_date").alias("date"), F.col("ticker").alias("security_id"), "weight"))
+    moves = VD.trades(positions).withColumn("cost", F.abs("delta_weight") * PF.ONE_WAY_BPS / 1e4)
+    growth = HD.run_growth(periods, t.market).withColumn("run_id", run).unpivot(["run_id"], ["cagr", "benchmark_cagr", "excess"], "metric", "value")
+    tests = robustness(t).select(RG.content_id("run", "strategy").alias("run_id"), "test", "variant", F.col("base_excess").alias("base"), F.col("excess").alias("value"), "verdict")
+    header = t.spark.range(1).select(run, F.lit("roic").alias("strategy"), F.lit("top 20, delay 1").alias("params"), F.lit("done").alias("status"))
+    records = {"backtest_runs": header, "backtest_daily": daily, "backtest_positions": positions, "backtest_trades": moves, "performance_metrics": growth.withColumn("benchmark", F.lit(MARKET)), "robustness_tests": tests}
+    records = {k: cut_lineage(v) for k, v in records.items()}
+    root = f"{shared_folder(t.spark)}/tables/{uuid.uuid4().hex}"
+    for _ in range(2):
+        RG.save_results(records, root)
+    value = {"backtest_runs": F.lit(None).cast("double"), "backtest_daily": F.col("equity"), "backtest_positions": F.col("weight"), "backtest_trades": F.abs("delta_weight"), "performance_metrics": F.col("value"), "robustness_tests": F.col("value")}
+    parts = [S.scan(t.spark, root, k).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("total")).select(F.lit(k).alias("name"), "n", "total") for k, v in value.items()]
+    return rounded(reduce(stacked, parts))
+
+
+@query("ev33_trial_registry", """SELECT o_orderpriority AS strategy, count(*) AS n_trials, count(*) FILTER (o_orderstatus = 'P') AS n_holdout FROM orders GROUP BY 1""")
+def _(t):
+    """Trials recorded in two loads that overlap, and holdout accesses recorded twice."""
+    root = f"{shared_folder(t.spark)}/tables/{uuid.uuid4().hex}"
+    o = t.raw("orders").select("o_orderstatus", RG.content_id("trial", "o_orderkey").alias("trial_id"), F.col("o_orderdate").alias("recorded_at"), F.col("o_orderpriority").alias("strategy"), F.col("o_orderstatus").alias("period"), F.col("o_custkey").cast("string").alias("params"))
+    RG.record(o.where("o_orderstatus <> 'O'"), root, "experiments")
+    RG.record(o, root, "experiments")
+    looks = o.where("o_orderstatus = 'P'").select(F.col("trial_id").alias("access_id"), F.col("recorded_at").alias("accessed_at"), "strategy", F.lit("confirmation").alias("reason"))
+    for _ in range(2):
+        RG.record(looks, root, "holdout_audit")
+    return RG.trials_by_strategy(t.spark, root)
+
+
 @query("ev33_trial_count", "SELECT count(*) AS n_trials FROM orders WHERE o_orderpriority = '1-URGENT'")
 def _(t):
     return VD.trial_count(t.raw("orders").withColumnRenamed("o_orderpriority", "strategy"), "1-URGENT")
