@@ -127,10 +127,12 @@ def _(t):
     return rounded(PM.benchmark_path(t.market, dates, MARKET))
 
 
-@query("ev31_summarise", "{{with bs, bm}} " + " UNION ALL ".join(f"SELECT run_id, '{m}' AS metric, {R(m)} AS value FROM {src}" for src, cols in (("bs", _BS), ("bm", _BM)) for m in cols))
+_MONTHS = {"positive_months": "avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0.0 END)", "best_month": "max(ret)", "worst_month": "min(ret)"}
+
+
+@query("ev31_summarise", "{{with bs, bm, pm}} " + " UNION ALL ".join([f"SELECT run_id, '{m}' AS metric, {R(m)} AS value FROM {src}" for src, cols in (("bs", _BS), ("bm", _BM)) for m in cols] + [f"SELECT run_id, '{m}', {R(x)} FROM pm GROUP BY 1" for m, x in _MONTHS.items()]))
 def _(t):
-    keep = [*_BS, *_BM]
-    return rounded(PM.summarise(paths(t)).where(F.col("metric").isin(keep)))
+    return rounded(PM.summarise(paths(t)))
 
 
 @query("ev34_trial_returns", f"{{{{with pm}}}} SELECT run_id, period, {R('ret')} AS \"return\" FROM pm WHERE run_id IN (SELECT run_id FROM pm GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT period) FROM pm))")
