@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import TINY, clip, div, either, finite, inside, mapped, zero_if_null
 from panelstone.operators.ranking import annotate, holds
+from panelstone.session import cut_lineage
 
 # Discounting.
 RISK_FREE, EQUITY_PREMIUM, BETA_RANGE = 0.042, 0.050, (0.60, 2.00)
@@ -398,9 +399,12 @@ def comparables(df: DataFrame, min_peers: int = MIN_PEERS) -> DataFrame:
     """
     keys = list(dict.fromkeys([*ENTERPRISE, "fcf_yield", *EQUITY_LEVEL]))
     used = [k for k in keys if k in df.columns]
-    subject = quality_adjustment(choose_peer_group(df, min_peers), MAX_ADJUSTMENT)
-    stats = peer_statistics(subject, used, PEER_TRIM, {"q_low": 0.25, "q_high": 0.75}).select(
-        "company_id", "date", "multiple", "loo_n", "loo_median", "q_low", "q_high"
+    # Both are read again below; as one plan the two rounds of statistics are optimised for minutes.
+    subject = cut_lineage(quality_adjustment(choose_peer_group(df, min_peers), MAX_ADJUSTMENT))
+    stats = cut_lineage(
+        peer_statistics(subject, used, PEER_TRIM, {"q_low": 0.25, "q_high": 0.75}).select(
+            "company_id", "date", "multiple", "loo_n", "loo_median", "q_low", "q_high"
+        )
     )
     drivers = [c for c in ("ebit", "ebitda", "revenue", "free_cash_flow", "forward_earnings", "net_income", "equity", "net_debt", "minority_interest", "preferred_equity") ]
     for name in drivers:

@@ -77,6 +77,8 @@ NEEDS: dict[str, tuple[str, ...]] = {}
 
 
 def fragment(name: str, sql: str, *needs: str) -> None:
+    if name in CTE:
+        raise ValueError(f"duplicate fragment {name}")
     CTE[name] = sql
     NEEDS[name] = needs
 
