@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelstone.session import cut_lineage
 
@@ -31,6 +32,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {x.lower() for x in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` (a written table, cheap to count) for broadcast when it has few rows; otherwise leave the choice to the optimiser."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -85,12 +94,11 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict], schema: str, *, rows: int = SLICE_ROWS) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict], schema: str | StructType, *, rows: int = SLICE_ROWS) -> DataFrame:
     """Apply ``fn`` (columns as lists -> columns as lists or arrays) to small slices of Arrow batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

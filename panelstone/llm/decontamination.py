@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstone.llm.common import pick, small_side, staged
+from panelstone.llm.common import fresh, pick, small_side, staged
 
 WIDTH, PERCENT = 5, 80
 BITS, LANES, LANE_BITS = 64, 3, 20
@@ -155,8 +155,12 @@ def _contained(rows: DataFrame, bench: DataFrame, width: int, percent: int, radi
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs``, all columns, without the texts that hold an item. A document without an id is judged by its text like any other."""
+    """``docs``, all columns, without the texts that hold an item. A document without an id is judged by its text like any other.
+
+    Null and empty texts stay, as do all rows when no item has a word; repeated rows stay or go together.
+    """
+    gone_key = fresh(docs, "_gone")
     keyed = docs.select(F.struct(id_col, text_col).alias("_pair"), F.xxhash64(F.col(f"`{text_col}`")).alias("_key"))
     by_key = keyed.select(F.col("_key").alias("doc_id"), F.col(f"_pair.`{text_col}`").alias("text"))
-    gone = staged(contamination(by_key, items, "doc_id", "text", **options).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small_side(gone), F.xxhash64(F.col(f"`{text_col}`")) == F.col("_gone"), "left_anti")
+    gone = staged(contamination(by_key, items, "doc_id", "text", **options).select(F.col("doc_id").alias(gone_key)).distinct())
+    return docs.join(small_side(gone), F.xxhash64(F.col(f"`{text_col}`")) == F.col(gone_key), "left_anti")

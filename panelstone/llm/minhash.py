@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelstone.llm.common import arrow_map, mix, pick, shingle_hashes, small_side, staged
+from panelstone.llm.common import arrow_map, fresh, mix, pick, shingle_hashes, small_side, staged
 from panelstone.llm.components import components
 from panelstone.session import stacked
 
@@ -277,11 +277,12 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Of rows that share an id and a text, one stays. A row without an id stays.
     """
+    gone_id, twice_id = fresh(df, "_gone"), fresh(df, "_twice")
     judged = staged(near_duplicates(df, id_col, text_col, width, percent))
-    gone = staged(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct())
-    out = df.join(small_side(gone), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
-    twice = staged(judged.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
+    gone = staged(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(gone_id)).distinct())
+    out = df.join(small_side(gone), F.col(f"`{id_col}`") == F.col(gone_id), "left_anti")
+    twice = staged(judged.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(twice_id)))
     if twice.isEmpty():
         return out
-    same = F.col(f"`{id_col}`") == F.col("_twice")
+    same = F.col(f"`{id_col}`") == F.col(twice_id)
     return out.join(twice, same, "left_anti").transform(stacked, out.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -276,7 +276,10 @@ def mask(text: str | None) -> str | None:
 
 
 def mask_pii(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """``df`` with masked texts; ``length_col``, if named, gets the new number of characters. All rows and columns stay."""
+    """``df`` with masked texts; ``length_col``, if named, gets the new number of characters. All rows and columns stay.
+
+    Null and empty texts stay as they are, a null text with its old length.
+    """
     names = df.columns
 
     def work(cols):
@@ -286,5 +289,4 @@ def mask_pii(df: DataFrame, text_col: str = "text", length_col: str | None = Non
             cols[length_col] = [old if t is None else len(t) for old, t in zip(cols[length_col], cols[text_col], strict=True)]
         return cols
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return arrow_map(df, work, schema)
+    return arrow_map(df, work, df.schema)

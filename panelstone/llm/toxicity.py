@@ -244,11 +244,14 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``df``, all columns, without the rows whose text scores ``threshold`` or more."""
+    """``df``, all columns, without the rows whose text scores ``threshold`` or more.
+
+    A null or empty text is judged as one without matches. Repeated rows are judged alike, an empty table stays empty.
+    """
     names = df.columns
 
     def work(cols):
         keep = [text_score(model, t) < threshold for t in cols[text_col]]
         return {x: [v for v, k in zip(cols[x], keep, strict=True) if k] for x in names}
 
-    return arrow_map(df, work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+    return arrow_map(df, work, df.schema)
