@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampType
+
 from panelstone.session import stacked
 
 
@@ -26,8 +28,11 @@ def asof_backward(
 
     ``order_ties`` orders right rows that share a timestamp. ``bucket`` is an expression over ``_at`` that splits each entity's
     timeline; give it whenever one entity may hold a large share of the rows. Carry-over between buckets comes from one
-    map-side-combined aggregate, so the split changes nothing in the result. ``strict`` excludes equal timestamps.
+    map-side-combined aggregate, so the split changes nothing in the result. ``strict`` excludes equal timestamps. Without ``by`` a
+    timeline of dates or times is split by calendar month.
     """
+    if not by and bucket is None and isinstance(left.schema[left_on].dataType, DateType | TimestampType):
+        bucket = F.date_trunc("month", "_at")
     ties = order_ties or []
     payload = F.struct(*[F.col(src).alias(dst) for src, dst in values.items()])
     left_cols = left.columns
@@ -67,6 +72,12 @@ def asof_backward(
 def _carry(l: DataFrame, r: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """For every (entity, bucket) present on the left: the last right struct of any earlier bucket."""
     ends = r.groupBy(*by, "_bk").agg(F.max_by("_hit", F.struct(*order)).alias("_end"))
+    if not by:
+        # One row with an entry per bucket that holds anything: bounded by the calendar.
+        known = ends.agg(F.sort_array(F.collect_list(F.struct("_bk", "_end"))).alias("_ends"))
+        earlier = F.filter("_ends", lambda x: x["_bk"] < F.col("_bk"))
+        cells = l.select("_bk").distinct().join(F.broadcast(known))
+        return cells.select("_bk", F.try_element_at(earlier, F.lit(-1))["_end"].alias("_carry"))
     cells = l.select(*by, "_bk").distinct().withColumn("_ask", F.lit(True))
     cells = cells.join(ends, [*by, "_bk"], "full_outer")
     w = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)

@@ -112,17 +112,31 @@ def resolve_ticker(df: DataFrame, dictionary: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(F.col("ticker").isNotNull(), 1.0).otherwise(0.0))
 
 
+def _grams(text: str, sizes: list[int]) -> Column:
+    """Distinct substrings of the given sizes; a text shorter than a size has none of it."""
+    cut = lambda n: F.when(
+        F.length(text) >= n, F.transform(F.sequence(F.lit(0), F.length(text) - n), lambda i: F.substr(F.col(text), i + 1, F.lit(n)))
+    ).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[cut(n) for n in sizes]))
+
+
 def resolve_names(df: DataFrame, registry: DataFrame, name: str = "name") -> DataFrame:
     """Company by exact lower-case name, otherwise by a name contained in its aliases.
 
-    The registry is a declared list of companies with ``company_name``, ``aliases`` and ``ticker``. Containment is resolved over the
-    distinct names only, by an equi-join on whole alias entries first; what remains meets the registry as a broadcast.
+    The registry has ``company_name``, ``aliases`` and ``ticker``; of several companies that fit the smallest ticker counts. Containment
+    is resolved over the distinct names only: aliases are posted under their substrings of up to three characters, a name looks up the
+    rarest of its own and what it finds there is verified. An empty name is contained in every alias, a null name in none.
     """
     names = df.select(F.lower(name).alias("_n")).distinct()
     reg = registry.select(F.lower("company_name").alias("_c"), F.lower("aliases").alias("_a"), F.upper("ticker").alias("_t"))
-    exact = names.join(F.broadcast(reg.groupBy("_c").agg(F.min("_t").alias("_x"))), F.col("_n") == F.col("_c"), "left").select("_n", "_x")
+    exact = names.join(reg.groupBy("_c").agg(F.min("_t").alias("_x")), F.col("_n") == F.col("_c"), "left").select("_n", "_x")
     rest = exact.where("_x is null").select("_n")
-    alias = rest.join(F.broadcast(reg), F.col("_a").contains(F.col("_n"))).groupBy("_n").agg(F.min("_t").alias("_y"))
+    postings = reg.where(F.col("_a").isNotNull()).groupBy("_a").agg(F.min("_t").alias("_t")).select("_a", "_t", F.explode(_grams("_a", [0, 1, 2, 3])).alias("_g"))
+    counts = postings.groupBy("_g").agg(F.count(F.lit(1)).alias("_k"))
+    own = F.when(F.length("_n") >= 3, _grams("_n", [3])).otherwise(F.array("_n"))
+    asked = rest.where(F.col("_n").isNotNull()).select("_n", F.explode(own).alias("_g")).join(counts, "_g", "left")
+    rarest = asked.groupBy("_n").agg(F.min(F.struct(F.coalesce("_k", F.lit(0)).alias("_k"), "_g")).alias("_r")).where("_r._k > 0").select("_n", F.col("_r._g").alias("_g"))
+    alias = rarest.join(postings, "_g").where(F.col("_a").contains(F.col("_n"))).groupBy("_n").agg(F.min("_t").alias("_y"))
     found = exact.join(alias, "_n", "left").select("_n", F.coalesce("_x", "_y").alias("resolved_ticker"))
     return df.withColumn("_n", F.lower(name)).join(found, "_n", "left").drop("_n")
 
