@@ -339,31 +339,36 @@ def leaking_folds(folds: DataFrame) -> DataFrame:
     return folds.where(F.col("last_train_date") >= F.col("test_start_date"))
 
 
-def rotate_within(df: DataFrame, keys: list[str], order: Column, value: str, name: str, slices: int = 1, entity: str = "entity") -> DataFrame:
+def rotate_within(df: DataFrame, keys: list[str], order: Column, value: str, name: str, piece: Column | None = None) -> DataFrame:
     """Hand every row the value of its predecessor in ``order`` (the first gets the last): a permutation inside each group.
 
-    With ``slices`` above one a group is first cut by a hash of the entity; each slice is permuted on its own, which is still a
-    permutation of the group but never needs the whole group in one task.
+    ``piece`` must not fall as ``order`` rises. A group is then sorted piece by piece, and the first row of a piece takes the last value
+    of the piece before it, so the result is the same however a group is cut. ``value`` must not be null.
     """
-    cut = F.pmod(F.xxhash64(entity), F.lit(slices))
-    w = Window.partitionBy(*keys, "_slice").orderBy("_order")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = df.withColumns({"_slice": cut, "_order": order})
-    return out.withColumn(name, F.coalesce(F.lag(value, 1).over(w), F.last(value).over(whole))).drop("_slice", "_order")
+    rows = df.withColumns({"_order": order, "_piece": F.lit(0) if piece is None else piece})
+    w = Window.partitionBy(*keys, "_piece").orderBy("_order")
+    out = rows.withColumn(name, F.lag(value, 1).over(w))
+    ends = rows.groupBy(*keys, "_piece").agg(F.max_by(value, "_order").alias("_end"))
+    p = Window.partitionBy(*keys).orderBy("_piece")
+    last = F.last("_end").over(p.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = ends.select(*keys, "_piece", F.coalesce(F.lag("_end", 1).over(p), last).alias("_before"))
+    return out.join(before, [*keys, "_piece"]).withColumn(name, F.coalesce(name, "_before")).drop("_piece", "_order", "_before")
 
 
-def leakage_audit(df: DataFrame, entity: str, score: str, target: str, lag: int, seed: int, slices: int = 1, min_names: int = 3) -> DataFrame:
+def leakage_audit(df: DataFrame, entity: str, score: str, target: str, lag: int, seed: int, min_names: int = 3, digits: int = 2) -> DataFrame:
     """Mean IC of the prediction as is, lagged, against an earlier target, and with targets shuffled or moved between entities.
 
-    The shuffle orders rows by a seeded hash, so a recomputed task repeats it.
+    The shuffle orders rows by a seeded hash, so a recomputed task repeats it; a date is cut by the first ``digits`` hexadecimal digits of
+    that hash, which changes nothing in the result. The move between entities sorts the entities of a date in one task.
     """
     known = df.where(F.col(score).isNotNull() & F.col(target).isNotNull())
     base = known.select(F.col(entity).alias("entity"), "date", F.col(score).alias("x"), F.col(target).alias("y"))
     w = Window.partitionBy("entity").orderBy("date")
     tag = lambda d, v, x, y: d.select("date", F.lit(v).alias("variant"), F.col(x).alias("x"), F.col(y).alias("y"))
     earlier = base.withColumns({"_x": F.lag("x", lag).over(w), "_y": F.lag("y", lag).over(w)})
-    noise = rotate_within(base, ["date"], F.xxhash64(F.lit(seed), "entity", "date"), "y", "_y", slices)
-    moved = rotate_within(base, ["date"], F.col("entity"), "y", "_y", slices)
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), "entity", F.col("date").cast("string")))
+    noise = rotate_within(base, ["date"], mark, "y", "_y", F.substring(mark, 1, digits))
+    moved = rotate_within(base, ["date"], F.col("entity"), "y", "_y")
     every = [
         tag(base, "as_is", "x", "y"), tag(earlier, "lagged_score", "_x", "y"), tag(earlier, "earlier_target", "x", "_y"),
         tag(noise, "shuffled", "x", "_y"), tag(moved, "entity_moved", "x", "_y"),

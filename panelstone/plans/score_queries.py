@@ -601,9 +601,13 @@ def _(t):
     return rounded(E.leakage_audit(t.forward, "company_id", "roic", "fwd_1m", 2, 7).where("variant <> 'shuffled'"))
 
 
-@query("ev38_shuffled_audit")
+@query("ev38_shuffled_audit", f"""{{{{with fwd}}}}, b AS (SELECT company_id, date, roic AS x, fwd_1m AS y FROM fwd WHERE roic IS NOT NULL AND fwd_1m IS NOT NULL),
+   e AS (SELECT *, lag(x, 2) OVER w AS lx, lag(y, 2) OVER w AS ly, coalesce(lag(y) OVER d, last_value(y) OVER (PARTITION BY date ORDER BY company_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS my, coalesce(lag(y) OVER h, last_value(y) OVER (PARTITION BY date ORDER BY md5('7|' || company_id || '|' || CAST(date AS VARCHAR)) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS ny FROM b WINDOW w AS (PARTITION BY company_id ORDER BY date), d AS (PARTITION BY date ORDER BY company_id), h AS (PARTITION BY date ORDER BY md5('7|' || company_id || '|' || CAST(date AS VARCHAR)))),
+   v AS (SELECT 'as_is' AS variant, date, x, y FROM e UNION ALL SELECT 'lagged_score', date, lx, y FROM e UNION ALL SELECT 'earlier_target', date, x, ly FROM e UNION ALL SELECT 'entity_moved', date, x, my FROM e UNION ALL SELECT 'shuffled', date, x, ny FROM e),
+   r AS (SELECT variant, date, rank() OVER (PARTITION BY variant, date ORDER BY x) + (count(*) OVER (PARTITION BY variant, date, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY variant, date ORDER BY y) + (count(*) OVER (PARTITION BY variant, date, y) - 1) / 2.0 AS b FROM v WHERE x IS NOT NULL AND y IS NOT NULL),
+   c AS (SELECT variant, date, corr(a, b) AS ic FROM r GROUP BY 1, 2 HAVING count(*) >= 3) SELECT variant, {R('avg(ic)')} AS ic_mean, count(*) AS n_dates FROM c GROUP BY 1""")
 def _(t):
-    return rounded(E.leakage_audit(t.forward, "company_id", "roic", "fwd_1m", 2, 7, slices=4))
+    return rounded(E.leakage_audit(t.forward, "company_id", "roic", "fwd_1m", 2, 7))
 
 
 @query("ev39_time_split", "{{with pan}}, i AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM pan)) SELECT company_id, date, CASE WHEN k < floor(i.n * 0.8) THEN 'train' ELSE 'test' END AS split FROM pan JOIN i USING (date)")
