@@ -34,14 +34,15 @@ MIN_DECISION_DATES, ROBUST_SHARE = 36, 0.7
 def evaluate_gates(measurements: DataFrame, gates, run: str = "run_id") -> DataFrame:
     """Every gate for every run: measured value, threshold, passed. An unmeasured gate does not pass.
 
-    ``measurements`` is long: run, metric, value.
+    ``measurements`` is long: run, metric, value. Both sides hold many rows a run, whatever the files they came from suggest (an exploded
+    row counts once there), so they meet sorted and are never gathered in the driver.
     """
     spark = measurements.sparkSession
     caps = [g[3] if len(g) > 3 else None for g in gates]
     table = spark.createDataFrame([(g[0], g[1], float(g[2]), c) for g, c in zip(gates, caps)], "gate string, metric string, minimum double, caps string")
     runs = measurements.select(run).distinct()
     every = runs.withColumn("_g", F.explode(F.array(*[F.lit(g[0]) for g in gates]))).join(F.broadcast(table), F.col("_g") == F.col("gate")).drop("_g")
-    out = every.join(measurements.select(run, "metric", "value"), [run, "metric"], "left")
+    out = every.join(measurements.select(run, "metric", "value").hint("merge"), [run, "metric"], "left")
     return out.withColumn("passed", F.coalesce(F.col("value") >= F.col("minimum"), F.lit(False))).select(run, "gate", "metric", "value", "minimum", "caps", "passed")
 
 
