@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelstone.session import stacked
 from panelstone.sources.contracts import TABLES, TableSpec, check, coerce
-from panelstone.sources.tables import append, read, upsert
+from panelstone.sources.tables import append, read, recorded, upsert
 
 # Tables whose rows a repeated run replaces by key, and tables that only ever grow.
 RESULTS = (
@@ -46,7 +46,7 @@ def record(df: DataFrame, root: str, name: str) -> int:
         other = _changed(incoming, known, spec)
         if not other.isEmpty():
             raise ValueError(f"{name}: recorded already with other content: {[r[0] for r in other.limit(3).collect()]}")
-        incoming = incoming.join(known.select(*spec.key), list(spec.key), "left_anti")
+        incoming = incoming.join(recorded(known, spec), list(spec.key), "left_anti")
     added = incoming.count()
     if added:
         append(check(incoming, spec), root, spec)
@@ -58,7 +58,7 @@ def _changed(incoming: DataFrame, known: DataFrame, spec: TableSpec) -> DataFram
     content = [f.name for f in spec.schema if f.name not in spec.key and f.dataType.typeName() != "timestamp"]
     mine = incoming.select(*spec.key, F.struct(*content).alias("_mine"))
     theirs = known.select(*spec.key, F.struct(*content).alias("_theirs"))
-    return mine.join(theirs, list(spec.key)).where(~F.col("_mine").eqNullSafe(F.col("_theirs"))).select(*spec.key)
+    return mine.join(theirs.hint("merge"), list(spec.key)).where(~F.col("_mine").eqNullSafe(F.col("_theirs"))).select(*spec.key)
 
 
 def trials_by_strategy(spark: SparkSession, root: str) -> DataFrame:

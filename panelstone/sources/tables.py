@@ -125,12 +125,17 @@ def upsert(df: DataFrame, root: str, name: str | TableSpec, sequence: tuple[str,
     return write(merge_newest(read(df.sparkSession, root, spec), incoming, spec, sequence), root, spec)
 
 
+def recorded(existing: DataFrame, spec: TableSpec) -> DataFrame:
+    """Keys of a stored table, to be joined sorted: a few compressed MB of them may be millions, too many to gather in the driver."""
+    return existing.select(*spec.key).hint("merge")
+
+
 def append(df: DataFrame, root: str, name: str | TableSpec) -> str:
     """Append-only: an incoming key that already exists is an error."""
     spec = _spec(name)
     existing = read(df.sparkSession, root, spec)
     if existing is not None:
-        clash = df.join(existing.select(*spec.key), list(spec.key), "left_semi")
+        clash = df.join(recorded(existing, spec), list(spec.key), "left_semi")
         if not clash.isEmpty():
             raise ValueError(f"{spec.name}: incoming keys already recorded")
     elif not versions(df.sparkSession, root, spec):
