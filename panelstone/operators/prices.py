@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import ANNUALISE, TRADING_DAYS, div, finite, mapped
 from panelstone.operators.rolling import Roll, along, rolling, rolling_drawdown, rolling_extreme, rolling_median
+from panelstone.session import dealt
 
 # Blume shrinkage of a raw beta toward one.
 BLUME = 0.67
@@ -141,7 +142,7 @@ def build_price_metrics(
     prices: DataFrame, benchmark: str, sectors: DataFrame | None = None, sector_funds: dict[str, str] | None = None, exclude: list[str] | None = None
 ) -> DataFrame:
     """Every price metric, one row per (ticker, date). One shuffle by ticker; all windows share it."""
-    df = with_market(prices, benchmark, sectors, sector_funds, exclude)
+    df = dealt(with_market(prices, benchmark, sectors, sector_funds, exclude), *BY)
     df = add_consistency(add_trend(add_relative_strength(add_returns(df))))
     df = rolling(df, BY, ON, risk_rolls())
     df = df.withColumn("beta", BLUME * F.col("beta_raw") + (1.0 - BLUME))

@@ -1,14 +1,17 @@
-"""Rolling statistics over an entity's own rows, in time linear in the number of rows.
+"""Rolling statistics over an entity's own rows.
 
-A sliding frame re-evaluates its aggregate for every row (n x w work). Sums, means, deviations, regressions, extremes and drawdowns
-come from block-wise prefix and suffix states instead. An entity holds at most
-one row per session, so a partition is bounded by the calendar (a century of daily sessions is about 25,000 rows).
+Sums, means, deviations, regressions and extremes come from short sliding frames, looked up at equal distances and merged to long ones:
+a window of w rows costs some 3 * sqrt(w) additions and sqrt(w) / 3 lookups a row, and all frames share one sort of narrow rows.
+(Block-wise running states are linear but take two sorts of widened rows for each length.) Drawdowns still run over blocks. An entity
+holds at most one row per session, so its frames are bounded by the calendar (a century of daily sessions is about 25,000 rows).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +19,10 @@ from pyspark.sql import functions as F
 from panelstone.functions.numeric import VAR_FLOOR, div, finite
 
 
+#: Windows up to this length are summed directly.
+DIRECT = 64
+
+
 def along(by: list[str], order: str):
     return Window.partitionBy(*by).orderBy(order)
 
@@ -42,11 +49,24 @@ class Roll:
     scale: float = 1.0
 
 
+def piece(window: int) -> int:
+    """Length of the equal pieces that make up a long window: a divisor near three roots of it, or the window itself."""
+    parts = [p for p in range(2, window) if window % p == 0] if window > DIRECT else []
+    return min(parts, key=lambda p: abs(p - 3 * window**0.5), default=window)
+
+
+def tiled(window: int, name: str, by: list[str], order: str) -> tuple[list[str], dict[str, Column]]:
+    """The names of a piece's state at a row and one, two, ... pieces before it, and the columns to add for them."""
+    back = {f"{name}_{k}": F.lag(name, k).over(along(by, order)) for k in range(piece(window), window, piece(window))}
+    return [name, *back], back
+
+
 def rolling(df: DataFrame, by: list[str], order: str, specs: list[Roll]) -> DataFrame:
     """Add every statistic in ``specs``.
 
-    A window is the tail of one block of its length and the head of the next. Both have running sums and central moments of their
-    own, which are merged; so a window's value rests on its own rows only, whatever came before, and no digits cancel.
+    A short window is summed afresh over its own rows. A long one is laid out in equal pieces, whose sums and central moments are looked up
+    and merged. Either way a value rests on its own rows only, whatever came before, and no digits cancel. All lengths are frames of
+    one ordering: rows sorted once by entity and date serve this call and the next ones.
     """
     inputs: dict[str, Column] = {}
     names: dict[str, str] = {}
@@ -58,17 +78,21 @@ def rolling(df: DataFrame, by: list[str], order: str, specs: list[Roll]) -> Data
             inputs[names[key]] = finite(x)
         return F.col(names[key])
 
-    slots: dict[tuple, str] = {}
-    aggregates: dict[str, tuple[int, Callable]] = {}
+    slots: dict[tuple, tuple[str, list[str]]] = {}
+    states: dict[str, Column] = {}
+    earlier: dict[str, Column] = {}
 
-    def slot(window: int, what: str, aggregate: Callable) -> str:
+    def slot(window: int, what: str, aggregate: Callable) -> list[str]:
         key = (window, what)
         if key not in slots:
-            slots[key] = f"_s{len(slots)}"
-            aggregates[slots[key]] = (window, aggregate)
+            name = f"_s{len(slots)}"
+            frame = along(by, order).rowsBetween(-(piece(window) - 1), Window.currentRow)
+            states[name] = F.coalesce(aggregate(frame).cast("double"), F.lit(0.0))
+            slots[key], back = tiled(window, name, by, order)
+            earlier.update({k: F.coalesce(c, F.lit(0.0)) for k, c in back.items()})
         return slots[key]
 
-    def moments(s: Roll) -> dict[str, str]:
+    def moments(s: Roll) -> dict[str, list[str]]:
         """Slots of the count, the sum and the central moments that a statistic needs."""
         x, y = column(s.x), column(s.y) if s.y is not None else None
         tag = f"{x}, {y}"
@@ -85,117 +109,87 @@ def rolling(df: DataFrame, by: list[str], order: str, specs: list[Roll]) -> Data
         return {k: slot(s.window, f"{k} of {tag}", f) for k, f in out.items()}
 
     plan = [(s, moments(s)) for s in specs]
-
-    def running(window: int, backward: bool):
-        row = F.col("_row")
-        cell = Window.partitionBy(*by, F.floor((row - 1) / window)).orderBy(row.desc() if backward else row)
-        return cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def over(aggregate: Callable, window: int, backward: bool) -> Column:
-        return F.coalesce(aggregate(running(window, backward)).cast("double"), F.lit(0.0))
-
-    at = along(by, "_row")
-    work = df.withColumns(inputs).withColumn("_row", F.row_number().over(along(by, order)))
-    heads = {f"{name}h": over(a, w, False) for name, (w, a) in aggregates.items()}
-    tails = {f"{name}t": over(a, w, True) for name, (w, a) in aggregates.items()}
-    # The last row of a block needs no tail: its head is the whole window.
-    befores = {
-        f"{name}b": F.when(F.col("_row") % w == 0, 0.0).otherwise(F.coalesce(F.lag(f"{name}t", w - 1).over(at), F.lit(0.0)))
-        for name, (w, _) in aggregates.items()
-    }
-    work = work.withColumns(heads).withColumns(tails).withColumns(befores)
+    work = df.withColumns(inputs).withColumns({"_row": F.row_number().over(along(by, order)), **states})
+    if earlier:
+        work = work.withColumns(earlier)
+    total = lambda parts: reduce(add, [F.col(x) for x in parts])
+    counts = {f"{parts['n'][0]}n": total(parts["n"]) for _, parts in plan}
+    means = {f"{parts[k][0]}m": div(total(parts[k]), f"{parts['n'][0]}n") for _, parts in plan for k in ("x", "y") if k in parts}
+    work = work.withColumns(counts).withColumns(means)
 
     outputs = {}
     for s, parts in plan:
-        h = {k: F.col(f"{name}h") for k, name in parts.items()}
-        b = {k: F.col(f"{name}b") for k, name in parts.items()}
-        n = h["n"] + b["n"]
-        apart = lambda k: F.coalesce(div(h[k], h["n"]) - div(b[k], b["n"]), F.lit(0.0))  # noqa: B023, E731
-        weight = div(h["n"] * b["n"], n)
-        merged = lambda k, left, right: h[k] + b[k] + apart(left) * apart(right) * weight  # noqa: B023, E731
+        n = F.col(f"{parts['n'][0]}n")
+        mean = lambda k: F.col(f"{parts[k][0]}m")  # noqa: B023, E731
+
+        def merged(k, left, right):
+            """Moments within the pieces and of the pieces' means about the common one."""
+            if len(parts[k]) == 1:  # noqa: B023
+                return total(parts[k])  # noqa: B023
+            apart = lambda q, i: div(parts[q][i], parts["n"][i]) - mean(q)  # noqa: B023, E731
+            between = [F.coalesce(F.col(c) * apart(left, i) * apart(right, i), F.lit(0.0)) for i, c in enumerate(parts["n"])]  # noqa: B023
+            return total(parts[k]) + reduce(add, between)  # noqa: B023
+
         need = s.window if s.min_n is None else s.min_n
         gate = n >= need
         if s.full:
             gate = gate & (F.col("_row") >= s.window)
-        mean = div(h["x"] + b["x"], n)
         if s.kind == "sum":
-            value = h["x"] + b["x"]
+            value = total(parts["x"])
         elif s.kind == "mean":
-            value = mean
+            value = mean("x")
         elif s.kind == "rms":
-            value = F.sqrt(F.greatest(mean, F.lit(0.0)))
+            value = F.sqrt(F.greatest(mean("x"), F.lit(0.0)))
         elif s.kind == "std":
             gate = gate & (n >= 2)
             value = F.sqrt(div(merged("xx", "x", "x"), n - 1))
         elif s.kind == "var_pop":
             value = div(merged("xx", "x", "x"), n)
         elif s.kind == "beta":
-            gate = gate & (div(merged("yy", "y", "y"), n) > VAR_FLOOR)
-            value = div(merged("xy", "x", "y"), merged("yy", "y", "y"))
+            yy = merged("yy", "y", "y")
+            gate = gate & (div(yy, n) > VAR_FLOOR)
+            value = div(merged("xy", "x", "y"), yy)
         else:
             raise ValueError(f"unknown rolling kind {s.kind!r}")
         outputs[s.name] = F.when(gate, value * s.scale) if s.scale != 1.0 else F.when(gate, value)
-    return work.withColumns(outputs).drop(*inputs, *heads, *tails, *befores, "_row")
-
-
-def _blocks(df: DataFrame, by: list[str], order: str, window: int) -> DataFrame:
-    row = F.row_number().over(along(by, order))
-    return df.withColumn("_row", row).withColumn("_block", F.floor((F.col("_row") - 1) / window))
+    return work.withColumns(outputs).drop(*inputs, *states, *earlier, *counts, *means, "_row")
 
 
 def rolling_extreme(df: DataFrame, by: list[str], order: str, x: str, window: int, name: str, low: bool = False) -> DataFrame:
-    """Rolling maximum (or minimum) over a full window of non-null values.
-
-    Every window is the tail of one block and the head of the next, so two running extremes are enough.
-    """
+    """Rolling maximum (or minimum) over a full window of non-null values, from those of the window's pieces."""
     pick, join = (F.min, F.least) if low else (F.max, F.greatest)
-    cell = [*by, "_block"]
-    head = Window.partitionBy(*cell).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    tail = Window.partitionBy(*cell).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    at = along(by, order)
-    work = _blocks(df, by, order, window).withColumns(
-        {
-            "_head": pick(x).over(head),
-            "_tail": pick(x).over(tail),
-            "_seen": F.count(x).over(at.rowsBetween(Window.unboundedPreceding, 0)),
-        }
-    )
-    work = work.withColumns(
-        {
-            "_from": F.lag("_tail", window - 1).over(at),
-            "_before": F.coalesce(F.lag("_seen", window).over(at), F.lit(0)),
-        }
-    )
-    full = (F.col("_row") >= window) & (F.col("_seen") - F.col("_before") == window)
-    return work.withColumn(name, F.when(full, join("_head", "_from"))).drop(
-        "_row", "_block", "_head", "_tail", "_seen", "_from", "_before"
-    )
+    frame = along(by, order).rowsBetween(-(piece(window) - 1), Window.currentRow)
+    work = df.withColumns({"_best": pick(x).over(frame), "_seen": F.count(x).over(frame)})
+    (best, more), (seen, others) = tiled(window, "_best", by, order), tiled(window, "_seen", by, order)
+    work = work.withColumns(more | others)
+    full = reduce(add, [F.coalesce(F.col(c), F.lit(0)) for c in seen]) == window
+    value = join(*best) if len(best) > 1 else F.col("_best")
+    return work.withColumn(name, F.when(full, value)).drop(*best, *seen)
 
 
 def rolling_drawdown(df: DataFrame, by: list[str], order: str, x: str, window: int, name: str) -> DataFrame:
     """Worst peak-to-trough decline with peak and trough inside the same trailing window.
 
     A window is a block tail followed by a block head; its worst decline lies in the tail, in the head, or runs from the
-    tail's peak to the head's trough. All three come from running states, so no window is ever collected.
+    tail's peak to the head's trough. All three come from running states, so no window is ever collected. The tails are sorted
+    backwards; what looks back over blocks is ordered by block and row, the sorting that the heads need anyway.
     """
     cell = [*by, "_block"]
     head = Window.partitionBy(*cell).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     tail = Window.partitionBy(*cell).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    at = along(by, order)
-    value = F.when(F.col(x) > 0, F.col(x))
-    work = _blocks(df, by, order, window).withColumn("_p", value)
-    work = work.withColumns(
-        {
-            "_head_max": F.max("_p").over(head),
-            "_head_min": F.min("_p").over(head),
-        }
-    ).withColumn("_head_dd", F.min(div("_p", "_head_max")).over(head))
+    at = Window.partitionBy(*by).orderBy("_block", order)
+    work = df.withColumn("_row", F.row_number().over(along(by, order))).withColumns(
+        {"_block": F.floor((F.col("_row") - 1) / window), "_p": F.when(F.col(x) > 0, F.col(x))}
+    )
     work = work.withColumns(
         {"_tail_max": F.max("_p").over(tail), "_tail_min": F.min("_p").over(tail)}
     ).withColumn("_tail_dd", F.min(div("_tail_min", "_p")).over(tail))
     work = work.withColumns(
         {"_from_max": F.lag("_tail_max", window - 1).over(at), "_from_dd": F.lag("_tail_dd", window - 1).over(at)}
     )
+    work = work.withColumns(
+        {"_head_max": F.max("_p").over(head), "_head_min": F.min("_p").over(head)}
+    ).withColumn("_head_dd", F.min(div("_p", "_head_max")).over(head))
     aligned = F.col("_row") % window == 0
     worst = F.when(aligned, F.col("_head_dd")).otherwise(
         F.least("_from_dd", "_head_dd", div("_head_min", "_from_max"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import ANNUALISE, div
 from panelstone.operators.rolling import Roll, along, rolling, rolling_extreme, rolling_median
+from panelstone.session import dealt
 
 TINY = 1e-12
 
@@ -21,7 +22,7 @@ def technical_features(df: DataFrame, by: str = "ticker", date: str = "date", pr
     The older drawdown form is kept on purpose: it compares each price with its own trailing high, so the trough may meet a peak
     from up to two windows back.
     """
-    keys = [by]
+    keys, df = [by], dealt(df, by)
     w = along(keys, date)
     p, r, m, v = F.col(price), F.col("ret_1d"), F.col("mkt_ret"), F.col("dollar_volume")
     back = lambda n: F.lag(price, n).over(w)
@@ -95,7 +96,7 @@ def macd(df: DataFrame, by: str, date: str, price: str) -> DataFrame:
 
 def signal_features(df: DataFrame, by: str = "entity", date: str = "asof") -> DataFrame:
     """Returns, averages, price-to-average, close-to-close and range volatility, volume structure, RSI and MACD."""
-    w = along([by], date)
+    df, w = dealt(df, by), along([by], date)
     p, v, rv = F.col("close"), F.col("volume"), F.col("rv_range_close")
     lags = {1: "ret_1d", 5: "ret_5d", 20: "ret_20d", 60: "ret_60d", 90: "ret_90d", 120: "ret_120d", 180: "ret_180d"}
     out = df.withColumns({name: div(p, F.lag("close", n).over(w)) - 1.0 for n, name in lags.items()})
@@ -134,7 +135,7 @@ def rolling_regression(df: DataFrame, by: str, date: str, window: int = 60, two_
     Every variable is centred on its own trailing mean first and the second moments are then averaged, as the signal store does.
     Produces betas, alpha, the residual and its 20- and 60-row mean and deviation (``_cum_`` is a mean).
     """
-    keys = [by]
+    keys, df = [by], dealt(df, by)
     y, x1, x2 = "ret_1d", "mkt_ret_1d", "sector_ret_1d"
     used = [y, x1, x2] if two_factor else [y, x1]
     out = rolling(df, keys, date, [Roll(f"_b_{x}", "mean", F.col(x), window) for x in used])

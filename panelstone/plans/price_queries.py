@@ -11,7 +11,7 @@ from panelstone.operators import prices as P
 from panelstone.operators.asof import horizon_returns
 from panelstone.operators.rolling import Roll, max_drawdown_running, rolling, rolling_drawdown, rolling_median
 from panelstone.plans.base import MARKET, R, Tables, fragment, query, rounded
-from panelstone.session import stacked
+from panelstone.session import dealt, stacked
 
 fragment("pxm", """SELECT px.*, mk.close AS mkt_close, sf.close AS sector_close FROM px LEFT JOIN mk USING (date)
    JOIN co USING (ticker) LEFT JOIN sf ON sf.sector = co.sector AND sf.date = px.date""", "px", "mk", "sf", "co")
@@ -21,7 +21,7 @@ fragment("rets", """SELECT px.*, close_adj / lag(close_adj) OVER w - 1 AS ret_1d
 
 
 def with_returns(t: Tables):
-    df = P.with_market(t.prices.transform(stacked, t.market), MARKET)
+    df = dealt(P.with_market(t.prices.transform(stacked, t.market), MARKET), "ticker")
     return df.withColumn("ret_1d", F.col("close_adj") / F.lag("close_adj", 1).over(Window.partitionBy("ticker").orderBy("date")) - 1.0)
 
 
@@ -111,7 +111,7 @@ def _(t):
    {R('close_adj / hi - 1')} AS near_52w_high,
    {R('ma200 / lag(ma200, 63) OVER (PARTITION BY ticker ORDER BY date) - 1')} AS ma200_slope FROM g""")
 def _(t):
-    return rounded(P.add_trend(t.prices).select("ticker", "date", "px_over_ma50", "px_over_ma200", "near_52w_high", "ma200_slope"))
+    return rounded(P.add_trend(dealt(t.prices, "ticker")).select("ticker", "date", "px_over_ma50", "px_over_ma200", "near_52w_high", "ma200_slope"))
 
 
 @query("wn6_momentum_consistency", f"""{{{{with rets}}}}, e AS (SELECT ticker, date,
