@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import div
-from panelstone.session import stacked
+from panelstone.session import dealt, stacked
 
 # taxonomy -> tag -> unit -> rows
 FACT_ROWS = "array<struct<start: string, end: string, val: double, accn: string, fy: int, fp: string, form: string, filed: string>>"
@@ -165,8 +165,11 @@ def bars_to_signals(bars: DataFrame, source: str) -> DataFrame:
 
 
 def dedupe_signals(signals: DataFrame, sequence: tuple[str, ...] = ()) -> DataFrame:
-    """One row per uid, the last by the columns of ``sequence``; what they leave equal is settled by all values. Copies are reduced map-side."""
+    """One row per uid, the last by the columns of ``sequence``; what they leave equal is settled by all values.
+
+    The choice among structs sorts its rows, so they are dealt by uid first, into parts that grow in number with the input.
+    """
     rest = [x for x in signals.columns if x != "uid"]
     order = [F.to_json(x) if x == "meta" else F.col(x) for x in (*sequence, *[x for x in rest if x not in sequence])]
-    out = signals.groupBy("uid").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    out = dealt(signals, "uid").groupBy("uid").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
     return out.select("uid", "_r.*").select(*signals.columns)

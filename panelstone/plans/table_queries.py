@@ -10,7 +10,7 @@ from panelstone.functions import numeric as N
 from panelstone.operators import ingest as G
 from panelstone.operators import membership as M
 from panelstone.plans.base import R, Tables, fragment, query, rounded
-from panelstone.session import shared_folder, stacked
+from panelstone.session import dealt, shared_folder, stacked
 from panelstone.sources import contracts as C
 from panelstone.sources import tables as S
 
@@ -104,7 +104,7 @@ def _(t):
 
 @query("ing26_dedupe_signals", "{{with sig}} SELECT kind, count(*) AS n FROM sig GROUP BY 1")
 def _(t):
-    s = G.bars_to_signals(bars(t), "lines").drop("meta")
+    s = G.bars_to_signals(dealt(bars(t), "ticker", "date"), "lines").drop("meta")  # a bar makes three wide rows
     return G.dedupe_signals(s.transform(stacked, s)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -59,3 +59,13 @@ def test_parts_grow_with_the_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "PART_BYTES", 10000)
     out = session.dealt(df, "id")
     assert out.rdd.getNumPartitions() == -(-size // 10000) and out.count() == 20000
+
+
+def test_signals_are_dealt_before_their_structs_are_sorted(spark, tmp_path):
+    from panelstone.operators.ingest import dedupe_signals
+
+    spark.range(40).selectExpr("concat('u', id % 10) uid", "id value", "'k' kind").write.parquet(str(tmp_path / "s"))
+    out = dedupe_signals(spark.read.parquet(str(tmp_path / "s")))
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in text and "ENSURE_REQUIREMENTS" not in text
+    assert {(r.uid, r.value) for r in out.collect()} == {(f"u{i}", 30 + i) for i in range(10)}
