@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import banded, div, mapped
@@ -31,7 +31,7 @@ from panelstone.operators.ranking import (
     nearest_index,
     order_statistic,
 )
-from panelstone.session import cut_lineage
+from panelstone.session import PART_BYTES, cut_lineage, parts_of
 
 ROW = ["company_id", "ticker", "date"]
 
@@ -126,11 +126,25 @@ def _percentiles(df: DataFrame, keys: list[str], metrics: tuple[Metric, ...], sp
     ).drop("n_below", "n_eq", "n_group", *stats)
 
 
-def _chosen_in_place(long: DataFrame, metrics: tuple[Metric, ...], levels: list[str]) -> DataFrame:
+def _dealt_in_turn(panel: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
+    """``melt_metrics`` with each metric's dates dealt to the parts in turn; ``_part`` follows from metric and date.
+
+    These groups are few and grow with the input: parts by hash would get several of them by chance, and adaptive execution joins parts
+    by their size before the windows widen them. The number of parts grows with the files read.
+    """
+    numbers = panel.select(F.col("date").alias("_date")).distinct()
+    turn = (F.row_number().over(Window.orderBy("_date")) - 1) * len(metrics)  # one row per date
+    numbers = F.broadcast(numbers.withColumn("_turn", turn))
+    long = melt_metrics(panel, metrics)
+    long = long.join(numbers, F.col("date").eqNullSafe(F.col("_date"))).withColumn("_part", F.col("_turn") + F.col("m")).drop("_date", "_turn")
+    return long.repartitionById(parts_of(panel, PART_BYTES // 4), "_part")  # a panel row becomes a row for each metric
+
+
+def _chosen_in_place(panel: DataFrame, metrics: tuple[Metric, ...], levels: list[str]) -> DataFrame:
     """Every level side by side on one row. All levels contain (metric, date), so one shuffle serves all their windows."""
-    out = long.repartition("m", "date")
+    out = _dealt_in_turn(panel, metrics)
     for level in levels:
-        keys = ["m", "date"] if level == "universe" else ["m", "date", f"peer_{level}"]
+        keys = ["_part", "m", "date"] if level == "universe" else ["_part", "m", "date", f"peer_{level}"]
         out = _percentiles(out, keys, metrics, split=False)
         group = F.struct(F.lit(level).alias("basis"), F.col(f"peer_{level}").alias("peer"), F.col("_n").alias("n"), F.col("_pct").alias("pct"), F.col("_win").alias("win"), F.col("_mid").alias("mid"))
         out = out.withColumn(f"_at_{level}", group).drop("_n", "_pct", "_win", "_mid")
@@ -177,8 +191,7 @@ def score_metrics(panel: DataFrame, metrics: tuple[Metric, ...] = METRICS, split
         raise ValueError("the panel carries none of the declared metrics")
     wanted = {x for m in used for x in PEER_CHAIN[m.basis]}
     levels = [x for x in ("industry", "sector", "size_decile", "universe") if x in wanted]
-    long = melt_metrics(panel, used)
-    best = _chosen_by_level(long, used, levels) if split else _chosen_in_place(long, used, levels)
+    best = _chosen_by_level(melt_metrics(panel, used), used, levels) if split else _chosen_in_place(panel, used, levels)
     status = (
         F.when(~F.col("applies"), "not_applicable")
         .when(F.col("raw_value").isNull(), "missing")

@@ -67,17 +67,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 PART_BYTES = 4 << 20
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows by ``keys`` into parts whose number grows with the files that ``df`` reads, one for each ``PART_BYTES``.
+def parts_of(df: DataFrame, part_bytes: int | None = None) -> int:
+    """One part for each ``part_bytes`` of the files that ``df`` reads, and at least one for each core.
 
-    The parts of an ordinary shuffle are limited in number, and adaptive execution joins them by their narrow, compressed size; a chain of
-    windows that widens the rows then holds ever more in one task. Nothing runs here: only the lengths of the files are asked for.
+    Nothing runs here: only the lengths of the files are asked for.
     """
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(x)) for x in df.inputFiles()]
     read = sum(x.getFileSystem(conf).getFileStatus(x).getLen() for x in paths)
-    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-read // PART_BYTES)), *keys)
+    return max(spark.sparkContext.defaultParallelism, -(-read // (part_bytes or PART_BYTES)))
+
+
+def dealt(df: DataFrame, *keys: str, part_bytes: int | None = None) -> DataFrame:
+    """Deal rows by ``keys`` into parts whose number grows with the files that ``df`` reads, one for each ``PART_BYTES``.
+
+    The parts of an ordinary shuffle are limited in number, and adaptive execution joins them by their narrow, compressed size; a chain of
+    windows that widens the rows then holds ever more in one task.
+    """
+    return df.repartition(parts_of(df, part_bytes), *keys)
 
 
 def remove(spark: SparkSession, path: str) -> None:
