@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from panelstone.session import stacked
+from panelstone.session import PART_BYTES, cut_lineage, dealt, stacked
 
 # A year's coverage, slack between chained periods, usable slice lengths, pieces per year, scale guard.
 YEAR_MIN, YEAR_MAX = 350, 385
@@ -247,7 +247,9 @@ def build_fundamentals(observations: DataFrame, catalogue: DataFrame) -> DataFra
         F.col("period_end").alias("end"),
         "filed", "available_at", "value", "accession", "tag_rank", "period_type", "aggregation",
     )
-    facts = reject_scale_outliers(facts)
+    # A fact meets every later date of its concept, so parts are small; dealt by company and concept, one shuffle serves all that follows.
+    known = cut_lineage(reject_scale_outliers(dealt(facts, *KEY, part_bytes=PART_BYTES // 8)))
+    facts = dealt(known, *KEY, part_bytes=PART_BYTES // 8)
     flows = facts.where((F.col("period_type") == "duration") & (F.col("aggregation") == "sum"))
     levels = facts.where((F.col("period_type") == "duration") & (F.col("aggregation") == "last"))
     points = facts.where(F.col("period_type") == "instant")

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from panelstone.functions.spec import METRICS
-from panelstone.operators import scoring
+from panelstone.operators import pit, scoring
 
 USED = tuple(m for m in METRICS if m.key in ("roic", "ev_ebit", "mom_12_1"))
 
@@ -32,3 +32,14 @@ def test_the_levels_need_no_other_shuffle_and_the_scores_are_as_by_cut_groups(sp
     assert "REPARTITION_BY_NUM" in plan(out) and "hashpartitioning(_part" not in plan(out) and "hashpartitioning(m" not in plan(out)
     of = lambda df: sorted((r.asDict() for r in df.collect()), key=lambda r: (str(r["date"]), r["company_id"], r["metric"]))
     assert of(out) == of(scoring.score_metrics(keyed, USED, split=True))
+
+def test_fundamentals_are_dealt_by_company_and_concept_once(spark):
+    day = lambda m, d=1: dt.date(2020 + (m - 1) // 12, (m - 1) % 12 + 1, d)
+    rows = [(f"c{i}", "Revenues", "USD", day(q), day(q + 3), day(q + 4), day(q + 4, 2), 100.0 + i + q, f"a{i}-{q}") for i in range(5) for q in range(1, 25, 3)]
+    rows += [(f"c{i}", "Assets", "USD", None, day(q + 3), day(q + 4), day(q + 4, 2), 50.0 + i + q, f"b{i}-{q}") for i in range(5) for q in range(1, 25, 3)]
+    seen = spark.createDataFrame(rows, "company_id string, tag string, unit string, period_start date, period_end date, filed date, available_at date, value double, accession string")
+    names = spark.createDataFrame([("revenue", "Revenues", "USD", 0, "duration", "sum"), ("assets", "Assets", "USD", 0, "instant", "last")], "concept string, tag string, unit string, tag_rank int, period_type string, aggregation string")
+    out = pit.build_fundamentals(seen, names)
+    assert "REPARTITION_BY_NUM" in plan(out) and "ENSURE_REQUIREMENTS" not in plan(out)
+    got = {(r.company_id, r.concept, r.basis, r.available_at): (r.value, r.n_sources) for r in out.collect()}
+    assert len(got) == 5 * 5 + 5 * 8 and got["c2", "revenue", "ttm", day(14, 2)] == (4 * 102 + 1 + 4 + 7 + 10, 4) and got["c3", "assets", "instant", day(5, 2)] == (54.0, 1)
