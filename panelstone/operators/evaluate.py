@@ -16,7 +16,7 @@ from panelstone.functions.spec import CATEGORY_WEIGHTS
 from panelstone.operators.calendar import session_index
 from panelstone.operators.ranking import add_rank, average_rank, bucket_of, group_quantiles, key_ladder, keyed
 from panelstone.operators.scoring import recompose
-from panelstone.session import stacked
+from panelstone.session import PART_BYTES, dealt, stacked
 
 MIN_PAIRS = 10
 
@@ -50,8 +50,8 @@ def pearson_by(df: DataFrame, keys: list[str], x: str, y: str, min_pairs: int =
     return out.where(F.col("n") >= min_pairs)
 
 
-def ic_by_date(df: DataFrame, score: str, target: str, min_names: int = 20, keys: list[str] | None = None) -> DataFrame:
-    return spearman_by(df, [*(keys or []), "date"], score, target, min_names)
+def ic_by_date(df: DataFrame, score: str, target: str, min_names: int = 20, keys: list[str] | None = None, split: bool = True) -> DataFrame:
+    return spearman_by(df, [*(keys or []), "date"], score, target, min_names, split=split)
 
 
 def _blocked(ic: DataFrame, keys: list[str], horizon: Column) -> DataFrame:
@@ -114,13 +114,17 @@ def melt_signals(df: DataFrame, signals: list[str], targets: dict[str, int], ids
     return df.select(*ids, F.explode(F.array(*cells)).alias("_c")).select(*ids, "_c.*")
 
 
-def signal_ic(df: DataFrame, signals: list[str], targets: dict[str, int], min_names: int = 20) -> DataFrame:
-    """Information coefficient per (signal, horizon, date)."""
-    return ic_by_date(melt_signals(df, signals, targets, ["date"]), "x", "y", min_names, ["signal", "horizon"])
+def signal_ic(df: DataFrame, signals: list[str], targets: dict[str, int], min_names: int = 20, split: bool = True) -> DataFrame:
+    """Information coefficient per (signal, horizon, date).
+
+    ``split=False`` ranks one signal and date in one task, as narrow rows that move once; the parts grow with the files read.
+    """
+    long, keys = melt_signals(df, signals, targets, ["date"]), ["signal", "horizon"]
+    return ic_by_date(long if split else dealt(long, *keys, "date", part_bytes=PART_BYTES // 4), "x", "y", min_names, keys, split)
 
 
-def signal_summary(df: DataFrame, signals: list[str], targets: dict[str, int], min_names: int = 20) -> DataFrame:
-    return ic_summary(signal_ic(df, signals, targets, min_names), "horizon", ["signal", "horizon"])
+def signal_summary(df: DataFrame, signals: list[str], targets: dict[str, int], min_names: int = 20, split: bool = True) -> DataFrame:
+    return ic_summary(signal_ic(df, signals, targets, min_names, split), "horizon", ["signal", "horizon"])
 
 
 def with_medians(grouped: DataFrame, df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -246,12 +250,16 @@ def _thirds(value: str, noun: str) -> Column:
 
 
 def ablations(df: DataFrame, target: str, horizon: int, weights: dict[str, float] = CATEGORY_WEIGHTS) -> DataFrame:
-    """IC of the composite as stored and rebuilt without each category; all variants in one pass."""
+    """IC of the composite as stored and rebuilt without each category; all variants in one pass.
+
+    Cut groups would move the rows of every variant a dozen times; here each moves once and a task sorts the companies of a date, as
+    in the scoring before it.
+    """
     names = {"nothing": "score"}
     for category in weights:
         df = recompose(df, weights, drop=category, name=f"_without_{category}")
         names[category] = f"_without_{category}"
-    summary = signal_summary(df, list(names.values()), {target: horizon})
+    summary = signal_summary(df, list(names.values()), {target: horizon}, split=False)
     back = reduce(
         lambda acc, kv: acc.when(F.col("signal") == kv[1], F.lit(kv[0])), names.items(), F.when(F.lit(False), F.lit(""))
     )

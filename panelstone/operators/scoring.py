@@ -31,7 +31,7 @@ from panelstone.operators.ranking import (
     nearest_index,
     order_statistic,
 )
-from panelstone.session import PART_BYTES, cut_lineage, parts_of
+from panelstone.session import PART_BYTES, cut_lineage, dealt, parts_of
 
 ROW = ["company_id", "ticker", "date"]
 
@@ -136,8 +136,10 @@ def _dealt_in_turn(panel: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
     turn = (F.row_number().over(Window.orderBy("_date")) - 1) * len(metrics)  # one row per date
     numbers = F.broadcast(numbers.withColumn("_turn", turn))
     long = melt_metrics(panel, metrics)
-    long = long.join(numbers, F.col("date").eqNullSafe(F.col("_date"))).withColumn("_part", F.col("_turn") + F.col("m")).drop("_date", "_turn")
-    return long.repartitionById(parts_of(panel, PART_BYTES // 4), "_part")  # a panel row becomes a row for each metric
+    long = long.join(numbers, F.col("date").eqNullSafe(F.col("_date"))).withColumn("_part", F.col("_turn") + F.col("m"))
+    # What follows from other columns does not travel. A panel row becomes a row for each metric, so parts are small.
+    moved = long.drop("_date", "_turn", "m", "usable_value").repartitionById(parts_of(panel, PART_BYTES // 4), "_part")
+    return moved.withColumns({"m": F.col("_part") % len(metrics), "usable_value": F.when(F.col("applies"), F.col("raw_value"))})
 
 
 def _chosen_in_place(panel: DataFrame, metrics: tuple[Metric, ...], levels: list[str]) -> DataFrame:
@@ -221,10 +223,14 @@ def build_metric_scores(panel: DataFrame, metrics: tuple[Metric, ...] = METRICS)
 
 
 def build_category_scores(metric_scores: DataFrame, weights: dict[str, float] = CATEGORY_WEIGHTS, floor: float = MIN_CATEGORY_COVERAGE) -> DataFrame:
-    """Weighted mean of observed metrics; declined when too little of the applicable weight was observed."""
-    seen = F.col("status") == "scored"
+    """Weighted mean of observed metrics; declined when too little of the applicable weight was observed.
+
+    Rows are dealt by company and date, so that a composite of the categories needs no other shuffle.
+    """
+    seen = F.col("seen")
+    narrow = metric_scores.where(F.col("status") != "not_applicable").select(*ROW, "category", "score", "weight", (F.col("status") == "scored").alias("seen"))
     out = (
-        metric_scores.where(F.col("status") != "not_applicable")
+        dealt(narrow, *ROW)
         .groupBy(*ROW, "category")
         .agg(
             F.sum(F.when(seen, F.col("score") * F.col("weight")).otherwise(0.0)).alias("_sum"),

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from panelstone.functions.spec import METRICS
-from panelstone.operators import pit, scoring
+from panelstone.operators import evaluate, pit, scoring
 
 USED = tuple(m for m in METRICS if m.key in ("roic", "ev_ebit", "mom_12_1"))
 
@@ -43,3 +43,14 @@ def test_fundamentals_are_dealt_by_company_and_concept_once(spark):
     assert "REPARTITION_BY_NUM" in plan(out) and "ENSURE_REQUIREMENTS" not in plan(out)
     got = {(r.company_id, r.concept, r.basis, r.available_at): (r.value, r.n_sources) for r in out.collect()}
     assert len(got) == 5 * 5 + 5 * 8 and got["c2", "revenue", "ttm", day(14, 2)] == (4 * 102 + 1 + 4 + 7 + 10, 4) and got["c3", "assets", "instant", day(5, 2)] == (54.0, 1)
+
+
+def test_ablations_move_the_rows_of_a_variant_once(spark):
+    names = ("quality", "growth", "momentum", "valuation")
+    rows = [(f"c{i:02}", dt.date(2020, 1 + d, 1), *[float((i * k + d) % 23) if (i + k) % 9 else None for k in (3, 5, 7, 11)], float(i * 13 % 29), (i * 17 + d) % 31 / 10) for d in range(5) for i in range(30)]
+    df = spark.createDataFrame(rows, "company_id string, date date, quality double, growth double, momentum double, valuation double, score double, y double")
+    once = evaluate.signal_ic(df, [*names, "score"], {"y": 1}, split=False)
+    assert "REPARTITION_BY_NUM" in plan(once) and "ENSURE_REQUIREMENTS" not in plan(once)
+    of = lambda df: {(r.signal, r.date): (round(r.ic, 9), r.n) for r in df.collect()}
+    assert of(once) == of(evaluate.signal_ic(df, [*names, "score"], {"y": 1})) and len(of(once)) == 25
+    assert "REPARTITION_BY_NUM" in plan(evaluate.ablations(df, "y", 1))
