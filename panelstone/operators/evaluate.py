@@ -1,7 +1,7 @@
 """How informative a ranking is: rank correlations, bucket returns, cuts, ablations and persistence.
 
 Ranks come from the value ladder, correlations from map-side-combined moments. Windows run only over tables with one row per
-(series, date), which the calendar bounds.
+(series, date), which the calendar bounds; ``split=False`` alone sorts the entities of a series and date in one task.
 """
 
 from __future__ import annotations
