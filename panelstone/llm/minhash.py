@@ -34,6 +34,8 @@ CIRCLE_BITS = 20
 BANDS, BAND_ROWS = 40, 5
 # Shingles whose windows are gathered at a time (bounds a worker's memory).
 GATHER = 2048
+# Longest sketch of a member's differences, in words of 64 bits (shorter sets have shorter ones).
+SKETCH_WORDS = 16
 
 
 @lru_cache(maxsize=2)
@@ -126,6 +128,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return arrow_map(beside(pairs.select("a", "b"), texts), work, "a long, b long", rows=64)
 
 
+def sketch(signs: np.ndarray, words: int) -> np.ndarray:
+    """Parity of the signs at each of ``64 * words`` places. Every sign that only one of two sets has turns at most one place, so two
+    sketches never differ in more places than the sets differ in signs.
+    """
+    place = (mix(signs.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * words)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def hidden_pairs(stars: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs of members of one star (its head included), in different components, that may still be linked.
 
@@ -138,6 +149,8 @@ def hidden_pairs(stars: DataFrame, found: DataFrame, texts: DataFrame, width: in
       In one order of all signs (what C lacks first, being rare), the first common one has o - 1 more behind it on either side. So it
       is among the first dM - floor((sM - sH) / 2) of M and the first dX - ceil((sX + sH) / 2) + 1 of X, and a match counts only if
       what is left from there on, on both sides, leaves room for o >= (sX + sM) / 2.
+    * |X ^ M| is at least the number of places in which their sketches differ: a pair that differs there in more than
+      k * (|X| + |M|) is no link and is never formed.
     """
     part = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}"))
     member = stars.join(part("b"), "b", "left").select("a", "b", F.coalesce("in_b", "b").alias("part"))
@@ -166,7 +179,7 @@ def hidden_pairs(stars: DataFrame, found: DataFrame, texts: DataFrame, width: in
         turned = turned.join(counts.groupBy("a").agg(F.collect_list("sign").alias(f"turned_{column}")), "a", "left")
 
     def recentred(cols):
-        out = {x: [] for x in ("a", "id", "part", "n", "s", "plus", "gone")}
+        out = {x: [] for x in ("a", "id", "part", "n", "s", "plus", "gone", "bits")}
         ints = lambda x: np.array(x if x is not None else [], dtype=np.int64)
         for a, b, group, n, added, lost, now_in, now_out in zip(
             *[cols[x] for x in ("a", "b", "part", "n", "added", "lost", "turned_added", "turned_lost")], strict=True
@@ -175,11 +188,13 @@ def hidden_pairs(stars: DataFrame, found: DataFrame, texts: DataFrame, width: in
             plus = np.concatenate([np.setdiff1d(added, now_in), np.setdiff1d(now_out, lost)])
             gone = np.concatenate([np.setdiff1d(lost, now_out), np.setdiff1d(now_in, added)])
             s = (len(plus) + len(gone)) * (100 + percent) - (100 - percent) * n
-            for name, value in zip(out, (a, b, group, n, s, plus, gone), strict=True):
+            words = min(SKETCH_WORDS, 1 + (n - len(added) + len(lost)) // 32)  # by the set of the star's head: one length in a star
+            bits = sketch(np.concatenate([plus, gone]), words)
+            for name, value in zip(out, (a, b, group, n, s, plus, gone, bits), strict=True):
                 out[name].append(value)
         return out
 
-    schema = "a long, id long, part long, n long, s long, plus array<long>, gone array<long>"
+    schema = "a long, id long, part long, n long, s long, plus array<long>, gone array<long>, bits array<long>"
     drawn = staged(arrow_map(told.join(turned, "a", "left"), recentred, schema))
     heads = drawn.groupBy("a").agg(F.min(F.struct("s", "id", "part", "n")).alias("h"))
     drawn = drawn.join(heads, "a")
@@ -193,14 +208,16 @@ def hidden_pairs(stars: DataFrame, found: DataFrame, texts: DataFrame, width: in
 
     def prefix(rows, some, x):
         signs = F.posexplode(F.slice(every, F.lit(1), F.greatest(some, F.lit(0)))).alias(f"place_{x}", f"sign_{x}")
-        return rows.select(F.col("a").alias(f"a_{x}"), signs, *[F.col(c).alias(f"{c}_{x}") for c in ("id", "part", "n", "s")], F.size(every).alias(f"d_{x}"))
+        return rows.select(F.col("a").alias(f"a_{x}"), signs, *[F.col(c).alias(f"{c}_{x}") for c in ("id", "part", "n", "s", "bits")], F.size(every).alias(f"d_{x}"))
 
     # What a pair can have in common from its first common sign on.
     left = F.least(F.col("d_x") - F.col("place_x"), F.col("d_m") - F.col("place_m"))
+    differ = F.aggregate(F.zip_with("bits_x", "bits_m", lambda x, m: F.bit_count(x.bitwiseXOR(m))), F.lit(0), lambda low, d: low + d)
     met = prefix(drawn.where(apart), some_x, "x").join(
         prefix(drawn, some_m, "m"),
         (F.col("a_x") == F.col("a_m")) & (F.col("sign_x") == F.col("sign_m")) & (F.col("part_x") != F.col("part_m"))
-        & could_link(F.col("n_x"), F.col("n_m"), percent) & (F.col("s_x") + F.col("s_m") <= left * unit),
+        & could_link(F.col("n_x"), F.col("n_m"), percent) & (F.col("s_x") + F.col("s_m") <= left * unit)
+        & (differ * (100 + percent) <= (F.col("n_x") + F.col("n_m")) * (100 - percent)),
     )
     pairs = met.select(F.col("id_x").alias("x"), F.col("id_m").alias("m")).transform(stacked, near_head)
     return pairs.select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct()

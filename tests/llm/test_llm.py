@@ -83,6 +83,43 @@ def test_dense_star_of_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, width=2).collect()} == jaccard_components(texts, 2)
 
 
+def test_near_copies_that_are_no_links_are_not_paired(spark, monkeypatch):
+    """Pairs formed past the heads grow with what may be linked, not with the square of a star."""
+    from panelstone.llm import minhash
+
+    rng = random.Random(7)
+    base = prose(rng, 120).split()
+    texts = []
+    for i in range(300):
+        own = list(base)
+        for _ in range(rng.choice([2, 4, 9, 14, 18])):
+            own[rng.randrange(len(own))] = f"edit{rng.randrange(6)}"
+        texts.append((i, " ".join(own)))
+    met = []
+    stacked = minhash.stacked
+
+    def counted(top, other, **k):
+        if top.columns == ["x", "m"]:
+            met.append(top.count())
+        return stacked(top, other, **k)
+
+    monkeypatch.setattr(minhash, "stacked", counted)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, width=2).collect()} == jaccard_components(texts, 2)
+    assert met and sum(met) < 10 * len(texts)
+
+
+def test_sketches_never_differ_more_than_sets():
+    from panelstone.llm.minhash import sketch
+
+    rng = np.random.default_rng(3)
+    for words in (1, 5, 16):
+        for size in (0, 1, 40, 2000):
+            a, b = (np.unique(rng.integers(-50_000, 50_000, size)) for _ in range(2))
+            low = sum(int(x).bit_count() for x in (sketch(a, words) ^ sketch(b, words)).view(np.uint64))
+            assert len(sketch(a, words)) == words and low <= len(np.setxor1d(a, b))
+
+
 def test_repeats_match_windows(spark, corpus):
     from panelstone.llm.recompression import remove_repeats
 
