@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstone.operators.calendar import session_index
-from panelstone.session import stacked
+from panelstone.session import cut_lineage, stacked
 
 BOUGHT = ("held", "liquidated", "written_off")
 
@@ -39,15 +39,20 @@ def schedule(decisions: DataFrame, dates: DataFrame, plans: list[tuple[str, int,
     return out.select("plan", "period", "date", "exec_date", "next_date", "idx", span.alias("days"))
 
 
-def price_windows(prices: DataFrame, dates: DataFrame, plan: DataFrame, tolerance: int, entity: str) -> DataFrame:
-    """First price within ``tolerance`` sessions of an execution and last price before the next, per plan, entity and period."""
+def price_windows(prices: DataFrame, dates: DataFrame, plan: DataFrame, tolerance: int, entity: str, asked: DataFrame) -> DataFrame:
+    """First price within ``tolerance`` sessions of an execution and last price before the next, per plan, entity and period.
+
+    ``asked``: ``plan, entity, period``, unique. Its sessions are looked up among the prices by entity and date, so what moves grows with
+    the prices of the names asked for and with their sessions, not with all names times plans.
+    """
     idx = session_index(dates)
     spread = plan.select("plan", "period", F.col("idx").alias("_start"), F.explode("days").alias("idx"))
     days = spread.join(idx, "idx").select("date", "plan", "period", (F.col("idx") - F.col("_start")).alias("_gap"))
     usable = prices.where((F.col("close_adj") > 0) & ~F.isnan("close_adj")).select(entity, "date", F.col("close_adj").alias("_p"))
     near = F.when(F.col("_gap") <= tolerance, F.col("date"))
-    # One row per session and plan: a few thousand, whatever the number of entities.
-    return usable.join(F.broadcast(days), "date").groupBy("plan", entity, "period").agg(
+    usable = usable.join(asked.select(entity).distinct(), entity, "left_semi")
+    # Days are one row per session and plan: a few thousand, whatever the number of entities.
+    return usable.join(asked.join(F.broadcast(days), ["plan", "period"]), [entity, "date"]).groupBy("plan", entity, "period").agg(
         F.min(near).alias("first_date"), F.min_by("_p", near).alias("first_price"),
         F.max("date").alias("last_date"), F.max_by("_p", "date").alias("last_price"),
     )
@@ -64,7 +69,10 @@ def outcomes(weights: DataFrame, prices: DataFrame, dates: DataFrame, plan: Data
 
     Null, zero, negative and NaN prices count as no price. A tolerance never reaches past the next execution.
     """
-    seen = price_windows(prices, dates, plan, tolerance, entity)
+    # Only a period that some run holds a name in, and the next one, decide a fate; their windows are read twice.
+    both = F.explode(F.array("period", F.col("period") + 1)).alias("period")
+    asked = weights.select("plan", entity, both).distinct()
+    seen = cut_lineage(price_windows(prices, dates, plan, tolerance, entity, asked))
     later = seen.select("plan", entity, (F.col("period") - 1).alias("period"), F.col("first_date").alias("_xd"), F.col("first_price").alias("_xp"))
     when = F.broadcast(plan.select("plan", "period", "exec_date", "next_date"))  # one row per plan and rebalance
     keys = ["plan", entity, "period"]

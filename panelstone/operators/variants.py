@@ -65,6 +65,13 @@ def parameter_rows(spark: SparkSession, variants: tuple[Variant, ...]) -> DataFr
     return spark.createDataFrame(rows, f"{ddl}, plan string, per_sector int")
 
 
+def front(ranked: DataFrame, variants: tuple[Variant, ...], entity: str = "ticker") -> DataFrame:
+    """The best of each strategy, date and sector, as many as any of the variants can come to hold there."""
+    reach = max(v.top_n for v in variants) + max(v.drop_top for v in variants)
+    place = F.row_number().over(Window.partitionBy("strategy", "date", "sector").orderBy(F.col("score").desc(), F.col(entity)))
+    return ranked.where(F.col("score").isNotNull()).withColumn("_r", place).where(F.col("_r") <= reach).drop("_r")
+
+
 def target_weights(ranked: DataFrame, variants: tuple[Variant, ...], plan: DataFrame, excluded: DataFrame | None = None, entity: str = "ticker") -> DataFrame:
     """Target weights of every strategy, variant and period: ``strategy, test, variant, run, plan, period, entity, weight``.
 
@@ -72,10 +79,8 @@ def target_weights(ranked: DataFrame, variants: tuple[Variant, ...], plan: DataF
     to the smaller entity. ``excluded``: ``strategy, entity, place``, the names a variant with ``drop_top >= place`` may not hold.
     A sector's best are cut before they meet the variants, so what fans out is bounded by variants x sectors x names held.
     """
-    reach = max(v.top_n for v in variants) + max(v.drop_top for v in variants)
     best = [F.col("score").desc(), F.col(entity)]
-    place = F.row_number().over(Window.partitionBy("strategy", "date", "sector").orderBy(*best))
-    few = ranked.where(F.col("score").isNotNull()).withColumn("_r", place).where(F.col("_r") <= reach).drop("_r")
+    few = front(ranked, variants, entity)
     runs = parameter_rows(ranked.sparkSession, variants).select("test", "variant", "plan", "top_n", "per_sector", "weighting", "drop_top")
     when = plan.select("plan", "period", "date").join(F.broadcast(runs), "plan")
     rows = few.join(F.broadcast(when), "date")  # variants x rebalances: declared rows times the calendar
@@ -114,7 +119,9 @@ def robustness(
     spark = ranked.sparkSession
     every = (base, *variants)
     plans = sorted({(v.plan, v.offset, v.delay) for v in every})
-    plan = cut_lineage(schedule(ranked, dates, plans, tolerance))
+    dates = cut_lineage(dates.select("date"))
+    plan = cut_lineage(schedule(cut_lineage(ranked.select("date").distinct()), dates, plans, tolerance))
+    ranked = cut_lineage(front(ranked, every, entity))  # all rows are ranked once, for the base run and for the variants
     k = max(v.drop_top for v in every)
     gone = None
     if k:

@@ -192,6 +192,12 @@ class Tables:
             F.count_if(F.col("l_returnflag") == "R").alias("nr"),
         )
 
+    def keep_days(self) -> None:
+        """Write ``supplier_days`` once and read prices, market and sessions from it, for queries that need them several times."""
+        if "_kept" not in self.__dict__:
+            self._kept = self.supplier_days = cut_lineage(self.supplier_days)
+            self.sessions = cut_lineage(self._kept.select("date").distinct())
+
     @cached_property
     def prices(self) -> DataFrame:
         close = 20 + F.col("q") / F.col("n")

@@ -283,9 +283,10 @@ fragment("rv", """SELECT g.*, b.excess AS base, CASE WHEN b.excess IS NULL OR g.
 
 def robustness(t: Tables):
     """Five strategies, each ranked by one column of the panel, through all declared variants."""
+    t.keep_days()
     cells = F.array(*[F.struct(F.lit(x).alias("strategy"), F.col(x).alias("score")) for x in STRATEGIES])
     ranked = t.panel.select("ticker", "sector", "date", F.explode(cells).alias("_c")).select("ticker", "sector", "date", "_c.*")
-    return VR.robustness(ranked, cut_lineage(t.prices.select("ticker", "date", "close_adj")), t.sessions, cut_lineage(t.market), tolerance=TOLERANCE)
+    return VR.robustness(ranked, t.prices.select("ticker", "date", "close_adj"), t.sessions, cut_lineage(t.market), tolerance=TOLERANCE)
 
 
 @query("ev36_robustness", f"{{{{with rv}}}} SELECT strategy, test, variant, {R('cagr')} AS cagr, {R('excess')} AS excess, {R('base')} AS base_excess, verdict FROM rv")
@@ -311,6 +312,7 @@ fragment("reg_perf", """SELECT pow(g, p) - 1 AS cagr, pow(z.close / a.close, p)
    UNION ALL SELECT 'backtest_trades', count(*), {R('sum(abs(delta))')} FROM reg_trades WHERE abs(delta) > 1e-12 UNION ALL SELECT 'performance_metrics', 3, {R('cagr + bench + (cagr - bench)')} FROM reg_perf UNION ALL SELECT 'robustness_tests', count(*), {R('sum(excess)')} FROM rv""")
 def _(t):
     """A portfolio run and the robustness battery, saved twice: one row of each."""
+    t.keep_days()
     held = cut_lineage(PF.holding_returns(cut_lineage(weights(t)), t.prices.select("ticker", "date", "close_adj"), t.sessions, tolerance=TOLERANCE))
     periods = HD.run_periods(held, t.spark.createDataFrame([("only", PF.ONE_WAY_BPS)], "run string, bps double"))
     run = RG.content_id("run", F.lit("roic"), F.lit("top 20, delay 1")).alias("run_id")

@@ -123,3 +123,24 @@ def test_variants_in_one_plan_equal_single_runs(spark):
     best = sorted(total, key=lambda k: (-round(total[k], 9), k))[:2]
     for v in variants:
         assert got[v.test].cagr == pytest.approx(single(v, best if v.drop_top else ())[1]), v.test
+
+
+def test_windows_are_formed_only_for_names_and_periods_held(spark, monkeypatch):
+    """What is reduced to price windows grows with the holdings, not with all names that trade."""
+    windows, made = HD.price_windows, []
+
+    def counted(*args):
+        out = windows(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(HD, "price_windows", counted)
+    table = {f"n{k}": {i: 10.0 + (k + i) % 5 for i in range(40)} for k in range(50)}
+    w = weights_of(spark, [("n1", 0, 0.5), ("n2", 0, 0.5), ("n1", 10, 1.0), ("n3", 30, 1.0)])
+    held = {(r.ticker, r.period): (r.state, r.ret) for r in PF.holding_returns(w, prices_of(spark, table), calendar(spark, 40)).collect()}
+    change = lambda k, a, b: (10.0 + (k + b) % 5) / (10.0 + (k + a) % 5) - 1
+    assert held == {
+        ("n1", 1): ("held", pytest.approx(change(1, 1, 11))), ("n2", 1): ("held", pytest.approx(change(2, 1, 11))),
+        ("n1", 2): ("held", pytest.approx(change(1, 11, 31))), ("n3", 3): ("open", None),
+    }
+    assert made == [6]  # n1 in all three periods, n2 in two, n3 in the last
