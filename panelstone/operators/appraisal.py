@@ -53,7 +53,7 @@ def method_outcomes(subjects: DataFrame, panel: DataFrame, min_peers: int = V.MI
     companies on the subjects' dates (peers) and earlier (own history). A company of an unknown model has no methods.
     """
     dates = F.broadcast(subjects.select("date").distinct())  # one row per session
-    peers = cut_lineage(panel.join(dates, "date", "left_semi"))
+    peers = panel.join(dates, "date", "left_semi")
     relative = cut_lineage(V.comparables(peers, min_peers).select("company_id", "date", F.col("value_per_share").alias("_rel"), "value_low", "value_high"))
     typical = V.own_history(panel, list(V.HISTORY_ORDER), min_observations=min_observations)
     own = cut_lineage(V.historical(subjects, typical).select("company_id", F.col("value_per_share").alias("_own")))

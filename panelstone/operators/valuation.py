@@ -7,13 +7,13 @@ leave the subject out through order statistics of its group; pairs of companies
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, mul
+from operator import add, mul, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import TINY, clip, div, either, finite, inside, mapped, zero_if_null
-from panelstone.operators.ranking import annotate, holds
+from panelstone.operators.ranking import annotate, holds, ladder
 from panelstone.session import cut_lineage
 
 # Discounting.
@@ -278,105 +278,166 @@ def sensitivity(df: DataFrame, ids: list[str]) -> DataFrame:
 # ---- peers
 
 
-def _lookup(df: DataFrame, steps: DataFrame, keys: list[str], positions: dict[str, Column]) -> DataFrame:
-    """Attach, for each named position, the (value, n_below, n_eq) found there in the row's sorted group.
+def _position(m: Column, trim: float, quantiles: dict[str, float]) -> dict[str, Column]:
+    """Positions in ``m`` sorted values: the ends of what the trim leaves, and the neighbours of each quantile."""
+    cut = F.lit(trim > 0) & (m >= 5)
+    pos = lambda q: (m - 1) * F.lit(float(q))
+    out = {"lo": F.when(cut, F.ceil(pos(trim))).otherwise(F.lit(0)), "hi": F.when(cut, F.floor(pos(1.0 - trim))).otherwise(m - 1)}
+    for name, q in quantiles.items():
+        out |= {f"{name}_a": F.floor(pos(q)), f"{name}_b": F.ceil(pos(q))}
+    return out
 
-    Positions take a handful of values per group (they depend on its size and on which side of them the subject lies), so the
-    distinct ones are resolved against the sorted values and return as a small map per group.
-    """
-    out = df.withColumns({f"_k_{n}": p.cast("long") for n, p in positions.items()})
-    asked = out.select(*keys, F.explode(F.array(*[F.col(f"_k_{n}") for n in positions])).alias("_k")).where("_k is not null").distinct()
-    found = asked.join(steps, keys).where(holds(F.col("_k")))
-    entry = F.struct(F.col("_k"), F.struct(F.col("_v").alias("v"), "n_below", "n_eq"))
-    maps = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_map"))
-    out = out.join(maps, keys, "left")
-    out = out.withColumns({f"at_{n}": F.try_element_at("_map", F.col(f"_k_{n}")) for n in positions})
-    return out.drop("_map", *[f"_k_{n}" for n in positions])
 
+# Where the kept part begins and stops without a row: the end taken, and whether the row itself lies before it. The row's value is null,
+# above the upper end, inside, below the lower end, or tied with it.
+_CASES = {
+    "none": ("lo_x", 0, "hi_x", 0),
+    "above": ("lo_0", 0, "hi_0", 0),
+    "inner": ("lo_0", 0, "hi_1", 1),
+    "below": ("lo_1", 1, "hi_1", 1),
+    "tied": ("lo_1", 0, "hi_1", 1),
+}
 
-def leave_one_out(df: DataFrame, keys: list[str], value: str, trim: float, quantiles: dict[str, float] | None = None, split: bool = True) -> DataFrame:
-    """Trimmed median, linear quantiles and size of each row's group without the row itself.
 
-    With at least five values, those outside the linear ``trim`` and ``1 - trim`` quantiles are dropped before the median. A row
-    whose own value is null leaves its group untouched. Adds ``loo_n, loo_median`` and the named quantiles.
+def leave_one_out_groups(
+    members: DataFrame, keys: list[str], value: str, trim: float, quantiles: dict[str, float] | None = None, split: bool = True
+) -> DataFrame:
+    """One row per group of ``members`` with the few order statistics that ``leave_one_out`` needs, whichever row is left out.
+
+    A group of n values without a row is one of n values (the row's own is null) or of n - 1, whose position k is the group's k or,
+    from the row's own place on, k + 1. The ends of the trimmed part follow from n; they bound the median's positions, and only the
+    place of the row's value (see ``_CASES``) decides between them. Written, as its few rows are joined to all rows of the groups.
     """
     quantiles = quantiles or {}
-    base = df.withColumn("_v", F.col(value))
-    base = annotate(base, keys, "_v", split=split)
-    steps = base.where("_v is not null").select(*keys, "_v", "n_below", "n_eq").distinct()
-    base = base.withColumnsRenamed({"n_below": "_below", "n_eq": "_eq", "n_group": "_size"})
-    base = base.withColumn("_m", F.col("_size") - F.col("_v").isNotNull().cast("long"))
-    # Position k of the group without the row is position k, or k + 1 from the row's own place on.
-    full = lambda k: F.when(F.col("_v").isNull() | (k < F.col("_below")), k).otherwise(k + 1)
-    pos = lambda q: (F.col("_m") - 1) * F.lit(float(q))
-    cut = F.lit(trim > 0) & (F.col("_m") >= 5)
-    some = F.col("_m") > 0
-    first = {
-        "lo": F.when(some, full(F.when(cut, F.ceil(pos(trim))).otherwise(F.lit(0)))),
-        "hi": F.when(some, full(F.when(cut, F.floor(pos(1.0 - trim))).otherwise(F.col("_m") - 1))),
-    }
-    for name, q in quantiles.items():
-        first[f"{name}_a"] = F.when(some, full(F.floor(pos(q))))
-        first[f"{name}_b"] = F.when(some, full(F.ceil(pos(q))))
-    out = _lookup(base, steps, keys, first)
-    own_below = F.coalesce(F.col("_v") < F.col("at_lo.v"), F.lit(False)).cast("long")
-    own_upto = F.coalesce(F.col("_v") <= F.col("at_hi.v"), F.lit(False)).cast("long")
-    out = out.withColumns(
-        {"_from": F.col("at_lo.n_below") - own_below, "_upto": F.col("at_hi.n_below") + F.col("at_hi.n_eq") - own_upto}
-    )
-    kept = F.col("_upto") - F.col("_from")
-    out = _lookup(
-        out, steps, keys, {"m1": full(F.col("_from") + F.floor((kept - 1) / 2)), "m2": full(F.col("_from") + F.floor(kept / 2))}
+    values = members.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    if split:
+        steps = ladder(values, keys, "_v")
+    else:
+        steps = annotate(values, keys, "_v", split=False).distinct()
+    steps = cut_lineage(steps)  # read for the ends, then for the medians
+    n, v = F.col("n_group"), F.col("_v")
+    asked = {f"{name}_x": k for name, k in _position(n, trim, quantiles).items()}
+    for name, k in _position(n - 1, trim, quantiles).items():
+        asked |= {f"{name}_0": k, f"{name}_1": k + 1}
+    found = [F.max(F.when(holds(k), v)).alias(name) for name, k in asked.items()]
+    for name, k in asked.items():
+        if name.startswith(("lo_", "hi_")):
+            found += [F.max(F.when(holds(k), x)).alias(f"{name}_{to}") for to, x in (("from", F.col("n_below")), ("upto", F.col("n_below") + F.col("n_eq")))]
+    sums = [F.sum(v * F.col("n_eq")).alias("_s"), F.sum(v * v * F.col("n_eq")).alias("_ss")]
+    ends = steps.groupBy(*keys).agg(F.max(n).alias("_n"), *sums, *found)
+    middle = {}
+    for case, (start, d, stop, e) in _CASES.items():
+        start, stop = F.col(f"{start}_from") - d, F.col(f"{stop}_upto") - e
+        kept = stop - start
+        middle |= {f"{case}_a": start + F.floor((kept - 1) / 2), f"{case}_b": start + F.floor(kept / 2)}
+    ends = cut_lineage(ends.withColumns({f"_k_{name}": k for name, k in middle.items()}))
+    places = {f"{name}_{d}": F.col(f"_k_{name}") + d for name in middle for d in (0, 1)}
+    hits = steps.join(ends.select(*keys, *[f"_k_{name}" for name in middle]), keys).where(reduce(or_, [holds(k) for k in places.values()]))
+    medians = hits.groupBy(*keys).agg(*[F.max(F.when(holds(k), v)).alias(name) for name, k in places.items()])
+    helpers = [f"_k_{name}" for name in middle] + [f"{x}_{t}_{to}" for x in ("lo", "hi") for t in "x01" for to in ("from", "upto")]
+    return cut_lineage(ends.drop(*helpers).join(medians, keys))
+
+
+def leave_one_out(
+    df: DataFrame, keys: list[str], value: str, trim: float, quantiles: dict[str, float] | None = None, split: bool = True, groups: DataFrame | None = None
+) -> DataFrame:
+    """Trimmed median, linear quantiles, deviation and size of each row's group without the row itself.
+
+    With at least five values, those outside the linear ``trim`` (below a half) and ``1 - trim`` quantiles are dropped before the median.
+    A row whose own value is null leaves its group untouched; one with a null key has no group. Adds ``loo_n, loo_median, loo_std`` and
+    the named quantiles. ``groups`` are the ``leave_one_out_groups`` when ``df`` is only a part of their members.
+    """
+    quantiles = quantiles or {}
+    if groups is None:
+        groups = leave_one_out_groups(df, keys, value, trim, quantiles, split)
+    out = df.join(groups.withColumn("_g", F.struct(*[x for x in groups.columns if x not in keys])).select(*keys, "_g"), keys, "left")
+    own, g = F.col(value).cast("double"), lambda name: F.col(f"_g.{name}")
+    known = own.isNotNull()
+    n = F.coalesce(g("_n"), F.lit(0))
+    out = out.withColumn("loo_n", F.when(n > 0, n - known.cast("long")).otherwise(F.lit(0)))
+    m = F.col("loo_n")
+    without = lambda name: F.when(g(f"{name}_0") < own, g(f"{name}_0")).otherwise(g(f"{name}_1"))
+    centre = lambda case: (without(f"{case}_a") + without(f"{case}_b")) / 2.0
+    median = (
+        F.when(~known, (g("none_a_0") + g("none_b_0")) / 2.0).when(g("hi_0") < own, centre("above")).when(g("lo_0") < own, centre("inner"))
+        .when(own < g("lo_1"), centre("below")).otherwise(centre("tied"))
     )
-    named = {"loo_n": F.col("_m"), "loo_median": (F.col("at_m1.v") + F.col("at_m2.v")) / 2.0}
+    mean = div(g("_s") - F.coalesce(own, F.lit(0.0)), m)
+    var = div(g("_ss") - F.coalesce(own * own, F.lit(0.0)), m) - mean * mean
+    named = {"loo_median": F.when(m > 0, median), "loo_std": F.when(m > 0, F.sqrt(F.greatest(var, F.lit(0.0))))}
     for name, q in quantiles.items():
-        w = pos(q) - F.floor(pos(q))
-        named[name] = F.col(f"at_{name}_a.v") + (F.col(f"at_{name}_b.v") - F.col(f"at_{name}_a.v")) * w
-    out = out.withColumns(named)
-    helpers = ["_v", "_below", "_eq", "_size", "_m", "_from", "_upto", "at_m1", "at_m2", "at_lo", "at_hi"]
-    return out.drop(*helpers, *[f"at_{n}_{s}" for n in quantiles for s in "ab"])
+        pos = (m - 1) * F.lit(float(q))
+        a, b = (F.when(known, without(f"{name}_{s}")).otherwise(g(f"{name}_{s}_x")) for s in "ab")
+        named[name] = F.when(m > 0, a + (b - a) * (pos - F.floor(pos)))
+    return out.withColumns(named).drop("_g")
 
 
 def choose_peer_group(df: DataFrame, min_peers: int = MIN_PEERS) -> DataFrame:
-    """Industry when it holds enough other companies on the date, otherwise the sector: ``peer_kind, peer_group``."""
-    sizes = df.groupBy("date", "industry").agg(F.count(F.lit(1)).alias("_n"))
+    """Industry when it holds enough other companies on the date, otherwise the sector: ``peer_kind, peer_group``.
+
+    The sizes are written: one row per date and industry, which Spark would otherwise take for as large as the panel.
+    """
+    sizes = cut_lineage(df.groupBy("date", "industry").agg(F.count(F.lit(1)).alias("_n")))
     out = df.join(sizes, ["date", "industry"], "left")
     narrow = F.coalesce(F.col("_n") - 1 >= min_peers, F.lit(False))
     return out.withColumn("peer_kind", F.when(narrow, "industry").otherwise("sector")).drop("_n")
 
 
-def peer_statistics(df: DataFrame, columns: list[str], trim: float, quantiles: dict[str, float] | None = None, positive: bool = True) -> DataFrame:
+def _chosen() -> Column:
+    return F.when(F.col("peer_kind") == "industry", F.col("industry")).otherwise(F.col("sector"))
+
+
+def _cells(columns: list[str], positive: bool) -> Column:
+    """One entry per column: its name and its usable value."""
+    value = lambda x: F.when(F.col(x) > 0, finite(x)) if positive else finite(x)
+    return F.explode(F.array(*[F.struct(F.lit(x).alias("multiple"), value(x).alias("x")) for x in columns]))
+
+
+def peer_groups(df: DataFrame, columns: list[str], trim: float, quantiles: dict[str, float] | None = None, positive: bool = True) -> DataFrame:
+    """``leave_one_out_groups`` of several columns for every group that some row chose, by ``date, kind, grp, multiple``.
+
+    All members of such a group count, also those that chose the other kind themselves.
+    """
+    # One row per date and group.
+    asked = cut_lineage(df.select("date", F.col("peer_kind").alias("kind"), _chosen().alias("grp")).distinct())
+    both = F.array(*[F.struct(F.lit(x).alias("kind"), F.col(x).alias("grp")) for x in ("industry", "sector")])
+    rows = df.withColumn("_g", F.explode(both)).select("date", "_g.*", *columns).join(asked, ["date", "kind", "grp"], "left_semi")
+    long = rows.select("date", "kind", "grp", _cells(columns, positive).alias("_c")).select("date", "kind", "grp", "_c.*")
+    return leave_one_out_groups(long, ["date", "kind", "grp", "multiple"], "x", trim, quantiles)
+
+
+def peer_statistics(
+    df: DataFrame, columns: list[str], trim: float, quantiles: dict[str, float] | None = None, positive: bool = True,
+    carried: tuple[str, ...] = (), groups: DataFrame | None = None,
+) -> DataFrame:
     """Leave-one-out statistics of several columns over each row's chosen peer group, long: one row per company and column.
 
-    Both candidate groups are ranked over all their members; a row then keeps the statistics of the group it chose.
+    Rows keep the columns named in ``carried``; ``groups`` are the ``peer_groups`` if the caller has them.
     """
-    value = lambda x: F.when(F.col(x) > 0, finite(x)) if positive else finite(x)
-    cells = F.array(*[F.struct(F.lit(x).alias("multiple"), value(x).alias("x")) for x in columns])
-    long = df.select("company_id", "date", "industry", "sector", "peer_kind", F.explode(cells).alias("_c")).select(
-        "company_id", "date", "industry", "sector", "peer_kind", "_c.*"
-    )
-    both = F.array(
-        F.struct(F.lit("industry").alias("kind"), F.col("industry").alias("grp")), F.struct(F.lit("sector").alias("kind"), F.col("sector").alias("grp"))
-    )
-    long = long.withColumn("_g", F.explode(both)).select("company_id", "date", "peer_kind", "multiple", "x", "_g.kind", "_g.grp")
-    out = leave_one_out(long, ["date", "kind", "grp", "multiple"], "x", trim, quantiles)
-    moments = long.groupBy("date", "kind", "grp", "multiple").agg(F.sum("x").alias("_s"), F.sum(F.col("x") * F.col("x")).alias("_ss"))
-    out = out.where(F.col("kind") == F.col("peer_kind")).join(moments, ["date", "kind", "grp", "multiple"], "left")
-    own = F.coalesce("x", F.lit(0.0))
-    mean = div(F.col("_s") - own, "loo_n")
-    var = div(F.col("_ss") - own * own, "loo_n") - mean * mean
-    return out.withColumn("loo_std", F.sqrt(F.greatest(var, F.lit(0.0)))).drop("_s", "_ss", "peer_kind")
+    if groups is None:
+        groups = peer_groups(df, columns, trim, quantiles, positive)
+    kept = ("company_id", "date", *carried)
+    long = df.select(*kept, F.col("peer_kind").alias("kind"), _chosen().alias("grp"), _cells(columns, positive).alias("_c")).select(*kept, "kind", "grp", "_c.*")
+    return leave_one_out(long, ["date", "kind", "grp", "multiple"], "x", trim, quantiles, groups=groups)
 
 
 def quality_adjustment(df: DataFrame, cap: float = MAX_ADJUSTMENT) -> DataFrame:
-    """Premium for growing faster or earning wider margins than the peer group, at most ``cap`` either way."""
-    stats = peer_statistics(df, ["growth", "margin"], 0.0, positive=False)
-    weight, floor = mapped("multiple", {"growth": 0.10, "margin": 0.08}), mapped("multiple", {"growth": 0.05, "margin": 0.03})
-    spread = F.greatest(F.when(F.col("loo_std") > 1e-9, F.col("loo_std")).otherwise(floor), F.lit(0.01))
-    z = clip(div(F.col("x") - F.col("loo_median"), spread), -2.0, 2.0)
-    part = F.when((F.col("loo_n") >= 5) & F.col("x").isNotNull(), z * weight).otherwise(0.0)
-    total = stats.groupBy("company_id", "date").agg(clip(F.sum(part), -cap, cap).alias("adjustment"))
-    return df.join(total, ["company_id", "date"], "left")
+    """Premium for growing faster or earning wider margins than the peer group, at most ``cap`` either way.
+
+    The groups' statistics come to the rows, which stay as they are: no row is moved.
+    """
+    groups = peer_groups(df, ["growth", "margin"], 0.0, positive=False)
+    groups = groups.withColumnsRenamed({"kind": "_kind", "grp": "_grp"})
+    out, total = df.withColumns({"_kind": F.col("peer_kind"), "_grp": _chosen()}), F.lit(0.0)
+    for name, weight, floor in (("growth", 0.10, 0.05), ("margin", 0.08, 0.03)):
+        out = out.withColumn("_x", finite(name))
+        out = leave_one_out(out, ["date", "_kind", "_grp"], "_x", 0.0, groups=groups.where(F.col("multiple") == name).drop("multiple"))
+        spread = F.greatest(F.when(F.col("loo_std") > 1e-9, F.col("loo_std")).otherwise(floor), F.lit(0.01))
+        z = clip(div(F.col("_x") - F.col("loo_median"), spread), -2.0, 2.0)
+        out = out.withColumn(f"_{name}", F.when((F.col("loo_n") >= 5) & F.col("_x").isNotNull(), z * weight).otherwise(0.0))
+        total = total + F.col(f"_{name}")
+    out = out.withColumn("adjustment", clip(total, -cap, cap))
+    return out.select(*[x for x in df.columns if x != "adjustment"], "adjustment")
 
 
 def equity_from_multiple(multiple: Column, key: str = "multiple") -> Column:
@@ -399,18 +460,15 @@ def comparables(df: DataFrame, min_peers: int = MIN_PEERS) -> DataFrame:
     """
     keys = list(dict.fromkeys([*ENTERPRISE, "fcf_yield", *EQUITY_LEVEL]))
     used = [k for k in keys if k in df.columns]
-    # Both are read again below; as one plan the two rounds of statistics are optimised for minutes.
-    subject = cut_lineage(quality_adjustment(choose_peer_group(df, min_peers), MAX_ADJUSTMENT))
-    stats = cut_lineage(
-        peer_statistics(subject, used, PEER_TRIM, {"q_low": 0.25, "q_high": 0.75}).select(
-            "company_id", "date", "multiple", "loo_n", "loo_median", "q_low", "q_high"
-        )
-    )
-    drivers = [c for c in ("ebit", "ebitda", "revenue", "free_cash_flow", "forward_earnings", "net_income", "equity", "net_debt", "minority_interest", "preferred_equity") ]
-    for name in drivers:
-        if name not in subject.columns:
-            subject = subject.withColumn(name, F.lit(None).cast("double"))
-    rows = stats.join(subject.select("company_id", "date", "business_model", "shares", "adjustment", *drivers), ["company_id", "date"])
+    drivers = ("ebit", "ebitda", "revenue", "free_cash_flow", "forward_earnings", "net_income", "equity", "net_debt", "minority_interest", "preferred_equity")
+    needed = dict.fromkeys(["company_id", "date", "industry", "sector", "business_model", "shares", "growth", "margin", *used, *drivers])
+    # Only what is used below is written; it is read for the sizes, for the members of both rounds of groups and for the result.
+    narrow = cut_lineage(df.select(*[F.col(x) if x in df.columns or x not in drivers else F.lit(None).cast("double").alias(x) for x in needed]))
+    subject = choose_peer_group(narrow, min_peers)
+    spans = {"q_low": 0.25, "q_high": 0.75}
+    groups = peer_groups(subject, used, PEER_TRIM, spans)
+    carried = ("business_model", "shares", "adjustment", *drivers)
+    rows = peer_statistics(quality_adjustment(subject, MAX_ADJUSTMENT), used, PEER_TRIM, spans, carried=carried, groups=groups)
     wanted = F.when(F.lit(False), F.lit(False))
     for model, order in MULTIPLES_FOR.items():
         wanted = wanted.when(F.col("business_model") == model, F.col("multiple").isin(list(order)))
@@ -419,7 +477,7 @@ def comparables(df: DataFrame, min_peers: int = MIN_PEERS) -> DataFrame:
     adjusted = lambda x: F.when(F.col("multiple") == "fcf_yield", div(x, grow)).otherwise(F.col(x) * grow)
     share = lambda x: div(equity_from_multiple(adjusted(x)), "shares")
     rows = rows.withColumns({"value": share("loo_median"), "e1": share("q_low"), "e2": share("q_high")}).where((F.col("value") > 0) & (F.col("shares") > 0))
-    item = F.struct("value", "multiple", "loo_median", F.col("loo_n").alias("peers"), F.least("e1", "e2").alias("low"), F.greatest("e1", "e2").alias("high"))
+    item = F.struct("value", "multiple", F.least("e1", "e2").alias("low"), F.greatest("e1", "e2").alias("high"))
     per = rows.groupBy("company_id", "date").agg(F.sort_array(F.collect_list(item)).alias("_all"), F.first("adjustment").alias("adjustment"))
     middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int"))["value"] + F.get(a, F.floor(F.size(a) / 2).cast("int"))["value"]) / 2.0
     per = per.withColumn("_mid", middle(F.col("_all")))

@@ -14,8 +14,11 @@ from panelstone.session import cut_lineage
 MIN_HISTORY = 10
 
 
-def valued_panel(t: Tables):
-    """The metric panel with estimates, insurers and the data-quality columns that an appraisal asks for."""
+def valued_panel(t: Tables, written: bool = True):
+    """The metric panel with estimates, insurers and the data-quality columns that an appraisal asks for.
+
+    Not ``written`` for a reader that writes what it needs of it by itself.
+    """
     c, k = F.col, F.col("cik")
     insurer = (c("business_model") == "bank") & (k % 4 == 0)
     df = inputs(t).withColumns({
@@ -27,7 +30,8 @@ def valued_panel(t: Tables):
         "intangibles": F.when(k % 3 == 0, c("equity") * 0.3), "metric_coverage": 0.42 + k % 7 * 0.1, "data_age_days": 60 + k % 9 * 12, "n_analysts": k % 9,
     })
     rate = F.broadcast(V.risk_free_rate(t.market.select("date", (c("close_adj") / 10).alias("close"))))  # one row
-    return cut_lineage(df.join(rate))
+    df = df.join(rate)
+    return cut_lineage(df) if written else df
 
 
 fragment("vx", """SELECT vi.* REPLACE (CASE WHEN vi.business_model = 'bank' AND vi.cik % 4 = 0 THEN 'insurer' ELSE vi.business_model END AS business_model), f.roe, f.eps_growth_1y, f.depreciation_amortization AS depreciation, f.amortization_intangibles, f.share_based_comp,
@@ -70,7 +74,7 @@ fragment("rel", """SELECT company_id, date, median(value) AS value_per_share, CA
 
 @query("va10_peer_value", f"{{{{with rel}}}} SELECT company_id, date, {R('value_per_share', 4)} AS value_per_share, {R('value_low', 4)} AS value_low, {R('value_high', 4)} AS value_high, {R('adjustment', 4)} AS adjustment, n_multiples FROM rel")
 def _(t):
-    return rounded(V.comparables(valued_panel(t)), 4)
+    return rounded(V.comparables(valued_panel(t, written=False)), 4)
 
 
 # ---- subjects and projections

@@ -532,7 +532,7 @@ def _(t):
 
 @query("va10_comparables")
 def _(t):
-    df = cut_lineage(inputs(t).withColumns({"forward_pe": N.div("close_raw", "forward_eps"), "forward_earnings": F.col("forward_eps") * F.col("shares")}))
+    df = inputs(t).withColumns({"forward_pe": N.div("close_raw", "forward_eps"), "forward_earnings": F.col("forward_eps") * F.col("shares")})
     return rounded(V.comparables(df), 4)
 
 
