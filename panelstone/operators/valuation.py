@@ -390,20 +390,25 @@ def _chosen() -> Column:
 def _cells(columns: list[str], positive: bool) -> Column:
     """One entry per column: its name and its usable value."""
     value = lambda x: F.when(F.col(x) > 0, finite(x)) if positive else finite(x)
-    return F.explode(F.array(*[F.struct(F.lit(x).alias("multiple"), value(x).alias("x")) for x in columns]))
+    return F.array(*[F.struct(F.lit(x).alias("multiple"), value(x).alias("x")) for x in columns])
 
 
 def peer_groups(df: DataFrame, columns: list[str], trim: float, quantiles: dict[str, float] | None = None, positive: bool = True) -> DataFrame:
     """``leave_one_out_groups`` of several columns for every group that some row chose, by ``date, kind, grp, multiple``.
 
-    All members of such a group count, also those that chose the other kind themselves.
+    All members of such a group count, also those that chose the other kind themselves. Their values travel with the number of the group
+    and column instead of its names.
     """
-    # One row per date and group.
-    asked = cut_lineage(df.select("date", F.col("peer_kind").alias("kind"), _chosen().alias("grp")).distinct())
+    size = len(columns)
+    asked = df.select("date", F.col("peer_kind").alias("kind"), _chosen().alias("grp")).distinct().where("grp is not null")
+    asked = cut_lineage(asked.withColumn("_no", F.monotonically_increasing_id() * size))  # one row per date and group
     both = F.array(*[F.struct(F.lit(x).alias("kind"), F.col(x).alias("grp")) for x in ("industry", "sector")])
-    rows = df.withColumn("_g", F.explode(both)).select("date", "_g.*", *columns).join(asked, ["date", "kind", "grp"], "left_semi")
-    long = rows.select("date", "kind", "grp", _cells(columns, positive).alias("_c")).select("date", "kind", "grp", "_c.*")
-    return leave_one_out_groups(long, ["date", "kind", "grp", "multiple"], "x", trim, quantiles)
+    rows = df.withColumn("_g", F.explode(both)).select("date", "_g.*", *columns).join(asked, ["date", "kind", "grp"])
+    long = rows.select("_no", F.posexplode(_cells(columns, positive)).alias("_i", "_c")).select((F.col("_no") + F.col("_i")).alias("_no"), "_c.x")
+    found = leave_one_out_groups(long, ["_no"], "x", trim, quantiles)
+    names = F.posexplode(F.array(*[F.lit(x) for x in columns])).alias("_i", "multiple")
+    named = asked.select("date", "kind", "grp", "_no", names).withColumn("_no", F.col("_no") + F.col("_i")).drop("_i")
+    return cut_lineage(named.join(found, "_no").drop("_no"))
 
 
 def peer_statistics(
@@ -417,7 +422,7 @@ def peer_statistics(
     if groups is None:
         groups = peer_groups(df, columns, trim, quantiles, positive)
     kept = ("company_id", "date", *carried)
-    long = df.select(*kept, F.col("peer_kind").alias("kind"), _chosen().alias("grp"), _cells(columns, positive).alias("_c")).select(*kept, "kind", "grp", "_c.*")
+    long = df.select(*kept, F.col("peer_kind").alias("kind"), _chosen().alias("grp"), F.explode(_cells(columns, positive)).alias("_c")).select(*kept, "kind", "grp", "_c.*")
     return leave_one_out(long, ["date", "kind", "grp", "multiple"], "x", trim, quantiles, groups=groups)
 
 
