@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import ANNUALISE, TRADING_DAYS, div, finite, mapped
-from panelstone.operators.rolling import Roll, along, rolling, rolling_drawdown, rolling_extreme, rolling_median
+from panelstone.operators.passes import Ordered, ordered
+from panelstone.operators.rolling import Roll, add_positive, add_rolling_median, add_shift, along, rolling, rolling_drawdown, rolling_extreme
 from panelstone.session import dealt
 
 # Blume shrinkage of a raw beta toward one.
@@ -54,12 +55,16 @@ def benchmark_series(prices: DataFrame, benchmark: str) -> DataFrame:
 
 
 def with_market(
-    prices: DataFrame, benchmark: str, sectors: DataFrame | None = None, sector_funds: dict[str, str] | None = None, exclude: list[str] | None = None
+    prices: DataFrame, benchmark: str, sectors: DataFrame | None = None, sector_funds: dict[str, str] | None = None, exclude: list[str] | None = None, deal: bool = False
 ) -> DataFrame:
-    """Join the benchmark series and, by sector, the sector fund's close onto each security's rows."""
+    """Join the benchmark series and, by sector, the sector fund's close onto each security's rows.
+
+    ``deal`` deals the rows by ticker first: sectors then come to them, and they stay where a caller needs them.
+    """
     funds = sector_funds or {}
     drop = set(funds.values()) | {benchmark} | set(exclude or [])
-    out = prices.where(~F.col("ticker").isin(list(drop))).join(F.broadcast(benchmark_series(prices, benchmark)), "date", "left")
+    own = prices.where(~F.col("ticker").isin(list(drop)))
+    out = (dealt(own, *BY) if deal else own).join(F.broadcast(benchmark_series(prices, benchmark)), "date", "left")
     if sectors is not None and funds:
         tagged = sectors.select("ticker", mapped("sector", funds).alias("_fund"))
         closes = prices.where(F.col("ticker").isin(list(funds.values()))).select(
@@ -72,7 +77,7 @@ def with_market(
     return out
 
 
-def add_returns(df: DataFrame, price: str = "close_adj") -> DataFrame:
+def add_returns(df: DataFrame | Ordered, price: str = "close_adj") -> DataFrame | Ordered:
     """One-day return, momentum with the last month skipped, and trailing returns."""
     w = along(BY, ON)
     back = lambda n: F.lag(price, n).over(w)
@@ -89,7 +94,7 @@ def add_returns(df: DataFrame, price: str = "close_adj") -> DataFrame:
     )
 
 
-def add_relative_strength(df: DataFrame) -> DataFrame:
+def add_relative_strength(df: DataFrame | Ordered) -> DataFrame | Ordered:
     """Six-month return over the benchmark's and the sector fund's, lags counted on the security's own rows."""
     w = along(BY, ON)
     six = lambda x: div(x, F.lag(x, 126).over(w)) - 1.0
@@ -101,26 +106,27 @@ def add_relative_strength(df: DataFrame) -> DataFrame:
     )
 
 
-def add_trend(df: DataFrame, price: str = "close_adj") -> DataFrame:
+def add_trend(df: DataFrame | Ordered, price: str = "close_adj") -> DataFrame | Ordered:
     p = F.col(price)
-    out = rolling(df, BY, ON, [Roll("_ma50", "mean", p, 50), Roll("_ma200", "mean", p, 200)])
+    out = rolling(df, BY, ON, [Roll("_ma50", "mean", price, 50), Roll("_ma200", "mean", price, 200)])
     out = rolling_extreme(out, BY, ON, price, 252, "_high252")
+    out = add_shift(out, "_ma200", 63, BY, ON, "_ma200_before")
     tiny = 1e-12
     return out.withColumns(
         {
             "px_over_ma50": p / (F.col("_ma50") + tiny) - 1.0,
             "px_over_ma200": p / (F.col("_ma200") + tiny) - 1.0,
             "near_52w_high": p / (F.col("_high252") + tiny) - 1.0,
-            "ma200_slope": F.col("_ma200") / (F.lag("_ma200", 63).over(along(BY, ON)) + tiny) - 1.0,
+            "ma200_slope": F.col("_ma200") / (F.col("_ma200_before") + tiny) - 1.0,
         }
-    ).drop("_ma50", "_ma200", "_high252")
+    ).drop("_ma50", "_ma200", "_ma200_before", "_high252")
 
 
-def add_consistency(df: DataFrame, window: int = 252, min_n: int = 126) -> DataFrame:
+def add_consistency(df: DataFrame | Ordered, window: int = 252, min_n: int = 126) -> DataFrame | Ordered:
     """Share of the last year's rows on which the trailing month's summed excess return was positive."""
     out = rolling(df, BY, ON, [Roll("_month_excess", "sum", F.col("ret_1d") - F.col("mkt_ret"), 21)])
-    won = (F.col("_month_excess") > 0).cast("double")
-    return rolling(out, BY, ON, [Roll("momentum_consistency", "mean", won, window, min_n)]).drop("_month_excess")
+    out = add_positive(out, "_month_excess", "_won")
+    return rolling(out, BY, ON, [Roll("momentum_consistency", "mean", "_won", window, min_n)]).drop("_month_excess", "_won")
 
 
 def risk_rolls() -> list[Roll]:
@@ -129,10 +135,10 @@ def risk_rolls() -> list[Roll]:
     falling = m < 0
     volume = F.col("dollar_volume")
     return [
-        Roll("volatility", "std", r, 252, 120, scale=ANNUALISE),
-        Roll("volatility_3m", "std", r, 63, 40, scale=ANNUALISE),
+        Roll("volatility", "std", "ret_1d", 252, 120, scale=ANNUALISE),
+        Roll("volatility_3m", "std", "ret_1d", 63, 40, scale=ANNUALISE),
         Roll("downside_deviation", "rms", F.pow(F.least(r, F.lit(0.0)), 2) + r * 0.0, 252, 40, full=True, scale=ANNUALISE),
-        Roll("beta_raw", "beta", r, BETA_WINDOW, 120, y=m, full=True),
+        Roll("beta_raw", "beta", "ret_1d", BETA_WINDOW, 120, y="mkt_ret", full=True),
         Roll("downside_beta", "beta", F.when(falling, r), BETA_WINDOW, 40, y=F.when(falling, m), full=True),
         Roll("amihud", "mean", F.when(volume > 0, div(F.abs(r), volume) * 1e6), 63, 40, full=True),
     ]
@@ -141,12 +147,19 @@ def risk_rolls() -> list[Roll]:
 def build_price_metrics(
     prices: DataFrame, benchmark: str, sectors: DataFrame | None = None, sector_funds: dict[str, str] | None = None, exclude: list[str] | None = None
 ) -> DataFrame:
-    """Every price metric, one row per (ticker, date). One shuffle by ticker; all windows share it."""
-    df = dealt(with_market(prices, benchmark, sectors, sector_funds, exclude), *BY)
-    df = add_consistency(add_trend(add_relative_strength(add_returns(df))))
+    """Every price metric, one row per (ticker, date).
+
+    One shuffle by ticker and one sort; the lags are the planner's, all frames are merged from arrays as the sorted rows pass.
+    """
+    df = ordered(with_market(prices, benchmark, sectors, sector_funds, exclude, deal=True), BY, ON, deal=False)
+    df = add_relative_strength(add_returns(df)).drop("mkt_close", "sector_close", "ret_6m", "ret_12m")
+    df = add_consistency(add_trend(df))
     df = rolling(df, BY, ON, risk_rolls())
-    df = df.withColumn("beta", BLUME * F.col("beta_raw") + (1.0 - BLUME))
-    df = df.withColumn("dollar_volume_median", rolling_median("dollar_volume", BY, ON, 60, 20))
+    df = add_rolling_median(df, "dollar_volume", BY, ON, 60, 20, "dollar_volume_median")
     df = rolling_drawdown(df, BY, ON, "close_adj", 252, "max_drawdown_1y")
     df = rolling_drawdown(df, BY, ON, "close_adj", 1260, "max_drawdown_5y")
-    return df.drop("mkt_ret", "mkt_close", "sector_close", "ret_6m", "ret_12m")
+    df = df.withColumn("beta", BLUME * F.col("beta_raw") + (1.0 - BLUME)).drop("mkt_ret")
+    out = df.passed().frame
+    last = ["px_over_ma50", "px_over_ma200", "near_52w_high", "ma200_slope", "momentum_consistency", *[s.name for s in risk_rolls()]]
+    last += ["beta", "dollar_volume_median", "max_drawdown_1y", "max_drawdown_5y"]
+    return out.select(*[x for x in out.columns if x not in last], *last)

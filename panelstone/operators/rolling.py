@@ -4,6 +4,8 @@ Sums, means, deviations, regressions and extremes come from short sliding frames
 a window of w rows costs some 3 * sqrt(w) additions and sqrt(w) / 3 lookups a row, and all frames share one sort of narrow rows.
 (Block-wise running states are linear but take two sorts of widened rows for each length.) Drawdowns still run over blocks. An entity
 holds at most one row per session, so its frames are bounded by the calendar (a century of daily sessions is about 25,000 rows).
+
+Rows that are ``Ordered`` are worked on as arrays instead, by one pass for all that waits (``passes``), with the same results.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstone.functions.numeric import VAR_FLOOR, div, finite
+from panelstone.operators.passes import Ordered, Step
 
 
 #: Windows up to this length are summed directly.
@@ -41,10 +44,10 @@ class Roll:
 
     name: str
     kind: str
-    x: Column
+    x: Column | str
     window: int
     min_n: int | None = None
-    y: Column | None = None
+    y: Column | str | None = None
     full: bool = False
     scale: float = 1.0
 
@@ -61,17 +64,38 @@ def tiled(window: int, name: str, by: list[str], order: str) -> tuple[list[str],
     return [name, *back], back
 
 
-def rolling(df: DataFrame, by: list[str], order: str, specs: list[Roll]) -> DataFrame:
+def waiting(df: Ordered, by: list[str], order: str) -> Ordered:
+    """``df`` itself, if its rows lie as the caller means."""
+    if df.by != by or df.order != order:
+        raise ValueError(f"rows are in order of {df.by} and {df.order}, not of {by} and {order}")
+    return df
+
+
+def _rolling_in_order(df: Ordered, specs: list[Roll]) -> Ordered:
+    names: dict[str, str] = {}
+    for x in [x for s in specs for x in (s.x, s.y) if x is not None]:
+        if isinstance(x, str):
+            names[x] = x
+        elif str(x) not in names:
+            df, names[str(x)] = df.with_input(x.cast("double"))
+    need = lambda s: s.window if s.min_n is None else s.min_n
+    y = lambda s: None if s.y is None else names[str(s.y)]
+    return df.after(*[Step(s.name, s.kind, names[str(s.x)], s.window, need(s), y(s), s.full, s.scale) for s in specs])
+
+
+def rolling(df: DataFrame | Ordered, by: list[str], order: str, specs: list[Roll]) -> DataFrame | Ordered:
     """Add every statistic in ``specs``.
 
     A short window is summed afresh over its own rows. A long one is laid out in equal pieces, whose sums and central moments are looked up
     and merged. Either way a value rests on its own rows only, whatever came before, and no digits cancel. All lengths are frames of
     one ordering: rows sorted once by entity and date serve this call and the next ones.
     """
+    if isinstance(df, Ordered):
+        return _rolling_in_order(waiting(df, by, order), specs)
     inputs: dict[str, Column] = {}
     names: dict[str, str] = {}
 
-    def column(x: Column) -> Column:
+    def column(x: Column | str) -> Column:
         key = str(x)
         if key not in names:
             names[key] = f"_x{len(names)}"
@@ -155,8 +179,10 @@ def rolling(df: DataFrame, by: list[str], order: str, specs: list[Roll]) -> Data
     return work.withColumns(outputs).drop(*inputs, *states, *earlier, *counts, *means, "_row")
 
 
-def rolling_extreme(df: DataFrame, by: list[str], order: str, x: str, window: int, name: str, low: bool = False) -> DataFrame:
+def rolling_extreme(df: DataFrame | Ordered, by: list[str], order: str, x: str, window: int, name: str, low: bool = False) -> DataFrame | Ordered:
     """Rolling maximum (or minimum) over a full window of non-null values, from those of the window's pieces."""
+    if isinstance(df, Ordered):
+        return waiting(df, by, order).after(Step(name, "min" if low else "max", x, window))
     pick, join = (F.min, F.least) if low else (F.max, F.greatest)
     frame = along(by, order).rowsBetween(-(piece(window) - 1), Window.currentRow)
     work = df.withColumns({"_best": pick(x).over(frame), "_seen": F.count(x).over(frame)})
@@ -167,13 +193,15 @@ def rolling_extreme(df: DataFrame, by: list[str], order: str, x: str, window: in
     return work.withColumn(name, F.when(full, value)).drop(*best, *seen)
 
 
-def rolling_drawdown(df: DataFrame, by: list[str], order: str, x: str, window: int, name: str) -> DataFrame:
+def rolling_drawdown(df: DataFrame | Ordered, by: list[str], order: str, x: str, window: int, name: str) -> DataFrame | Ordered:
     """Worst peak-to-trough decline with peak and trough inside the same trailing window.
 
     A window is a block tail followed by a block head; its worst decline lies in the tail, in the head, or runs from the
     tail's peak to the head's trough. All three come from running states, so no window is ever collected. The tails are sorted
     backwards; what looks back over blocks is ordered by block and row, the sorting that the heads need anyway.
     """
+    if isinstance(df, Ordered):
+        return waiting(df, by, order).after(Step(name, "drawdown", x, window))
     cell = [*by, "_block"]
     head = Window.partitionBy(*cell).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     tail = Window.partitionBy(*cell).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -206,6 +234,25 @@ def rolling_median(x: Column | str, by: list[str], order: str, window: int, min_
     return F.when(F.count(x).over(frame) >= min_n, F.percentile(x, F.lit(0.5)).over(frame))
 
 
+def add_rolling_median(df: DataFrame | Ordered, x: str, by: list[str], order: str, window: int, min_n: int, name: str) -> DataFrame | Ordered:
+    if isinstance(df, Ordered):
+        return waiting(df, by, order).after(Step(name, "median", x, window, min_n))
+    return df.withColumn(name, rolling_median(x, by, order, window, min_n))
+
+
+def add_shift(df: DataFrame | Ordered, x: str, n: int, by: list[str], order: str, name: str) -> DataFrame | Ordered:
+    if isinstance(df, Ordered):
+        return waiting(df, by, order).after(Step(name, "lag", x, n))
+    return df.withColumn(name, shift(x, n, by, order))
+
+
+def add_positive(df: DataFrame | Ordered, x: str, name: str) -> DataFrame | Ordered:
+    """One where ``x`` is above zero, zero where it is not."""
+    if isinstance(df, Ordered):
+        return df.after(Step(name, "positive", x, 1))
+    return df.withColumn(name, (F.col(x) > 0).cast("double"))
+
+
 def day_range(by: list[str], date: str, days: int):
     """Half-open time frame (t - days, t] over calendar days."""
     return Window.partitionBy(*by).orderBy(F.unix_date(F.col(date))).rangeBetween(-(days - 1), 0)

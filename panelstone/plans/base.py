@@ -198,6 +198,11 @@ class Tables:
             self._kept = self.supplier_days = cut_lineage(self.supplier_days)
             self.sessions = cut_lineage(self._kept.select("date").distinct())
 
+    def keep_funds(self) -> None:
+        """Write ``supplier_days``, the market and the sector funds once; each reader of ``all_prices`` would aggregate the lines anew."""
+        self.supplier_days = cut_lineage(self.supplier_days)
+        self.market, self.sector_funds = cut_lineage(self.market), cut_lineage(self.sector_funds)
+
     @cached_property
     def prices(self) -> DataFrame:
         close = 20 + F.col("q") / F.col("n")

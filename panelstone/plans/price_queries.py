@@ -201,6 +201,7 @@ def _(t):
 
 @query("price_metrics_full")
 def _(t):
+    t.keep_funds()
     return P.build_price_metrics(t.all_prices, MARKET, t.companies, t.fund_map)
 
 
