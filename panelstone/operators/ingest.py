@@ -164,12 +164,28 @@ def bars_to_signals(bars: DataFrame, source: str) -> DataFrame:
     return out.select("_s.uid", "entity", "asof", "_s.kind", "_s.value", "source", "_s.meta").where(F.col("value").isNotNull())
 
 
-def dedupe_signals(signals: DataFrame, sequence: tuple[str, ...] = ()) -> DataFrame:
+def dedupe_signals(signals: DataFrame, sequence: tuple[str, ...] = (), near: bool = False) -> DataFrame:
     """One row per uid, the last by the columns of ``sequence``; what they leave equal is settled by all values.
 
-    The choice among structs sorts its rows, so they are dealt by uid first, into parts that grow in number with the input.
+    The choice among structs sorts its rows, so they are dealt by uid first, into parts that grow in number with the input. An id that
+    is the hexadecimal text of some bytes travels as these bytes. ``near``: the rows are dealt by some of their columns already, so those
+    that are equal in everything become one where they lie, before any is moved.
     """
     rest = [x for x in signals.columns if x != "uid"]
-    order = [F.to_json(x) if x == "meta" else F.col(x) for x in (*sequence, *[x for x in rest if x not in sequence])]
-    out = dealt(signals, "uid").groupBy("uid").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    return out.select("uid", "_r.*").select(*signals.columns)
+    orders = [*sequence, *[x for x in rest if x not in sequence]]
+    data = F.unhex("uid")
+    exact = F.coalesce(F.lower(F.hex(data)) == F.col("uid"), F.lit(False))
+    packed = signals.select(F.when(exact, data).alias("_b"), F.when(~exact, F.col("uid")).alias("_t"), *rest)
+    kinds = dict(packed.dtypes)
+    if near and not any(k.startswith(("map", "struct", "array")) for k in kinds.values()):
+        # Grouping takes -0.0 for 0.0: a double comes back as one of its rows had it.
+        doubles = [x for x in rest if kinds[x] in ("double", "float")]
+        packed = packed.groupBy(*packed.columns).agg(F.count(F.lit(1)).alias("_n"), *[F.first(x).alias(f"_{x}") for x in doubles])
+        packed = packed.select("_b", "_t", *[F.col(f"_{x}" if x in doubles else x).alias(x) for x in rest])
+    packed = dealt(packed, "_b", "_t")
+    if "meta" in rest:
+        best = F.max_by(F.struct(*rest), F.struct(*[F.to_json(x) if x == "meta" else F.col(x) for x in orders]))
+    else:
+        best = F.max(F.struct(*orders))
+    out = packed.groupBy("_b", "_t").agg(best.alias("_r"))
+    return out.select(F.coalesce(F.lower(F.hex("_b")), "_t").alias("uid"), "_r.*").select(*signals.columns)

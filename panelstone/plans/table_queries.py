@@ -10,7 +10,7 @@ from panelstone.functions import numeric as N
 from panelstone.operators import ingest as G
 from panelstone.operators import membership as M
 from panelstone.plans.base import R, Tables, fragment, query, rounded
-from panelstone.session import dealt, shared_folder, stacked
+from panelstone.session import PART_BYTES, dealt, shared_folder, stacked
 from panelstone.sources import contracts as C
 from panelstone.sources import tables as S
 
@@ -93,19 +93,22 @@ fragment("sig", """SELECT ticker AS entity, date AS dt, 'market.price' AS kind,
    UNION ALL SELECT ticker, date, 'market.volatility', (close_raw * 1.02 - close_raw * 0.99) / close_raw FROM px""", "px")
 
 
-def bars(t: Tables):
-    return t.prices.select("ticker", "date", F.col("close_raw").alias("close"), (F.col("close_raw") * 1.02).alias("high"), (F.col("close_raw") * 0.99).alias("low"), "volume")
+def bars(prices):
+    return prices.select("ticker", "date", F.col("close_raw").alias("close"), (F.col("close_raw") * 1.02).alias("high"), (F.col("close_raw") * 0.99).alias("low"), "volume")
 
 
 @query("ing25_bars_to_signals", f"{{{{with sig}}}} SELECT entity, dt, kind, {R('value')} AS value FROM sig")
 def _(t):
-    return rounded(G.bars_to_signals(bars(t), "lines").select("entity", F.col("asof").alias("dt"), "kind", "value"))
+    return rounded(G.bars_to_signals(bars(t.prices), "lines").select("entity", F.col("asof").alias("dt"), "kind", "value"))
 
 
 @query("ing26_dedupe_signals", "{{with sig}} SELECT kind, count(*) AS n FROM sig GROUP BY 1")
 def _(t):
-    s = G.bars_to_signals(dealt(bars(t), "ticker", "date"), "lines").drop("meta")  # a bar makes three wide rows
-    return G.dedupe_signals(s.transform(stacked, s)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    # Every bar twice, dealt before it makes three wide rows.
+    closes = t.prices.select("ticker", "date", "close_raw", "volume")
+    twice = dealt(closes.transform(stacked, closes), "ticker", "date", part_bytes=PART_BYTES // 2)
+    s = G.bars_to_signals(bars(twice), "lines").drop("meta")
+    return G.dedupe_signals(s, near=True).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("snk4_src3_signals", f"{{{{with pan}}}} SELECT ticker AS entity, date AS dt, {R('close_adj')} AS value FROM pan WHERE date BETWEEN DATE '1999-01-01' AND DATE '1999-06-30'")
