@@ -142,25 +142,34 @@ def _dealt_in_turn(panel: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
     return moved.withColumns({"m": F.col("_part") % len(metrics), "usable_value": F.when(F.col("applies"), F.col("raw_value"))})
 
 
+#: What a row takes from the peer group that was chosen for it.
+CHOSEN = ("basis", "peer", "n", "pct", "win", "mid")
+
+
 def _chosen_in_place(panel: DataFrame, metrics: tuple[Metric, ...], levels: list[str]) -> DataFrame:
-    """Every level side by side on one row. All levels contain (metric, date), so one shuffle serves all their windows."""
+    """Every level side by side on one row. All levels contain (metric, date), so one shuffle serves all their windows.
+
+    Each field of a level is a column of its own: what nobody reads is neither computed nor carried through the sorts.
+    """
     out = _dealt_in_turn(panel, metrics)
     for level in levels:
         keys = ["_part", "m", "date"] if level == "universe" else ["_part", "m", "date", f"peer_{level}"]
         out = _percentiles(out, keys, metrics, split=False)
-        group = F.struct(F.lit(level).alias("basis"), F.col(f"peer_{level}").alias("peer"), F.col("_n").alias("n"), F.col("_pct").alias("pct"), F.col("_win").alias("win"), F.col("_mid").alias("mid"))
-        out = out.withColumn(f"_at_{level}", group).drop("_n", "_pct", "_win", "_mid")
-    picked, broadest = None, None
+        out = out.withColumnsRenamed({f"_{f}": f"_{f}_{level}" for f in ("n", "pct", "win", "mid")})
+    field = lambda level, f: F.lit(level) if f == "basis" else F.col(f"peer_{level}" if f == "peer" else f"_{f}_{level}")
+    picked, broadest = {}, {}
     for basis, chain in PEER_CHAIN.items():
         steps = [x for x in chain if x in levels]
         if len(steps) < len(chain):
             continue
         here = _spec(metrics, "basis") == basis
-        enough = [F.when(F.col(f"_at_{x}.n") >= _spec(metrics, "min_peers"), F.col(f"_at_{x}")) for x in steps]
-        choice, last = F.coalesce(*enough), F.col(f"_at_{steps[-1]}")
-        picked = F.when(here, choice) if picked is None else picked.when(here, choice)
-        broadest = F.when(here, last) if broadest is None else broadest.when(here, last)
-    return out.withColumns({"_g": picked, "_b": broadest}).drop(*[f"_at_{x}" for x in levels])
+        enough = {x: F.col(f"_n_{x}") >= _spec(metrics, "min_peers") for x in steps}
+        for f in CHOSEN:
+            choice = reduce(lambda c, x: (F if c is None else c).when(enough[x], field(x, f)), steps, None)  # noqa: B023
+            picked[f] = picked.get(f, F).when(here, choice)
+            broadest[f] = broadest.get(f, F).when(here, field(steps[-1], f))
+    made = {f"_g_{f}": c for f, c in picked.items()} | {f"_b_{f}": broadest[f] for f in ("basis", "peer")}
+    return out.withColumns(made).drop(*[f"_{f}_{x}" for x in levels for f in ("n", "pct", "win", "mid")])
 
 
 def _chosen_by_level(long: DataFrame, metrics: tuple[Metric, ...], levels: list[str]) -> DataFrame:
@@ -177,9 +186,10 @@ def _chosen_by_level(long: DataFrame, metrics: tuple[Metric, ...], levels: list[
     enough = F.col("_n") >= _spec(metrics, "min_peers")
     found = F.struct("basis", "peer", F.col("_n").alias("n"), F.col("_pct").alias("pct"), F.col("_win").alias("win"), F.col("_mid").alias("mid"))
     carried = ["applies", "raw_value"]
-    return ranked.groupBy(*ROW, "m", *carried).agg(
+    best = ranked.groupBy(*ROW, "m", *carried).agg(
         F.min_by(F.when(enough, found), F.when(enough, F.col("level"))).alias("_g"), F.max_by(found, "level").alias("_b")
     )
+    return best.withColumns({f"_g_{f}": F.col(f"_g.{f}") for f in CHOSEN} | {f"_b_{f}": F.col(f"_b.{f}") for f in ("basis", "peer")})
 
 
 def score_metrics(panel: DataFrame, metrics: tuple[Metric, ...] = METRICS, split: bool = False) -> DataFrame:
@@ -197,7 +207,7 @@ def score_metrics(panel: DataFrame, metrics: tuple[Metric, ...] = METRICS, split
     status = (
         F.when(~F.col("applies"), "not_applicable")
         .when(F.col("raw_value").isNull(), "missing")
-        .when(F.col("_g.pct").isNull(), "thin_peers")
+        .when(F.col("_g_pct").isNull(), "thin_peers")
         .otherwise("scored")
     )
     return best.select(
@@ -205,13 +215,13 @@ def score_metrics(panel: DataFrame, metrics: tuple[Metric, ...] = METRICS, split
         _spec(used, "key").alias("metric"),
         _spec(used, "category").alias("category"),
         "raw_value",
-        F.col("_g.win").alias("winsorized_value"),
-        F.col("_g.pct").alias("percentile"),
-        (F.col("_g.pct") * 100.0).alias("score"),
-        F.coalesce("_g.basis", "_b.basis").alias("peer_basis"),
-        F.coalesce("_g.peer", "_b.peer").alias("peer_group"),
-        F.col("_g.n").alias("peer_count"),
-        F.col("_g.mid").alias("peer_median"),
+        F.col("_g_win").alias("winsorized_value"),
+        F.col("_g_pct").alias("percentile"),
+        (F.col("_g_pct") * 100.0).alias("score"),
+        F.coalesce("_g_basis", "_b_basis").alias("peer_basis"),
+        F.coalesce("_g_peer", "_b_peer").alias("peer_group"),
+        F.col("_g_n").alias("peer_count"),
+        F.col("_g_mid").alias("peer_median"),
         (status != "scored").alias("is_missing"),
         status.alias("status"),
         _spec(used, "weight").alias("weight"),
@@ -222,15 +232,16 @@ def build_metric_scores(panel: DataFrame, metrics: tuple[Metric, ...] = METRICS)
     return score_metrics(add_peer_keys(panel), metrics).withColumn("spec_version", F.lit(SPEC_VERSION))
 
 
-def build_category_scores(metric_scores: DataFrame, weights: dict[str, float] = CATEGORY_WEIGHTS, floor: float = MIN_CATEGORY_COVERAGE) -> DataFrame:
+def build_category_scores(metric_scores: DataFrame, weights: dict[str, float] = CATEGORY_WEIGHTS, floor: float = MIN_CATEGORY_COVERAGE, part_bytes: int | None = None) -> DataFrame:
     """Weighted mean of observed metrics; declined when too little of the applicable weight was observed.
 
-    Rows are dealt by company and date, so that a composite of the categories needs no other shuffle.
+    Rows are dealt by company and date, so that a composite of the categories needs no other shuffle; ``part_bytes`` of the files read make
+    a part.
     """
     seen = F.col("seen")
     narrow = metric_scores.where(F.col("status") != "not_applicable").select(*ROW, "category", "score", "weight", (F.col("status") == "scored").alias("seen"))
     out = (
-        dealt(narrow, *ROW)
+        dealt(narrow, *ROW, part_bytes=part_bytes)
         .groupBy(*ROW, "category")
         .agg(
             F.sum(F.when(seen, F.col("score") * F.col("weight")).otherwise(0.0)).alias("_sum"),
@@ -268,8 +279,12 @@ def build_opportunity_scores(category_scores: DataFrame, floor: float = MIN_TOTA
 def rank_scores(scores: DataFrame, score: str = "score") -> DataFrame:
     """Ordinal rank (best first, ties by company), average-rank percentile, universe size and band, per date."""
     sizes = scores.groupBy("date").agg(F.count(F.lit(1)).cast("int").alias("universe_size"))
-    out = add_ordinal_rank(scores, ["date"], score, "company_id", "rank", descending=True)
+    # Only what is ranked moves from step to step; the other columns meet it once.
+    row = F.struct("company_id", "date")
+    out = add_ordinal_rank(scores.select("company_id", "date", score), ["date"], score, "company_id", "rank", descending=True)
     out = add_rank(out, ["date"], score, percentile="percentile").withColumn("rank", F.col("rank").cast("int"))
+    ranks = out.select(row.alias("_id"), "rank", "percentile")
+    out = scores.withColumn("_id", row).join(ranks, "_id", "left").drop("_id")
     return out.join(sizes, "date", "left").withColumn("band", score_band(score)).select(
         *scores.columns, "rank", "percentile", "universe_size", "band"
     )

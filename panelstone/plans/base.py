@@ -263,7 +263,7 @@ class Tables:
         who = self.companies.select("company_id", "ticker", F.col("cik").alias("l_suppkey"), "sector", "industry", "business_model")
         base = cells.join(F.broadcast(ends), "month").join(who, "l_suppkey")  # one row per month
         c = F.col
-        w = Window.partitionBy("company_id").orderBy("date")
+        w = Window.partitionBy("l_suppkey").orderBy("date")  # one company for each key: rows stay where the join put them
         close = 20 + c("q") / c("n")
         base = base.withColumns({"close_adj": close, "market_cap": close * c("q")})
         back = lambda x, k: F.lag(x, k).over(w)
